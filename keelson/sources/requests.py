@@ -49,11 +49,24 @@ def parse_requests(df: DataFrame, spec: DatasetSpec, value_col: str = "value",
         F.from_json(F.col(value_col), "instances array<map<string,string>>").alias("keys"))
 
 
+# Lambda factories: Spark counts a Python lambda's parameters, so closures
+# must not carry extra (default) arguments.
+def _lacks(key: str):
+    return lambda m: ~F.map_contains_key(m, F.lit(key))
+
+
+def _is_null(field: str):
+    return lambda i: i[field].isNull()
+
+
+def _not_in(field: str, cats: list):
+    return lambda i: i[field].isNotNull() & ~i[field].isin(cats)
+
+
 def _missing_key(spec: DatasetSpec) -> Column:
     """Name of the first required key absent from some instance (or NULL)."""
     names = [spec.id] + spec.feature_names
-    checks = [F.when(F.exists(F.col("keys.instances"), lambda m, k=k: ~F.map_contains_key(m, F.lit(k))), F.lit(k))
-              for k in names]
+    checks = [F.when(F.exists(F.col("keys.instances"), _lacks(k)), F.lit(k)) for k in names]
     return F.coalesce(*checks)
 
 
@@ -71,11 +84,13 @@ def request_checks(spec: DatasetSpec) -> tuple[Column, Column]:
         (missing.isNotNull(), F.concat(F.lit("instances: field required: "), missing)),
     ]
     for f in spec.non_nullable_features:
-        rules.append((F.exists(inst, lambda i, f=f: i[f].isNull()),
+        rules.append((F.exists(inst, _is_null(f)),
                       F.lit(f"Feature `{f}` is non-nullable. Given null value is not allowed.")))
     for f in spec.categorical_features:
         cats = spec.categories(f)
-        bad = F.filter(inst, lambda i, f=f, cats=cats: i[f].isNotNull() & ~i[f].isin(cats))
+        if not cats:
+            continue
+        bad = F.filter(inst, _not_in(f, cats))
         rules.append((F.size(bad) > 0,
                       F.concat(F.lit("Value '"), bad[0][f], F.lit(f"' not allowed for '{f}'.Allowed values: {cats}"))))
     ids = F.transform(inst, lambda i: i[spec.id])

@@ -25,8 +25,16 @@ def stream_request_id() -> Column:
 
 def score_stream(spark: SparkSession, source_dir: str, spec: DatasetSpec, bundle: PipelineModel,
                  sink_dir: str, checkpoint_dir: str, available_now: bool = True,
-                 processing_time: str | None = None, sink_format: str = "json") -> StreamingQuery:
-    lines = spark.readStream.format("text").load(source_dir).select("value", stream_request_id().alias("rid"))
+                 processing_time: str | None = None, sink_format: str = "json",
+                 id_separator: str | None = None) -> StreamingQuery:
+    """Start the stream.  Lines are request documents; with ``id_separator``
+    (e.g. a tab) a line is ``<requestId><sep><document>``."""
+    lines = spark.readStream.format("text").load(source_dir)
+    if id_separator:
+        parts = F.split(F.col("value"), id_separator, 2)
+        lines = lines.select(parts[1].alias("value"), parts[0].alias("rid"))
+    else:
+        lines = lines.select("value", stream_request_id().alias("rid"))
     parsed = parse_requests(lines, spec, "value", request_id="rid")
     responses = score_requests(parsed, spec, bundle.stages)
     out = responses.select("requestId", "json", F.col("response.status").alias("status"))
