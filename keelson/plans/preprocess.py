@@ -31,6 +31,7 @@ from dataclasses import dataclass, field
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
 from keelson.functions.exprs import NULL_LABEL, qcol
@@ -149,9 +150,12 @@ class Preprocessor:
         casted = select_map(df, apply_stages([select, cast_num, raw_labels], column_map(df), types))
 
         # J1: numeric profile (+ target)
-        prof_cols = num + ([spec.target] if spec.target in df.columns else [])
+        target_numeric = spec.target in df.columns and isinstance(types[spec.target], T.NumericType)
+        prof_cols = num + ([spec.target] if target_numeric else [])
         prof = numeric_profile(casted, prof_cols)
         n = prof[prof_cols[0]]["n"] if prof_cols else None
+        if n == 0:
+            raise ValueError("train_data cannot be empty")
 
         # J2: categorical frequency summary
         cat_counts, cat_summary = {}, {}
@@ -264,6 +268,8 @@ class Preprocessor:
         for r in rows:
             summary[r["col"]] = dict(n=r["n"], nulls=r["nulls"], distinct=r["distinct"],
                                      mode=r["mode"]["value"] if r["mode"] else None)
+        if not summary:
+            raise ValueError("train_data cannot be empty")
         n = next(iter(summary.values()))["n"]
         few = [c for c in cat if summary[c]["distinct"] <= max(cfg.rare_n_categories, cfg.one_hot_max) + 3]
         tags = [NULL_LABEL, cfg.missing_fill, cfg.rare_replace]
