@@ -60,3 +60,36 @@ def frequency_table(df: DataFrame, cols: list[str]) -> DataFrame:
     mapping = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(f"__{i}"), F.lit(c))])
     return (long.select(mapping[F.col("__idx")].alias("col"), "value")
             .groupBy("col", "value").agg(F.count(F.lit(1)).alias("cnt")))
+
+
+def joint_profile(df: DataFrame, num_cols: list[str], cat_cols: list[str]) -> tuple[dict, DataFrame]:
+    """Numeric profile and categorical frequency table from ONE scan.
+
+    Every row is exploded into (col, label, v): numerics carry ``v`` with a NULL
+    label, categoricals carry the label with a NULL ``v``.  One hash aggregate
+    keyed by (col, label) then gives, for a numeric column, a single group with
+    its moments, and for a categorical column one group per label with its
+    count.  Partial aggregation keeps the shuffle at (#labels + #numerics) rows
+    per task.  Returns (numeric stats by column, frequency table (col, value,
+    cnt) of the categoricals); the caller persists the latter if reused.
+    """
+    entries = [F.struct(F.lit(c).alias("col"), F.lit(None).cast("string").alias("value"),
+                        qcol(c).cast("double").alias("v")) for c in num_cols]
+    entries += [F.struct(F.lit(c).alias("col"), qcol(c).cast("string").alias("value"),
+                         F.lit(None).cast("double").alias("v")) for c in cat_cols]
+    long = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    agg = (long.groupBy("col", "value")
+           .agg(F.count(F.lit(1)).alias("cnt"), F.count("v").alias("count"), F.avg("v").alias("mean"),
+                F.stddev_pop("v").alias("std_pop"), F.var_samp("v").alias("var_samp"),
+                F.min("v").alias("min"), F.max("v").alias("max")))
+    return agg, num_cols
+
+
+def split_joint(agg: DataFrame, num_cols: list[str]) -> tuple[dict, DataFrame]:
+    nums = {}
+    if num_cols:
+        for r in agg.where(F.col("col").isin(num_cols)).collect():
+            nums[r["col"]] = dict(n=r["cnt"], count=r["count"], mean=r["mean"], std_pop=r["std_pop"],
+                                  var_samp=r["var_samp"], min=r["min"], max=r["max"])
+    freq = agg.where(~F.col("col").isin(num_cols) if num_cols else F.lit(True)).select("col", "value", "cnt")
+    return nums, freq

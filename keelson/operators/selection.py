@@ -278,3 +278,56 @@ class DropCorrelated(StageEstimator):
 __all__ = ["DropConstant", "DropDuplicate", "DropCorrelated", "DropColumnsModel", "column_facts",
            "constant_from_facts", "duplicate_groups", "correlation_matrix", "correlated_groups",
            "pick_by_variance"]
+
+
+# --------------------------------------------------------------------------
+# one-pass form for moderate widths (used by the fused preprocessing fit)
+# Aggregation buffer fields up to which Spark keeps whole-stage codegen
+# (spark.sql.codegen.maxFields, default 100).  Past it an aggregate is
+# interpreted row by row, which at scale costs more CPU than the extra scans of
+# the long-form facts job plus MLlib's BLAS Gram passes.
+FUSED_MAX_FIELDS = 100
+
+
+def fused_width_ok(n_fact_cols: int, n_corr_cols: int) -> bool:
+    """count/min/max/bit_xor per fact column, var_samp (3 fields) per numeric
+    output, covar_samp (4 fields) per pair."""
+    fields = 1 + 4 * n_fact_cols + 3 * n_corr_cols + 4 * n_corr_cols * (n_corr_cols - 1) // 2
+    return fields <= FUSED_MAX_FIELDS
+
+
+def facts_and_moments(df: DataFrame, fact_cols: list[str], corr_cols: list[str], id_col: str | None):
+    """Column facts (as ``column_facts``), sample variances and the Pearson matrix
+    of ``corr_cols`` in ONE aggregate over ``df``.
+
+    Correlations come from ``covar_samp`` / ``var_samp`` (co-moment aggregates,
+    numerically stable); a zero variance gives NaN, i.e. "not correlated"
+    (``corr`` itself would divide by zero under ANSI mode).
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    aggs = [F.count(F.lit(1)).alias("__n")]
+    for i, c in enumerate(fact_cols):
+        x = qcol(c)
+        aggs += [F.count(x).alias(f"nn{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+        if id_col:
+            aggs.append(F.bit_xor(F.xxhash64(qcol(id_col), x)).alias(f"fp{i}"))
+    dbl = [qcol(c).cast("double") for c in corr_cols]
+    for i in range(len(corr_cols)):
+        aggs.append(F.var_samp(dbl[i]).alias(f"v{i}"))
+        for j in range(i + 1, len(corr_cols)):
+            aggs.append(F.covar_samp(dbl[i], dbl[j]).alias(f"c{i}_{j}"))
+    r = df.agg(*aggs).first()
+    facts = {}
+    for i, c in enumerate(fact_cols):
+        facts[c] = dict(n=r["__n"], nn=r[f"nn{i}"], min=r[f"lo{i}"], max=r[f"hi{i}"],
+                        fp=r[f"fp{i}"] if id_col else None, group=type_group(types[c]),
+                        type=types[c].simpleString())
+    var = {c: r[f"v{i}"] for i, c in enumerate(corr_cols)}
+    d = len(corr_cols)
+    corr = [[1.0 if i == j else float("nan") for j in range(d)] for i in range(d)]
+    for i in range(d):
+        for j in range(i + 1, d):
+            cv, vi, vj = r[f"c{i}_{j}"], var[corr_cols[i]], var[corr_cols[j]]
+            if cv is not None and vi and vj and vi > 0 and vj > 0:
+                corr[i][j] = corr[j][i] = cv / (vi * vj) ** 0.5
+    return facts, var, corr

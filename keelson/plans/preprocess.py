@@ -3,16 +3,18 @@
 ``ml.Pipeline.fit`` would fit the 16 steps one after the other, each with its
 own pass over the data.  ``Preprocessor.fit`` instead runs:
 
-  J1  numeric profile of the cast numerics and the target (one aggregate:
-      counts, mean, population std; the exact median only if asked for)
-  J2  long frequency table of the categoricals (one shuffle keyed by
-      (column, label)), reduced to a per-column summary plus the few labels
-      that can matter (share >= tol, the mode, the tags)
-  J3  on the transformed training rows: min / max / null counts and a
-      fingerprint per column -> constant and duplicate columns; an exact
-      ``<=>`` check of the fingerprint candidates only
-  J4  Pearson matrix after one-hot (one MLlib pass), then sample variances
-      of the grouped columns only
+  J1+J2  one scan: every row exploded to (column, label, value); one hash
+         aggregate keyed by (column, label) yields the numeric moments (count,
+         mean, population std; the target too) and the categorical label
+         counts.  The latter are reduced to a per-column summary plus the few
+         labels that can matter (share >= tol, the mode, the tags).  The exact
+         median, if asked for, adds histogram rounds.
+  J3+J4  one scan over the transformed training rows: per column min / max /
+         null count and a fingerprint -> constant and duplicate columns; and
+         the co-moments (``covar_samp`` / ``var_samp``) of every numeric output
+         after one-hot -> Pearson matrix and variances.  Fingerprint candidates
+         get one exact ``<=>`` check.  Very wide inputs fall back to a long
+         (unpivoted) facts job plus MLlib ``Correlation``.
 
 Mean imputation followed by scaling needs no second pass: with c non-null
 values out of n, filled with m, the new mean and population variance follow
@@ -35,7 +37,7 @@ from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
 from keelson.functions.exprs import NULL_LABEL, qcol
-from keelson.functions.profile import frequency_table, numeric_profile
+from keelson.functions.profile import joint_profile, split_joint
 from keelson.functions.quantile import exact_quantile
 from keelson.operators.base import apply_stages, column_map, schema_types, select_map
 from keelson.operators.selection import (
@@ -45,6 +47,8 @@ from keelson.operators.selection import (
     correlated_groups,
     correlation_matrix,
     duplicate_groups,
+    facts_and_moments,
+    fused_width_ok,
     pick_by_variance,
 )
 from keelson.operators.stages import (
@@ -149,23 +153,22 @@ class Preprocessor:
         raw_labels = TypeCaster(inputCols=spec.categorical_features, castType="string", nullsAsLabel=False)
         casted = select_map(df, apply_stages([select, cast_num, raw_labels], column_map(df), types))
 
-        # J1: numeric profile (+ target)
+        # J1+J2 (one scan): numeric moments (+ target) and categorical label counts
         target_numeric = spec.target in df.columns and isinstance(types[spec.target], T.NumericType)
         prof_cols = num + ([spec.target] if target_numeric else [])
-        prof = numeric_profile(casted, prof_cols)
-        n = prof[prof_cols[0]]["n"] if prof_cols else None
-        if n == 0:
-            raise ValueError("train_data cannot be empty")
-
-        # J2: categorical frequency summary
+        agg, _ = joint_profile(casted, prof_cols, cat)
+        agg = agg.persist(StorageLevel.MEMORY_AND_DISK)
         cat_counts, cat_summary = {}, {}
-        if cat:
-            freq = frequency_table(casted, cat).persist(StorageLevel.MEMORY_AND_DISK)
-            try:
+        try:
+            prof, freq = split_joint(agg, prof_cols)
+            n = (prof[prof_cols[0]]["n"] if prof_cols[0] in prof else 0) if prof_cols else None
+            if n == 0:
+                raise ValueError("train_data cannot be empty")
+            if cat:
                 cat_summary, cat_counts = self._label_counts(freq, cat)
-            finally:
-                freq.unpersist()
-            n = n if n is not None else next(iter(cat_summary.values()))["n"]
+                n = n if n is not None else next(iter(cat_summary.values()))["n"]
+        finally:
+            agg.unpersist()
         if not n:
             raise ValueError("train_data cannot be empty")
 
@@ -204,31 +207,52 @@ class Preprocessor:
         mid = select_map(df, mid_cols)
         feat_cols = [c for c in mid.columns if c not in pass_cols]
 
-        # J3: constants + duplicates
-        drop_const, dup_groups = self._constants_and_duplicates(mid, feat_cols)
+        # one-hot labels of every categorical follow from the post-rare counts (driver)
+        all_ohe = {}
+        for c in cat:
+            ranked = sorted(post_rare[c].items(), key=lambda kv: (-kv[1], kv[0]))
+            all_ohe[c] = [v for v, _ in ranked[:one_hot_k(len(post_rare[c]), cfg.one_hot_max)]]
+        pre_numeric = [c for c in feat_cols if c not in cat]
+        ohe_all = OneHotModel(encodeCols=cat, categories=[all_ohe[c] for c in cat], dropOriginal=False)
+        corr_candidates = pre_numeric + ohe_all.output_names()
+
+        fused = cfg.constant_tol >= 1 and fused_width_ok(len(feat_cols), len(corr_candidates))
+        if fused:
+            # J3+J4 in one scan: facts of the pre-one-hot columns and the moments of
+            # every numeric output (one-hot of all categoricals included; pairs of
+            # columns dropped below are simply not read)
+            wide = select_map(df, ohe_all.apply(mid_cols))
+            facts, variances, corr_all = facts_and_moments(wide, feat_cols, corr_candidates, spec.id)
+            drop_const, dup_groups = self._selection_from_facts(mid, feat_cols, facts)
+        else:
+            drop_const, dup_groups = self._constants_and_duplicates(mid, feat_cols)
         const_model = DropColumnsModel(dropCols=drop_const)
         dup_model = DropColumnsModel(dropCols=[c for g in dup_groups for c in g[1:]], groups=dup_groups)
         remaining = [c for c in feat_cols if c not in set(const_model.v("dropCols")) | set(dup_model.v("dropCols"))]
 
-        # A11 one-hot from the post-rare label counts
+        # A11 one-hot of the remaining categoricals
         ohe_cols = [c for c in cat if c in remaining]
-        ohe_cats = []
-        for c in ohe_cols:
-            counts = post_rare[c]
-            ranked = sorted(counts.items(), key=lambda kv: (-kv[1], kv[0]))
-            ohe_cats.append([v for v, _ in ranked[:one_hot_k(len(counts), cfg.one_hot_max)]])
+        ohe_cats = [all_ohe[c] for c in ohe_cols]
         ohe = OneHotModel(encodeCols=ohe_cols, categories=ohe_cats, dropOriginal=True)
 
-        # J4: correlation among numeric outputs after one-hot
+        # A12: correlation among numeric outputs after one-hot
         stages += [const_model, dup_model, ohe]
-        after = select_map(df, apply_stages(stages, column_map(df), types))
-        numeric_out = [c for c in after.columns if c not in pass_cols and c not in cat]
+        after_cols = apply_stages(stages, column_map(df), types)
+        numeric_out = [c for c in after_cols if c not in pass_cols and c not in cat]
         corr_groups, corr_drop = [], []
         if len(numeric_out) >= 2:
-            corr_groups = correlated_groups(numeric_out, correlation_matrix(after, numeric_out), cfg.corr_threshold)
-            corr_drop = pick_by_variance(after, corr_groups)
+            if fused:
+                idx = {c: i for i, c in enumerate(corr_candidates)}
+                sub = [[corr_all[idx[a]][idx[b]] for b in numeric_out] for a in numeric_out]
+                corr_groups = correlated_groups(numeric_out, sub, cfg.corr_threshold)
+                corr_drop = pick_by_variance(None, corr_groups, variances)
+            else:
+                after = select_map(df, after_cols)
+                corr_groups = correlated_groups(numeric_out, correlation_matrix(after, numeric_out),
+                                                cfg.corr_threshold)
+                corr_drop = pick_by_variance(after, corr_groups)
         corr_model = DropColumnsModel(dropCols=corr_drop, groups=corr_groups)
-        final_feats = sorted(c for c in after.columns if c not in pass_cols and c not in set(corr_drop))
+        final_feats = sorted(c for c in after_cols if c not in pass_cols and c not in set(corr_drop))
         order = ColumnOrderModel(order=final_feats, passthrough=pass_cols)
         stages += [corr_model, order]
 
@@ -329,10 +353,14 @@ class Preprocessor:
                 RareLabelModel(encodeCols=rare_c, keep=rare_keep_l, replaceWith=cfg.rare_replace), post)
 
     def _constants_and_duplicates(self, mid: DataFrame, cols: list[str]):
+        if not cols:
+            return [], []
+        return self._selection_from_facts(mid, cols, column_facts(mid, cols, self.spec.id))
+
+    def _selection_from_facts(self, mid: DataFrame, cols: list[str], facts: dict):
         cfg = self.config
         if not cols:
             return [], []
-        facts = column_facts(mid, cols, self.spec.id)
         if cfg.constant_tol >= 1:
             drop_const = [c for c in cols if constant_from_facts(facts[c], cfg.constant_missing)]
         else:
