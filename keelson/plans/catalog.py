@@ -212,14 +212,13 @@ A15_SQL = _a15(True)
 
 @check("artifact_pipeline", A15_SQL)
 def q_artifact_pipeline(spark, sf_dir):
-    from pyspark.ml import PipelineModel
     from keelson.plans.preprocess import fused_transform
+    from keelson.plans.workflow import load_bundle, save_bundle
     from keelson.session import scratch_dir
     df, fp = _fit_preprocess(spark, sf_dir)
     path = scratch_dir(spark, "artifact_pipeline")
-    fp.pipeline.write().overwrite().save(path)
-    loaded = PipelineModel.load(path)
-    return r6(fused_transform(loaded, df).drop("target"))
+    save_bundle(fp.pipeline, path)
+    return r6(fused_transform(load_bundle(path), df).drop("target"))
 
 
 @check("artifact_model", None)

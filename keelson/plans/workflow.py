@@ -89,14 +89,57 @@ def train(df: DataFrame, spec: DatasetSpec, config: PreprocessConfig | None = No
     return TrainResult(bundle, fp, model, r2, tuning, tr, va)
 
 
+class BundleModel(StageModel):
+    """All fitted column-map stages of a bundle as one model: the stage list is a
+    single JSON param, so saving or loading is one small metadata file instead
+    of one directory (and one write job) per stage."""
+
+    stageSpecs = param("stageSpecs", "list of [class path, params]")
+    _defaults = dict(stageSpecs=[])
+
+    @staticmethod
+    def from_stages(stages) -> "BundleModel":
+        specs = []
+        for st in stages:
+            cls = type(st)
+            if not cls.__module__.startswith("keelson.") or not hasattr(st, "apply"):
+                raise TypeError(f"stage {cls.__name__} is not a keelson column stage")
+            specs.append([f"{cls.__module__}.{cls.__name__}", {p.name: v for p, v in st._paramMap.items()}])
+        return BundleModel(stageSpecs=specs)
+
+    def stage_list(self) -> list:
+        import importlib
+        out = []
+        for path, params in self.v("stageSpecs"):
+            mod, name = path.rsplit(".", 1)
+            if not mod.startswith("keelson."):
+                raise ValueError(f"refusing to load stage class {path}")
+            out.append(getattr(importlib.import_module(mod), name)(**params))
+        return out
+
+    def apply(self, cols, types=None):
+        for st in self.stage_list():
+            cols = st.apply(cols, types)
+        return cols
+
+
 def save_bundle(bundle: PipelineModel, path: str) -> None:
-    """artifact_pipeline: fitted preprocessing + model + target inverse, one
-    ``PipelineModel`` directory."""
-    bundle.write().overwrite().save(path)
+    """artifact_pipeline: fitted preprocessing + model + target inverse in one
+    directory (compact form when every stage is a keelson column stage)."""
+    try:
+        compact = BundleModel.from_stages(bundle.stages)
+    except TypeError:
+        bundle.write().overwrite().save(path)
+        return
+    compact.write().overwrite().save(path)
 
 
 def load_bundle(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+    """Load either form; always returns a ``PipelineModel`` of the stages."""
+    try:
+        return PipelineModel(BundleModel.load(path).stage_list())
+    except Exception:  # noqa: BLE001 - not a compact bundle: a plain PipelineModel directory
+        return PipelineModel.load(path)
 
 
 def predict(bundle: PipelineModel, df: DataFrame, spec: DatasetSpec) -> DataFrame:

@@ -121,3 +121,23 @@ def test_fused_and_long_form_selection_agree(spark, monkeypatch):
         results.append((fp.report, fp.feature_cols,
                         sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in out.collect())))
     assert results[0] == results[1]
+
+
+def test_bundle_round_trip_and_plain_pipeline_fallback(spark, tmp_dir):
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import Binarizer
+    from conftest import SF_SMALL
+    from keelson.plans import catalog as C
+    from keelson.plans.workflow import BundleModel, load_bundle, save_bundle
+    df, bundle = C._literal_bundle(spark, SF_SMALL)
+    save_bundle(bundle, tmp_dir + "/b")
+    again = load_bundle(tmp_dir + "/b")
+    a = fused_transform(bundle, df).select("event_id", "prediction").collect()
+    b = fused_transform(again, df).select("event_id", "prediction").collect()
+    assert sorted(a) == sorted(b) and len(again.stages) == len(bundle.stages)
+    # a pipeline with a non-keelson stage is saved in the plain PipelineModel layout
+    plain = PipelineModel([Binarizer(inputCol="k", outputCol="kb", threshold=10.0)])
+    save_bundle(plain, tmp_dir + "/p")
+    assert isinstance(load_bundle(tmp_dir + "/p").stages[0], Binarizer)
+    with pytest.raises(ValueError):
+        BundleModel(stageSpecs=[["os.path.join", {}]]).stage_list()
