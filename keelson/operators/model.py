@@ -79,13 +79,24 @@ class HuberPredictorModel(StageModel):
         return f"Model name: Huber Regressor (alpha: {self.v('alpha')}, epsilon: {self.v('epsilon')})"
 
 
+def spread(df: DataFrame, share: int = 1) -> DataFrame:
+    """At least one partition per core (per ``share`` of the cores, when that many
+    fits run at once) before an iterative fit: every L-BFGS iteration is a pass
+    over these partitions.  Inputs that already have more partitions (any large
+    table) are left as they are."""
+    target = max(1, df.sparkSession.sparkContext.defaultParallelism // max(1, share))
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def huber_fit(df: DataFrame, feature_cols: list[str], label: str, alpha: float = DEFAULT_ALPHA,
               epsilon: float = DEFAULT_EPSILON, n: int | None = None, max_iter: int = MAX_ITER,
               tol: float = 1e-6, persist: bool = True) -> HuberPredictorModel:
     """Fit on ``df`` (features as columns).  The assembled vectors are persisted
     (memory and disk) for the iterations and released afterwards."""
-    data = assemble(df.select(*[qcol(c) for c in feature_cols], qcol(label).cast("double").alias("__label")),
-                    feature_cols).select("features", "__label")
+    data = spread(assemble(df.select(*[qcol(c) for c in feature_cols], qcol(label).cast("double").alias("__label")),
+                           feature_cols).select("features", "__label"))
     if persist:
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:

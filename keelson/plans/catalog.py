@@ -739,8 +739,9 @@ def q_tune(spark, sf_dir):
     tr_raw, va_raw = split_train_val(df, "event_id", 0.1)
     from keelson.plans.preprocess import Preprocessor
     fp = Preprocessor(events_spec()).fit(tr_raw)
-    res = tune(spark, scaled(fp, tr_raw), scaled(fp, va_raw), fp.feature_cols, "target", num_trials=6,
-               parallelism=3)
+    # the reference's search: 20 trials over alpha (log-uniform) and epsilon (uniform)
+    res = tune(spark, scaled(fp, tr_raw), scaled(fp, va_raw), fp.feature_cols, "target", num_trials=20,
+               parallelism=4)
     return res.trials
 
 

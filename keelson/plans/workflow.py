@@ -160,3 +160,46 @@ def score_batch(df: DataFrame, spec: DatasetSpec, bundle: PipelineModel, output_
     if output_dir:
         sink_csv(preds, output_dir)
     return preds
+
+
+# ----------------------------------------------------------------------------
+# entry points in the reference's terms: a data directory + a JSON spec
+def read_json_document(spark, path: str) -> dict:
+    """A small JSON document (spec, config) from any file system Spark can read."""
+    import json
+    rows = spark.read.text(path, wholetext=True).collect()
+    if not rows:
+        raise FileNotFoundError(path)
+    return json.loads(rows[0].value)
+
+
+def run_training(spark, train_dir: str, spec_path: str, artifacts_dir: str, run_tuning: bool = False,
+                 preprocessing_config_path: str | None = None, hyperparameters_path: str | None = None,
+                 hpt_path: str | None = None, val_pct: float = 0.1, single_file: bool = False) -> TrainResult:
+    """load -> validate -> split -> inject nulls -> fit -> (tune) -> fit model -> save -> R^2.
+
+    Numerics are read as text so that a non-numeric value is reported by the
+    validation rule instead of failing the scan."""
+    from keelson.operators.tune import DEFAULT_SPACE, DEFAULT_TRIALS
+    from keelson.sources.files import src_csv
+    spec = DatasetSpec.from_dict(read_json_document(spark, spec_path))
+    cfg = PreprocessConfig.from_dict(read_json_document(spark, preprocessing_config_path)) \
+        if preprocessing_config_path else PreprocessConfig()
+    hp = read_json_document(spark, hyperparameters_path) if hyperparameters_path else None
+    tune_kwargs = None
+    if run_tuning and hpt_path:
+        hpt = read_json_document(spark, hpt_path)
+        tune_kwargs = dict(space=hpt.get("hyperparameters", DEFAULT_SPACE),
+                           num_trials=hpt.get("num_trials", DEFAULT_TRIALS))
+    df = src_csv(spark, train_dir, spec, is_train=True, numeric_as_string=True, single_file=single_file)
+    return train(df, spec, cfg, val_pct=val_pct, hyperparameters=hp, run_tuning=run_tuning,
+                 tune_kwargs=tune_kwargs, artifacts_dir=artifacts_dir)
+
+
+def run_batch_predictions(spark, test_dir: str, spec_path: str, artifacts_dir: str, output_dir: str,
+                          single_file: bool = False) -> DataFrame:
+    """load artifacts -> read -> validate -> one projection -> (id, prediction) -> CSV."""
+    from keelson.sources.files import src_csv
+    spec = DatasetSpec.from_dict(read_json_document(spark, spec_path))
+    df = src_csv(spark, test_dir, spec, is_train=False, numeric_as_string=True, single_file=single_file)
+    return score_batch(df, spec, load_bundle(artifacts_dir), output_dir=output_dir)
