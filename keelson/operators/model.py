@@ -33,8 +33,17 @@ class NotFittedError(ValueError):
     pass
 
 
-def assemble(df: DataFrame, feature_cols: list[str], out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=feature_cols, outputCol=out, handleInvalid="error").transform(df)
+def assemble(df: DataFrame, feature_cols: list[str], out: str = "features", keep: list[str] | None = None) -> DataFrame:
+    """Vector of ``feature_cols`` (in that order) plus the ``keep`` columns.
+
+    Columns are renamed to positional aliases first: one-hot names carry data
+    labels (dots, spaces, backticks), which VectorAssembler would read as
+    nested field paths."""
+    keep = [c for c in (keep or []) if c not in feature_cols]
+    slots = [f"__x{i}" for i in range(len(feature_cols))]
+    narrow = df.select(*[qcol(c).alias(a) for c, a in zip(feature_cols, slots)], *[qcol(c) for c in keep])
+    vec = VectorAssembler(inputCols=slots, outputCol=out, handleInvalid="error").transform(narrow)
+    return vec.select(out, *[qcol(c) for c in keep])
 
 
 def huber_estimator(alpha: float, epsilon: float, n: int, label: str = "label",
@@ -95,8 +104,7 @@ def huber_fit(df: DataFrame, feature_cols: list[str], label: str, alpha: float =
               tol: float = 1e-6, persist: bool = True) -> HuberPredictorModel:
     """Fit on ``df`` (features as columns).  The assembled vectors are persisted
     (memory and disk) for the iterations and released afterwards."""
-    data = spread(assemble(df.select(*[qcol(c) for c in feature_cols], qcol(label).cast("double").alias("__label")),
-                           feature_cols).select("features", "__label"))
+    data = spread(assemble(df.withColumn("__label", qcol(label).cast("double")), feature_cols, keep=["__label"]))
     if persist:
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:

@@ -205,8 +205,9 @@ class DropDuplicate(StageEstimator):
 def correlation_matrix(df: DataFrame, cols: list[str]) -> list[list[float]]:
     """Pearson matrix of ``cols`` (one distributed pass; d x d on the driver).
     A NULL raises (VectorAssembler handleInvalid='error')."""
-    vec = VectorAssembler(inputCols=cols, outputCol="__features", handleInvalid="error")
-    m = Correlation.corr(vec.transform(df.select(*[qcol(c).cast("double").alias(c) for c in cols])),
+    slots = [f"__x{i}" for i in range(len(cols))]  # positional aliases: names may hold dots
+    vec = VectorAssembler(inputCols=slots, outputCol="__features", handleInvalid="error")
+    m = Correlation.corr(vec.transform(df.select(*[qcol(c).cast("double").alias(a) for c, a in zip(cols, slots)])),
                          "__features", "pearson").first()[0]
     return m.toArray().tolist()
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from keelson.functions.exprs import qcol
 from keelson.operators.model import assemble, huber_estimator, r2_expr, spread
 
 # The reference's search space and trial count.
@@ -75,10 +76,10 @@ def tune(spark: SparkSession, train: DataFrame, valid: DataFrame, feature_cols:
          parallelism: int = 4, is_minimize: bool = False, max_iter: int = 100) -> TuneResult:
     space = space or DEFAULT_SPACE
     assert num_trials >= 2, "Hyperparameter Tuning needs at least 2 trials"
-    tr = spread(assemble(train.select(*feature_cols, F.col(label).cast("double").alias("__label")), feature_cols)
-                .select("features", "__label"), share=parallelism).persist(StorageLevel.MEMORY_AND_DISK)
-    va = assemble(valid.select(*feature_cols, F.col(label).cast("double").alias("__label")), feature_cols) \
-        .select("features", "__label").persist(StorageLevel.MEMORY_AND_DISK)
+    tr = spread(assemble(train.withColumn("__label", qcol(label).cast("double")), feature_cols, keep=["__label"]),
+                share=parallelism).persist(StorageLevel.MEMORY_AND_DISK)
+    va = assemble(valid.withColumn("__label", qcol(label).cast("double")), feature_cols, keep=["__label"]) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = tr.count()
         va.count()

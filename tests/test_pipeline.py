@@ -141,3 +141,20 @@ def test_bundle_round_trip_and_plain_pipeline_fallback(spark, tmp_dir):
     assert isinstance(load_bundle(tmp_dir + "/p").stages[0], Binarizer)
     with pytest.raises(ValueError):
         BundleModel(stageSpecs=[["os.path.join", {}]]).stage_list()
+
+
+def test_labels_with_dots_spaces_backticks(spark, tmp_dir):
+    from keelson.operators.model import huber_fit
+    from keelson.plans.workflow import load_bundle, save_bundle
+    labels = ["a.b c", "x`y", "a.b c", "x`y", "plain"]  # 'plain' is the least frequent: left out
+    rows = [(i, float(i % 17), float((i * 7) % 11), labels[i % 5], "P" if i % 2 else "Q", float(i % 17) * 2 + (i % 3))
+            for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    fp = Preprocessor(SPEC).fit(df)
+    assert any("a.b c" in c for c in fp.feature_cols) and any("x`y" in c for c in fp.feature_cols)
+    out = fused_transform(fp.pipeline, df)
+    m = huber_fit(out, fp.feature_cols, "target_field")
+    assert len(m.v("coefficients")) == len(fp.feature_cols)
+    save_bundle(fp.pipeline, tmp_dir + "/b")
+    again = fused_transform(load_bundle(tmp_dir + "/b"), df)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, out.collect()))
