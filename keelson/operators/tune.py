@@ -71,9 +71,24 @@ class TuneResult:
     trials: DataFrame
 
 
+def narrowed_space(space: list[dict], best: list[dict]) -> list[dict]:
+    """Ranges shrunk to the span of the best trials' values (int / real only)."""
+    out = []
+    for hp in space:
+        vals = [b[hp["name"]] for b in best]
+        if hp["type"] in ("int", "real", "float") and len(vals) > 1 and min(vals) < max(vals):
+            out.append(dict(hp, range_low=min(vals), range_high=max(vals)))
+        else:
+            out.append(hp)
+    return out
+
+
 def tune(spark: SparkSession, train: DataFrame, valid: DataFrame, feature_cols: list[str], label: str,
          space: list[dict] | None = None, num_trials: int = DEFAULT_TRIALS, seed: int = 5,
-         parallelism: int = 4, is_minimize: bool = False, max_iter: int = 100) -> TuneResult:
+         parallelism: int = 4, is_minimize: bool = False, max_iter: int = 100,
+         refine_trials: int = 0, refine_top: int = 3) -> TuneResult:
+    """``refine_trials`` > 0 adds a second round sampled inside the span of the
+    ``refine_top`` best first-round trials."""
     space = space or DEFAULT_SPACE
     assert num_trials >= 2, "Hyperparameter Tuning needs at least 2 trials"
     tr = spread(assemble(train.withColumn("__label", qcol(label).cast("double")), feature_cols, keep=["__label"]),
@@ -85,7 +100,12 @@ def tune(spark: SparkSession, train: DataFrame, valid: DataFrame, feature_cols:
         va.count()
         params = [sample_params(space, t, seed) for t in range(num_trials)]
 
+        sc = spark.sparkContext
+
         def run(t: int) -> float:
+            # one scheduler pool per worker thread: under spark.scheduler.mode=FAIR the
+            # concurrent fits share the cluster instead of queueing behind each other
+            sc.setLocalProperty("spark.scheduler.pool", f"keelson-tune-{t % max(1, parallelism)}")
             hp = params[t]
             m = huber_estimator(hp.get("alpha", 1e-4), hp.get("epsilon", 1.35), n, "__label",
                                 max_iter=max_iter).fit(tr)
@@ -97,6 +117,12 @@ def tune(spark: SparkSession, train: DataFrame, valid: DataFrame, feature_cols:
 
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
             values = list(pool.map(run, range(num_trials)))
+            if refine_trials > 0:
+                top = sorted(range(num_trials), key=lambda t: (values[t], t))[:max(2, refine_top)]
+                inner = narrowed_space(space, [params[t] for t in top])
+                params += [sample_params(inner, num_trials + j, seed) for j in range(refine_trials)]
+                values += list(pool.map(run, range(num_trials, num_trials + refine_trials)))
+        num_trials = len(params)
     finally:
         tr.unpersist()
         va.unpersist()

@@ -47,6 +47,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not conf_dir:
         conf_dir = sc.getCheckpointDir()
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder "
+                             "that every executor and the driver share")
         conf_dir = tempfile.mkdtemp(prefix="keelson-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     if not sc.getCheckpointDir():

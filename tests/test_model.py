@@ -102,3 +102,9 @@ def test_tune_returns_trials(spark):
     assert res.best_value == t["value"].min()
     with pytest.raises(AssertionError):
         tune(spark, tr, va, ["x1"], "y", num_trials=1)
+    res2 = tune(spark, tr, va, ["x1", "x2", "x3"], "y", num_trials=4, parallelism=2, refine_trials=2, refine_top=2)
+    t2 = res2.trials.toPandas()
+    assert len(t2) == 6 and res2.best_value <= res.best_value
+    top = t2.iloc[:4].sort_values(["value", "number"]).iloc[:2]
+    for col in ("params_alpha", "params_epsilon"):
+        assert t2[col].iloc[4:].between(top[col].min(), top[col].max()).all()
