@@ -86,6 +86,8 @@ def train(df: DataFrame, spec: DatasetSpec, config: PreprocessConfig | None = No
     bundle = PipelineModel(list(fp.pipeline.stages) + [model, unscale])
     if artifacts_dir:
         save_bundle(bundle, artifacts_dir)
+        if tuning is not None:
+            sink_csv(tuning.trials, artifacts_dir.rstrip("/") + "_hpt_results")
     return TrainResult(bundle, fp, model, r2, tuning, tr, va)
 
 

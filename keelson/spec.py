@@ -45,6 +45,9 @@ class DatasetSpec:
         feats = d.get("features") or []
         if not feats:
             raise ValueError("at least one feature is required")
+        t_example = d.get("target", {}).get("example")
+        if "example" in d.get("target", {}) and not isinstance(t_example, (int, float)):
+            raise ValueError("target example must be a number")
         names = [f["name"] for f in feats]
         if len(set(names)) != len(names):
             raise ValueError("feature names must be unique")
