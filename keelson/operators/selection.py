@@ -39,44 +39,52 @@ def column_facts(df: DataFrame, cols: list[str], id_col: str | None = None) -> d
     """Per column: n, non-null count, min, max (in the column's own type class)
     and, when ``id_col`` is given, an order-independent fingerprint.
 
-    The columns are unpivoted into one long table (col, i, d, s) typed by
-    class, so that one hash aggregate keyed by column name serves any width.
+    For string columns min / max are not aggregated directly (a string buffer
+    turns the hash aggregate into a sort aggregate over rows x columns): the
+    extremes of ``xxhash64(value)`` decide "one distinct value", confirmed
+    exactly by one global aggregate for the few columns that look constant.
     """
     if not cols:
         return {}
     types = {f.name: f.dataType for f in df.schema.fields}
-    groups: dict = {"i": [], "d": [], "s": []}
-    for c in cols:
-        groups[type_group(types[c])].append(c)
+    out = {}
+    for r in column_facts_frame(df, cols, id_col).collect():
+        c = r["col"]
+        g = type_group(types[c])
+        lo, hi = (r[f"{g}min"], r[f"{g}max"]) if g != "s" else (r["hmin"], r["hmax"])
+        out[c] = dict(n=r["n"], nn=r["nn"], min=lo, max=hi, fp=r["fp"] if id_col else None, group=g,
+                      type=types[c].simpleString())
+    suspects = [c for c in cols if out[c]["group"] == "s" and out[c]["nn"] and out[c]["min"] == out[c]["max"]]
+    if suspects:
+        r = df.agg(*[(F.min(qcol(c)) == F.max(qcol(c))).alias(f"e{k}") for k, c in enumerate(suspects)]).first()
+        for k, c in enumerate(suspects):
+            if not r[f"e{k}"]:
+                out[c]["max"] = None  # hash tie between different strings: not constant
+    return out
+
+
+def column_facts_frame(df: DataFrame, cols: list[str], id_col: str | None = None) -> DataFrame:
+    """The long-form facts aggregate: every row exploded to (col, i, d, s), one
+    scan, one hash aggregate keyed by column name (partial, then final)."""
+    types = {f.name: f.dataType for f in df.schema.fields}
     cast = {"i": "bigint", "d": "double", "s": "string"}
-    parts = []
-    for g, gcols in groups.items():
-        if not gcols:
-            continue
-        base = [qcol(id_col).alias("__id")] if id_col else []
-        wide = df.select(*base, *[qcol(c).cast(cast[g]).alias(f"__{k}") for k, c in enumerate(gcols)])
-        long = wide.unpivot(["__id"] if id_col else [], [f"__{k}" for k in range(len(gcols))], "__idx", "v")
-        mapping = F.create_map(*[x for k, c in enumerate(gcols) for x in (F.lit(f"__{k}"), F.lit(c))])
-        sel = [mapping[F.col("__idx")].alias("col")]
-        sel += [(F.col("v") if h == g else F.lit(None).cast(cast[h])).alias(h) for h in ("i", "d", "s")]
-        if id_col:
-            sel.append(F.col("__id"))
-        parts.append(long.select(*sel))
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
+    entries = []
+    for c in cols:
+        g = type_group(types[c])
+        fields = [F.lit(c).alias("col")]
+        for h in ("i", "d", "s"):
+            fields.append((qcol(c).cast(cast[h]) if h == g else F.lit(None).cast(cast[h])).alias(h))
+        entries.append(F.struct(*fields))
+    base = [qcol(id_col).alias("__id")] if id_col else []
+    long = df.select(*base, F.explode(F.array(*entries)).alias("e")).select(*(["__id"] if id_col else []), "e.*")
     nn = F.col("i").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull()
-    aggs = [F.count(F.lit(1)).alias("n"), F.count_if(nn).alias("nn")]
-    for h in ("i", "d", "s"):
-        aggs += [F.min(h).alias(f"{h}min"), F.max(h).alias(f"{h}max")]
+    hs = F.when(F.col("s").isNotNull(), F.xxhash64("s"))
+    aggs = [F.count(F.lit(1)).alias("n"), F.count_if(nn).alias("nn"),
+            F.min("i").alias("imin"), F.max("i").alias("imax"), F.min("d").alias("dmin"), F.max("d").alias("dmax"),
+            F.min(hs).alias("hmin"), F.max(hs).alias("hmax")]
     if id_col:
         aggs.append(F.bit_xor(F.xxhash64(F.col("__id"), F.col("i"), F.col("d"), F.col("s"))).alias("fp"))
-    out = {}
-    for r in long.groupBy("col").agg(*aggs).collect():
-        g = type_group(types[r["col"]])
-        out[r["col"]] = dict(n=r["n"], nn=r["nn"], min=r[f"{g}min"], max=r[f"{g}max"],
-                             fp=r["fp"] if id_col else None, group=g, type=types[r["col"]].simpleString())
-    return out
+    return long.groupBy("col").agg(*aggs)
 
 
 def candidate_cols(df: DataFrame, input_cols, exclude) -> list[str]:
