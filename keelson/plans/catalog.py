@@ -36,8 +36,9 @@ def _k() -> Column:
     return F.get_json_object("props", "$.k").cast("double")
 
 
-def events_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` with rule-made nulls, copies, a constant, rare labels and a target."""
+def events_frame(spark: SparkSession, sf_dir: str, raw_value: bool = False) -> DataFrame:
+    """``events`` with rule-made nulls, copies, a constant, rare labels and a target
+    (``raw_value=True`` also keeps the untouched ``value`` as ``raw_value``)."""
     ev = table(spark, sf_dir, "events")
     eid = F.col("event_id")
     et = F.when(eid % 29 == 0, F.lit(None)).otherwise(F.col("event_type"))
@@ -54,6 +55,7 @@ def events_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(eid % 200 == 0, F.lit("zz")).when(eid % 2 == 0, F.lit("even")).otherwise(F.lit("odd")).alias("parity"),
         (F.lit(3.0) * k - F.lit(0.5) * F.col("value") + noise
          + F.when(eid % 10 == 0, F.lit(400.0)).otherwise(F.lit(0.0))).alias("target"),
+        *([F.col("value").alias("raw_value")] if raw_value else []),
     )
 
 
@@ -627,11 +629,10 @@ def q_drop_correlated(spark, sf_dir):
 
 
 @check("target_scale", """WITH """ + EV_SQL + """
-SELECT event_id, round((target - avg(target) OVER ()) / stddev_pop(target) OVER (), 6) + 0.0 AS target FROM ev
-WHERE target IS NOT NULL""")
+SELECT event_id, round((target - avg(target) OVER ()) / stddev_pop(target) OVER (), 6) + 0.0 AS target FROM ev""")
 def q_target_scale(spark, sf_dir):
     from keelson.operators.stages import TargetScaler
-    df = events_frame(spark, sf_dir).select("event_id", "target").where(F.col("target").isNotNull())
+    df = events_frame(spark, sf_dir).select("event_id", "target")
     return r6(TargetScaler(targetCol="target").fit(df).transform(df))
 
 
@@ -721,12 +722,15 @@ def q_predictions_table(spark, sf_dir):
     return r6(predict(bundle, df, events_spec()))
 
 
-@check("r2", """WITH """ + EV_SQL + f"""
-SELECT round(1.0 - sum((target - {LITERAL_SQL}) * (target - {LITERAL_SQL})) / (var_pop(target) * count(target)), 6) + 0.0 AS r2
-FROM ev WHERE value IS NOT NULL""")
+@check("r2", """WITH """ + EV_SQL + """,
+p AS (SELECT ev.target, 1.5 + 0.25 * e.value - 2.0 * ev.k AS prediction FROM ev JOIN events e USING (event_id))
+SELECT round(1.0 - sum((target - prediction) * (target - prediction)) / (var_pop(target) * count(target)), 6) + 0.0 AS r2
+FROM p""")
 def q_r2(spark, sf_dir):
-    from keelson.operators.model import r2_expr
-    p = _literal_predictor().transform(events_frame(spark, sf_dir)).where(F.col("value").isNotNull())
+    """R^2 over every row (the predictor reads the raw ``value``, which has no null)."""
+    from keelson.operators.model import HuberPredictorModel, r2_expr
+    df = events_frame(spark, sf_dir, raw_value=True)
+    p = HuberPredictorModel(featureCols=["raw_value", "k"], coefficients=[0.25, -2.0], intercept=1.5).transform(df)
     return r6(p.agg(r2_expr(F.col("target"), F.col("prediction")).alias("r2")))
 
 
