@@ -88,3 +88,18 @@ def test_stream_available_now(spark, tmp_dir):
     plan = score_requests(parse_requests(lines, SPEC), SPEC, bundle(spark).stages)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in text and "Exchange" not in text and "Python" not in text
+
+
+def test_stream_restart_processes_only_new_files(spark, tmp_dir):
+    """A restarted query with the same checkpoint skips what it already answered."""
+    src, out, ck = (os.path.join(tmp_dir, d) for d in ("in", "out", "ck"))
+    os.makedirs(src)
+    good = json.dumps(REQUESTS["good"])
+    with open(os.path.join(src, "a.txt"), "w") as fh:
+        fh.write(f"r1\t{good}\nr2\t{good}\n")
+    score_stream(spark, src, SPEC, bundle(spark), out, ck, id_separator="\t").awaitTermination()
+    with open(os.path.join(src, "b.txt"), "w") as fh:
+        fh.write(f"r3\t{good}\n")
+    score_stream(spark, src, SPEC, bundle(spark), out, ck, id_separator="\t").awaitTermination()
+    ids = sorted(r.requestId for r in spark.read.json(out).collect())
+    assert ids == ["r1", "r2", "r3"]
