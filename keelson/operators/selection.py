@@ -2,7 +2,8 @@
 correlated (A12) columns.
 
 None of them compares rows pairwise or columns by collecting them:
-constants come from min / max / null counts; duplicates from an
+constants come from min / max / null counts (codegen-sized column chunks);
+duplicates from an
 order-independent fingerprint per column (``bit_xor`` of a hash of
 (id, value)) followed by an exact ``<=>`` check of the candidate pairs only;
 correlation from one distributed Gram pass (MLlib ``Correlation``), leaving a
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keelson.functions.exprs import qcol
-from keelson.functions.profile import frequency_table
+from keelson.functions.profile import chunked_aggregate, frequency_table
 from keelson.operators.base import StageEstimator, StageModel, param, present
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)
@@ -36,57 +37,39 @@ def type_group(dt: T.DataType) -> str:
 
 
 def column_facts(df: DataFrame, cols: list[str], id_col: str | None = None) -> dict:
-    """Per column: n, non-null count, min, max (in the column's own type class)
-    and, when ``id_col`` is given, an order-independent fingerprint.
+    """Per column: n, non-null count, min, max and, when ``id_col`` is given, an
+    order-independent fingerprint ``bit_xor(xxhash64(id, value))``.
 
-    For string columns min / max are not aggregated directly (a string buffer
-    turns the hash aggregate into a sort aggregate over rows x columns): the
-    extremes of ``xxhash64(value)`` decide "one distinct value", confirmed
-    exactly by one global aggregate for the few columns that look constant.
+    Codegen-sized column chunks (``chunked_aggregate``).  Strings are not
+    min/max-aggregated (a string buffer turns the hash aggregate into a sort
+    aggregate): the extremes of ``xxhash64(value)`` decide "one distinct
+    value", confirmed exactly for the few string columns that look constant.
     """
     if not cols:
         return {}
     types = {f.name: f.dataType for f in df.schema.fields}
+    exprs = [("__n", F.count(F.lit(1)), 1)]
+    for i, c in enumerate(cols):
+        x = qcol(c)
+        probe = F.xxhash64(x) if type_group(types[c]) == "s" else x
+        exprs += [(f"nn{i}", F.count(x), 1), (f"lo{i}", F.min(F.when(x.isNotNull(), probe)), 1),
+                  (f"hi{i}", F.max(F.when(x.isNotNull(), probe)), 1)]
+        if id_col:
+            exprs.append((f"fp{i}", F.bit_xor(F.xxhash64(qcol(id_col), x)), 1))
+    r = chunked_aggregate(df, exprs)
     out = {}
-    for r in column_facts_frame(df, cols, id_col).collect():
-        c = r["col"]
-        g = type_group(types[c])
-        lo, hi = (r[f"{g}min"], r[f"{g}max"]) if g != "s" else (r["hmin"], r["hmax"])
-        out[c] = dict(n=r["n"], nn=r["nn"], min=lo, max=hi, fp=r["fp"] if id_col else None, group=g,
-                      type=types[c].simpleString())
+    for i, c in enumerate(cols):
+        out[c] = dict(n=r["__n"], nn=r[f"nn{i}"], min=r[f"lo{i}"], max=r[f"hi{i}"],
+                      fp=r[f"fp{i}"] if id_col else None, group=type_group(types[c]), type=types[c].simpleString())
     suspects = [c for c in cols if out[c]["group"] == "s" and out[c]["nn"] and out[c]["min"] == out[c]["max"]]
     if suspects:
-        r = df.agg(*[(F.min(qcol(c)) == F.max(qcol(c))).alias(f"e{k}") for k, c in enumerate(suspects)]).first()
+        rr = chunked_aggregate(df, [(f"e{k}", F.min(qcol(c)) == F.max(qcol(c)), 2) for k, c in enumerate(suspects)])
         for k, c in enumerate(suspects):
-            if not r[f"e{k}"]:
+            if not rr[f"e{k}"]:
                 out[c]["max"] = None  # hash tie between different strings: not constant
     return out
 
 
-def column_facts_frame(df: DataFrame, cols: list[str], id_col: str | None = None) -> DataFrame:
-    """The long-form facts aggregate: every row exploded to (col, i, d, s), one
-    scan, one hash aggregate keyed by column name (partial, then final)."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    cast = {"i": "bigint", "d": "double", "s": "string"}
-    entries = []
-    for c in cols:
-        g = type_group(types[c])
-        fields = [F.lit(c).alias("col")]
-        for h in ("i", "d", "s"):
-            fields.append((qcol(c).cast(cast[h]) if h == g else F.lit(None).cast(cast[h])).alias(h))
-        entries.append(F.struct(*fields))
-    base = [qcol(id_col).alias("__id")] if id_col else []
-    long = df.select(*base, F.explode(F.array(*entries)).alias("e")).select(*(["__id"] if id_col else []), "e.*")
-    nn = F.col("i").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull()
-    hs = F.when(F.col("s").isNotNull(), F.xxhash64("s"))
-    aggs = [F.count(F.lit(1)).alias("n"), F.count_if(nn).alias("nn"),
-            F.min("i").alias("imin"), F.max("i").alias("imax"), F.min("d").alias("dmin"), F.max("d").alias("dmax"),
-            F.min(hs).alias("hmin"), F.max(hs).alias("hmax")]
-    if id_col:
-        aggs.append(F.bit_xor(F.xxhash64(F.col("__id"), F.col("i"), F.col("d"), F.col("s"))).alias("fp"))
-    return long.groupBy("col").agg(*aggs)
-
-
 def candidate_cols(df: DataFrame, input_cols, exclude) -> list[str]:
     if input_cols:
         return present(input_cols, df.columns)
@@ -252,7 +235,7 @@ def pick_by_variance(df: DataFrame, groups: list[list[str]], variances: dict | N
         return []
     need = sorted({c for g in groups for c in g})
     if variances is None:
-        r = df.agg(*[F.var_samp(qcol(c).cast("double")).alias(f"v{k}") for k, c in enumerate(need)]).first()
+        r = chunked_aggregate(df, [(f"v{k}", F.var_samp(qcol(c).cast("double")), 3) for k, c in enumerate(need)])
         variances = {c: r[f"v{k}"] for k, c in enumerate(need)}
     drop = []
     for g in groups:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keelson.functions.exprs import NULL_LABEL, clip_expr, one_hot_name, qcol, to_double, to_label
-from keelson.functions.profile import frequency_table, numeric_profile
+from keelson.functions.profile import frequency_table, null_counts, numeric_profile
 from keelson.functions.quantile import exact_quantile
 from keelson.functions.topk import top_k_per_group
 from keelson.operators.base import StageEstimator, StageModel, StageTransformer, param, present
@@ -123,8 +123,8 @@ class DropAllNull(StageEstimator):
         cols = present(self.v("inputCols"), df.columns)
         drop = []
         if cols:
-            r = df.agg(*[F.count(qcol(c)).alias(f"c{i}") for i, c in enumerate(cols)]).first()
-            drop = [c for i, c in enumerate(cols) if r[f"c{i}"] == 0]
+            _, nn = null_counts(df, cols)
+            drop = [c for c in cols if nn[c] == 0]
         return DropAllNullModel(inputCols=cols, dropCols=drop)
 
 
@@ -158,9 +158,8 @@ class MissingIndicator(StageEstimator):
 def numeric_null_counts(df: DataFrame, cols: list[str]) -> dict:
     if not cols:
         return {}
-    r = df.agg(F.count(F.lit(1)).alias("__n"),
-               *[F.count(qcol(c)).alias(f"c{i}") for i, c in enumerate(cols)]).first()
-    return {c: r["__n"] - r[f"c{i}"] for i, c in enumerate(cols)}
+    n, nn = null_counts(df, cols)
+    return {c: n - nn[c] for c in cols}
 
 
 # --------------------------------------------------------------------------

@@ -1,7 +1,8 @@
 """Data validation as aggregates.
 
-Every data rule of a table is evaluated in one fused aggregate (plus one
-group-by for ID uniqueness) and returned as a violations DataFrame
+Every data rule of a table is evaluated in fused aggregates (codegen-sized
+column chunks, plus one group-by for ID uniqueness, run concurrently) and
+returned as a violations DataFrame
 ``(rule, column, n_violations)``; ``strict=True`` raises on the first violated
 rule in the reference order, with the reference's messages.  ``quarantine``
 returns the offending rows instead.
@@ -9,11 +10,14 @@ returns the offending rows instead.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keelson.functions.exprs import qcol
+from keelson.functions.profile import chunked_aggregate
 from keelson.spec import DatasetSpec
 
 VIOLATION_SCHEMA = "rule string, column string, n_violations bigint"
@@ -70,14 +74,9 @@ def violations(df: DataFrame, spec: DatasetSpec, is_train: bool = True, strict:
     membership and a non-null numeric target.
     """
     spark = df.sparkSession
-    meta = check_columns(df, spec, is_train)
+    rows = list(check_columns(df, spec, is_train))
     types = {f.name: f.dataType for f in df.schema.fields}
-    parts = []
     aggs = []
-    if spec.id in df.columns and check_unique_id:
-        dups = duplicate_ids(df, spec.id).agg(F.coalesce(F.sum(F.col("cnt") - 1), F.lit(0)).alias("n"))
-        parts.append(dups.select(F.lit("unique_id").alias("rule"), F.lit(spec.id).alias("column"),
-                                 F.col("n").cast("bigint").alias("n_violations")))
     for f in spec.non_nullable_features:
         if f in df.columns:
             aggs.append(("non_null", f, F.count_if(qcol(f).isNull())))
@@ -96,19 +95,25 @@ def violations(df: DataFrame, spec: DatasetSpec, is_train: bool = True, strict:
         bad = qcol(t).isNull() if isinstance(types[t], T.NumericType) else \
             (qcol(t).isNull() | qcol(t).try_cast("double").isNull())
         aggs.append(("target_numeric", spec.target, F.count_if(bad)))
-    if aggs:
-        row = df.agg(*[e.alias(f"a{i}") for i, (_, _, e) in enumerate(aggs)])
-        parts.append(row.select(F.explode(F.array(*[
-            F.struct(F.lit(r).alias("rule"), F.lit(c).alias("column"),
-                     F.col(f"a{i}").cast("bigint").alias("n_violations"))
-            for i, (r, c, _) in enumerate(aggs)])).alias("x")).select("x.*"))
-    out = _rows(spark, meta)
-    for p in parts:
-        out = out.unionByName(p)
-    out = out.where("n_violations > 0")
+
+    def rule_counts():
+        r = chunked_aggregate(df, [(f"a{i}", e, 1) for i, (_, _, e) in enumerate(aggs)])
+        return [(rule, c, int(r[f"a{i}"])) for i, (rule, c, _) in enumerate(aggs)]
+
+    def unique_id():
+        if spec.id not in df.columns or not check_unique_id:
+            return []
+        n = duplicate_ids(df, spec.id).agg(F.coalesce(F.sum(F.col("cnt") - 1), F.lit(0)).alias("n")).first()["n"]
+        return [("unique_id", spec.id, int(n))]
+
+    # the ID group-by and the fused rule aggregates run as concurrent jobs
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        f_unique, f_rules = pool.submit(unique_id), pool.submit(rule_counts)
+        rows += f_unique.result() + f_rules.result()
+    rows = [r for r in rows if r[2] > 0]
     if strict:
-        raise_first(out.collect())
-    return out
+        raise_first([dict(rule=r[0], column=r[1]) for r in rows])
+    return _rows(spark, rows)
 
 
 _ORDER = ["id_present", "unique_id", "target_present", "feature_present", "non_null", "numeric",

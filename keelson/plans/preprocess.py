@@ -3,18 +3,18 @@
 ``ml.Pipeline.fit`` would fit the 16 steps one after the other, each with its
 own pass over the data.  ``Preprocessor.fit`` instead runs:
 
-  J1+J2  one scan: every row exploded to (column, label, value); one hash
-         aggregate keyed by (column, label) yields the numeric moments (count,
-         mean, population std; the target too) and the categorical label
-         counts.  The latter are reduced to a per-column summary plus the few
-         labels that can matter (share >= tol, the mode, the tags).  The exact
-         median, if asked for, adds histogram rounds.
+  J1+J2  submitted together: numeric moments (count, mean, population
+         variance, extremes; the target too) as codegen-sized column chunks,
+         and the categorical label counts as one group-by on (column, label)
+         with map-side partial aggregation, reduced to a per-column summary
+         plus the few labels that can matter (share >= tol, the mode, the
+         tags).  The exact median, if asked for, adds histogram rounds.
   J3+J4  one scan over the transformed training rows: per column min / max /
          null count and a fingerprint -> constant and duplicate columns; and
          the co-moments (``covar_samp`` / ``var_samp``) of every numeric output
          after one-hot -> Pearson matrix and variances.  Fingerprint candidates
-         get one exact ``<=>`` check.  Very wide inputs fall back to a long
-         (unpivoted) facts job plus MLlib ``Correlation``.
+         get one exact ``<=>`` check.  Wider inputs use column-chunked facts
+         plus MLlib ``Correlation`` (BLAS Gram passes).
 
 Mean imputation followed by scaling needs no second pass: with c non-null
 values out of n, filled with m, the new mean and population variance follow
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import math
 from collections import OrderedDict
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
@@ -37,7 +38,7 @@ from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
 from keelson.functions.exprs import NULL_LABEL, qcol
-from keelson.functions.profile import joint_profile, split_joint
+from keelson.functions.profile import frequency_table, numeric_profile
 from keelson.functions.quantile import exact_quantile
 from keelson.operators.base import apply_stages, column_map, schema_types, select_map
 from keelson.operators.selection import (
@@ -140,9 +141,23 @@ class Preprocessor:
 
     # ------------------------------------------------------------------
     def fit(self, df: DataFrame) -> FittedPreprocess:
-        spec, cfg = self.spec, self.config
         if not isinstance(df, DataFrame):
             raise TypeError("train_data must be a Spark DataFrame")
+        # An input with fewer partitions than cores is small (each split is at most
+        # spark.sql.files.maxPartitionBytes): spread it once and keep it for the
+        # few fit jobs, so they do not each run as one task.  Large inputs are
+        # scanned as they are.
+        target = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < target:
+            spread = df.repartition(target).persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                return self._fit(spread)
+            finally:
+                spread.unpersist()
+        return self._fit(df)
+
+    def _fit(self, df: DataFrame) -> FittedPreprocess:
+        spec, cfg = self.spec, self.config
         pass_cols = [c for c in (spec.id, spec.target) if c in df.columns]
         num = [c for c in spec.numeric_features if c in df.columns]
         cat = [c for c in spec.categorical_features if c in df.columns]
@@ -153,22 +168,26 @@ class Preprocessor:
         raw_labels = TypeCaster(inputCols=spec.categorical_features, castType="string", nullsAsLabel=False)
         casted = select_map(df, apply_stages([select, cast_num, raw_labels], column_map(df), types))
 
-        # J1+J2 (one scan): numeric moments (+ target) and categorical label counts
+        # J1 + J2, submitted together: numeric moments (+ target) in codegen-sized
+        # column chunks, and the categorical label counts (one group-by on labels)
         target_numeric = spec.target in df.columns and isinstance(types[spec.target], T.NumericType)
         prof_cols = num + ([spec.target] if target_numeric else [])
-        agg, _ = joint_profile(casted, prof_cols, cat)
-        agg = agg.persist(StorageLevel.MEMORY_AND_DISK)
-        cat_counts, cat_summary = {}, {}
-        try:
-            prof, freq = split_joint(agg, prof_cols)
-            n = (prof[prof_cols[0]]["n"] if prof_cols[0] in prof else 0) if prof_cols else None
-            if n == 0:
-                raise ValueError("train_data cannot be empty")
-            if cat:
-                cat_summary, cat_counts = self._label_counts(freq, cat)
-                n = n if n is not None else next(iter(cat_summary.values()))["n"]
-        finally:
-            agg.unpersist()
+
+        def label_job():
+            if not cat:
+                return {}, {}
+            freq = frequency_table(casted, cat).persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                return self._label_counts(freq, cat)
+            finally:
+                freq.unpersist()
+
+        with ThreadPoolExecutor(max_workers=2) as pool:
+            num_future = pool.submit(numeric_profile, casted, prof_cols)
+            cat_future = pool.submit(label_job)
+            prof = num_future.result()
+            cat_summary, cat_counts = cat_future.result()
+        n = prof[prof_cols[0]]["n"] if prof_cols else (next(iter(cat_summary.values()))["n"] if cat_summary else 0)
         if not n:
             raise ValueError("train_data cannot be empty")
 
@@ -293,7 +312,7 @@ class Preprocessor:
             summary[r["col"]] = dict(n=r["n"], nulls=r["nulls"], distinct=r["distinct"],
                                      mode=r["mode"]["value"] if r["mode"] else None)
         if not summary:
-            raise ValueError("train_data cannot be empty")
+            return {}, {c: {} for c in cat}
         n = next(iter(summary.values()))["n"]
         few = [c for c in cat if summary[c]["distinct"] <= max(cfg.rare_n_categories, cfg.one_hot_max) + 3]
         tags = [NULL_LABEL, cfg.missing_fill, cfg.rare_replace]

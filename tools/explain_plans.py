@@ -16,10 +16,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pyspark.sql import functions as F  # noqa: E402
 
 from keelson import get_spark  # noqa: E402
-from keelson.functions.profile import joint_profile  # noqa: E402
+from keelson.functions.profile import frequency_table  # noqa: E402
 from keelson.functions.topk import top_k_per_group  # noqa: E402
-from keelson.operators.selection import column_facts_frame  # noqa: E402
-from keelson.operators.validate import violations  # noqa: E402
+
+from keelson.operators.validate import duplicate_ids  # noqa: E402
 from keelson.plans import catalog as C  # noqa: E402
 from keelson.plans.workflow import predict  # noqa: E402
 from keelson.sources.requests import parse_requests, score_requests  # noqa: E402
@@ -40,33 +40,45 @@ def main():
     spark.sparkContext.setLogLevel("ERROR")
     ev = C.events_frame(spark, sf)
     df, bundle = C._literal_bundle(spark, sf)
-    agg, _ = joint_profile(ev, ["value", "k", "target"], ["event_type", "parity"])
-    from keelson.functions.profile import frequency_table
+    moments = ev.agg(*[a for c in ("value", "k", "target") for a in
+                       (F.count(c), F.avg(c), F.var_pop(c), F.min(c), F.max(c))])
+    labels = frequency_table(ev, ["event_type", "parity"])
+    facts = ev.agg(F.count(F.lit(1)), *[a for c in ("value", "k") for a in
+                   (F.count(c), F.min(c), F.max(c), F.bit_xor(F.xxhash64("event_id", c)))],
+                   *[a for c in ("event_type", "parity") for a in
+                     (F.count(c), F.min(F.xxhash64(c)), F.max(F.xxhash64(c)), F.bit_xor(F.xxhash64("event_id", c)))])
     freq = frequency_table(C.table(spark, sf, "part"), ["p_brand", "p_type"])
     from keelson.session import scratch_dir
     docs_path = scratch_dir(spark, "plan-requests")
     C._requests(spark, sf).write.parquet(docs_path)   # the request documents, as they would arrive
     docs = spark.read.parquet(docs_path)
+    li = C.table(spark, sf, "lineitem")
     sections = [
         ("Scoring (score_batch): preprocessing + model + target inverse as one projection",
          "One WholeStageCodegen stage over the scan; ReadSchema holds only the 4 source columns used; "
          "no Exchange, no Python.", predict(bundle, df, C.events_spec()), "formatted"),
-        ("Fit J1+J2: numeric moments and label counts in one scan",
-         "Generate (explode) feeds a partial HashAggregate keyed by (col, value) before the Exchange: a hot "
-         "label is one row per task in the shuffle.", agg, "formatted"),
-        ("Fit J3 (wide inputs): column facts, long form",
-         "Expand (unpivot) + partial aggregate keyed by column name: a handful of rows per task are shuffled "
-         "whatever the width.", column_facts_frame(ev, ["value", "k", "event_type", "parity"], "event_id"),
-         "simple"),
+        ("Fit J1: numeric moments, one codegen-sized column chunk",
+         "A global aggregate with a buffer under spark.sql.codegen.maxFields: partial aggregation inside "
+         "one WholeStageCodegen stage per task, one row per task through the exchange.", moments, "formatted"),
+        ("Fit J2: label counts",
+         "Generate (explode to (column index, label)) feeds a partial HashAggregate keyed by (index, label) "
+         "before the Exchange: a hot label is one row per task in the shuffle.", labels, "formatted"),
+        ("Fit J3: column facts chunk (counts, extremes, fingerprints)",
+         "Strings enter min/max only through xxhash64, so the buffer is fixed-width: HashAggregate with "
+         "codegen, no sort aggregate.", facts, "formatted"),
         ("One-hot fit: salted top-k per column",
          "Two windows: the first partitioned by (column, hash bucket) so no task sorts a whole column; the "
          "second only sees <= buckets x k rows per column.",
          top_k_per_group(freq.where(F.col("value").isNotNull()), ["col"], [F.desc("cnt"), F.asc("value")], 10,
                          salt_cols=["value"]), "formatted"),
-        ("Validation: fused rules + duplicate-ID group-by",
-         "The ID group-by aggregates map-side (partial_count) before its Exchange; the other rules are one "
-         "global aggregate over a pruned scan.",
-         violations(C.table(spark, sf, "lineitem"), C._lineitem_spec(), True), "formatted"),
+        ("Validation: duplicate-ID group-by",
+         "The ID group-by aggregates map-side (partial_count) before its Exchange, so a hot ID is one row per "
+         "task; only the ID column is read.",
+         duplicate_ids(li, "l_orderkey").agg(F.sum(F.col("cnt") - 1)), "formatted"),
+        ("Validation: fused rules (one chunk), run concurrently with the group-by",
+         "count_if per rule in one global aggregate over the pruned scan.",
+         li.agg(*[F.count_if(F.col(c).isNull()) for c in ("l_quantity", "l_extendedprice", "l_returnflag")]),
+         "formatted"),
         ("Request scoring (batch or stream): one stateless projection per request row",
          "from_json + higher-order functions (exists / filter / transform) over the instances array; no "
          "Generate, no Exchange, no state.",
