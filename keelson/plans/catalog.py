@@ -65,8 +65,8 @@ EV_SQL = f"""ev AS (
          CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k,
          CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k_copy,
          1.0::DOUBLE AS one,
-         CASE WHEN (CASE WHEN event_id % 29 = 0 THEN NULL ELSE event_type END) = 'click' THEN 1.0 ELSE 0.0 END
-           + (event_id % 7) * 0.001 AS click_score,
+         CAST(CASE WHEN (CASE WHEN event_id % 29 = 0 THEN NULL ELSE event_type END) = 'click' THEN 1.0 ELSE 0.0 END
+           + (event_id % 7) * 0.001 AS DOUBLE) AS click_score,
          CASE WHEN event_id % 29 = 0 THEN NULL ELSE event_type END AS event_type,
          CASE WHEN event_id % 200 = 0 THEN 'zz' WHEN event_id % 2 = 0 THEN 'even' ELSE 'odd' END AS parity,
          3.0 * CAST(json_extract_string(props, '$.k') AS DOUBLE) - 0.5 * value
