@@ -655,6 +655,43 @@ def q_preprocess_fit_transform(spark, sf_dir):
     return r6(fused_transform(fp.pipeline, df).drop("target"))
 
 
+WIDE_FEATURES = 200  # the reference's stated maximum width
+
+
+def wide_orders_frame(spark: SparkSession, sf_dir: str, width: int = WIDE_FEATURES):
+    """``orders`` widened to ``width`` numeric features (hash noise mixed with the
+    order price; every other feature has ~5% rule-made nulls) plus two
+    categoricals; target = price / 1000."""
+    o = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    price = F.col("o_totalprice") / F.lit(1e5)
+    feats, spec_feats = [], []
+    for j in range(width):
+        noise = F.pmod(F.xxhash64(key, F.lit(j)), F.lit(10007)).cast("double") / F.lit(10007.0)
+        x = noise * F.lit(1.0 + j % 5) + price * F.lit(float(j % 3 - 1))
+        if j % 2 == 0:
+            x = F.when(F.pmod(F.xxhash64(key, F.lit(j), F.lit("null")), F.lit(100)) < 5, F.lit(None)).otherwise(x)
+        feats.append(x.alias(f"f{j:03d}"))
+        spec_feats.append(Feature(f"f{j:03d}", "NUMERIC", j % 2 == 0, example=0.5))
+    spec_feats += [Feature("o_orderstatus", "CATEGORICAL", False, ("F", "O", "P")),
+                   Feature("o_orderpriority", "CATEGORICAL", False, ("1-URGENT", "2-HIGH", "3-MEDIUM",
+                                                                     "4-NOT SPECIFIED", "5-LOW"))]
+    df = o.select(key, *feats, "o_orderstatus", "o_orderpriority",
+                  (F.col("o_totalprice") / F.lit(1000.0)).alias("target"))
+    return df, DatasetSpec("o_orderkey", "target", tuple(spec_feats), id_type=T.LongType())
+
+
+@check("preprocess_wide", None)
+def q_preprocess_wide(spark, sf_dir):
+    """A15 at the reference's maximum width: 200 numeric + 2 categorical features
+    over every order (rows-only here; the narrow flagship has the exact oracle,
+    and pytest checks the chunked statistics against pandas)."""
+    from keelson.plans.preprocess import Preprocessor, fused_transform
+    df, spec = wide_orders_frame(spark, sf_dir)
+    fp = Preprocessor(spec).fit(df)
+    return r6(fused_transform(fp.pipeline, df).drop("target"))
+
+
 # ----------------------------------------------------------------------------
 # 2.6 model operators
 @check("huber_fit", None)

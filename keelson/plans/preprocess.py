@@ -256,7 +256,7 @@ class Preprocessor:
 
         # A12: correlation among numeric outputs after one-hot
         stages += [const_model, dup_model, ohe]
-        after_cols = apply_stages(stages, column_map(df), types)
+        after_cols = apply_stages([const_model, dup_model, ohe], mid_cols, types)  # reuse the built map
         numeric_out = [c for c in after_cols if c not in pass_cols and c not in cat]
         corr_groups, corr_drop = [], []
         if len(numeric_out) >= 2:
