@@ -67,3 +67,41 @@ def clip_expr(c: Column, lower: float | None, upper: float | None) -> Column:
 
 def one_hot_name(col: str, category: str) -> str:
     return f"{col}_{category}"
+
+
+def format_fixed(c: Column, decimals: int = 4) -> Column:
+    """Text of a double with ``decimals`` decimals, rounded like C / Python
+    ``'%.{n}f'``: from the exact binary value, ties (exactly representable
+    halves) to even.  Spark's ``format_string`` rounds the shortest decimal
+    form half-up instead (2.15625 -> '2.1563' where Python writes '2.1562').
+
+    x * 10^n is split into p + e exactly (Dekker's product with Veltkamp
+    splitting, plain double arithmetic), which decides the rare cases where p
+    lands on a .5 boundary.  Values with |x| * 10^n >= 2^52, NaN and infinities
+    use ``format_string``.
+    """
+    scale = float(10 ** decimals)
+    x = (F.col(c) if isinstance(c, str) else c).cast("double")
+    a = F.abs(x)
+    p = a * F.lit(scale)
+    split = F.lit(134217729.0) * a            # 2^27 + 1
+    ah = split - (split - a)
+    al = a - ah
+    err = (ah * F.lit(scale) - p) + al * F.lit(scale)   # exact: a * scale = p + err
+    fl = F.floor(p).cast("double")
+    frac = p - fl
+    up = F.when(frac > 0.5, True).when(frac < 0.5, False) \
+        .when(err > 0, True).when(err < 0, False) \
+        .otherwise(F.pmod(fl, F.lit(2.0)) == 1.0)          # exact tie: to even
+    units = (fl + F.when(up, F.lit(1.0)).otherwise(F.lit(0.0))).cast("bigint")
+    u = units.cast("string")
+    digits = F.when(F.length(u) <= decimals, F.lpad(u, decimals + 1, "0")).otherwise(u)  # lpad would truncate
+    int_len = F.length(digits) - F.lit(decimals)
+    int_txt = digits.substr(F.lit(1), int_len)
+    frac_txt = digits.substr(int_len + F.lit(1), F.lit(decimals))
+    # C keeps the sign of negatives that round to zero, and of -0.0
+    sign = F.when(x.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    exact = F.concat(sign, int_txt, F.lit("."), frac_txt) if decimals > 0 else F.concat(sign, int_txt)
+    ok = x.isNotNull() & ~F.isnan(x) & (a * F.lit(scale) < F.lit(4503599627370496.0))
+    return F.when(x.isNull(), F.lit(None).cast("string")) \
+        .when(ok, exact).otherwise(F.format_string(f"%.{decimals}f", x))

@@ -128,14 +128,17 @@ def q_src_csv(spark, sf_dir):
 
 
 @check("sink_csv", """WITH """ + EV_SQL + """
-SELECT event_id, printf('%.4f', value) AS value, printf('%.4f', k / 16.0) AS k16, event_type FROM ev""")
+SELECT event_id, printf('%.4f', value) AS value, printf('%.4f', k / 16.0) AS k16,
+       printf('%.4f', k / 32.0) AS k32, printf('%.4f', value / 7.0) AS v7, event_type FROM ev""")
 def q_sink_csv(spark, sf_dir):
     from keelson.session import scratch_dir
     from keelson.sources.files import sink_csv
     path = scratch_dir(spark, "sink_csv")
-    sink_csv(events_frame(spark, sf_dir).select("event_id", "value", (F.col("k") / 16.0).alias("k16"), "event_type"),
-             path)
-    schema = "event_id bigint, value string, k16 string, event_type string"
+    # k / 32 has exact binary ties at the 5th decimal: rounded to even, as '%.4f' does
+    sink_csv(events_frame(spark, sf_dir).select("event_id", "value", (F.col("k") / 16.0).alias("k16"),
+                                                (F.col("k") / 32.0).alias("k32"), (F.col("value") / 7.0).alias("v7"),
+                                                "event_type"), path)
+    schema = "event_id bigint, value string, k16 string, k32 string, v7 string, event_type string"
     return spark.read.option("header", True).schema(schema).csv(path)
 
 

@@ -3,7 +3,8 @@
 ``src_csv`` reads a directory with the dataset spec as schema.  The reference
 insists on exactly one ``.csv`` file in the directory; Spark tables are
 normally split into many part files, so that strictness is an opt-in flag.
-``sink_csv`` writes doubles with 4 decimals.
+``sink_csv`` writes doubles with 4 decimals, rounded exactly as the
+reference's ``'%.4f'`` (C rounding of the binary value, not Java's).
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keelson.functions.exprs import qcol
+from keelson.functions.exprs import format_fixed, qcol
 from keelson.spec import DatasetSpec
 
 
@@ -69,12 +70,13 @@ def _csv_schema(spark, path, spec: DatasetSpec, is_train: bool, numeric_as_strin
 
 
 def format_decimals(df: DataFrame, decimals: int = 4) -> DataFrame:
-    """Doubles as text with a fixed number of decimals (NULL stays empty)."""
+    """Doubles as text with a fixed number of decimals, rounded as C / Python
+    ``'%.4f'`` round (exact binary value, ties to even); NULL and NaN stay empty."""
     out = []
     for f in df.schema.fields:
         c = qcol(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append(F.when(c.isNotNull() & ~F.isnan(c), F.format_string(f"%.{decimals}f", c)).alias(f.name))
+            out.append(F.when(c.isNotNull() & ~F.isnan(c), format_fixed(c, decimals)).alias(f.name))
         else:
             out.append(c)
     return df.select(*out)
