@@ -85,11 +85,16 @@ def narrowed_space(space: list[dict], best: list[dict]) -> list[dict]:
 
 def tune(spark: SparkSession, train: DataFrame, valid: DataFrame, feature_cols: list[str], label: str,
          space: list[dict] | None = None, num_trials: int = DEFAULT_TRIALS, seed: int = 5,
-         parallelism: int = 4, is_minimize: bool = False, max_iter: int = 100,
+         parallelism: int | None = None, is_minimize: bool = False, max_iter: int = 100,
          refine_trials: int = 0, refine_top: int = 3) -> TuneResult:
     """``refine_trials`` > 0 adds a second round sampled inside the span of the
-    ``refine_top`` best first-round trials."""
+    ``refine_top`` best first-round trials.  ``parallelism`` (concurrent fits)
+    defaults to min(trials, cores, 16): a fit alternates short distributed
+    passes with driver-side L-BFGS steps, so concurrent fits keep the cluster
+    busy; results do not depend on it."""
     space = space or DEFAULT_SPACE
+    if parallelism is None:
+        parallelism = max(1, min(num_trials, spark.sparkContext.defaultParallelism, 16))
     assert num_trials >= 2, "Hyperparameter Tuning needs at least 2 trials"
     tr = spread(assemble(train.withColumn("__label", qcol(label).cast("double")), feature_cols, keep=["__label"]),
                 share=parallelism).persist(StorageLevel.MEMORY_AND_DISK)

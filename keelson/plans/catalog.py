@@ -784,8 +784,7 @@ def q_tune(spark, sf_dir):
     from keelson.plans.preprocess import Preprocessor
     fp = Preprocessor(events_spec()).fit(tr_raw)
     # the reference's search: 20 trials over alpha (log-uniform) and epsilon (uniform)
-    res = tune(spark, scaled(fp, tr_raw), scaled(fp, va_raw), fp.feature_cols, "target", num_trials=20,
-               parallelism=4)
+    res = tune(spark, scaled(fp, tr_raw), scaled(fp, va_raw), fp.feature_cols, "target", num_trials=20)
     return res.trials
 
 
