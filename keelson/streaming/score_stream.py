@@ -26,10 +26,14 @@ def stream_request_id() -> Column:
 def score_stream(spark: SparkSession, source_dir: str, spec: DatasetSpec, bundle: PipelineModel,
                  sink_dir: str, checkpoint_dir: str, available_now: bool = True,
                  processing_time: str | None = None, sink_format: str = "json",
-                 id_separator: str | None = None) -> StreamingQuery:
+                 id_separator: str | None = None, max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Start the stream.  Lines are request documents; with ``id_separator``
-    (e.g. a tab) a line is ``<requestId><sep><document>``."""
-    lines = spark.readStream.format("text").load(source_dir)
+    (e.g. a tab) a line is ``<requestId><sep><document>``.  ``max_files_per_trigger``
+    bounds the size of a micro-batch (also under ``availableNow``)."""
+    reader = spark.readStream.format("text")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
+    lines = reader.load(source_dir)
     if id_separator:
         parts = F.split(F.col("value"), id_separator, 2)
         lines = lines.select(parts[1].alias("value"), parts[0].alias("rid"))

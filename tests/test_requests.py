@@ -103,3 +103,16 @@ def test_stream_restart_processes_only_new_files(spark, tmp_dir):
     score_stream(spark, src, SPEC, bundle(spark), out, ck, id_separator="\t").awaitTermination()
     ids = sorted(r.requestId for r in spark.read.json(out).collect())
     assert ids == ["r1", "r2", "r3"]
+
+
+def test_stream_in_bounded_micro_batches(spark, tmp_dir):
+    src, out, ck = (os.path.join(tmp_dir, d) for d in ("in", "out", "ck"))
+    os.makedirs(src)
+    good = json.dumps(REQUESTS["good"])
+    for k in range(3):
+        with open(os.path.join(src, f"f{k}.txt"), "w") as fh:
+            fh.write(f"r{k}\t{good}\n")
+    q = score_stream(spark, src, SPEC, bundle(spark), out, ck, id_separator="\t", max_files_per_trigger=1)
+    q.awaitTermination()
+    assert q.lastProgress is not None and len(q.recentProgress) >= 3
+    assert sorted(r.requestId for r in spark.read.json(out).collect()) == ["r0", "r1", "r2"]
