@@ -321,7 +321,7 @@ REQ_SQL = f"""req AS (
          min(CASE WHEN event_id % 41 = 0 THEN 'bogus' END) AS first_bogus
   FROM events GROUP BY 1)"""
 
-_SHAPE_MSG = f"""CASE WHEN r % 37 = 0 THEN 'Invalid request: body is not JSON or a value has the wrong type'
+_SHAPE_MSG = f"""CASE WHEN r % 37 = 0 THEN 'Invalid request: body is not JSON'
             WHEN r % 31 = 0 THEN 'instances: ensure this value has at least 1 items'
             WHEN r % 13 = 0 THEN 'instances: field required: k'"""
 

@@ -19,16 +19,19 @@ from pyspark.sql import types as T
 from keelson.operators.base import apply_stages
 from keelson.spec import NUMERIC, DatasetSpec
 
-CORRUPT = "_corrupt"
 # Response fields and texts.
 STATUS_OK = "success"
 STATUS_ERROR = "error"
 PREDICTION_DECIMALS = 5
+MSG_NOT_JSON = "Invalid request: body is not JSON"
+MSG_NO_INSTANCES = "instances: field required"
+MSG_NOT_LIST = "instances: value is not a valid list of objects"
+MSG_EMPTY = "instances: ensure this value has at least 1 items"
 
 
 def request_schema(spec: DatasetSpec) -> T.StructType:
-    s = spec.request_struct()
-    return T.StructType(s.fields + [T.StructField(CORRUPT, T.StringType(), True)])
+    """Typed schema of a request document (for writers and documentation)."""
+    return spec.request_struct()
 
 
 def new_request_id() -> Column:
@@ -36,17 +39,32 @@ def new_request_id() -> Column:
     return F.substring(F.regexp_replace(F.uuid(), "-", ""), 1, 10)
 
 
+def _typed_instance(spec: DatasetSpec):
+    """One instance map -> typed struct.  Values arrive as JSON text, so numbers
+    written as strings ("1.5") are accepted and strings take numbers as their
+    text, as the reference's request model coerces them."""
+    def build(m):
+        fields = [m[spec.id].alias(spec.id)]
+        for f in spec.features:
+            v = m[f.name]
+            fields.append((v.try_cast("double") if f.kind == NUMERIC else v).alias(f.name))
+        return F.struct(*fields)
+    return build
+
+
 def parse_requests(df: DataFrame, spec: DatasetSpec, value_col: str = "value",
                    request_id: Column | str | None = None) -> DataFrame:
-    """(requestId, value) -> + ``req`` (parsed struct) and ``keys`` (instances as
-    string maps, to tell a missing key from an explicit null)."""
+    """(requestId, value) -> + ``keys`` (instances as string maps: tells a missing
+    key from an explicit null, keeps values as text) and ``req.instances`` (typed)."""
     rid = F.col(request_id) if isinstance(request_id, str) else (request_id if request_id is not None
                                                                   else new_request_id())
-    opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    keys = F.from_json(F.col(value_col), "instances array<map<string,string>>")
     return df.select(
         rid.cast("string").alias("requestId"), F.col(value_col).alias("value"),
-        F.from_json(F.col(value_col), request_schema(spec), opts).alias("req"),
-        F.from_json(F.col(value_col), "instances array<map<string,string>>").alias("keys"))
+        F.get_json_object(F.col(value_col), "$").isNotNull().alias("is_json"),
+        F.get_json_object(F.col(value_col), "$.instances").isNotNull().alias("has_instances"),
+        keys.alias("keys"),
+        F.struct(F.transform(keys["instances"], _typed_instance(spec)).alias("instances")).alias("req"))
 
 
 # Lambda factories: Spark counts a Python lambda's parameters, so closures
@@ -55,6 +73,10 @@ def _lacks(key: str):
     return lambda m: ~F.map_contains_key(m, F.lit(key))
 
 
+def _not_number(key: str):
+    return lambda m: m[key].isNotNull() & m[key].try_cast("double").isNull()
+
+
 def _is_null(field: str):
     return lambda i: i[field].isNull()
 
@@ -63,25 +85,26 @@ def _not_in(field: str, cats: list):
     return lambda i: i[field].isNotNull() & ~i[field].isin(cats)
 
 
-def _missing_key(spec: DatasetSpec) -> Column:
-    """Name of the first required key absent from some instance (or NULL)."""
-    names = [spec.id] + spec.feature_names
-    checks = [F.when(F.exists(F.col("keys.instances"), _lacks(k)), F.lit(k)) for k in names]
-    return F.coalesce(*checks)
+def _first_key(spec_keys: list, pred) -> Column:
+    """Name of the first key for which some instance map satisfies ``pred(key)``."""
+    return F.coalesce(*[F.when(F.exists(F.col("keys.instances"), pred(k)), F.lit(k)) for k in spec_keys])
 
 
 def request_checks(spec: DatasetSpec) -> tuple[Column, Column]:
     """(ok, message) for a parsed request row, rules in the reference's order:
-    shape (instances present, a list, non-empty, all keys, right types), then
-    non-nullable features, then categories; plus unique IDs within a request."""
+    shape (JSON, instances present, a list of objects, non-empty, all keys,
+    numbers where numeric), then non-nullable features, then categories; plus
+    unique IDs within a request."""
     inst = F.col("req.instances")
-    missing = _missing_key(spec)
+    missing = _first_key([spec.id] + spec.feature_names, _lacks)
+    not_number = _first_key(spec.numeric_features, _not_number) if spec.numeric_features else F.lit(None)
     rules: list[tuple[Column, Column]] = [
-        (F.col("req").isNull() | F.col(f"req.{CORRUPT}").isNotNull(),
-         F.lit("Invalid request: body is not JSON or a value has the wrong type")),
-        (inst.isNull(), F.lit("instances: field required")),
-        (F.size(inst) < 1, F.lit("instances: ensure this value has at least 1 items")),
+        (~F.col("is_json"), F.lit(MSG_NOT_JSON)),
+        (~F.col("has_instances"), F.lit(MSG_NO_INSTANCES)),
+        (F.col("keys.instances").isNull(), F.lit(MSG_NOT_LIST)),
+        (F.size(inst) < 1, F.lit(MSG_EMPTY)),
         (missing.isNotNull(), F.concat(F.lit("instances: field required: "), missing)),
+        (not_number.isNotNull(), F.concat(F.lit("instances: value is not a valid float: "), not_number)),
     ]
     for f in spec.non_nullable_features:
         rules.append((F.exists(inst, _is_null(f)),

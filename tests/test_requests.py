@@ -25,6 +25,8 @@ REQUESTS = {
     "noinst": {"rows": [{"id": "f"}]},
     "wrongtype": {"instances": [{"id": "g", "number": "abc", "color": "Red"}]},
     "dupid": {"instances": [{"id": "h", "number": 1.0, "color": "Red"}, {"id": "h", "number": 2.0, "color": "Red"}]},
+    "notlist": {"instances": {"id": "i"}},
+    "coerced": {"instances": [{"id": 42, "number": "1.0", "color": "Red"}]},
 }
 
 
@@ -50,10 +52,17 @@ def test_request_statuses_and_predictions(spark):
     preds = {p.sampleId: p.prediction for p in out["good"].predictions}
     assert preds == {"a": 2.0 + 10.0 + 1.0, "b": 2.0 * 3.0 + 20.0 + 1.0}  # b: number imputed with mean 3
     assert out["nulls"].predictions[0].prediction == 7.0
-    for bad in ("unknown", "empty", "nokey", "noinst", "wrongtype", "dupid", "notjson"):
+    for bad in ("unknown", "empty", "nokey", "noinst", "wrongtype", "dupid", "notjson", "notlist"):
         assert out[bad].status == "error" and out[bad].predictions is None, bad
     assert "Purple" in out["unknown"].message
     assert out["nokey"].message.endswith("number")
+    assert out["wrongtype"].message.endswith("not a valid float: number")
+    assert out["notjson"].message == "Invalid request: body is not JSON"
+    assert out["noinst"].message == "instances: field required"
+    assert out["notlist"].message == "instances: value is not a valid list of objects"
+    # numbers given as text and numeric IDs are coerced, as the reference's request model does
+    assert out["coerced"].status == "success"
+    assert [(p.sampleId, p.prediction) for p in out["coerced"].predictions] == [("42", 13.0)]
     assert out["good"].targetDescription == "Target variable"
 
 
