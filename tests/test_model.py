@@ -4,7 +4,7 @@ robustness to outliers, persistence, R^2, tuning."""
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+
 
 from keelson.operators.model import HuberPredictorModel, evaluate, huber_fit, load_model, r2_score, save_model
 from keelson.operators.tune import sample_params, tune

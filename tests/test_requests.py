@@ -4,7 +4,7 @@ import json
 import os
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import functions as F
+
 
 from keelson.operators.model import HuberPredictorModel
 from keelson.operators.stages import MeanMedianImputer, OneHotEncoder

@@ -1,7 +1,7 @@
 """Scale properties: results independent of partitioning; plans without
 shuffles or Python where none is needed; projections pruned at the scan."""
 
-from pyspark.sql import functions as F
+
 
 from conftest import SF_SMALL
 from keelson.plans import catalog as C

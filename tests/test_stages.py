@@ -1,7 +1,7 @@
 """Single-operator frames (literal input -> literal output), after the reference's unit tests."""
 
 import pytest
-from pyspark.sql import Row
+
 from pyspark.sql import functions as F
 
 from keelson.operators.stages import (
