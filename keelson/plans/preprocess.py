@@ -72,6 +72,9 @@ from keelson.operators.stages import (
 from keelson.spec import DatasetSpec
 
 
+SPREAD_MAX_COLUMNS = 64
+
+
 @dataclass
 class PreprocessConfig:
     """Pipeline parameters.  Defaults: the reference's configuration, with its
@@ -146,9 +149,11 @@ class Preprocessor:
         # An input with fewer partitions than cores is small (each split is at most
         # spark.sql.files.maxPartitionBytes): spread it once and keep it for the
         # few fit jobs, so they do not each run as one task.  Large inputs are
-        # scanned as they are.
+        # scanned as they are; wide inputs too (their many column-chunk jobs run
+        # concurrently anyway, and a columnar cache of hundreds of columns costs
+        # heap outside Spark's memory accounting).
         target = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < target:
+        if len(df.columns) <= SPREAD_MAX_COLUMNS and df.rdd.getNumPartitions() < target:
             spread = df.repartition(target).persist(StorageLevel.MEMORY_AND_DISK)
             try:
                 return self._fit(spread)
