@@ -41,6 +41,7 @@ from keelson.functions.exprs import NULL_LABEL, qcol
 from keelson.functions.profile import frequency_table, numeric_profile
 from keelson.functions.quantile import exact_quantile
 from keelson.operators.base import apply_stages, column_map, schema_types, select_map
+from keelson.operators.model import spread
 from keelson.operators.selection import (
     DropColumnsModel,
     column_facts,
@@ -272,7 +273,10 @@ class Preprocessor:
                 corr_drop = pick_by_variance(None, corr_groups, variances)
             else:
                 after = select_map(df, after_cols)
-                corr_groups = correlated_groups(numeric_out, correlation_matrix(after, numeric_out),
+                # the Gram pass is one job: give it one partition per core when the
+                # input has fewer (a no-op on large inputs)
+                corr_groups = correlated_groups(numeric_out, correlation_matrix(select_map(spread(df), after_cols),
+                                                                                numeric_out),
                                                 cfg.corr_threshold)
                 corr_drop = pick_by_variance(after, corr_groups)
         corr_model = DropColumnsModel(dropCols=corr_drop, groups=corr_groups)
