@@ -24,6 +24,11 @@ from keelson.functions.exprs import qcol
 from keelson.functions.profile import chunked_aggregate, frequency_table
 from keelson.operators.base import StageEstimator, StageModel, param, present
 
+# Library messages the reference surfaces.
+ALL_CONSTANT_MESSAGE = ("The resulting dataframe will have no columns after dropping all constant or "
+                        "quasi-constant features. Try changing the tol value.")
+MISSING_VALUES_MESSAGE = "Some of the variables contain missing values"
+
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)
 _FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -116,20 +121,19 @@ class DropConstant(StageEstimator):
         if cols and tol >= 1:
             facts = column_facts(df, cols)
             if mv == "raise" and any(facts[c]["nn"] < facts[c]["n"] for c in cols):
-                raise ValueError("Some of the variables contain missing values")
+                raise ValueError(MISSING_VALUES_MESSAGE)
             drop = [c for c in cols if constant_from_facts(facts[c], mv)]
         elif cols:
             freq = frequency_table(df, cols)
             if mv == "raise" and freq.where(F.col("value").isNull()).limit(1).count():
-                raise ValueError("Some of the variables contain missing values")
+                raise ValueError(MISSING_VALUES_MESSAGE)
             if mv == "ignore":
                 freq = freq.where(F.col("value").isNotNull())
             rows = freq.groupBy("col").agg((F.max("cnt") / F.sum("cnt")).alias("share")).collect()
             share = {r["col"]: r["share"] for r in rows}
             drop = [c for c in cols if share.get(c) is not None and share[c] >= tol]
         if cols and len(drop) == len(cols):
-            raise ValueError("The resulting dataframe will have no columns after dropping all "
-                             "constant or quasi-constant features. Try changing the tol value.")
+            raise ValueError(ALL_CONSTANT_MESSAGE)
         return DropColumnsModel(dropCols=drop)
 
 
@@ -186,7 +190,7 @@ class DropDuplicate(StageEstimator):
         facts = column_facts(df, cols, id_col)
         nulls = [c for c in cols if facts[c]["nn"] < facts[c]["n"]]
         if nulls:
-            raise ValueError(f"Some of the variables contain missing values: {nulls}")
+            raise ValueError(f"{MISSING_VALUES_MESSAGE}: {nulls}")
         groups = duplicate_groups(df, cols, facts)
         return DropColumnsModel(dropCols=[c for g in groups for c in g[1:]], groups=groups)
 

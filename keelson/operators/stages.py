@@ -24,6 +24,10 @@ from keelson.operators.base import StageEstimator, StageModel, StageTransformer,
 MISSING_TAG = "missing"
 RARE_LABEL = "Rare"
 ALL_NULL_MESSAGE = "All features in the input dataframe are NaN. Dropping all yields empty dataframe"
+ONE_HOT_MISSING_MESSAGE = ("Fitted one-hot-encoded column {c} does not exist in dataframe given for "
+                           "transformation. This will result in a shape mismatch for train/prediction job.")
+TARGET_MISSING_MESSAGE = ("Target field not present in data. Expecting target field: {t}. "
+                          "Cannot encode target.")
 
 
 # --------------------------------------------------------------------------
@@ -266,8 +270,7 @@ class TargetScaler(StageEstimator):
     def _fit(self, df):
         t = self.v("targetCol")
         if t not in df.columns:
-            raise ValueError(f"Target field not present in data. Expecting target field: {t}. "
-                             "Cannot encode target.")
+            raise ValueError(TARGET_MISSING_MESSAGE.format(t=t))
         return StandardScaler(inputCols=[t]).fit(df)
 
 
@@ -403,9 +406,7 @@ class OneHotModel(StageModel):
             return cols
         for c in enc:
             if c not in cols:
-                raise ValueError(f"Fitted one-hot-encoded column {c} does not exist in dataframe given "
-                                 "for transformation. This will result in a shape mismatch for "
-                                 "train/prediction job.")
+                raise ValueError(ONE_HOT_MISSING_MESSAGE.format(c=c))
         out = OrderedDict(cols)
         for c, cats in zip(enc, self.v("categories")):
             for k in cats:

@@ -43,6 +43,8 @@ from keelson.functions.quantile import exact_quantile
 from keelson.operators.base import apply_stages, column_map, schema_types, select_map
 from keelson.operators.model import spread
 from keelson.operators.selection import (
+    ALL_CONSTANT_MESSAGE,
+    MISSING_VALUES_MESSAGE,
     DropColumnsModel,
     column_facts,
     constant_from_facts,
@@ -396,10 +398,9 @@ class Preprocessor:
             drop_const = DropConstant(inputCols=cols, tol=cfg.constant_tol,
                                       missingValues=cfg.constant_missing).fit(mid).v("dropCols")
         if len(drop_const) == len(cols):
-            raise ValueError("The resulting dataframe will have no columns after dropping all "
-                             "constant or quasi-constant features. Try changing the tol value.")
+            raise ValueError(ALL_CONSTANT_MESSAGE)
         rest = [c for c in cols if c not in drop_const]
         nulls = [c for c in rest if facts[c]["nn"] < facts[c]["n"]]
         if nulls:
-            raise ValueError(f"Some of the variables contain missing values: {nulls}")
+            raise ValueError(f"{MISSING_VALUES_MESSAGE}: {nulls}")
         return drop_const, duplicate_groups(mid, rest, facts)

@@ -27,6 +27,9 @@ MSG_NOT_JSON = "Invalid request: body is not JSON"
 MSG_NO_INSTANCES = "instances: field required"
 MSG_NOT_LIST = "instances: value is not a valid list of objects"
 MSG_EMPTY = "instances: ensure this value has at least 1 items"
+MSG_NON_NULLABLE = "Feature `{f}` is non-nullable. Given null value is not allowed."
+MSG_CATEGORY = "' not allowed for '{f}'.Allowed values: {cats}"
+MSG_DUPLICATE_ID = "Data validation failed: ID field '{id}' does not contain unique values"
 
 
 def request_schema(spec: DatasetSpec) -> T.StructType:
@@ -108,17 +111,17 @@ def request_checks(spec: DatasetSpec) -> tuple[Column, Column]:
     ]
     for f in spec.non_nullable_features:
         rules.append((F.exists(inst, _is_null(f)),
-                      F.lit(f"Feature `{f}` is non-nullable. Given null value is not allowed.")))
+                      F.lit(MSG_NON_NULLABLE.format(f=f))))
     for f in spec.categorical_features:
         cats = spec.categories(f)
         if not cats:
             continue
         bad = F.filter(inst, _not_in(f, cats))
         rules.append((F.size(bad) > 0,
-                      F.concat(F.lit("Value '"), bad[0][f], F.lit(f"' not allowed for '{f}'.Allowed values: {cats}"))))
+                      F.concat(F.lit("Value '"), bad[0][f], F.lit(MSG_CATEGORY.format(f=f, cats=cats)))))
     ids = F.transform(inst, lambda i: i[spec.id])
     rules.append((F.size(F.array_distinct(ids)) < F.size(ids),
-                  F.lit(f"Data validation failed: ID field '{spec.id}' does not contain unique values")))
+                  F.lit(MSG_DUPLICATE_ID.format(id=spec.id))))
     message = None
     for cond, msg in rules:
         message = F.when(cond, msg) if message is None else message.when(cond, msg)
