@@ -17,6 +17,7 @@ from keelson.functions.hashing import hash_uniform, hash_uniform_sql
 from keelson.spec import DatasetSpec, Feature
 
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+STREAM_TIMEOUT_S = 900
 
 
 # ----------------------------------------------------------------------------
@@ -826,7 +827,9 @@ def q_score_stream(spark, sf_dir):
     docs.select(F.concat_ws("\t", "requestId", "value").alias("value")).write.text(src)
     sink, ckpt = scratch_dir(spark, "responses"), scratch_dir(spark, "stream-ckpt")
     q = score_stream(spark, src, req_spec, bundle, sink, ckpt, id_separator="\t")
-    q.awaitTermination()
+    if not q.awaitTermination(STREAM_TIMEOUT_S):
+        q.stop()
+        raise TimeoutError(f"score_stream did not drain its input within {STREAM_TIMEOUT_S} s")
     out = spark.read.schema("requestId string, json string, status string").json(sink)
     r = out.select(F.from_json("json", "requestId string, status string, "
                                        "predictions array<struct<sampleId:string,prediction:double>>").alias("r"))
