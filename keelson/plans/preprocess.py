@@ -40,7 +40,7 @@ from pyspark.storagelevel import StorageLevel
 from keelson.functions.exprs import NULL_LABEL, qcol
 from keelson.functions.profile import frequency_table, numeric_profile
 from keelson.functions.quantile import exact_quantile
-from keelson.operators.base import apply_stages, column_map, schema_types, select_map
+from keelson.operators.base import StageEstimator, apply_stages, column_map, param, schema_types, select_map
 from keelson.operators.model import spread
 from keelson.operators.selection import (
     ALL_CONSTANT_MESSAGE,
@@ -404,3 +404,19 @@ class Preprocessor:
         if nulls:
             raise ValueError(f"{MISSING_VALUES_MESSAGE}: {nulls}")
         return drop_const, duplicate_groups(mid, rest, facts)
+
+
+class PreprocessEstimator(StageEstimator):
+    """The fused fit as a ``pyspark.ml`` Estimator (usable inside ``ml.Pipeline``):
+    ``spec`` and ``config`` are JSON-able dicts; ``fit`` returns the fitted
+    ``PipelineModel`` of column stages (features only; the target scaler is
+    available from ``Preprocessor`` directly)."""
+
+    spec = param("spec", "dataset description (reference JSON layout)")
+    config = param("config", "preprocessing config (reference JSON layout)")
+    _defaults = dict(config={})
+
+    def _fit(self, df: DataFrame) -> PipelineModel:
+        spec = DatasetSpec.from_dict(self.v("spec"), id_type=schema_types(df).get(self.v("spec")["id"]["name"]))
+        cfg = PreprocessConfig.from_dict(self.v("config")) if self.v("config") else PreprocessConfig()
+        return Preprocessor(spec, cfg).fit(df).pipeline

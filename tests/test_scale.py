@@ -15,9 +15,9 @@ def _fit_on(df):
     return fp, sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in out.collect())
 
 
-def test_preprocess_same_for_1_4_16_partitions(spark):
+def test_preprocess_same_for_1_4_64_partitions(spark):
     base = C.events_frame(spark, SF_SMALL)
-    results = [_fit_on(base.repartition(n)) for n in (1, 4, 16)]
+    results = [_fit_on(base.repartition(n)) for n in (1, 4, 64)]
     reports = [r[0].report for r in results]
     assert reports[0] == reports[1] == reports[2]
     assert results[0][1] == results[1][1] == results[2][1]
