@@ -64,11 +64,13 @@ def scaled(fp: FittedPreprocess, df: DataFrame) -> DataFrame:
 def train(df: DataFrame, spec: DatasetSpec, config: PreprocessConfig | None = None, val_pct: float = 0.1,
           split_seed: int = 42, null_seed: int = 123, hyperparameters: dict | None = None,
           run_tuning: bool = False, tune_kwargs: dict | None = None, artifacts_dir: str | None = None,
-          validate_data: bool = True, max_iter: int = 100) -> TrainResult:
+          validate_data: bool = True, max_iter: int = 100, exact_split: bool = False) -> TrainResult:
+    """``exact_split=True`` makes the validation split exactly ceil(n * val_pct) rows
+    (the reference's size; a few extra aggregate passes over the IDs)."""
     cfg = config or PreprocessConfig()
     if validate_data:
         validate(df, spec, is_train=True)
-    tr_raw, va_raw = split_train_val(df, spec.id, val_pct, split_seed)
+    tr_raw, va_raw = split_train_val(df, spec.id, val_pct, split_seed, exact_size=exact_split)
     tr_raw = inject_nulls(tr_raw, spec.id, spec.nullable_features, cfg.perc_inserted_nulls, null_seed)
     fp = Preprocessor(spec, cfg).fit(tr_raw)
     tr, va = scaled(fp, tr_raw), scaled(fp, va_raw)

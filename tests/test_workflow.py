@@ -64,3 +64,9 @@ def test_missing_directory(spark, tmp_dir):
     spec_path = _write(spark, tmp_dir)
     with pytest.raises(FileNotFoundError):
         run_training(spark, os.path.join(tmp_dir, "nope"), spec_path, os.path.join(tmp_dir, "a3"))
+
+
+def test_train_exact_split_size(spark):
+    from keelson.plans.workflow import train
+    res = train(C.events_frame(spark, SF_SMALL), C.events_spec(), val_pct=0.1, exact_split=True, max_iter=20)
+    assert res.validation.count() == 100 and res.train.count() == 900
