@@ -74,6 +74,46 @@ def apply_stages(stages, cols: "OrderedDict[str, Column]", types: dict | None =
     return cols
 
 
+def apply_stages_sql(stages, df: DataFrame) -> "OrderedDict[str, str] | None":
+    """The same fold as ``apply_stages`` but on SQL text; None if a stage has no
+    SQL rendering (callers then use the Column path)."""
+    from keelson.functions.sqltext import ident
+    if not all(hasattr(st, "apply_sql") for st in stages):
+        return None
+    cols = OrderedDict((c, ident(c)) for c in df.columns)
+    types = schema_types(df)
+    for st in stages:
+        cols = st.apply_sql(cols, types)
+    return cols
+
+
+def select_stages(df: DataFrame, stages) -> DataFrame:
+    """Apply fitted stages as one projection.  Built as SQL text and parsed in
+    one ``selectExpr`` call when every stage can render SQL (one py4j call
+    instead of one per operator); otherwise through the Column API."""
+    from keelson.functions.sqltext import ident
+    sql = apply_stages_sql(stages, df)
+    if sql is None:
+        return select_map(df, apply_stages(stages, column_map(df), schema_types(df)))
+    return df.selectExpr(*[f"{e} AS {ident(n)}" for n, e in sql.items()])
+
+
+def sql_map(df: DataFrame) -> "OrderedDict[str, str]":
+    from keelson.functions.sqltext import ident
+    return OrderedDict((c, ident(c)) for c in df.columns)
+
+
+def apply_stages_sql_map(stages, cols: "OrderedDict[str, str]", types: dict | None = None):
+    for st in stages:
+        cols = st.apply_sql(cols, types)
+    return cols
+
+
+def select_sql(df: DataFrame, cols: "OrderedDict[str, str]") -> DataFrame:
+    from keelson.functions.sqltext import ident
+    return df.selectExpr(*[f"{e} AS {ident(n)}" for n, e in cols.items()])
+
+
 def present(names, cols) -> list[str]:
     return [c for c in (names or []) if c in cols]
 

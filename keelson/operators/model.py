@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from keelson.functions.exprs import qcol
+from keelson.functions.sqltext import lit as sql_lit
 from keelson.operators.base import StageModel, param
 
 # The reference's default hyperparameters and solver limits.
@@ -78,6 +79,14 @@ class HuberPredictorModel(StageModel):
         out[self.v("predictionCol")] = self.predict_expr(cols)
         return out
 
+    def apply_sql(self, cols, types=None):
+        e = sql_lit(float(self.v("intercept")))
+        for c, w in zip(self.v("featureCols"), self.v("coefficients")):
+            e = f"({e} + (CAST({cols[c]} AS DOUBLE) * {sql_lit(float(w))}))"
+        out = OrderedDict(cols)
+        out[self.v("predictionCol")] = e
+        return out
+
     @staticmethod
     def from_mllib(m: LinearRegressionModel, feature_cols, alpha, epsilon) -> "HuberPredictorModel":
         return HuberPredictorModel(featureCols=list(feature_cols), coefficients=[float(x) for x in m.coefficients],

@@ -93,6 +93,8 @@ class DropColumnsModel(StageModel):
         drop = set(self.v("dropCols"))
         return OrderedDict((n, e) for n, e in cols.items() if n not in drop)
 
+    apply_sql = apply
+
 
 # --------------------------------------------------------------------------
 # A9 drop_constant

@@ -18,6 +18,7 @@ from keelson.functions.exprs import NULL_LABEL, clip_expr, one_hot_name, qcol, t
 from keelson.functions.profile import frequency_table, null_counts, numeric_profile
 from keelson.functions.quantile import exact_quantile
 from keelson.functions.topk import top_k_per_group
+from keelson.functions.sqltext import lit as sql_lit
 from keelson.operators.base import StageEstimator, StageModel, StageTransformer, param, present
 
 # Fixed values (defaults of the reference's configuration and libraries).
@@ -53,6 +54,8 @@ class ColumnSelector(StageTransformer):
             return OrderedDict((n, e) for n, e in cols.items() if n in listed or n in keep_always)
         return OrderedDict((n, e) for n, e in cols.items() if n not in listed or n in keep_always)
 
+    apply_sql = apply
+
 
 # --------------------------------------------------------------------------
 # cast_str / cast_float / cast_int
@@ -86,6 +89,60 @@ class TypeCaster(StageTransformer):
                 raise ValueError(f"unknown castType {kind}")
         return out
 
+    def apply_sql(self, cols, types=None):
+        types = types or {}
+        kind = self.v("castType")
+        out = OrderedDict(cols)
+        for c in present(self.v("inputCols"), cols):
+            e, t = cols[c], types.get(c)
+            if kind in ("string", "str"):
+                out[c] = label_sql(e, t, self.v("nullsAsLabel"))
+            elif kind in ("double", "float"):
+                out[c] = double_sql(e, t)
+            elif kind in ("bigint", "long", "int"):
+                src = f"CAST({e} AS DOUBLE)" if isinstance(t, T.StringType) else e
+                out[c] = f"CAST({src} AS {'INT' if kind == 'int' else 'BIGINT'})"
+            else:
+                raise ValueError(f"unknown castType {kind}")
+        return out
+
+
+def double_sql(e: str, t) -> str:
+    """SQL twin of ``to_double``."""
+    if isinstance(t, T.BooleanType):
+        e = f"CAST({e} AS INT)"
+    return f"nanvl(CAST({e} AS DOUBLE), CAST(NULL AS DOUBLE))"
+
+
+def label_sql(e: str, t, nulls_as_label: bool) -> str:
+    """SQL twin of ``to_label``."""
+    if isinstance(t, T.BooleanType):
+        s = f"initcap(CAST({e} AS STRING))"
+    elif isinstance(t, (T.DoubleType, T.FloatType)):
+        d = f"CAST({e} AS DOUBLE)"
+        plain = (f"concat(regexp_replace(CAST(CAST({d} AS DECIMAL(38,1)) AS STRING), {sql_lit(chr(92) + '.0$')}, ''), "
+                 f"'.0')")
+        s = (f"CASE WHEN isnan({d}) THEN {sql_lit(NULL_LABEL)} "
+             f"WHEN abs({d}) >= {sql_lit(1e7)} AND abs({d}) < {sql_lit(1e16)} AND floor({d}) = {d} THEN {plain} "
+             f"ELSE CAST({d} AS STRING) END")
+    else:
+        s = f"CAST({e} AS STRING)"
+    if nulls_as_label:
+        s = f"coalesce({s}, {sql_lit(NULL_LABEL)})"
+    return s
+
+
+def clip_sql(e: str, lower, upper) -> str:
+    """SQL twin of ``clip_expr``."""
+    if lower is None and upper is None:
+        return e
+    out = e
+    if upper is not None:
+        out = f"least({out}, {sql_lit(float(upper))})"
+    if lower is not None:
+        out = f"greatest({out}, {sql_lit(float(lower))})"
+    return f"CASE WHEN {e} IS NOT NULL THEN {out} END"
+
 
 # --------------------------------------------------------------------------
 # clip
@@ -101,6 +158,12 @@ class ValueClipper(StageTransformer):
             out[c] = clip_expr(cols[c], self.v("lower"), self.v("upper"))
         return out
 
+    def apply_sql(self, cols, types=None):
+        out = OrderedDict(cols)
+        for c in present(self.v("inputCols"), cols):
+            out[c] = clip_sql(cols[c], self.v("lower"), self.v("upper"))
+        return out
+
 
 # --------------------------------------------------------------------------
 # A1 drop_all_null
@@ -118,6 +181,8 @@ class DropAllNullModel(StageModel):
             raise ValueError(ALL_NULL_MESSAGE)
         return OrderedDict((n, e) for n, e in cols.items() if n not in drop)
 
+    apply_sql = apply
+
 
 class DropAllNull(StageEstimator):
     inputCols = param("inputCols")
@@ -145,6 +210,12 @@ class MissingIndicatorModel(StageModel):
             out[c + self.v("suffix")] = cols[c].isNull().cast("int")
         return out
 
+    def apply_sql(self, cols, types=None):
+        out = OrderedDict(cols)
+        for c in present(self.v("indicatorCols"), cols):
+            out[c + self.v("suffix")] = f"CAST({cols[c]} IS NULL AS INT)"
+        return out
+
 
 class MissingIndicator(StageEstimator):
     """Add ``<col>_na`` (0/1) for the columns that had a null at fit time."""
@@ -182,6 +253,13 @@ class FillModel(StageModel):
                 out[c] = F.coalesce(cols[c], F.lit(v))
         return out
 
+    def apply_sql(self, cols, types=None):
+        out = OrderedDict(cols)
+        for c, v in zip(self.v("fillCols"), self.v("fillValues")):
+            if c in cols and v is not None:
+                out[c] = f"coalesce({cols[c]}, {sql_lit(v)})"
+        return out
+
     def fills(self) -> dict:
         return dict(zip(self.v("fillCols"), self.v("fillValues")))
 
@@ -239,6 +317,13 @@ class StandardScalerModel(StageModel):
                 out[c] = (cols[c].cast("double") - F.lit(m)) / F.lit(s)
         return out
 
+    def apply_sql(self, cols, types=None):
+        out = OrderedDict(cols)
+        for c, m, s in zip(self.v("scaleCols"), self.v("means"), self.v("stds")):
+            if c in cols:
+                out[c] = f"((CAST({cols[c]} AS DOUBLE) - {sql_lit(m)}) / {sql_lit(s)})"
+        return out
+
     def inverse(self, name: str, c):
         for n, m, s in zip(self.v("scaleCols"), self.v("means"), self.v("stds")):
             if n == name:
@@ -348,6 +433,16 @@ class RareLabelModel(StageModel):
                     F.when(e.isNull(), e).otherwise(rep)
         return out
 
+    def apply_sql(self, cols, types=None):
+        out = OrderedDict(cols)
+        rep = sql_lit(self.v("replaceWith"))
+        for c, labels in zip(self.v("encodeCols"), self.v("keep")):
+            if c in cols:
+                e = cols[c]
+                keep = f"WHEN {e} IN ({', '.join(sql_lit(v) for v in labels)}) THEN {e} " if labels else ""
+                out[c] = f"CASE WHEN {e} IS NULL THEN {e} {keep}ELSE {rep} END"
+        return out
+
 
 def rare_keep(counts: dict, n: int, distinct: int, tol: float, n_categories: int) -> list:
     """Kept labels of one column, given label -> count (all labels with count >=
@@ -416,6 +511,22 @@ class OneHotModel(StageModel):
                 out.pop(c, None)
         return out
 
+    def apply_sql(self, cols, types=None):
+        enc = self.v("encodeCols")
+        if not enc:
+            return cols
+        for c in enc:
+            if c not in cols:
+                raise ValueError(ONE_HOT_MISSING_MESSAGE.format(c=c))
+        out = OrderedDict(cols)
+        for c, cats in zip(enc, self.v("categories")):
+            for k in cats:
+                out[one_hot_name(c, k)] = f"CASE WHEN {cols[c]} = {sql_lit(k)} THEN 1 ELSE 0 END"
+        if self.v("dropOriginal"):
+            for c in enc:
+                out.pop(c, None)
+        return out
+
 
 def one_hot_k(distinct: int, max_categories: int) -> int:
     """Least frequent label is always left out; at most ``max_categories``."""
@@ -465,6 +576,8 @@ class ColumnOrderModel(StageModel):
             out[c] = cols[c]
         return out
 
+    apply_sql = apply
+
 
 class ColumnOrder(StageEstimator):
     """Fix the output to the column names seen at fit, sorted by code point."""

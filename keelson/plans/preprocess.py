@@ -40,7 +40,18 @@ from pyspark.storagelevel import StorageLevel
 from keelson.functions.exprs import NULL_LABEL, qcol
 from keelson.functions.profile import frequency_table, numeric_profile
 from keelson.functions.quantile import exact_quantile
-from keelson.operators.base import StageEstimator, apply_stages, column_map, param, schema_types, select_map
+from keelson.operators.base import (
+    StageEstimator,
+    apply_stages,
+    apply_stages_sql_map,
+    column_map,
+    param,
+    schema_types,
+    select_map,
+    select_sql,
+    select_stages,
+    sql_map,
+)
 from keelson.operators.model import spread
 from keelson.operators.selection import (
     ALL_CONSTANT_MESSAGE,
@@ -136,7 +147,12 @@ class FittedPreprocess:
 
 
 def fused_transform(pipeline: PipelineModel, df: DataFrame) -> DataFrame:
-    """Apply every stage as one projection."""
+    """Apply every stage as one projection (built as SQL text when possible)."""
+    return select_stages(df, pipeline.stages)
+
+
+def fused_transform_columns(pipeline: PipelineModel, df: DataFrame) -> DataFrame:
+    """The same through the Column API (reference path, used by tests)."""
     return select_map(df, apply_stages(pipeline.stages, column_map(df), schema_types(df)))
 
 
@@ -174,7 +190,7 @@ class Preprocessor:
         select = ColumnSelector(columns=spec.feature_names, passthrough=pass_cols)
         cast_num = TypeCaster(inputCols=spec.numeric_features, castType="double")
         raw_labels = TypeCaster(inputCols=spec.categorical_features, castType="string", nullsAsLabel=False)
-        casted = select_map(df, apply_stages([select, cast_num, raw_labels], column_map(df), types))
+        casted = select_sql(df, apply_stages_sql_map([select, cast_num, raw_labels], sql_map(df), types))
 
         # J1 + J2, submitted together: numeric moments (+ target) in codegen-sized
         # column chunks, and the categorical label counts (one group-by on labels)
@@ -230,8 +246,8 @@ class Preprocessor:
 
         stages = [select, drop_all_null, cast_cat, cast_num, indicator, imputer, scaler, clipper,
                   mode_model, tag_model, rare_model]
-        mid_cols = apply_stages(stages, column_map(df), types)
-        mid = select_map(df, mid_cols)
+        mid_cols = apply_stages_sql_map(stages, sql_map(df), types)   # SQL text: one parse per frame
+        mid = select_sql(df, mid_cols)
         feat_cols = [c for c in mid.columns if c not in pass_cols]
 
         # one-hot labels of every categorical follow from the post-rare counts (driver)
@@ -248,7 +264,7 @@ class Preprocessor:
             # J3+J4 in one scan: facts of the pre-one-hot columns and the moments of
             # every numeric output (one-hot of all categoricals included; pairs of
             # columns dropped below are simply not read)
-            wide = select_map(df, ohe_all.apply(mid_cols))
+            wide = select_sql(df, ohe_all.apply_sql(mid_cols))
             facts, variances, corr_all = facts_and_moments(wide, feat_cols, corr_candidates, spec.id)
             drop_const, dup_groups = self._selection_from_facts(mid, feat_cols, facts)
         else:
@@ -264,7 +280,7 @@ class Preprocessor:
 
         # A12: correlation among numeric outputs after one-hot
         stages += [const_model, dup_model, ohe]
-        after_cols = apply_stages([const_model, dup_model, ohe], mid_cols, types)  # reuse the built map
+        after_cols = apply_stages_sql_map([const_model, dup_model, ohe], mid_cols, types)  # reuse the built map
         numeric_out = [c for c in after_cols if c not in pass_cols and c not in cat]
         corr_groups, corr_drop = [], []
         if len(numeric_out) >= 2:
@@ -274,10 +290,10 @@ class Preprocessor:
                 corr_groups = correlated_groups(numeric_out, sub, cfg.corr_threshold)
                 corr_drop = pick_by_variance(None, corr_groups, variances)
             else:
-                after = select_map(df, after_cols)
+                after = select_sql(df, after_cols)
                 # the Gram pass is one job: give it one partition per core when the
                 # input has fewer (a no-op on large inputs)
-                corr_groups = correlated_groups(numeric_out, correlation_matrix(select_map(spread(df), after_cols),
+                corr_groups = correlated_groups(numeric_out, correlation_matrix(select_sql(spread(df), after_cols),
                                                                                 numeric_out),
                                                 cfg.corr_threshold)
                 corr_drop = pick_by_variance(after, corr_groups)

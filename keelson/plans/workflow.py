@@ -16,6 +16,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
 from keelson.functions.exprs import qcol
+from keelson.functions.sqltext import lit as sql_lit
 from keelson.operators.base import StageModel, param
 from keelson.operators.model import DEFAULT_ALPHA, DEFAULT_EPSILON, HuberPredictorModel, huber_fit, r2_score
 from keelson.operators.sample import inject_nulls, split_train_val
@@ -43,6 +44,13 @@ class TargetUnscaleModel(StageModel):
             out[c] = cols[c] * float(self.v("std")) + float(self.v("mean"))
         return out
 
+    def apply_sql(self, cols, types=None):
+        out = OrderedDict(cols)
+        c = self.v("col")
+        if c in cols:
+            out[c] = f"(({cols[c]} * {sql_lit(float(self.v('std')))}) + {sql_lit(float(self.v('mean')))})"
+        return out
+
 
 @dataclass
 class TrainResult:
@@ -126,6 +134,11 @@ class BundleModel(StageModel):
             cols = st.apply(cols, types)
         return cols
 
+    def apply_sql(self, cols, types=None):
+        for st in self.stage_list():
+            cols = st.apply_sql(cols, types)
+        return cols
+
 
 def save_bundle(bundle: PipelineModel, path: str) -> None:
     """artifact_pipeline: fitted preprocessing + model + target inverse in one
