@@ -69,7 +69,7 @@ def one_hot_name(col: str, category: str) -> str:
     return f"{col}_{category}"
 
 
-def format_fixed(c: Column, decimals: int = 4) -> Column:
+def format_fixed(c: Column, decimals: int = 4, parts: tuple | None = None) -> Column:
     """Text of a double with ``decimals`` decimals, rounded like C / Python
     ``'%.{n}f'``: from the exact binary value, ties (exactly representable
     halves) to even.  Spark's ``format_string`` rounds the shortest decimal
@@ -83,10 +83,13 @@ def format_fixed(c: Column, decimals: int = 4) -> Column:
     scale = float(10 ** decimals)
     x = (F.col(c) if isinstance(c, str) else c).cast("double")
     a = F.abs(x)
-    p = a * F.lit(scale)
-    split = F.lit(134217729.0) * a            # 2^27 + 1
-    ah = split - (split - a)
-    al = a - ah
+    if parts is None:
+        p = a * F.lit(scale)
+        split = F.lit(134217729.0) * a            # 2^27 + 1
+        ah = split - (split - a)
+        al = a - ah
+    else:                                         # precomputed (p, ah, al) columns
+        p, ah, al = parts
     err = (ah * F.lit(scale) - p) + al * F.lit(scale)   # exact: a * scale = p + err
     fl = F.floor(p).cast("double")
     frac = p - fl

@@ -71,15 +71,34 @@ def _csv_schema(spark, path, spec: DatasetSpec, is_train: bool, numeric_as_strin
 
 def format_decimals(df: DataFrame, decimals: int = 4) -> DataFrame:
     """Doubles as text with a fixed number of decimals, rounded as C / Python
-    ``'%.4f'`` round (exact binary value, ties to even); NULL and NaN stay empty."""
+    ``'%.4f'`` round (exact binary value, ties to even); NULL and NaN stay empty.
+
+    The scaled value and its exact rounding error are computed in a lower
+    projection (referenced several times, so Catalyst keeps it separate): the
+    generated code per column stays small, also for many double columns."""
+    scale = float(10 ** decimals)
+    fields = df.schema.fields
+    dbl = [f.name for f in fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    if not dbl:
+        return df
+    pre = []
+    for i, name in enumerate(dbl):
+        x = qcol(name).cast("double")
+        a = F.abs(x)
+        split = F.lit(134217729.0) * a
+        ah = split - (split - a)
+        pre += [(a * F.lit(scale)).alias(f"__p{i}"), ah.alias(f"__ah{i}"), (a - ah).alias(f"__al{i}")]
+    staged = df.select("*", *pre)
     out = []
-    for f in df.schema.fields:
-        c = qcol(f.name)
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append(F.when(c.isNotNull() & ~F.isnan(c), format_fixed(c, decimals)).alias(f.name))
+    for f in fields:
+        if f.name in dbl:
+            i = dbl.index(f.name)
+            c = qcol(f.name)
+            text = format_fixed(c, decimals, parts=(F.col(f"__p{i}"), F.col(f"__ah{i}"), F.col(f"__al{i}")))
+            out.append(F.when(c.isNotNull() & ~F.isnan(c), text).alias(f.name))
         else:
-            out.append(c)
-    return df.select(*out)
+            out.append(qcol(f.name))
+    return staged.select(*out)
 
 
 def sink_csv(df: DataFrame, path: str, decimals: int = 4) -> None:

@@ -24,3 +24,15 @@ def test_nulls_and_other_decimals(spark):
     got = {r.i: r.s for r in df.select("i", format_fixed("x", 2).alias("s")).collect()}
     assert got[1] is None and got[2] == "%.2f" % 0.125
     assert got[4] is not None
+
+
+def test_format_decimals_staged_matches_python(spark):
+    from keelson.sources.files import format_decimals
+    rng = np.random.default_rng(8)
+    vals = [k / 32.0 for k in range(-300, 300)] + list(rng.normal(scale=100, size=1000)) + [None, float("nan")]
+    pdf = pd.DataFrame({"i": range(len(vals)), "x": vals, "y": [None if v is None else -v for v in vals]})
+    got = format_decimals(spark.createDataFrame(pdf)).collect()
+    for r in got:
+        for col, v in (("x", vals[r.i]), ("y", None if vals[r.i] is None else -vals[r.i])):
+            exp = None if v is None or v != v else "%.4f" % v
+            assert r[col] == exp, (v, r[col], exp)
