@@ -16,6 +16,8 @@ _DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # concurrent jobs (column chunks, tuning fits) share the cores instead of queueing
+    "spark.scheduler.mode": "FAIR",
 }
 
 
