@@ -60,22 +60,24 @@ def chunked_aggregate(df: DataFrame, exprs: list[tuple[str, Column, int]],
     return out
 
 
-def numeric_profile(df: DataFrame, cols: list[str]) -> dict[str, dict]:
-    """Per column: n (rows), count (non-null), mean, std_pop, var_samp, min, max."""
+def numeric_profile(df: DataFrame, cols: list[str], extremes: bool = True) -> dict[str, dict]:
+    """Per column: n (rows), count (non-null), mean, std_pop, var_samp and, with
+    ``extremes``, min and max."""
     if not cols:
         return {}
     exprs = [("__n", F.count(F.lit(1)), 1)]
     for i, c in enumerate(cols):
         x = qcol(c).cast("double")
-        exprs += [(f"c{i}", F.count(x), 1), (f"m{i}", F.avg(x), 2), (f"v{i}", F.var_pop(x), 3),
-                  (f"lo{i}", F.min(x), 1), (f"hi{i}", F.max(x), 1)]
+        exprs += [(f"c{i}", F.count(x), 1), (f"m{i}", F.avg(x), 2), (f"v{i}", F.var_pop(x), 3)]
+        if extremes:
+            exprs += [(f"lo{i}", F.min(x), 1), (f"hi{i}", F.max(x), 1)]
     r = chunked_aggregate(df, exprs)
     out = {}
     for i, c in enumerate(cols):
         cnt, vp = r[f"c{i}"], r[f"v{i}"]
         out[c] = dict(n=r["__n"], count=cnt, mean=r[f"m{i}"], std_pop=None if vp is None else max(vp, 0.0) ** 0.5,
                       var_samp=None if vp is None or cnt < 2 else vp * cnt / (cnt - 1),
-                      min=r[f"lo{i}"], max=r[f"hi{i}"])
+                      min=r.get(f"lo{i}"), max=r.get(f"hi{i}"))
     return out
 
 

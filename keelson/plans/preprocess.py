@@ -207,7 +207,9 @@ class Preprocessor:
                 freq.unpersist()
 
         with ThreadPoolExecutor(max_workers=2) as pool:
-            num_future = pool.submit(numeric_profile, casted, prof_cols)
+            # min / max only feed the exact median search
+            num_future = pool.submit(numeric_profile, casted, prof_cols,
+                                     cfg.imputation_method == "median" and cfg.exact_median)
             cat_future = pool.submit(label_job)
             prof = num_future.result()
             cat_summary, cat_counts = cat_future.result()
