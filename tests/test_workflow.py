@@ -70,3 +70,36 @@ def test_train_exact_split_size(spark):
     from keelson.plans.workflow import train
     res = train(C.events_frame(spark, SF_SMALL), C.events_spec(), val_pct=0.1, exact_split=True, max_iter=20)
     assert res.validation.count() == 100 and res.train.count() == 900
+
+
+def test_reference_layout_configs_and_tuning(spark, tmp_dir):
+    """Config files in the reference's layout: preprocessing, default hyperparameters and a
+    search space typed 'float' (accepted as 'real'); the trials land next to the artifacts."""
+    from keelson.plans.preprocess import PreprocessConfig
+    spec_path = _write(spark, tmp_dir)
+    pre = {"numeric_transformers": {"mean_median_imputer": {"imputation_method": "median"},
+                                    "outlier_clipper": {"min_val": -3.0, "max_val": 3.0}},
+           "categorical_transformers": {"cat_most_frequent_imputer": {"threshold": 0.2},
+                                        "missing_tag_imputer": {"imputation_method": "missing", "fill_value": "missing"},
+                                        "rare_label_encoder": {"tol": 0.05, "n_categories": 1}},
+           "feature_selection_preprocessing": {"constant_feature_dropper": {"tol": 1, "missing_values": "include"},
+                                               "correlated_feature_dropper": {"threshold": 0.95}},
+           "perc_inserted_nulls": 0.1}
+    cfg = PreprocessConfig.from_dict(pre)
+    assert (cfg.imputation_method, cfg.clip_min, cfg.clip_max, cfg.mode_threshold, cfg.rare_tol,
+            cfg.corr_threshold, cfg.perc_inserted_nulls) == ("median", -3.0, 3.0, 0.2, 0.05, 0.95, 0.1)
+    hpt = {"num_trials": 3, "hyperparameters": [
+        {"name": "alpha", "type": "float", "search_type": "log-uniform", "range_low": 1e-6, "range_high": 1.0},
+        {"name": "epsilon", "type": "float", "search_type": "uniform", "range_low": 1.0, "range_high": 2.0}]}
+    paths = {}
+    for name, doc in (("pre", pre), ("hp", {"alpha": 0.0001, "epsilon": 1.35}), ("hpt", hpt)):
+        paths[name] = os.path.join(tmp_dir, f"{name}.json")
+        with open(paths[name], "w") as fh:
+            json.dump(doc, fh)
+    art = os.path.join(tmp_dir, "artifacts_t")
+    res = run_training(spark, os.path.join(tmp_dir, "train"), spec_path, art, run_tuning=True,
+                       preprocessing_config_path=paths["pre"], hyperparameters_path=paths["hp"],
+                       hpt_path=paths["hpt"])
+    assert res.tuning is not None and res.tuning.trials.count() == 3
+    trials = spark.read.option("header", True).csv(art + "_hpt_results")
+    assert trials.count() == 3 and "params_alpha" in trials.columns
