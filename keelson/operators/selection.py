@@ -3,9 +3,9 @@ correlated (A12) columns.
 
 None of them compares rows pairwise or columns by collecting them:
 constants come from min / max / null counts (codegen-sized column chunks);
-duplicates from an
-order-independent fingerprint per column (``bit_xor`` of a hash of
-(id, value)) followed by an exact ``<=>`` check of the candidate pairs only;
+duplicates from an order-independent signature per column (a multiset hash,
+or ``bit_xor`` of a hash of (id, value) in the single fused aggregate)
+followed by an exact ``<=>`` check of the candidate pairs only;
 correlation from one distributed Gram pass (MLlib ``Correlation``), leaving a
 d x d matrix on the driver.
 """
@@ -42,13 +42,18 @@ def type_group(dt: T.DataType) -> str:
 
 
 def column_facts(df: DataFrame, cols: list[str], id_col: str | None = None) -> dict:
-    """Per column: n, non-null count, min, max and, when ``id_col`` is given, an
-    order-independent fingerprint ``bit_xor(xxhash64(id, value))``.
+    """Per column: n, non-null count, min, max and, when ``id_col`` is given, a
+    duplicate-candidate signature.
 
     Codegen-sized column chunks (``chunked_aggregate``).  Strings are not
     min/max-aggregated (a string buffer turns the hash aggregate into a sort
     aggregate): the extremes of ``xxhash64(value)`` decide "one distinct
     value", confirmed exactly for the few string columns that look constant.
+
+    The signature is a multiset hash, ``sum(xxhash64(value) & 0xFFFF)`` (no
+    overflow below ~1.4e14 rows), so no chunk has to read the ID column; columns
+    that share (type, counts, extremes, signature) are only candidates, settled
+    by the exact ``<=>`` check.
     """
     if not cols:
         return {}
@@ -60,7 +65,7 @@ def column_facts(df: DataFrame, cols: list[str], id_col: str | None = None) -> d
         exprs += [(f"nn{i}", F.count(x), 1), (f"lo{i}", F.min(F.when(x.isNotNull(), probe)), 1),
                   (f"hi{i}", F.max(F.when(x.isNotNull(), probe)), 1)]
         if id_col:
-            exprs.append((f"fp{i}", F.bit_xor(F.xxhash64(qcol(id_col), x)), 1))
+            exprs.append((f"fp{i}", F.sum(F.when(x.isNotNull(), F.xxhash64(x).bitwiseAND(F.lit(65535)))), 1))
     r = chunked_aggregate(df, exprs)
     out = {}
     for i, c in enumerate(cols):
@@ -150,7 +155,7 @@ def duplicate_groups(df: DataFrame, cols: list[str], facts: dict) -> list[list[s
     buckets: dict = {}
     for c in sorted(cols):
         f = facts[c]
-        buckets.setdefault((f["type"], f["fp"], f["n"]), []).append(c)
+        buckets.setdefault((f["type"], f["fp"], f["n"], f["nn"], f["min"], f["max"]), []).append(c)
     pairs = [(a, b) for grp in buckets.values() if len(grp) > 1
              for i, a in enumerate(grp) for b in grp[i + 1:]]
     if not pairs:
