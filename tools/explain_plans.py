@@ -43,10 +43,12 @@ def main():
     moments = ev.agg(*[a for c in ("value", "k", "target") for a in
                        (F.count(c), F.avg(c), F.var_pop(c), F.min(c), F.max(c))])
     labels = frequency_table(ev, ["event_type", "parity"])
+    def sig(c):
+        return F.sum(F.when(F.col(c).isNotNull(), F.xxhash64(c).bitwiseAND(F.lit(65535))))
     facts = ev.agg(F.count(F.lit(1)), *[a for c in ("value", "k") for a in
-                   (F.count(c), F.min(c), F.max(c), F.bit_xor(F.xxhash64("event_id", c)))],
+                   (F.count(c), F.min(c), F.max(c), sig(c))],
                    *[a for c in ("event_type", "parity") for a in
-                     (F.count(c), F.min(F.xxhash64(c)), F.max(F.xxhash64(c)), F.bit_xor(F.xxhash64("event_id", c)))])
+                     (F.count(c), F.min(F.xxhash64(c)), F.max(F.xxhash64(c)), sig(c))])
     freq = frequency_table(C.table(spark, sf, "part"), ["p_brand", "p_type"])
     from keelson.session import scratch_dir
     docs_path = scratch_dir(spark, "plan-requests")
@@ -63,9 +65,10 @@ def main():
         ("Fit J2: label counts",
          "Generate (explode to (column index, label)) feeds a partial HashAggregate keyed by (index, label) "
          "before the Exchange: a hot label is one row per task in the shuffle.", labels, "formatted"),
-        ("Fit J3: column facts chunk (counts, extremes, fingerprints)",
+        ("Fit J3: column facts chunk (counts, extremes, duplicate signatures)",
          "Strings enter min/max only through xxhash64, so the buffer is fixed-width: HashAggregate with "
-         "codegen, no sort aggregate.", facts, "formatted"),
+         "codegen, no sort aggregate; the signature is ID-free, so the chunk reads only its own columns.",
+         facts, "formatted"),
         ("One-hot fit: salted top-k per column",
          "Two windows: the first partitioned by (column, hash bucket) so no task sorts a whole column; the "
          "second only sees <= buckets x k rows per column.",
