@@ -114,3 +114,26 @@ def test_chunked_profiles_on_wide_input_match_pandas(spark):
     assert all(facts[c]["nn"] == pdf[c].notna().sum() for c in cols)
     r = chunked_aggregate(df, [(f"x{j}", F.count_if(F.col(c) > 0), 1) for j, c in enumerate(cols)], max_fields=7)
     assert [r[f"x{j}"] for j in range(d)] == [int((pdf[c] > 0).sum()) for c in cols]
+
+
+def test_exact_quantile_with_a_hot_value(spark):
+    """One value holding a third of the rows: the search ends in the bin whose min = max."""
+    rng = np.random.default_rng(21)
+    n = 3000
+    v = rng.normal(size=n)
+    v[: n // 3] = 0.25
+    df = spark.createDataFrame(pd.DataFrame({"x": v}))
+    for q in (0.5, 0.2, 0.9):
+        got = exact_quantile(df, ["x"], q, buckets=8, collect_limit=10)["x"]
+        assert abs(got - np.quantile(v, q)) < 1e-12
+
+
+def test_duplicate_ids_with_a_hot_id(spark):
+    from keelson.operators.validate import violations
+    from keelson.spec import DatasetSpec, Feature
+    rows = [(7 if i % 3 == 0 else i, float(i)) for i in range(3000)]  # id 7 holds a third of the rows
+    df = spark.createDataFrame(rows, "id long, x double")
+    spec = DatasetSpec("id", "t", (Feature("x", "NUMERIC", True, example=1.0),))
+    got = {(r.rule, r.column): r.n_violations for r in violations(df, spec, is_train=False).collect()}
+    n_seven = sum(1 for r in rows if r[0] == 7)
+    assert got == {("unique_id", "id"): n_seven - 1}
