@@ -103,3 +103,27 @@ def test_reference_layout_configs_and_tuning(spark, tmp_dir):
     assert res.tuning is not None and res.tuning.trials.count() == 3
     trials = spark.read.option("header", True).csv(art + "_hpt_results")
     assert trials.count() == 3 and "params_alpha" in trials.columns
+
+
+def test_single_csv_rule(spark, tmp_dir):
+    from keelson.sources.files import src_csv
+    from keelson.spec import DatasetSpec as DS
+    spec = DS.from_dict(SPEC)
+    one, two, none = (os.path.join(tmp_dir, d) for d in ("one", "two", "none"))
+    for d in (one, two, none):
+        os.makedirs(d)
+    header = "event_id,value,k,event_type,target\n"
+    with open(os.path.join(one, "data.csv"), "w") as fh:
+        fh.write(header + "1,2.5,3,click,4.0\n2,,5,,6.0\n")
+    for name in ("a.csv", "b.csv"):
+        with open(os.path.join(two, name), "w") as fh:
+            fh.write(header + "1,2.5,3,click,4.0\n")
+    with open(os.path.join(none, "notes.txt"), "w") as fh:
+        fh.write("x\n")
+    df = src_csv(spark, one, spec, single_file=True)
+    assert sorted((r.event_id, r.value, r.event_type) for r in df.collect()) == [("1", 2.5, "click"), ("2", None, None)]
+    with pytest.raises(ValueError, match="Multiple CSV files"):
+        src_csv(spark, two, spec, single_file=True)
+    with pytest.raises(ValueError, match="No CSV file"):
+        src_csv(spark, none, spec, single_file=True)
+    assert src_csv(spark, two, spec).count() == 2  # Spark's usual multi-file directory
