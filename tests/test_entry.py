@@ -43,3 +43,17 @@ def test_query_matches_oracle(spark, name):
     idx = [names.index(c) for c in cols]
     exp = _norm(tuple(r[i] for i in idx) for r in rel.fetchall())
     assert got == exp
+
+
+def test_every_registered_query_runs(spark):
+    """All registered queries execute on the smallest tables and return rows."""
+    empty_ok = set()  # none expected
+    failures = {}
+    for name, fn in E.queries().items():
+        try:
+            n = fn(spark, SF_SMALL).count()
+            if n == 0 and name not in empty_ok:
+                failures[name] = "no rows"
+        except Exception as e:  # noqa: BLE001
+            failures[name] = f"{type(e).__name__}: {str(e)[:200]}"
+    assert not failures, failures
