@@ -26,19 +26,34 @@ def stream_request_id() -> Column:
 def score_stream(spark: SparkSession, source_dir: str, spec: DatasetSpec, bundle: PipelineModel,
                  sink_dir: str, checkpoint_dir: str, available_now: bool = True,
                  processing_time: str | None = None, sink_format: str = "json",
-                 id_separator: str | None = None, max_files_per_trigger: int | None = None) -> StreamingQuery:
+                 id_separator: str | None = None, max_files_per_trigger: int | None = None,
+                 kafka_options: dict | None = None) -> StreamingQuery:
     """Start the stream.  Lines are request documents; with ``id_separator``
     (e.g. a tab) a line is ``<requestId><sep><document>``.  ``max_files_per_trigger``
-    bounds the size of a micro-batch (also under ``availableNow``)."""
-    reader = spark.readStream.format("text")
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
-    lines = reader.load(source_dir)
-    if id_separator:
-        parts = F.split(F.col("value"), id_separator, 2)
-        lines = lines.select(parts[1].alias("value"), parts[0].alias("rid"))
+    bounds the size of a micro-batch (also under ``availableNow``).
+    ``kafka_options`` (e.g. ``{"kafka.bootstrap.servers": ..., "subscribe": ...}``)
+    reads a Kafka topic instead of ``source_dir``; it needs Spark's Kafka
+    connector on the classpath."""
+    if kafka_options is not None:
+        # records of a Kafka topic, one request document per record; the request ID
+        # is a hash of (topic, partition, offset), stable across re-runs
+        raw = spark.readStream.format("kafka").options(**kafka_options).load()
+        lines = raw.select(F.col("value").cast("string").alias("value"),
+                           F.substring(F.md5(F.concat_ws("|", "topic", F.col("partition").cast("string"),
+                                                         F.col("offset").cast("string"))), 1, 10).alias("rid"))
+        if id_separator:
+            parts = F.split(F.col("value"), id_separator, 2)
+            lines = lines.select(parts[1].alias("value"), parts[0].alias("rid"))
     else:
-        lines = lines.select("value", stream_request_id().alias("rid"))
+        reader = spark.readStream.format("text")
+        if max_files_per_trigger:
+            reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
+        lines = reader.load(source_dir)
+        if id_separator:
+            parts = F.split(F.col("value"), id_separator, 2)
+            lines = lines.select(parts[1].alias("value"), parts[0].alias("rid"))
+        else:
+            lines = lines.select("value", stream_request_id().alias("rid"))
     parsed = parse_requests(lines, spec, "value", request_id="rid")
     responses = score_requests(parsed, spec, bundle.stages)
     out = responses.select("requestId", "json", F.col("response.status").alias("status"))

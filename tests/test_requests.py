@@ -125,3 +125,12 @@ def test_stream_in_bounded_micro_batches(spark, tmp_dir):
     q.awaitTermination()
     assert q.lastProgress is not None and len(q.recentProgress) >= 3
     assert sorted(r.requestId for r in spark.read.json(out).collect()) == ["r0", "r1", "r2"]
+
+
+def test_kafka_source_needs_the_connector(spark, tmp_dir):
+    """The Kafka path builds the same projection; without the connector jar (as in
+    this image) Spark reports the missing data source when the query starts."""
+    import pytest
+    with pytest.raises(Exception, match="(?i)kafka"):
+        score_stream(spark, None, SPEC, bundle(spark), os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ck"),
+                     kafka_options={"kafka.bootstrap.servers": "localhost:9", "subscribe": "requests"})
