@@ -11,10 +11,10 @@ Quick start::
 
     spark = get_spark()
     spec = DatasetSpec.from_json("schema.json")          # the dataset description
-    result = train(spark.read.parquet("train/"), spec, artifacts_dir="s3://bucket/model",
+    result = train(spark.read.parquet("train/"), spec, artifacts_dir="/shared/models/run1",
                    run_tuning=True)
-    preds = score_batch(spark.read.parquet("test/"), spec, load_bundle("s3://bucket/model"),
-                        output_dir="s3://bucket/predictions")
+    preds = score_batch(spark.read.parquet("test/"), spec, load_bundle("/shared/models/run1"),
+                        output_dir="/shared/predictions/run1")
 
 or, from a CSV directory and JSON files in the reference's layout,
 ``keelson.plans.workflow.run_training`` / ``run_batch_predictions``; online
