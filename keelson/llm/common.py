@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import pickle
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.session import scratch_dir
 
+# Task functions travel by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__package__])
+
 # Words of the pair and decontamination operators: digits, ASCII letters in lower case
 # and everything outside ASCII; all else separates.
 _WORD_BYTES = bytes(
@@ -35,8 +41,10 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(fn, schema)
 
 
-def record_batch(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+def share(spark: SparkSession, value) -> Callable:
+    """Broadcast ``value`` (of proven size, see the callers) for tasks; the result, called there, gives it."""
+    blob = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(blob.value)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_words, map_batches, stored
+from .common import byte_words, map_batches, share, stored
 
 WINDOW = 10
 SHARD_WORDS = 1 << 20
@@ -269,20 +269,20 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
     rows = df.select(df[id_col].alias("id"), df[text_col].alias("text"), F.lit(0).cast("bigint").alias("n_words"),
                      F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("spans"),
                      F.expr("cast(array() as array<string>)").alias("items"))
-    sc = df.sparkSession.sparkContext
     for k, phrases in enumerate(phrase_blocks(benchmark, item_col, item_text_col, window, block_words)):
         if k:
             rows = stored(rows, "decontam-block")            # one Python pass at a time holds a block
-        rows = map_batches(rows, _search_block(sc.broadcast(phrases)), rows.schema)   # bounded by block_words
+        rows = map_batches(rows, _search_block(share(df.sparkSession, phrases)), rows.schema)   # bounded by block_words
     return rows.select(F.col("id").alias(id_col), *([F.col("text").alias(text_col)] if keep_text else []),
                        "n_words", "spans", "items")
 
 
 def _search_block(shared):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = shared()
         for b in batches:
             spans, items = b.column(3).to_pylist(), b.column(4).to_pylist()
-            found = find_hits(b.column(1).to_pylist(), shared.value)
+            found = find_hits(b.column(1).to_pylist(), phrases)
             for i, (_, own, names) in enumerate(found):
                 if own:
                     earlier = [[x["start"], x["end"]] for x in spans[i]]

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, stored
+from .common import map_batches, share, stored
 
 _WORD = re.compile(r"[^\W\d_]+")
 PENALTY_MARGIN = 1.0       # above the rarest known word of a language, in log10
@@ -212,11 +212,11 @@ def score_batch(model: LanguageModel | None, texts: list, rows: _WordRows | None
 def predict(df: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
     """``df`` with columns ``lang_pred`` and ``score`` appended (earlier columns of those names go)."""
     df = df.drop("lang_pred", "score")
-    shared = df.sparkSession.sparkContext.broadcast(model)      # bounded by max_words and max_grams
+    shared = share(df.sparkSession, model)      # bounded by max_words and max_grams
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared()
         rows = _WordRows(model) if model else None
         for b in batches:
             langs, scores = score_batch(model, b.column(at).to_pylist(), rows)
