@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, secrets
+from . import bpe, chat, decontam, fingerprints, langid, secrets, shards, warc
 from .common import joined_spans, sha256_of, table
 
 
@@ -127,14 +127,51 @@ FROM marked GROUP BY conv_id
 """
 
 
+SHARDS = 40
+
+
+def op2_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near equal bytes, in document order."""
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n"),
+                       F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")) \
+        .select("doc_id", (F.col("n") + 16).alias("size"), "text_crc32")
+    return shards.histogram_sort(rows, "doc_id", F.col("size"), SHARDS).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multiset fingerprints of every document and its edited text, and their likeness."""
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def op8_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to whole-file gzip archives, normalised to members, read back by the index."""
+    whole = warc.write_monolithic(warc.with_record_types(table(spark, sf_dir, "pages")))
+    return warc.read_records(warc.normalise(whole))
+
+
+OP8_SQL = """
+SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+       CASE WHEN strlen(html) >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN strlen(html) >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM (SELECT *, max(page_id) OVER (PARTITION BY html) AS last FROM pages)
+"""
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_histogram_shards": op2_histogram_shards,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_bpe": op5_bpe,
+    "op7_multiset_fingerprint": op7_multiset_fingerprint,
+    "op8_warc_normalise": op8_warc_normalise,
     "op9_language_id": op9_language_id,
     "op10_chat_format": op10_chat_format,
 }
 ORACLES = {
     "op4_benchmark_decontamination": OP4_SQL,
+    "op8_warc_normalise": OP8_SQL,
     "op10_chat_format": OP10_SQL,
 }
