@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, fingerprints, langid, secrets, shards, warc
+from . import bpe, chat, decontam, fingerprints, langid, pii, secrets, shards, warc
 from .common import joined_spans, sha256_of, table
 
 
@@ -141,6 +141,15 @@ def op2_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base kinds are digested, discovered ones are in ``spans`` too."""
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"].isin(*pii.KINDS))
+    return found.select("doc_id", *[_count(spans, k).alias(f"n_{k}") for k in pii.KINDS],
+                        sha256_of(joined_spans(base)).alias("base_sha256"), joined_spans(spans).alias("spans"))
+
+
 def op7_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multiset fingerprints of every document and its edited text, and their likeness."""
     return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
@@ -165,6 +174,7 @@ QUERIES = {
     "op2_histogram_shards": op2_histogram_shards,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_bpe": op5_bpe,
+    "op6_pii": op6_pii,
     "op7_multiset_fingerprint": op7_multiset_fingerprint,
     "op8_warc_normalise": op8_warc_normalise,
     "op9_language_id": op9_language_id,
