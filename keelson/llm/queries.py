@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, fingerprints, langid, pii, secrets, shards, warc
+from . import bpe, chat, decontam, fingerprints, langid, ngram_join, pii, secrets, shards, warc
 from .common import joined_spans, sha256_of, table
 
 
@@ -141,6 +141,11 @@ def op2_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents: five-word shingles, similarity of 0.8 or more."""
+    return ngram_join.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: base kinds are digested, discovered ones are in ``spans`` too."""
     found = pii.find_pii(table(spark, sf_dir, "documents"))
@@ -172,6 +177,7 @@ FROM (SELECT *, max(page_id) OVER (PARTITION BY html) AS last FROM pages)
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_histogram_shards": op2_histogram_shards,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_bpe": op5_bpe,
     "op6_pii": op6_pii,
