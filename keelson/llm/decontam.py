@@ -313,3 +313,45 @@ def remove_spans(text: str, spans: list) -> str:
         out.append(text[at:places[s][0]])
         at = places[e][0] if e < len(places) else len(text)
     return "".join([*out, text[at:]])
+
+
+def remove_contamination(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
+                         item_text_col: str = "text", length_col: str | None = None, window: int = WINDOW,
+                         block_words: int = 2_000_000) -> DataFrame:
+    """``df`` with removal spans cut out of ``text_col``; rows of which no word is left (but had some) go.
+
+    A text without hits stays as it is.  ``length_col``, if given, follows a cut text.  Later blocks
+    of a large benchmark search what earlier blocks left.
+    """
+    names = df.columns
+    at = names.index(text_col)
+    length_at = names.index(length_col) if length_col else None
+    for k, phrases in enumerate(phrase_blocks(benchmark, item_col, item_text_col, window, block_words)):
+        if k:
+            df = stored(df, "decontam-block")
+        df = map_batches(df, _cut_block(share(df.sparkSession, phrases), at, length_at), df.schema)
+    return df
+
+
+def _cut_block(shared, at: int, length_at: int | None):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = shared()
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            found = find_hits(texts, phrases)
+            hit = [i for i, (_, own, _) in enumerate(found) if own]
+            if hit:
+                columns = list(b.columns)
+                for i in hit:
+                    texts[i] = remove_spans(texts[i], found[i][1])
+                columns[at] = pa.array(texts, b.schema.field(at).type)
+                if length_at is not None:
+                    sizes = columns[length_at].to_pylist()
+                    for i in hit:
+                        sizes[i] = len(texts[i])
+                    columns[length_at] = pa.array(sizes, b.schema.field(length_at).type)
+                keep = np.ones(len(texts), dtype=bool)
+                keep[[i for i in hit if not byte_words(texts[i])]] = False
+                b = pa.RecordBatch.from_arrays(columns, schema=b.schema).filter(pa.array(keep))
+            yield b
+    return cut
