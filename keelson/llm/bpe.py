@@ -111,7 +111,7 @@ def merge_words(words: list[str], tok: Tokenizer) -> list[list[int]]:
     firsts = np.flatnonzero(np.diff(ranks[at], prepend=-1))
     positions_of = at.tolist()
     index = {int(ranks[at[s]]): positions_of[s:e]
-             for s, e in zip(firsts.tolist(), [*firsts[1:].tolist(), len(at)], strict=True)}
+             for s, e in zip(firsts.tolist(), [*firsts[1:].tolist(), len(at)], strict=False)}
     active = sorted(index)                                   # a sorted list is a heap
 
     symbol = row.tolist()

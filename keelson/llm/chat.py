@@ -52,7 +52,7 @@ _SPEAKER = "CASE m.`from` WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' E
 _ASK = "if(coalesce({r}input, '') = '', {r}instruction, concat(coalesce({r}instruction, ''), '\\n\\n', {r}input))"
 
 MAPPINGS = (
-    Mapping("turn_rows", ("conv_id", "role", "text", "turn"), "", None),
+    Mapping("turn_rows", ("role", "text", "turn"), "", None),
     Mapping("messages", ("messages", "messages[].content", "messages[].role"),
             "messages array<struct<role:string,content:string>>", _list("{r}messages", "m.role", "m.content")),
     Mapping("speakers", ("conversations", "conversations[].from", "conversations[].value"),
@@ -101,13 +101,17 @@ def mapping_of(df: DataFrame) -> Mapping | None:
     return BY_FINGERPRINT.get(fingerprint(schema_paths(df.schema)))
 
 
+def _prefixed(names: Column, prefix: Column) -> Column:
+    return F.transform(names, lambda k: F.concat(prefix, k))
+
+
 def json_fingerprint(record: Column) -> Column:
     """The same hash for a JSON record: its own field names and, of known lists, those of the first element."""
     paths = [F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))]
     for name in LISTS:
         inner = F.json_object_keys(F.get_json_object(record, f"$.{name}[0]"))
-        paths.append(F.coalesce(F.transform(inner, lambda k, name=name: F.concat(F.lit(f"{name}[]."), k)),
-                                F.array().cast("array<string>")))
+        prefix = F.lit(f"{name}[].")
+        paths.append(F.coalesce(_prefixed(inner, prefix), F.array().cast("array<string>")))
     known = F.array_intersect(F.flatten(F.array(*paths)), F.array(*map(F.lit, KNOWN_PATHS)))
     return F.sha2(F.array_join(F.sort_array(known), "\n").cast("binary"), 256)
 
@@ -120,7 +124,7 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
                          F.expr(f"cast(array() as {TURNS})").alias("turns"))
     if m.turns is not None:
         return df.select(F.col(id_col), F.lit(m.name).alias("layout"),
-                         F.coalesce(F.expr(m.turns), F.expr(f"cast(array() as {TURNS})")).alias("turns"))
+                         F.coalesce(F.expr(m.turns.format(r="")), F.expr(f"cast(array() as {TURNS})")).alias("turns"))
     # one row per turn: a conversation is one output value, so its rows must meet
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     return (df.groupBy(id_col).agg(F.sort_array(F.collect_list(turn)).alias("rows"))
