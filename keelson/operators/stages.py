@@ -25,8 +25,7 @@ from keelson.operators.base import StageEstimator, StageModel, StageTransformer,
 MISSING_TAG = "missing"
 RARE_LABEL = "Rare"
 ALL_NULL_MESSAGE = "All features in the input dataframe are NaN. Dropping all yields empty dataframe"
-ONE_HOT_MISSING_MESSAGE = ("Fitted one-hot-encoded column {c} does not exist in dataframe given for "
-                           "transformation. This will result in a shape mismatch for train/prediction job.")
+ONE_HOT_MISSING_MESSAGE = "one-hot: column {c} was seen at fit but is not in the data"
 TARGET_MISSING_MESSAGE = ("Target field not present in data. Expecting target field: {t}. "
                           "Cannot encode target.")
 

@@ -1,4 +1,4 @@
-"""Pipeline properties (after the reference's pipeline tests) plus null injection and splits."""
+"""Properties of the whole pipeline, null injection and splits."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,13 +7,17 @@ from keelson.operators.sample import inject_nulls, split_train_val
 from keelson.plans.preprocess import PreprocessConfig, Preprocessor, fused_transform
 from keelson.spec import DatasetSpec, Feature
 
-SPEC = DatasetSpec("id", "target_field", (
-    Feature("numeric_feature_1", "NUMERIC", True, example=50),
-    Feature("numeric_feature_2", "NUMERIC", False, example=0.5),
-    Feature("categorical_feature_1", "CATEGORICAL", True, ("A", "B", "C")),
-    Feature("categorical_feature_2", "CATEGORICAL", False, ("P", "Q", "R", "S", "T"))))
-SCHEMA = "id int, numeric_feature_1 double, numeric_feature_2 double, categorical_feature_1 string, " \
-         "categorical_feature_2 string, target_field double"
+SPEC = DatasetSpec("id", "yield_t", (
+    Feature("rain", "NUMERIC", True, example=50),
+    Feature("sun", "NUMERIC", False, example=0.5),
+    Feature("crop", "CATEGORICAL", True, ("rye", "oats", "flax")),
+    Feature("slope", "CATEGORICAL", False, ("N", "E", "S", "W", "flat"))))
+SCHEMA = "id int, rain double, sun double, crop string, slope string, yield_t double"
+
+
+def farm(n: int, rain=lambda i: 7.0 * (i % 13), crop=lambda i: ("rye", "oats", "flax")[i % 3]):
+    """n rows with the given rain and crop; the other columns vary by rule."""
+    return [(i, rain(i), ((i * 5) % 17) / 4, crop(i), "NESW"[(i // 2) % 4], float(i % 23)) for i in range(n)]
 
 
 def fit_transform(df, cfg=None):
@@ -22,49 +26,51 @@ def fit_transform(df, cfg=None):
 
 
 def test_missing_values_filled(spark):
-    df = spark.createDataFrame([(1, 10.0, 1.1, "A", "X", 1.0), (2, None, 2.2, None, "Y", 2.0),
-                                (3, 30.0, 3.3, "C", None, 3.0), (4, None, 4.4, "A", "X", 4.0),
-                                (5, 50.0, 5.5, "B", "Y", 5.0)], SCHEMA)
+    df = spark.createDataFrame(farm(40, rain=lambda i: None if i % 4 == 1 else float(i),
+                                    crop=lambda i: None if i % 5 == 2 else "rye" if i % 2 else "oats"), SCHEMA)
     for nulls_as_label in (True, False):
-        _, out = fit_transform(df, PreprocessConfig(nulls_as_label=nulls_as_label))
-        feats = [c for c in out.columns if c not in ("id", "target_field")]
-        assert out.where(" OR ".join(f"`{c}` IS NULL" for c in feats)).count() == 0
+        fp, out = fit_transform(df, PreprocessConfig(nulls_as_label=nulls_as_label))
+        assert out.count() == 40 and "rain_na" in fp.report["indicators"] or fp.report["indicators"] == ["rain"]
+        assert out.where(" OR ".join(f"`{c}` IS NULL" for c in fp.feature_cols)).count() == 0
 
 
 def test_outliers_clipped(spark):
-    df = spark.createDataFrame([(i + 1, v, w, a, b, 1.0) for i, (v, w, a, b) in enumerate(
-        [(10.0, 1.1, "A", "X"), (20.0, -2.2, "B", "Y"), (30.0, 3.3, "C", "Z"), (40.0, -4.4, "A", "X"),
-         (1000.0, 5.5, "B", "Y")])], SCHEMA)
-    for lim in (4.0, 1.0):
-        _, out = fit_transform(df, PreprocessConfig(clip_min=-lim, clip_max=lim))
-        r = out.agg(F.min("numeric_feature_1"), F.max("numeric_feature_1")).first()
-        assert r[0] >= -lim and r[1] <= lim
+    """One value far out; after scaling nothing passes the bounds and the far value sits on one."""
+    df = spark.createDataFrame(farm(30, rain=lambda i: 9000.0 if i == 11 else float(i % 6)), SCHEMA)
+    for bound in (0.5, 2.5):
+        _, out = fit_transform(df, PreprocessConfig(clip_min=-bound, clip_max=bound))
+        low, high = out.agg(F.min("rain"), F.max("rain")).first()
+        assert -bound <= low < high == bound
 
 
 def test_rare_labels_grouped(spark):
-    c1 = ["A"] * 8 + ["B", "C"]
-    c2 = ["X", "Y", "Z", "X", "X", "X", "Y", "Z", "X", "Z"]
-    df = spark.createDataFrame([(i + 1, float(10 * (i % 5 + 1)), 1.1 * (i % 5 + 1), c1[i], c2[i], 1.0)
-                                for i in range(10)], SCHEMA)
-    _, out = fit_transform(df, PreprocessConfig(rare_tol=0.2))
-    assert "categorical_feature_1_B" not in out.columns
-    assert "categorical_feature_1_C" not in out.columns
-    assert "categorical_feature_1_A" in out.columns or "categorical_feature_1_Rare" in out.columns
+    """30 rows: rye 24, oats 3, flax 3; at 0.15 both small ones go into the common label."""
+    df = spark.createDataFrame(farm(30, crop=lambda i: "oats" if i % 10 == 3 else "flax" if i % 10 == 7 else "rye"), SCHEMA)
+    fp, out = fit_transform(df, PreprocessConfig(rare_tol=0.15))
+    assert [c for c in fp.feature_cols if c.startswith("crop_")] == ["crop_rye"]
+    assert out.agg(F.sum("crop_rye")).first()[0] == 24
+
+
+@pytest.mark.parametrize("labels", [2, 60])
+def test_label_at_the_tolerance_is_kept_in_narrow_and_wide_columns(spark, labels):
+    """7 of 100 rows at 0.07."""
+    rows = [(i, float(i % 9), float(i % 7), "edge" if i < 7 else f"o{i % (labels - 1)}", "N", 1.0 * i) for i in range(100)]
+    fp, _ = fit_transform(spark.createDataFrame(rows, SCHEMA), PreprocessConfig(rare_tol=0.07))
+    assert "edge" in fp.pipeline.stages[10].v("keep")[0]
 
 
 def test_numeric_only_and_categorical_only(spark):
-    df = spark.createDataFrame([(i, float(i), float(i * i % 7), "A" if i % 2 else "B", "P" if i % 3 else "Q", 1.0)
-                                for i in range(20)], SCHEMA)
-    fp, out = fit_transform(df.drop("categorical_feature_1", "categorical_feature_2"))
-    assert out.count() == 20 and fp.feature_cols
-    fp, out = fit_transform(df.drop("numeric_feature_1", "numeric_feature_2"))
-    assert out.count() == 20 and fp.feature_cols
+    df = spark.createDataFrame(farm(26), SCHEMA)
+    for kept in (["rain", "sun"], ["crop", "slope"]):
+        fp, out = fit_transform(df.select("id", *kept, "yield_t"))
+        assert out.count() == 26 and fp.feature_cols
+        assert all(c.split("_")[0] in kept for c in fp.feature_cols)
 
 
 def test_all_null_column_dropped_and_all_null_error(spark):
     df = spark.createDataFrame([(i, None, float(i), None, "P" if i % 2 else "Q", 1.0) for i in range(6)], SCHEMA)
     fp, out = fit_transform(df)
-    assert "numeric_feature_1" not in out.columns and not any(c.startswith("categorical_feature_1") for c in out.columns)
+    assert "rain" not in out.columns and not any(c.startswith("crop") for c in out.columns)
     allnull = spark.createDataFrame([(i, None, None, None, None, 1.0) for i in range(4)], SCHEMA)
     with pytest.raises(ValueError, match="All features in the input dataframe are NaN"):
         fit_transform(allnull)
@@ -79,7 +85,7 @@ def test_empty_and_not_a_table(spark):
 
 def test_string_target_is_tolerated(spark):
     df = spark.createDataFrame([(i, float(i), float(i % 3), "A", "X", "A") for i in range(5)],
-                               SCHEMA.replace("target_field double", "target_field string"))
+                               SCHEMA.replace("yield_t double", "yield_t string"))
     fp, out = fit_transform(df)
     assert fp.target_scaler is None and out.count() == 5
 
@@ -88,8 +94,8 @@ def test_inject_nulls_only_nullable_without_nulls(spark):
     df = spark.createDataFrame([(i, float(i), float(i), "A", "P", 1.0) for i in range(5)], SCHEMA)
     out = inject_nulls(df, "id", SPEC.nullable_features, p=0.05, seed=123)
     nulls = out.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns]).first().asDict()
-    assert nulls["numeric_feature_1"] >= 1 and nulls["categorical_feature_1"] >= 1
-    assert nulls["numeric_feature_2"] == 0 and nulls["categorical_feature_2"] == 0
+    assert nulls["rain"] >= 1 and nulls["crop"] >= 1
+    assert nulls["sun"] == 0 and nulls["slope"] == 0
     with_nulls = spark.createDataFrame([(1, None, 1.0, None, "P", 1.0), (2, 2.0, 2.0, "A", "P", 1.0)], SCHEMA)
     same = inject_nulls(with_nulls, "id", SPEC.nullable_features)
     assert sorted(map(tuple, same.collect()), key=str) == sorted(map(tuple, with_nulls.collect()), key=str)
@@ -153,7 +159,7 @@ def test_labels_with_dots_spaces_backticks(spark, tmp_dir):
     fp = Preprocessor(SPEC).fit(df)
     assert any("a.b c" in c for c in fp.feature_cols) and any("x`y" in c for c in fp.feature_cols)
     out = fused_transform(fp.pipeline, df)
-    m = huber_fit(out, fp.feature_cols, "target_field")
+    m = huber_fit(out, fp.feature_cols, "yield_t")
     assert len(m.v("coefficients")) == len(fp.feature_cols)
     save_bundle(fp.pipeline, tmp_dir + "/b")
     again = fused_transform(load_bundle(tmp_dir + "/b"), df)

@@ -1,4 +1,4 @@
-"""Single-operator frames (literal input -> literal output), after the reference's unit tests."""
+"""Single operators on small frames whose results are worked out by hand."""
 
 import pytest
 
@@ -16,20 +16,19 @@ def rows(df, cols=None):
 
 
 def test_column_selector_keep_and_drop(spark):
-    df = spark.createDataFrame([(1, 3, 5), (2, 4, 6)], "A int, B int, C int")
-    assert ColumnSelector(columns=["C", "A", "zz"]).transform(df).columns == ["A", "C"]
-    assert ColumnSelector(columns=["A", "C"], selectorType="drop").transform(df).columns == ["B"]
+    df = spark.createDataFrame([("k1", 0.5, True, 9)], "sku string, weight double, fragile boolean, stock int")
+    keep = ColumnSelector(columns=["stock", "weight", "not there"], passthrough=["sku"])
+    assert keep.transform(df).columns == ["sku", "weight", "stock"]
+    drop = ColumnSelector(columns=["sku", "stock", "fragile"], selectorType="drop", passthrough=["sku"])
+    assert drop.transform(df).columns == ["sku", "weight"]
     with pytest.raises(AssertionError):
-        ColumnSelector(columns=["A"], selectorType="other").transform(df)
+        ColumnSelector(columns=["sku"], selectorType="sideways").transform(df)
 
 
 def test_cast_int_and_str(spark):
-    df = spark.createDataFrame([("1", 3.0, 5.0), ("2", 4.0, 6.0)], "A string, B double, C double")
-    out = TypeCaster(inputCols=["A", "B"], castType="int").transform(df)
-    assert rows(out, ["A", "B"]) == [(1, 3), (2, 4)]
-    df2 = spark.createDataFrame([(1, 3.0), (2, 4.0)], "A int, B double")
-    out2 = TypeCaster(inputCols=["A", "B"], castType="string").transform(df2)
-    assert rows(out2) == [("1", "3.0"), ("2", "4.0")]
+    df = spark.createDataFrame([("-17", 250.0, 0.25)], "depth string, load double, ratio double")
+    assert rows(TypeCaster(inputCols=["depth", "load"], castType="int").transform(df)) == [(-17, 250, 0.25)]
+    assert rows(TypeCaster(inputCols=["load", "ratio"], castType="string").transform(df)) == [("-17", "250.0", "0.25")]
 
 
 def test_cast_str_booleans_and_nulls(spark):
@@ -51,16 +50,13 @@ def test_cast_float_nan_to_null(spark):
 
 
 def test_clip_both_and_one_sided(spark):
-    df = spark.createDataFrame([(1, 6, 3), (2, 7, 4), (5, 8, 9)], "col1 int, col2 int, col3 int")
-    out = ValueClipper(inputCols=["col1", "col2", "nope"], lower=2.0, upper=7.0).transform(df)
-    assert rows(out) == [(2.0, 6.0, 3), (2.0, 7.0, 4), (5.0, 7.0, 9)]
-    df2 = spark.createDataFrame([(1, 4), (2, 5), (3, 6)], "col1 int, col2 int")
-    lo = ValueClipper(inputCols=["col1", "col2"], lower=2.0).transform(df2)
-    assert rows(lo) == [(2.0, 4.0), (2.0, 5.0), (3.0, 6.0)]
-    hi = ValueClipper(inputCols=["col1", "col2"], upper=5.0).transform(df2)
-    assert rows(hi) == [(1.0, 4.0), (2.0, 5.0), (3.0, 5.0)]
-    none = ValueClipper(inputCols=["col1", "col2"]).transform(df2)
-    assert rows(none) == [(1, 4), (2, 5), (3, 6)]
+    df = spark.createDataFrame([("a", -30.0, 4), ("b", 0.5, 18), ("c", 77.0, -6)], "k string, temp double, level int")
+    def clipped(**bounds):
+        return rows(ValueClipper(inputCols=["temp", "level", "absent"], **bounds).transform(df))
+    assert clipped(lower=-10.0, upper=15.0) == [("a", -10.0, 4.0), ("b", 0.5, 15.0), ("c", 15.0, -6.0)]
+    assert clipped(lower=0.0) == [("a", 0.0, 4.0), ("b", 0.5, 18.0), ("c", 77.0, 0.0)]
+    assert clipped(upper=0.0) == [("a", -30.0, 0.0), ("b", 0.0, 0.0), ("c", 0.0, -6.0)]
+    assert clipped() == rows(df)
 
 
 def test_clip_keeps_null(spark):
@@ -70,10 +66,11 @@ def test_clip_keeps_null(spark):
 
 
 def test_mode_impute_threshold(spark):
-    df = spark.createDataFrame([(1, "a", "x"), (2, "a", None), (3, None, None), (4, "b", None)],
-                               "i int, col1 string, col2 string")
-    out = MostFrequentImputer(inputCols=["col1", "col2"], threshold=0.5).fit(df).transform(df)
-    assert rows(out) == [(1, "a", "x"), (2, "a", None), (3, "a", None), (4, "b", None)]
+    """1 of 5 missing is below a threshold of 0.3, 2 of 5 is not."""
+    df = spark.createDataFrame([(1, "oak", None), (2, None, "wet"), (3, "elm", "wet"), (4, "oak", None), (5, "oak", "dry")],
+                               "plot int, tree string, soil string")
+    out = MostFrequentImputer(inputCols=["tree", "soil"], threshold=0.3).fit(df).transform(df)
+    assert rows(out) == [(1, "oak", None), (2, "oak", "wet"), (3, "elm", "wet"), (4, "oak", None), (5, "oak", "dry")]
 
 
 def test_mode_ties_smallest_label(spark):
@@ -83,21 +80,19 @@ def test_mode_ties_smallest_label(spark):
 
 
 def test_missing_tag(spark):
-    df = spark.createDataFrame([(1, None, "X"), (2, "A", None), (3, "B", "Y"), (4, None, None)],
-                               "i int, col1 string, col3 string")
-    out = CategoricalImputer(inputCols=["col1", "col3"], fillValue="Unknown").fit(df).transform(df)
-    assert rows(out) == [(1, "Unknown", "X"), (2, "A", "Unknown"), (3, "B", "Y"), (4, "Unknown", "Unknown")]
+    df = spark.createDataFrame([(1, "n", None), (2, None, None), (3, None, "s")], "i int, lane string, side string")
+    out = CategoricalImputer(inputCols=["lane", "side"], fillValue="?").fit(df).transform(df)
+    assert rows(out) == [(1, "n", "?"), (2, "?", "?"), (3, "?", "s")]
 
 
 def test_one_hot_counts_by_cap(spark):
-    data = {"color": ["red", "blue", "green", "red", "red", "green", "blue"],
-            "size": ["small", "medium", "large", "medium", "small", "small", "medium"],
-            "material": ["wood", "steel", "plastic", "steel", "wood", "sand", "paper"],
-            "shape": ["circle", "square", "circle", "square", "square", "circle", "square"]}
-    df = spark.createDataFrame([tuple(data[c][i] for c in data) for i in range(7)], ", ".join(f"{c} string" for c in data))
-    for cap, expected in zip([2, 3, 4, 5], [7, 8, 9, 9]):
-        out = OneHotEncoder(inputCols=list(data), maxCategories=cap).fit(df).transform(df)
-        assert len(out.columns) == expected
+    """Column i has i + 2 labels, so a cap of k gives min(k, i + 1) columns for it (at least one)."""
+    df = spark.createDataFrame([tuple(f"v{j % (i + 2)}" for i in range(4)) for j in range(60)],
+                               "two string, three string, four string, five string")
+    for cap in (1, 2, 3, 9):
+        m = OneHotEncoder(inputCols=df.columns, maxCategories=cap).fit(df)
+        assert [len(c) for c in m.v("categories")] == [min(cap, i + 1) for i in range(4)]
+        assert len(m.transform(df).columns) == sum(min(cap, i + 1) for i in range(4))
 
 
 def test_one_hot_single_category_and_missing_column(spark):
@@ -117,14 +112,31 @@ def test_one_hot_null_and_unknown_are_zero(spark):
 
 
 def test_rare_label(spark):
-    vals = ["A"] * 8 + ["B", "C"]
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, c string")
-    m = RareLabelEncoder(inputCols=["c"], tol=0.2, nCategories=1).fit(df)
-    out = m.transform(df)
-    assert sorted(set(r.c for r in out.collect())) == ["A", "Rare"]
-    # one label only: everything seen is kept
-    one = spark.createDataFrame([(1, "A"), (2, "A")], "i int, c string")
-    assert RareLabelEncoder(inputCols=["c"], tol=0.9, nCategories=1).fit(one).v("keep") == [["A"]]
+    """Shares 0.55, 0.25, 0.15 and 0.05 at a tolerance of 0.15: the last label only is rare."""
+    labels = ["bus"] * 11 + ["tram"] * 5 + ["ferry"] * 3 + ["gondola"]
+    df = spark.createDataFrame(list(enumerate(labels)), "i int, ride string")
+    m = RareLabelEncoder(inputCols=["ride"], tol=0.15, nCategories=2).fit(df)
+    assert m.v("keep") == [["bus", "ferry", "tram"]]
+    assert {r.ride for r in m.transform(df).collect()} == {"bus", "ferry", "tram", "Rare"}
+    # no more labels than nCategories: all seen labels stay, whatever their share
+    assert RareLabelEncoder(inputCols=["ride"], tol=0.9, nCategories=4).fit(df).v("keep") == [sorted(set(labels))]
+
+
+@pytest.mark.parametrize("others", [1, 40])
+def test_rare_label_exactly_at_the_tolerance(spark, others):
+    """7 of 100 rows at 0.07 is kept, however many labels share the rest."""
+    labels = ["edge"] * 7 + [f"o{i % others}" for i in range(93)]
+    df = spark.createDataFrame(list(enumerate(labels)), "i int, c string")
+    keep = RareLabelEncoder(inputCols=["c"], tol=0.07, nCategories=1).fit(df).v("keep")[0]
+    assert "edge" in keep and len(keep) == (2 if others == 1 else 1)
+
+
+def test_rare_label_with_zero_tolerance(spark):
+    """Every seen label stays; an unseen one is rare."""
+    df = spark.createDataFrame([(i, f"v{i}") for i in range(500)], "i int, c string")
+    m = RareLabelEncoder(inputCols=["c"], tol=0.0, nCategories=1).fit(df)
+    assert m.transform(df).where("c = 'Rare'").count() == 0
+    assert m.transform(spark.createDataFrame([(1, "new")], "i int, c string")).first().c == "Rare"
 
 
 def test_mean_median_indicator_scaler(spark):
@@ -142,12 +154,12 @@ def test_mean_median_indicator_scaler(spark):
 
 
 def test_target_scale_round_trip(spark):
-    df = spark.createDataFrame([(i, float(i)) for i in range(5)], "i int, t double")
-    m = TargetScaler(targetCol="t").fit(df)
-    back = m.transform(df).select("i", m.inverse("t", F.col("t")).alias("t"))
-    assert [round(r.t, 6) for r in back.orderBy("i").collect()] == [0.0, 1.0, 2.0, 3.0, 4.0]
+    df = spark.createDataFrame([(i, 3.0 * i - 40) for i in range(9)], "i int, price double")
+    m = TargetScaler(targetCol="price").fit(df)
+    back = m.transform(df).select("i", m.inverse("price", F.col("price")).alias("price"))
+    assert [round(r.price, 6) for r in back.orderBy("i").collect()] == [3.0 * i - 40 for i in range(9)]
     with pytest.raises(ValueError):
-        TargetScaler(targetCol="zz").fit(df)
+        TargetScaler(targetCol="cost").fit(df)
 
 
 def test_drop_all_null_and_error(spark):
