@@ -19,7 +19,8 @@ def _key(parts) -> Column:
     for i, p in enumerate(parts):
         if i:
             cols.append(F.lit("|"))
-        cols.append(p.cast("string") if isinstance(p, Column) else F.lit(str(p)))
+        # a NULL counts as the empty text (as ``concat`` of DuckDB reads it): no row is without a number
+        cols.append(F.coalesce(p.cast("string"), F.lit("")) if isinstance(p, Column) else F.lit(str(p)))
     return F.concat(*cols)
 
 

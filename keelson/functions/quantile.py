@@ -1,121 +1,102 @@
 """Exact quantiles (interpolated, like ``percentile`` / DuckDB ``quantile_cont``)
 without holding a column's values in one task.
 
-Spark's exact ``percentile``/``median`` keep a map of every distinct value of
+Spark's exact ``percentile`` / ``median`` keep a map of every distinct value of
 a group in the task that finishes the group: at scale that is one task per
-column holding the whole column.  Here each round builds a histogram of
-``buckets`` equal-width bins inside the current window [lo, hi] of every
-column (a partial aggregate keyed by (column, bin)), finds the bin holding the
-wanted rank and narrows the window to that bin's actual min/max.  A window
-with few rows left is collected and finished on the driver.  Every round is a
-scan with a bounded shuffle; the count inside the window drops every round.
+column holding the whole column.  Here a wanted rank is narrowed down by
+histograms (partial aggregates keyed by (column, bin), at most ``BINS`` rows a
+column and task).  The first histogram bins by sign and binary exponent, which
+orders doubles of any range; the next ones split the remaining window (within
+one power of two) into equal parts.  A round keeps only the bin with the rank,
+from its actual least to its actual largest value, so a double's 52 fraction
+bits last at most six rounds.  Every column is binned in place by its own
+expression; chunks of columns keep the generated code small.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.functions.profile import long_numeric
+from keelson.functions.exprs import qcol
+from keelson.functions.profile import chunked_aggregate
 
+BINS = 1024
+CHUNK_COLUMNS = 32
 
-def _case(colname_to_value: dict, default=None):
-    expr = None
-    for name, val in colname_to_value.items():
-        cond = F.col("col") == F.lit(name)
-        expr = F.when(cond, val) if expr is None else expr.when(cond, val)
-    return expr.otherwise(default) if expr is not None else F.lit(default)
 
+def _exponent_bin(v: Column) -> Column:
+    """A whole number that never falls as ``v`` grows: sign times (binary exponent + 1200), 0 for 0."""
+    size = F.floor(F.log2(F.abs(v))) + F.lit(1200)
+    size = F.when(F.abs(v) == F.lit(float("inf")), F.lit(5000)).otherwise(size)
+    return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("int")
 
-def _select_ranks(long: DataFrame, targets: dict, buckets: int, collect_limit: int,
-                  max_rounds: int) -> dict:
-    """targets: col -> (rank, n, lo, hi).  Returns col -> value at 0-based rank."""
-    # state: col -> [rank within window, lo, hi, count in window]
-    state = {c: [r, lo, hi, n] for c, (r, n, lo, hi) in targets.items()}
-    result = {}
-    for c, (r, lo, hi, cnt) in list(state.items()):
-        if lo == hi:
-            result[c] = lo
-            del state[c]
-    rounds = 0
+
+def _window_bin(v: Column, lo: float, hi: float, bins: int) -> Column:
+    """Equal parts of [lo, hi]; halves keep the width finite."""
+    part = F.floor((v / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2) * F.lit(float(bins)))
+    return F.least(F.greatest(part, F.lit(0)), F.lit(bins - 1)).cast("int")
+
+
+def _histograms(df: DataFrame, bins: dict[str, tuple[Column, Column]]) -> dict[str, list]:
+    """name -> rows (bin, n, lo, hi) in bin order, for (value, bin) columns; a NULL bin is outside."""
+    names, out = list(bins), {name: [] for name in bins}
+    for start in range(0, len(names), CHUNK_COLUMNS):
+        entries = [F.struct(F.lit(start + i).alias("k"), bins[name][1].alias("bin"), bins[name][0].alias("v"))
+                   for i, name in enumerate(names[start:start + CHUNK_COLUMNS])]
+        rows = (df.select(F.explode(F.array(*entries)).alias("e")).select("e.*").where("bin IS NOT NULL")
+                .groupBy("k", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")))
+        for r in rows.collect():                              # at most BINS (or 4,400 exponents) a column
+            out[names[r["k"]]].append(r)
+    return {name: sorted(rows, key=lambda r: r["bin"]) for name, rows in out.items()}
+
+
+def select_ranks(df: DataFrame, wanted: dict[str, tuple[Column, int]], bins: int = BINS) -> dict[str, float]:
+    """name -> the value at a 0-based rank among the non-null values of a double column."""
+    state = {name: (v, rank, None, None) for name, (v, rank) in wanted.items()}
+    result: dict[str, float] = {}
     while state:
-        rounds += 1
-        small = {c: s for c, s in state.items() if s[3] <= collect_limit}
-        big = {c: s for c, s in state.items() if s[3] > collect_limit}
-        if small:
-            in_win = _case({c: (F.col("v") >= s[1]) & (F.col("v") <= s[2]) for c, s in small.items()}, False)
-            rows = (long.where(F.col("col").isin(list(small)) & in_win)
-                    .groupBy("col").agg(F.sort_array(F.collect_list("v")).alias("vs")).collect())
-            for row in rows:
-                result[row["col"]] = row["vs"][small[row["col"]][0]]
-            for c in small:
-                del state[c]
-        if big:
-            if rounds > max_rounds:
-                raise RuntimeError("exact_quantile did not converge")
-            in_win = _case({c: (F.col("v") >= s[1]) & (F.col("v") <= s[2]) for c, s in big.items()}, False)
-            bin_expr = _case({c: F.least(F.lit(buckets - 1),
-                                         F.floor((F.col("v") - F.lit(s[1])) / F.lit(s[2] - s[1]) * buckets))
-                              for c, s in big.items()})
-            rows = (long.where(F.col("col").isin(list(big)) & in_win)
-                    .groupBy("col", bin_expr.alias("bin"))
-                    .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-                    .collect())
-            by_col: dict = {}
-            for row in rows:
-                by_col.setdefault(row["col"], []).append(row)
-            for c, s in big.items():
-                rank = s[0]
-                for row in sorted(by_col[c], key=lambda x: x["bin"]):
-                    if rank < row["n"]:
-                        if row["lo"] == row["hi"]:
-                            result[c] = row["lo"]
-                            del state[c]
-                        else:
-                            state[c] = [rank, row["lo"], row["hi"], row["n"]]
-                        break
-                    rank -= row["n"]
+        binned = {}
+        for name, (v, _, lo, hi) in state.items():
+            inside = v.isNotNull() if lo is None else (v >= F.lit(lo)) & (v <= F.lit(hi))
+            binned[name] = (v, F.when(inside, _exponent_bin(v) if lo is None else _window_bin(v, lo, hi, bins)))
+        for name, rows in _histograms(df, binned).items():
+            v, rank, _, _ = state.pop(name)
+            for r in rows:
+                if rank < r["n"]:
+                    if r["lo"] == r["hi"]:
+                        result[name] = r["lo"]
+                    else:
+                        state[name] = (v, rank, r["lo"], r["hi"])
+                    break
+                rank -= r["n"]
     return result
 
 
-def exact_quantile(df: DataFrame, cols: list[str], q: float = 0.5, buckets: int = 1024,
-                   collect_limit: int = 50_000, max_rounds: int = 64,
+def exact_quantile(df: DataFrame, cols: list[str], q: float = 0.5, bins: int = BINS,
                    profile: dict | None = None) -> dict[str, float | None]:
     """Exact q-quantile of each column, nulls ignored (None for an empty column)."""
-    if not cols:
-        return {}
-    long = long_numeric(df, cols).where(F.col("v").isNotNull())
+    values = {c: qcol(c).cast("double") for c in cols}
     if profile is None:
-        rows = long.groupBy("col").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
-                                       F.max("v").alias("hi")).collect()
-        profile = {r["col"]: dict(count=r["n"], min=r["lo"], max=r["hi"]) for r in rows}
+        counts = chunked_aggregate(df, [(f"c{i}", F.count(values[c]), 1) for i, c in enumerate(cols)])
+        profile = {c: dict(count=counts[f"c{i}"]) for i, c in enumerate(cols)}
     out: dict = {c: None for c in cols}
-    lo_t, hi_t, frac = {}, {}, {}
-    for c in cols:
-        p = profile.get(c)
-        if not p or not p["count"]:
-            continue
-        pos = q * (p["count"] - 1)
-        r1 = int(math.floor(pos))
-        frac[c] = pos - r1
-        lo_t[c] = (r1, p["count"], p["min"], p["max"])
-    v1 = _select_ranks(long, lo_t, buckets, collect_limit, max_rounds)
-    # the next order statistic: v1 again if it repeats, else the smallest value above it
-    need = [c for c in v1 if frac[c] > 0]
-    if need:
-        aggs = []
-        for i, c in enumerate(need):
-            is_c = F.col("col") == F.lit(c)
-            aggs += [F.count_if(is_c & (F.col("v") <= F.lit(v1[c]))).alias(f"le{i}"),
-                     F.min(F.when(is_c & (F.col("v") > F.lit(v1[c])), F.col("v"))).alias(f"nx{i}")]
-        r = long.where(F.col("col").isin(need)).agg(*aggs).first()
-        for i, c in enumerate(need):
-            r1 = lo_t[c][0]
-            v2 = v1[c] if r[f"le{i}"] >= r1 + 2 else r[f"nx{i}"]
-            out[c] = v1[c] + frac[c] * (v2 - v1[c])
-    for c in v1:
-        if frac[c] == 0:
-            out[c] = v1[c]
+    place = {c: q * (profile[c]["count"] - 1) for c in cols if profile.get(c) and profile[c]["count"]}
+    below = select_ranks(df, {c: (values[c], int(math.floor(p))) for c, p in place.items()}, bins)
+    # the next order statistic: the same value if it repeats, else the smallest above it
+    between = [c for c, p in place.items() if p > math.floor(p)]
+    aggs = []
+    for i, c in enumerate(between):
+        aggs += [(f"le{i}", F.count_if(values[c] <= F.lit(below[c])), 1),
+                 (f"nx{i}", F.min(F.when(values[c] > F.lit(below[c]), values[c])), 1)]
+    r = chunked_aggregate(df, aggs)
+    for c, p in place.items():
+        out[c] = below[c]
+        if c in between:
+            i, rank, part = between.index(c), int(math.floor(p)), p - math.floor(p)
+            above = below[c] if r[f"le{i}"] >= rank + 2 else r[f"nx{i}"]
+            out[c] = below[c] * (1 - part) + above * part if math.isinf(above - below[c]) \
+                else below[c] + part * (above - below[c])
     return out

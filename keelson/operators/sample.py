@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from keelson.functions.exprs import qcol
 from keelson.functions.hashing import hash_uniform
-from keelson.functions.quantile import _select_ranks
+from keelson.functions.profile import chunked_aggregate
+from keelson.functions.quantile import select_ranks
 
 DEFAULT_SPLIT_SEED = 42
 
@@ -29,30 +30,29 @@ def split_train_val(df: DataFrame, id_col: str, val_pct: float, seed: int = DEFA
     """Disjoint, complete split; validation = rows whose hash is below ``val_pct``.
 
     ``exact_size=True`` takes exactly ceil(n * val_pct) rows with the smallest
-    hashes: the boundary hash is found by histogram narrowing (no global sort,
-    no single-partition window); only the boundary travels to the driver.
+    hashes: the boundary is found by histogram narrowing (no global sort, no
+    single-partition window); only it travels to the driver.  Rows equal in
+    every column stay on one side.
     """
     if not 0 <= val_pct < 1:
         raise ValueError("val_pct must be in [0, 1)")
-    u = split_key(id_col, seed)
+    u = split_key(id_col, seed)                # never NULL: a row without an ID has a number too
     if not exact_size:
-        return df.where(u >= F.lit(val_pct)), df.where(u < F.lit(val_pct))
-    keyed = df.withColumn("__u", u).withColumn("__tb", F.xxhash64(qcol(id_col)))
-    st = keyed.agg(F.count(F.lit(1)).alias("n"), F.min("__u").alias("lo"), F.max("__u").alias("hi")).first()
-    n = st["n"]
+        in_val = u < F.lit(val_pct)
+        return df.where(~in_val), df.where(in_val)
+    # ties of the hash are ordered by a second one, of the whole row
+    tie = F.xxhash64(*[qcol(c) for c in df.columns]).bitwiseAND(F.lit((1 << 52) - 1)).cast("double")
+    keyed = df.withColumn("__u", u).withColumn("__tie", tie)
+    n = df.count()
     k = int(math.ceil(n * val_pct))
-    cols = df.columns
     if k == 0:
         return df, df.where(F.lit(False))
-    # k-th smallest hash by histogram narrowing (bounded shuffles, no global sort)
-    long = keyed.select(F.lit("u").alias("col"), F.col("__u").alias("v"))
-    ustar = _select_ranks(long, {"u": (k - 1, n, st["lo"], st["hi"])}, 1024, 50_000, 64)["u"]
-    below = keyed.where(F.col("__u") < F.lit(ustar)).count()
-    # rows sharing the k-th hash are few; order them by a second hash
-    ties = (keyed.where(F.col("__u") == F.lit(ustar)).select("__tb").orderBy("__tb")
-            .limit(k - below).collect())
-    tb_cut = ties[-1]["__tb"]
-    in_val = (F.col("__u") < F.lit(ustar)) | ((F.col("__u") == F.lit(ustar)) & (F.col("__tb") <= F.lit(tb_cut)))
+    edge = select_ranks(keyed, {"u": (F.col("__u"), k - 1)})["u"]
+    below = keyed.where(F.col("__u") < F.lit(edge)).count()
+    at_edge = keyed.where(F.col("__u") == F.lit(edge))
+    last = select_ranks(at_edge, {"t": (F.col("__tie"), k - below - 1)})["t"]
+    in_val = (F.col("__u") < F.lit(edge)) | ((F.col("__u") == F.lit(edge)) & (F.col("__tie") <= F.lit(last)))
+    cols = [qcol(c) for c in df.columns]
     return keyed.where(~in_val).select(*cols), keyed.where(in_val).select(*cols)
 
 
@@ -61,17 +61,17 @@ def inject_nulls(df: DataFrame, id_col: str, columns: list[str], p: float = 0.05
     """For each listed column that has no null, null out the rows whose hash of
     (id, seed, column) is below ``p``; if that picks no row, null the row with
     the smallest hash, so every such column gets at least one null.
-    Columns that already hold a null are left alone.  Two passes: one fused
-    aggregate, one projection."""
+    Columns that already hold a null are left alone.  Column chunks of one
+    aggregate, then one projection."""
     cols = [c for c in columns if c in df.columns]
     if not cols:
         return df
     h = {c: hash_uniform(qcol(id_col), seed, c) for c in cols}
-    aggs = [F.count(F.lit(1)).alias("__n")]
+    aggs = [("__n", F.count(F.lit(1)), 1)]
     for i, c in enumerate(cols):
-        aggs += [F.count(qcol(c)).alias(f"nn{i}"), F.count_if(h[c] < F.lit(p)).alias(f"m{i}"),
-                 F.min_by(qcol(id_col), h[c]).alias(f"fb{i}")]
-    r = df.agg(*aggs).first()
+        aggs += [(f"nn{i}", F.count(qcol(c)), 1), (f"m{i}", F.count_if(h[c] < F.lit(p)), 1),
+                 (f"fb{i}", F.min(h[c]), 1)]
+    r = chunked_aggregate(df, aggs)
     out = {}
     for i, c in enumerate(cols):
         if r[f"nn{i}"] < r["__n"] or r["__n"] == 0:
@@ -79,7 +79,7 @@ def inject_nulls(df: DataFrame, id_col: str, columns: list[str], p: float = 0.05
         if r[f"m{i}"] > 0:
             out[c] = F.when(h[c] < F.lit(p), F.lit(None)).otherwise(qcol(c))
         else:
-            out[c] = F.when(qcol(id_col) == F.lit(r[f"fb{i}"]), F.lit(None)).otherwise(qcol(c))
+            out[c] = F.when(h[c] == F.lit(r[f"fb{i}"]), F.lit(None)).otherwise(qcol(c))
     if not out:
         return df
     return df.select(*[out[c].alias(c) if c in out else qcol(c) for c in df.columns])

@@ -18,7 +18,7 @@ def test_exact_quantile_matches_numpy_with_many_rounds(spark):
     pdf = pd.DataFrame({"a": a, "b": b, "c": c})
     df = spark.createDataFrame(pdf).select(*[F.nanvl(x, F.lit(None).cast("double")).alias(x) for x in "abc"])
     for q in (0.5, 0.1, 0.9):
-        got = exact_quantile(df, ["a", "b", "c"], q, buckets=4, collect_limit=20)
+        got = exact_quantile(df, ["a", "b", "c"], q, bins=4)
         for col in "abc":
             v = pdf[col].dropna().to_numpy()
             assert abs(got[col] - np.quantile(v, q)) < 1e-9, (col, q)
@@ -26,7 +26,7 @@ def test_exact_quantile_matches_numpy_with_many_rounds(spark):
 
 def test_exact_quantile_even_count_and_constant(spark):
     df = spark.createDataFrame([(1.0, 5.0), (2.0, 5.0), (10.0, 5.0), (20.0, 5.0)], "x double, y double")
-    got = exact_quantile(df, ["x", "y"], 0.5, buckets=2, collect_limit=1)
+    got = exact_quantile(df, ["x", "y"], 0.5, bins=2)
     assert got == {"x": 6.0, "y": 5.0}
 
 
@@ -124,7 +124,7 @@ def test_exact_quantile_with_a_hot_value(spark):
     v[: n // 3] = 0.25
     df = spark.createDataFrame(pd.DataFrame({"x": v}))
     for q in (0.5, 0.2, 0.9):
-        got = exact_quantile(df, ["x"], q, buckets=8, collect_limit=10)["x"]
+        got = exact_quantile(df, ["x"], q, bins=8)["x"]
         assert abs(got - np.quantile(v, q)) < 1e-12
 
 
@@ -137,3 +137,38 @@ def test_duplicate_ids_with_a_hot_id(spark):
     got = {(r.rule, r.column): r.n_violations for r in violations(df, spec, is_train=False).collect()}
     n_seven = sum(1 for r in rows if r[0] == 7)
     assert got == {("unique_id", "id"): n_seven - 1}
+
+
+def test_exact_quantile_over_the_whole_range_of_doubles(spark):
+    """Values from 1e-320 to 1.7e308 of both signs, infinities, ties and zeros."""
+    import math
+    import random
+    rnd = random.Random(9)
+    xs = [rnd.choice([-1, 1]) * 10.0 ** rnd.uniform(-320, 308.2) for _ in range(6000)] + [0.0, -0.0] * 50 \
+        + [1.7e308, -1.7e308] * 20 + [float("inf")] * 3 + [5e-324] * 9
+    df = spark.createDataFrame([(x,) for x in xs] + [(None,)] * 7, "x double").repartition(5)
+    order = sorted(xs)
+    for q in (0.0, 0.25, 0.5, 0.9, 1.0):
+        rank = q * (len(xs) - 1)
+        lo, hi = order[math.floor(rank)], order[math.ceil(rank)]
+        got = exact_quantile(df, ["x"], q)["x"]
+        assert min(lo, hi) <= got <= max(lo, hi) and (lo != hi or got == lo)
+
+
+def test_select_ranks_of_many_columns(spark):
+    from pyspark.sql import functions as F
+    from keelson.functions.quantile import select_ranks
+    df = spark.range(997).select(*[((F.col("id") * (7 + i)) % 997 * 0.37 - i).alias(f"c{i}") for i in range(70)])
+    got = select_ranks(df, {f"c{i}": (F.col(f"c{i}"), 10 * i) for i in range(70)})
+    assert all(abs(got[f"c{i}"] - (10 * i * 0.37 - i)) < 1e-9 for i in range(70))
+
+
+def test_split_and_null_injection_lose_no_row_without_an_id(spark):
+    from pyspark.sql import functions as F
+    from keelson.operators.sample import inject_nulls, split_train_val
+    df = spark.range(100).select(F.when(F.col("id") % 10 != 0, F.col("id")).alias("id"), F.col("id").alias("x"))
+    for exact in (False, True):
+        tr, va = split_train_val(df, "id", 0.2, exact_size=exact)
+        a, b = {r.x for r in tr.collect()}, {r.x for r in va.collect()}
+        assert not a & b and a | b == set(range(100)) and (not exact or len(b) == 20)
+    assert inject_nulls(df, "id", ["x"]).count() == 100
