@@ -97,30 +97,23 @@ class HuberPredictorModel(StageModel):
         return f"Model name: Huber Regressor (alpha: {self.v('alpha')}, epsilon: {self.v('epsilon')})"
 
 
-def spread(df: DataFrame, share: int = 1) -> DataFrame:
-    """At least one partition per core (per ``share`` of the cores, when that many
-    fits run at once) before an iterative fit: every L-BFGS iteration is a pass
-    over these partitions.  Inputs that already have more partitions (any large
-    table) are left as they are."""
-    target = max(1, df.sparkSession.sparkContext.defaultParallelism // max(1, share))
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+def training_vectors(df: DataFrame, feature_cols: list[str], label: str) -> DataFrame:
+    """Persisted (features, __label) rows; the caller unpersists them."""
+    return assemble(df.withColumn("__label", qcol(label).cast("double")), feature_cols, keep=["__label"]) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def huber_fit(df: DataFrame, feature_cols: list[str], label: str, alpha: float = DEFAULT_ALPHA,
               epsilon: float = DEFAULT_EPSILON, n: int | None = None, max_iter: int = MAX_ITER,
-              tol: float = 1e-6, persist: bool = True) -> HuberPredictorModel:
-    """Fit on ``df`` (features as columns).  The assembled vectors are persisted
-    (memory and disk) for the iterations and released afterwards."""
-    data = spread(assemble(df.withColumn("__label", qcol(label).cast("double")), feature_cols, keep=["__label"]))
-    if persist:
-        data = data.persist(StorageLevel.MEMORY_AND_DISK)
+              tol: float = 1e-6, vectors: DataFrame | None = None) -> HuberPredictorModel:
+    """Fit on ``df`` (features as columns).  The assembled vectors are persisted (memory and
+    disk) for the iterations and released afterwards; ``vectors`` are such ones, kept by the caller."""
+    data = vectors if vectors is not None else training_vectors(df, feature_cols, label)
     try:
         n = n if n is not None else data.count()
         m = huber_estimator(alpha, epsilon, n, "__label", max_iter=max_iter, tol=tol).fit(data)
     finally:
-        if persist:
+        if vectors is None:
             data.unpersist()
     return HuberPredictorModel.from_mllib(m, feature_cols, alpha, epsilon)
 

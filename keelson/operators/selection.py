@@ -3,9 +3,8 @@ correlated (A12) columns.
 
 None of them compares rows pairwise or columns by collecting them:
 constants come from min / max / null counts (codegen-sized column chunks);
-duplicates from an order-independent signature per column (a multiset hash,
-or ``bit_xor`` of a hash of (id, value) in the single fused aggregate)
-followed by an exact ``<=>`` check of the candidate pairs only;
+duplicates from an order-independent signature per column (a multiset hash),
+followed by an exact ``<=>`` check of the candidates only;
 correlation from one distributed Gram pass (MLlib ``Correlation``), leaving a
 d x d matrix on the driver.
 """
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keelson.functions.exprs import qcol
-from keelson.functions.profile import chunked_aggregate, frequency_table
+from keelson.functions.profile import chunked_aggregate, frequency_table, null_counts
 from keelson.operators.base import StageEstimator, StageModel, param, present
 
 # Library messages the reference surfaces.
@@ -110,6 +109,36 @@ def constant_from_facts(f: dict, missing_values: str) -> bool:
     return f["nn"] > 0 and f["min"] == f["max"]
 
 
+def top_counts(df: DataFrame, cols: list[str], nulls: bool) -> dict[str, int]:
+    """Count of the most frequent value of each column (at least of any value held by half the rows).
+
+    ``mode`` of a bounded hash would need every distinct value; instead a majority
+    candidate is found bit by bit: bit b of the majority value's hash is the bit that
+    more than half of the rows have.  64 sums a column decide the only hash that can hold a
+    majority, a second aggregate counts it.  Where no value holds half the rows the
+    count is of some value or zero, which is below half: exact for tolerances above one half.
+    """
+    keys = {c: F.xxhash64(F.coalesce(qcol(c).cast("string"), F.lit("\u0000null")) if nulls else qcol(c).cast("string"))
+            for c in cols}
+    counted = {c: F.lit(True) if nulls else qcol(c).isNotNull() for c in cols}
+    bits = chunked_aggregate(df, [(f"b{i}_{k}", F.sum(F.when(counted[c], F.lit(1) - F.lit(2) * F.getbit(keys[c], F.lit(k)))), 1)
+                                  for i, c in enumerate(cols) for k in range(64)])
+    major = {}
+    for i, c in enumerate(cols):
+        value = sum(1 << k for k in range(64) if (bits[f"b{i}_{k}"] or 0) < 0)
+        major[c] = value - (1 << 64) if value >> 63 else value
+    counts = chunked_aggregate(df, [(f"m{i}", F.count_if(counted[c] & (keys[c] == F.lit(major[c]))), 1)
+                                    for i, c in enumerate(cols)])
+    return {c: counts[f"m{i}"] for i, c in enumerate(cols)}
+
+
+def frequent_counts(df: DataFrame, cols: list[str], nulls: bool) -> dict[str, int]:
+    """The same from the full frequency table (tolerances up to one half; shuffles every distinct value)."""
+    freq = frequency_table(df, cols)
+    rows = (freq if nulls else freq.where(F.col("value").isNotNull())).groupBy("col").agg(F.max("cnt").alias("m")).collect()
+    return dict.fromkeys(cols, 0) | {r["col"]: r["m"] for r in rows}
+
+
 class DropConstant(StageEstimator):
     """Drop columns with one distinct value (``tol`` = 1) or whose top value
     has a share >= ``tol`` (``tol`` < 1).  ``missingValues``: 'include' counts
@@ -131,14 +160,12 @@ class DropConstant(StageEstimator):
                 raise ValueError(MISSING_VALUES_MESSAGE)
             drop = [c for c in cols if constant_from_facts(facts[c], mv)]
         elif cols:
-            freq = frequency_table(df, cols)
-            if mv == "raise" and freq.where(F.col("value").isNull()).limit(1).count():
+            n, present_ = null_counts(df, cols)
+            if mv == "raise" and any(present_[c] < n for c in cols):
                 raise ValueError(MISSING_VALUES_MESSAGE)
-            if mv == "ignore":
-                freq = freq.where(F.col("value").isNotNull())
-            rows = freq.groupBy("col").agg((F.max("cnt") / F.sum("cnt")).alias("share")).collect()
-            share = {r["col"]: r["share"] for r in rows}
-            drop = [c for c in cols if share.get(c) is not None and share[c] >= tol]
+            top = top_counts(df, cols, nulls=mv == "include") if tol > 0.5 else frequent_counts(df, cols, mv == "include")
+            rows = {c: n if mv == "include" else present_[c] for c in cols}
+            drop = [c for c in cols if rows[c] and top[c] / rows[c] >= tol]
         if cols and len(drop) == len(cols):
             raise ValueError(ALL_CONSTANT_MESSAGE)
         return DropColumnsModel(dropCols=drop)
@@ -147,37 +174,29 @@ class DropConstant(StageEstimator):
 # --------------------------------------------------------------------------
 # A10 drop_duplicate
 def duplicate_groups(df: DataFrame, cols: list[str], facts: dict) -> list[list[str]]:
-    """Exact classes of identical columns, from fingerprint candidates.
+    """Exact classes of identical columns, from signature candidates.
 
-    Columns are bucketed by (type, fingerprint); only pairs inside a bucket are
-    checked, all in one aggregate of ``count_if(NOT a <=> b)``.
+    Columns are bucketed by (type, signature, counts, extremes).  Every column of a
+    bucket is compared with the bucket's first one only (``count_if(NOT a <=> b)``, in
+    codegen-sized chunks); those that differ form buckets for the next round.  So the
+    comparisons are as many as the columns, unless different columns share a signature.
     """
     buckets: dict = {}
     for c in sorted(cols):
         f = facts[c]
         buckets.setdefault((f["type"], f["fp"], f["n"], f["nn"], f["min"], f["max"]), []).append(c)
-    pairs = [(a, b) for grp in buckets.values() if len(grp) > 1
-             for i, a in enumerate(grp) for b in grp[i + 1:]]
-    if not pairs:
-        return []
-    r = df.agg(*[F.count_if(~qcol(a).eqNullSafe(qcol(b))).alias(f"p{k}")
-                 for k, (a, b) in enumerate(pairs)]).first()
-    parent = {c: c for c in cols}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for k, (a, b) in enumerate(pairs):
-        if r[f"p{k}"] == 0:
-            ra, rb = find(a), find(b)
-            if ra != rb:
-                parent[max(ra, rb)] = min(ra, rb)
-    classes: dict = {}
-    for c in sorted(cols):
-        classes.setdefault(find(c), []).append(c)
-    return [v for v in classes.values() if len(v) > 1]
+    open_, classes = [g for g in buckets.values() if len(g) > 1], []
+    while open_:
+        pairs = [(g[0], c) for g in open_ for c in g[1:]]
+        unequal = chunked_aggregate(df, [(f"p{k}", F.count_if(~qcol(a).eqNullSafe(qcol(b))), 1)
+                                         for k, (a, b) in enumerate(pairs)])
+        differs = {pair for k, pair in enumerate(pairs) if unequal[f"p{k}"]}
+        rest = []
+        for g in open_:
+            classes.append([g[0]] + [c for c in g[1:] if (g[0], c) not in differs])
+            rest.append([c for c in g[1:] if (g[0], c) in differs])
+        open_ = [g for g in rest if len(g) > 1]
+    return sorted(g for g in classes if len(g) > 1)
 
 
 class DropDuplicate(StageEstimator):
@@ -281,56 +300,3 @@ class DropCorrelated(StageEstimator):
 __all__ = ["DropConstant", "DropDuplicate", "DropCorrelated", "DropColumnsModel", "column_facts",
            "constant_from_facts", "duplicate_groups", "correlation_matrix", "correlated_groups",
            "pick_by_variance"]
-
-
-# --------------------------------------------------------------------------
-# one-pass form for moderate widths (used by the fused preprocessing fit)
-# Aggregation buffer fields up to which Spark keeps whole-stage codegen
-# (spark.sql.codegen.maxFields, default 100).  Past it an aggregate is
-# interpreted row by row, which at scale costs more CPU than the extra scans of
-# the long-form facts job plus MLlib's BLAS Gram passes.
-FUSED_MAX_FIELDS = 100
-
-
-def fused_width_ok(n_fact_cols: int, n_corr_cols: int) -> bool:
-    """count/min/max/bit_xor per fact column, var_samp (3 fields) per numeric
-    output, covar_samp (4 fields) per pair."""
-    fields = 1 + 4 * n_fact_cols + 3 * n_corr_cols + 4 * n_corr_cols * (n_corr_cols - 1) // 2
-    return fields <= FUSED_MAX_FIELDS
-
-
-def facts_and_moments(df: DataFrame, fact_cols: list[str], corr_cols: list[str], id_col: str | None):
-    """Column facts (as ``column_facts``), sample variances and the Pearson matrix
-    of ``corr_cols`` in ONE aggregate over ``df``.
-
-    Correlations come from ``covar_samp`` / ``var_samp`` (co-moment aggregates,
-    numerically stable); a zero variance gives NaN, i.e. "not correlated"
-    (``corr`` itself would divide by zero under ANSI mode).
-    """
-    types = {f.name: f.dataType for f in df.schema.fields}
-    aggs = [F.count(F.lit(1)).alias("__n")]
-    for i, c in enumerate(fact_cols):
-        x = qcol(c)
-        aggs += [F.count(x).alias(f"nn{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-        if id_col:
-            aggs.append(F.bit_xor(F.xxhash64(qcol(id_col), x)).alias(f"fp{i}"))
-    dbl = [qcol(c).cast("double") for c in corr_cols]
-    for i in range(len(corr_cols)):
-        aggs.append(F.var_samp(dbl[i]).alias(f"v{i}"))
-        for j in range(i + 1, len(corr_cols)):
-            aggs.append(F.covar_samp(dbl[i], dbl[j]).alias(f"c{i}_{j}"))
-    r = df.agg(*aggs).first()
-    facts = {}
-    for i, c in enumerate(fact_cols):
-        facts[c] = dict(n=r["__n"], nn=r[f"nn{i}"], min=r[f"lo{i}"], max=r[f"hi{i}"],
-                        fp=r[f"fp{i}"] if id_col else None, group=type_group(types[c]),
-                        type=types[c].simpleString())
-    var = {c: r[f"v{i}"] for i, c in enumerate(corr_cols)}
-    d = len(corr_cols)
-    corr = [[1.0 if i == j else float("nan") for j in range(d)] for i in range(d)]
-    for i in range(d):
-        for j in range(i + 1, d):
-            cv, vi, vj = r[f"c{i}_{j}"], var[corr_cols[i]], var[corr_cols[j]]
-            if cv is not None and vi and vj and vi > 0 and vj > 0:
-                corr[i][j] = corr[j][i] = cv / (vi * vj) ** 0.5
-    return facts, var, corr

@@ -13,9 +13,21 @@ from collections import OrderedDict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-
-from keelson.functions.exprs import NULL_LABEL, clip_expr, one_hot_name, qcol, to_double, to_label
-from keelson.functions.profile import frequency_table, null_counts, numeric_profile
+from pyspark.storagelevel import StorageLevel
+
+from keelson.functions.exprs import (
+    NULL_LABEL,
+    NUMBER_PATTERN,
+    SPECIAL_PATTERN,
+    WHOLE_PATTERN,
+    clip_expr,
+    one_hot_name,
+    qcol,
+    to_double,
+    to_label,
+    to_whole,
+)
+from keelson.functions.profile import chunked_aggregate, frequency_table, null_counts, numeric_profile
 from keelson.functions.quantile import exact_quantile
 from keelson.functions.topk import top_k_per_group
 from keelson.functions.sqltext import lit as sql_lit
@@ -82,8 +94,7 @@ class TypeCaster(StageTransformer):
             elif kind in ("double", "float"):
                 out[c] = to_double(e, t)
             elif kind in ("bigint", "long", "int"):
-                src = e.cast("double") if isinstance(t, T.StringType) else e
-                out[c] = src.cast("bigint" if kind != "int" else "int")
+                out[c] = to_whole(e, t)
             else:
                 raise ValueError(f"unknown castType {kind}")
         return out
@@ -99,31 +110,67 @@ class TypeCaster(StageTransformer):
             elif kind in ("double", "float"):
                 out[c] = double_sql(e, t)
             elif kind in ("bigint", "long", "int"):
-                src = f"CAST({e} AS DOUBLE)" if isinstance(t, T.StringType) else e
-                out[c] = f"CAST({src} AS {'INT' if kind == 'int' else 'BIGINT'})"
+                out[c] = whole_sql(e, t)
             else:
                 raise ValueError(f"unknown castType {kind}")
         return out
 
 
+def text_number_sql(e: str) -> str:
+    """SQL twin of ``text_number``."""
+    word = f"lower(trim({e}))"
+    return (f"CASE WHEN {e} RLIKE {sql_lit(NUMBER_PATTERN)} THEN TRY_CAST(trim({e}) AS DOUBLE) "
+            f"WHEN {word} RLIKE {sql_lit(SPECIAL_PATTERN)} THEN CASE WHEN endswith({word}, 'nan') THEN CAST('NaN' AS DOUBLE) "
+            f"WHEN startswith({word}, '-') THEN CAST('-Infinity' AS DOUBLE) ELSE CAST('Infinity' AS DOUBLE) END END")
+
+
 def double_sql(e: str, t) -> str:
     """SQL twin of ``to_double``."""
     if isinstance(t, T.BooleanType):
         e = f"CAST({e} AS INT)"
+    if isinstance(t, T.StringType):
+        number = text_number_sql(e)
+        e = (f"CASE WHEN {e} IS NOT NULL AND ({number}) IS NULL THEN "
+             f"CAST(raise_error(concat('not a number: ', {e})) AS DOUBLE) ELSE {number} END")
     return f"nanvl(CAST({e} AS DOUBLE), CAST(NULL AS DOUBLE))"
 
 
+def whole_sql(e: str, t) -> str:
+    """SQL twin of ``to_whole``."""
+    if isinstance(t, T.StringType):
+        return (f"CASE WHEN {e} RLIKE {sql_lit(WHOLE_PATTERN)} THEN CAST(trim({e}) AS BIGINT) "
+                f"ELSE CAST({double_sql(e, t)} AS BIGINT) END")
+    return f"CAST({e} AS BIGINT)"
+
+
+def double_text_sql(d: str) -> str:
+    """SQL twin of ``double_text``."""
+    s = f"CAST({d} AS STRING)"
+    body = f"ltrim('-', {s})"
+    whole_text = f"substring_index({body}, 'E', 1)"
+    x = f"CASE WHEN contains({body}, 'E') THEN CAST(substring_index({body}, 'E', -1) AS INT) ELSE 0 END"
+    whole = f"substring_index({whole_text}, '.', 1)"
+    part = f"CASE WHEN substring_index({whole_text}, '.', -1) = '0' THEN '' ELSE substring_index({whole_text}, '.', -1) END"
+    digits = f"concat({whole}, {part})"
+    big = (f"CASE WHEN length({digits}) - 1 <= ({x}) THEN concat(rpad({digits}, ({x}) + 1, '0'), '.0') "
+           f"ELSE concat(substring({digits}, 1, ({x}) + 1), '.', substring({digits}, ({x}) + 2, length({digits}))) END")
+    small = f"concat('0.', repeat('0', -({x}) - 1), {digits})"
+    scientific = (f"concat({whole}, CASE WHEN ({part}) <> '' THEN concat('.', {part}) ELSE '' END, "
+                  f"CASE WHEN ({x}) < 0 THEN 'e-' ELSE 'e+' END, CASE WHEN abs({x}) < 10 THEN '0' ELSE '' END, "
+                  f"CAST(abs({x}) AS STRING))")
+    return (f"CASE WHEN isnan({d}) THEN {sql_lit(NULL_LABEL)} "
+            f"WHEN abs({d}) = CAST('Infinity' AS DOUBLE) THEN CASE WHEN {d} < 0 THEN '-inf' ELSE 'inf' END "
+            f"ELSE concat(CASE WHEN startswith({s}, '-') THEN '-' ELSE '' END, "
+            f"CASE WHEN NOT contains({body}, 'E') THEN {body} WHEN ({x}) BETWEEN 1 AND 15 THEN {big} "
+            f"WHEN ({x}) BETWEEN -4 AND -1 THEN {small} ELSE {scientific} END) END")
+
+
 def label_sql(e: str, t, nulls_as_label: bool) -> str:
     """SQL twin of ``to_label``."""
     if isinstance(t, T.BooleanType):
         s = f"initcap(CAST({e} AS STRING))"
     elif isinstance(t, (T.DoubleType, T.FloatType)):
-        d = f"CAST({e} AS DOUBLE)"
-        plain = (f"concat(regexp_replace(CAST(CAST({d} AS DECIMAL(38,1)) AS STRING), {sql_lit(chr(92) + '.0$')}, ''), "
-                 f"'.0')")
-        s = (f"CASE WHEN isnan({d}) THEN {sql_lit(NULL_LABEL)} "
-             f"WHEN abs({d}) >= {sql_lit(1e7)} AND abs({d}) < {sql_lit(1e16)} AND floor({d}) = {d} THEN {plain} "
-             f"ELSE CAST({d} AS STRING) END")
+        s = double_text_sql(f"CAST({e} AS DOUBLE)")
     else:
         s = f"CAST({e} AS STRING)"
     if nulls_as_label:
@@ -294,8 +341,8 @@ def fit_numeric_fill(df, cols, method, exact=True, accuracy=100000, profile=None
     if exact:
         med = exact_quantile(df, cols, 0.5, profile=profile)
         return [med[c] for c in cols]
-    r = df.agg(*[F.percentile_approx(qcol(c).cast("double"), 0.5, accuracy).alias(f"m{i}")
-                 for i, c in enumerate(cols)]).first()
+    r = chunked_aggregate(df, [(f"m{i}", F.percentile_approx(qcol(c).cast("double"), 0.5, accuracy), 8)
+                               for i, c in enumerate(cols)])
     return [r[f"m{i}"] for i in range(len(cols))]
 
 
@@ -443,14 +490,37 @@ class RareLabelModel(StageModel):
         return out
 
 
+MAX_KEPT_LABELS = 100_000
+
+
+def share_reaches(cnt, n: int, tol: float):
+    """The one test of a label's share, in SQL as in Python: ``cnt / n >= tol``."""
+    return cnt / n >= tol if isinstance(cnt, int) else cnt / F.lit(n) >= F.lit(float(tol))
+
+
 def rare_keep(counts: dict, n: int, distinct: int, tol: float, n_categories: int) -> list:
-    """Kept labels of one column, given label -> count (all labels with count >=
-    tol*n must be present; all labels when distinct <= n_categories)."""
+    """Kept labels of one column, given label -> count (all labels that pass
+    ``share_reaches`` must be present; all labels when distinct <= n_categories)."""
     if distinct > n_categories:
-        return sorted(v for v, k in counts.items() if k / n >= tol)
+        return sorted(v for v, k in counts.items() if share_reaches(k, n, tol))
     return sorted(counts)
 
 
+def collect_counts(freq: DataFrame, cond, cols: list[str]) -> dict:
+    """column -> label -> count of the rows that meet ``cond``: at most 1 / tol labels a column.
+
+    A tolerance so small that more than ``MAX_KEPT_LABELS`` would be kept is refused: the kept
+    labels become literals of the fitted stage.
+    """
+    rows = freq.where(cond).limit(MAX_KEPT_LABELS + 1).collect()
+    if len(rows) > MAX_KEPT_LABELS:
+        raise ValueError(f"more than {MAX_KEPT_LABELS} labels would be kept: raise the rare-label tolerance")
+    counts: dict = {c: {} for c in cols}
+    for r in rows:
+        counts[r["col"]][r["value"]] = r["cnt"]
+    return counts
+
+
 class RareLabelEncoder(StageEstimator):
     """Labels with share < ``tol`` -> ``replaceWith`` when a column has more than
     ``nCategories`` labels; unseen labels at scoring -> ``replaceWith``."""
@@ -465,20 +535,18 @@ class RareLabelEncoder(StageEstimator):
         cols = present(self.v("inputCols"), df.columns)
         if not cols:
             return RareLabelModel(replaceWith=self.v("replaceWith"))
-        full = frequency_table(df, cols)
-        freq = full.where(F.col("value").isNotNull())
         tol, ncat = float(self.v("tol")), int(self.v("nCategories"))
-        stats = {r["col"]: r for r in full.groupBy("col").agg(
-            F.count_if(F.col("value").isNotNull()).alias("distinct"), F.sum("cnt").alias("n")).collect()}
-        n = stats[cols[0]]["n"]
-        # at most 1/tol labels pass the share test; all labels only when few
-        small = [c for c in cols if c in stats and stats[c]["distinct"] <= ncat]
-        cond = F.col("cnt") >= F.lit(tol * n)
-        if small:
-            cond = cond | F.col("col").isin(small)
-        counts: dict = {c: {} for c in cols}
-        for r in freq.where(cond).collect():
-            counts[r["col"]][r["value"]] = r["cnt"]
+        full = frequency_table(df, cols).persist(StorageLevel.MEMORY_AND_DISK)      # read twice, counted once
+        try:
+            stats = {r["col"]: r for r in full.groupBy("col").agg(
+                F.count_if(F.col("value").isNotNull()).alias("distinct"), F.sum("cnt").alias("n")).collect()}
+            n = stats[cols[0]]["n"] if stats else 0
+            # columns of at most nCategories labels keep them all
+            small = [c for c in cols if c in stats and stats[c]["distinct"] <= ncat]
+            cond = F.col("value").isNotNull() & (share_reaches(F.col("cnt"), n or 1, tol) | F.col("col").isin(small))
+            counts = collect_counts(full, cond, cols)
+        finally:
+            full.unpersist()
         keep = [rare_keep(counts[c], n, stats[c]["distinct"] if c in stats else 0, tol, ncat) for c in cols]
         return RareLabelModel(encodeCols=cols, keep=keep, replaceWith=self.v("replaceWith"))
 
@@ -546,11 +614,14 @@ class OneHotEncoder(StageEstimator):
         if not cols:
             return OneHotModel(dropOriginal=self.v("dropOriginal"))
         kmax = int(self.v("maxCategories"))
-        freq = frequency_table(df, cols).where(F.col("value").isNotNull())
-        distinct = {r["col"]: r["d"] for r in freq.groupBy("col").agg(F.count(F.lit(1)).alias("d")).collect()}
-        top = top_k_per_group(freq, ["col"], [F.desc("cnt"), F.asc("value")], kmax, salt_cols=["value"])
+        freq = frequency_table(df, cols).where(F.col("value").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            distinct = {r["col"]: r["d"] for r in freq.groupBy("col").agg(F.count(F.lit(1)).alias("d")).collect()}
+            top = top_k_per_group(freq, ["col"], [F.desc("cnt"), F.asc("value")], kmax, salt_cols=["value"]).collect()
+        finally:
+            freq.unpersist()
         ranked: dict = {c: [] for c in cols}
-        for r in top.collect():
+        for r in top:
             ranked[r["col"]].append((r["rank"], r["value"]))
         cats = []
         for c in cols:
@@ -595,6 +666,6 @@ __all__ = [
     "MissingIndicator", "MissingIndicatorModel", "FillModel", "MeanMedianImputer",
     "StandardScaler", "StandardScalerModel", "TargetScaler", "MostFrequentImputer",
     "CategoricalImputer", "RareLabelEncoder", "RareLabelModel", "OneHotEncoder", "OneHotModel",
-    "ColumnOrder", "ColumnOrderModel", "category_summary", "rare_keep", "one_hot_k",
+    "ColumnOrder", "ColumnOrderModel", "category_summary", "rare_keep", "collect_counts", "share_reaches", "one_hot_k",
     "fit_numeric_fill", "safe_std", "NULL_LABEL", "MISSING_TAG", "RARE_LABEL",
 ]

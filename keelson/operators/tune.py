@@ -17,10 +17,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
-from keelson.functions.exprs import qcol
-from keelson.operators.model import assemble, huber_estimator, r2_expr, spread
+from keelson.operators.model import huber_estimator, r2_expr, training_vectors
 
 # The reference's search space and trial count.
 DEFAULT_SPACE = [
@@ -84,23 +82,22 @@ def narrowed_space(space: list[dict], best: list[dict]) -> list[dict]:
 def tune(spark: SparkSession, train: DataFrame, valid: DataFrame, feature_cols: list[str], label: str,
          space: list[dict] | None = None, num_trials: int = DEFAULT_TRIALS, seed: int = 5,
          parallelism: int | None = None, is_minimize: bool = False, max_iter: int = 100,
-         refine_trials: int = 0, refine_top: int = 3) -> TuneResult:
+         refine_trials: int = 0, refine_top: int = 3, vectors: DataFrame | None = None,
+         n: int | None = None) -> TuneResult:
     """``refine_trials`` > 0 adds a second round sampled inside the span of the
     ``refine_top`` best first-round trials.  ``parallelism`` (concurrent fits)
     defaults to min(trials, cores, 16): a fit alternates short distributed
     passes with driver-side L-BFGS steps, so concurrent fits keep the cluster
-    busy; results do not depend on it."""
+    busy; results do not depend on it.  ``vectors`` / ``n``: persisted training vectors of the
+    caller (``training_vectors``) and their number."""
     space = space or DEFAULT_SPACE
     if parallelism is None:
         parallelism = max(1, min(num_trials, spark.sparkContext.defaultParallelism, 16))
     assert num_trials >= 2, "Hyperparameter Tuning needs at least 2 trials"
-    tr = spread(assemble(train.withColumn("__label", qcol(label).cast("double")), feature_cols, keep=["__label"]),
-                share=parallelism).persist(StorageLevel.MEMORY_AND_DISK)
-    va = assemble(valid.withColumn("__label", qcol(label).cast("double")), feature_cols, keep=["__label"]) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    tr = vectors if vectors is not None else training_vectors(train, feature_cols, label)
+    va = training_vectors(valid, feature_cols, label)
     try:
-        n = tr.count()
-        va.count()
+        n = n if n is not None else tr.count()
         params = [sample_params(space, t, seed) for t in range(num_trials)]
 
         sc = spark.sparkContext
@@ -127,7 +124,8 @@ def tune(spark: SparkSession, train: DataFrame, valid: DataFrame, feature_cols:
                 values += list(pool.map(run, range(num_trials, num_trials + refine_trials)))
         num_trials = len(params)
     finally:
-        tr.unpersist()
+        if vectors is None:
+            tr.unpersist()
         va.unpersist()
     best = min(range(num_trials), key=lambda t: (values[t], t))
     names = [hp["name"] for hp in space]

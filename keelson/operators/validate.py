@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keelson.functions.exprs import qcol
+from keelson.functions.exprs import is_not_number, qcol
 from keelson.functions.profile import chunked_aggregate
 from keelson.spec import DatasetSpec
 
@@ -34,9 +34,6 @@ MESSAGES = {
     "category": "Categorical feature '{column}' contains values outside its categories",
     "target_numeric": "Target field '{column}' contains null or non-numeric values",
 }
-# broadcast the duplicated-id list only below this many ids (checked by count)
-BROADCAST_IDS = 1_000_000
-
 
 class ValidationError(ValueError):
     pass
@@ -47,7 +44,7 @@ def _numeric_violation(c: str, dt: T.DataType) -> Column | None:
     if isinstance(dt, (T.NumericType, T.BooleanType)):
         return None  # the physical type guarantees it: no job needed
     if isinstance(dt, T.StringType):
-        return F.count_if(qcol(c).isNotNull() & qcol(c).try_cast("double").isNull())
+        return F.count_if(is_not_number(qcol(c)))
     return F.count_if(qcol(c).isNotNull())
 
 
@@ -105,7 +102,7 @@ def violations(df: DataFrame, spec: DatasetSpec, is_train: bool = True, strict:
     if check_target and is_train and spec.target in df.columns:
         t = spec.target
         bad = qcol(t).isNull() if isinstance(types[t], T.NumericType) else \
-            (qcol(t).isNull() | qcol(t).try_cast("double").isNull())
+            (qcol(t).isNull() | (is_not_number(qcol(t)) if isinstance(types[t], T.StringType) else F.lit(True)))
         aggs.append(("target_numeric", spec.target, F.count_if(bad)))
 
     def rule_counts():
@@ -149,26 +146,36 @@ def validate(df: DataFrame, spec: DatasetSpec, is_train: bool = True, **kw) -> D
     return df
 
 
-def quarantine(df: DataFrame, spec: DatasetSpec, check_unique_id: bool = True) -> DataFrame:
-    """Rows breaking a row-level rule, with a ``reasons`` array column."""
-    types = {f.name: f.dataType for f in df.schema.fields}
+def quarantine(df: DataFrame, spec: DatasetSpec, check_unique_id: bool = True, check_categories: bool = False,
+               check_target: bool = False, is_train: bool = True) -> DataFrame:
+    """Rows breaking a row-level rule of ``violations`` (same switches), with a ``reasons`` array column.
+
+    Every row of a repeated ID is listed; the join on the repeated IDs is left to AQE."""
+    types = schema = {f.name: f.dataType for f in df.schema.fields}
     reasons = []
+
+    def add(cond: Column, rule: str, column: str) -> None:
+        reasons.append(F.when(cond, F.lit(f"{rule}:{column}")))
+
     for f in spec.non_nullable_features:
-        if f in df.columns:
-            reasons.append(F.when(qcol(f).isNull(), F.lit(f"non_null:{f}")))
+        if f in schema:
+            add(qcol(f).isNull(), "non_null", f)
     for f in spec.numeric_features:
-        if f in df.columns and isinstance(types[f], T.StringType):
-            reasons.append(F.when(qcol(f).isNotNull() & qcol(f).try_cast("double").isNull(),
-                                  F.lit(f"numeric:{f}")))
+        if f in schema and not isinstance(types[f], (T.NumericType, T.BooleanType)):
+            add(is_not_number(qcol(f)) if isinstance(types[f], T.StringType) else qcol(f).isNotNull(), "numeric", f)
+    if check_categories:
+        for f in spec.categorical_features:
+            if f in schema:
+                add(qcol(f).isNotNull() & ~qcol(f).cast("string").isin(spec.categories(f)), "category", f)
+    if check_target and is_train and spec.target in schema:
+        t = spec.target
+        add(qcol(t).isNull() | (F.lit(False) if isinstance(types[t], T.NumericType) else is_not_number(qcol(t))
+                                if isinstance(types[t], T.StringType) else F.lit(True)), "target_numeric", t)
     out = df
-    if check_unique_id and spec.id in df.columns:
-        dups = duplicate_ids(df, spec.id).select(qcol(spec.id).alias("__dup_id"))
-        n_dups = dups.count()
-        if n_dups <= BROADCAST_IDS:
-            dups = F.broadcast(dups)
-        out = out.join(dups.withColumn("__dup", F.lit(True)), qcol(spec.id).eqNullSafe(F.col("__dup_id")),
-                       "left").drop("__dup_id")
-        reasons.append(F.when(F.col("__dup").isNotNull(), F.lit(f"unique_id:{spec.id}")))
+    if check_unique_id and spec.id in schema:
+        dups = duplicate_ids(df, spec.id).select(qcol(spec.id).alias("__dup_id"), F.lit(True).alias("__dup"))
+        out = out.join(dups, qcol(spec.id).eqNullSafe(F.col("__dup_id")), "left").drop("__dup_id")
+        add(F.col("__dup").isNotNull(), "unique_id", spec.id)
     if not reasons:
         return df.limit(0).withColumn("reasons", F.array().cast("array<string>"))
     out = out.withColumn("reasons", F.filter(F.array(*reasons), lambda x: x.isNotNull()))

@@ -119,8 +119,13 @@ def q_src_csv(spark, sf_dir):
     from keelson.session import scratch_dir
     from keelson.sources.files import src_csv
     path = scratch_dir(spark, "src_csv")
-    events_frame(spark, sf_dir).select("event_id", "value", "event_type", "parity") \
-        .write.mode("overwrite").option("header", True).csv(path)
+    df = events_frame(spark, sf_dir).select("event_id", "value", "event_type", "parity")
+    # two kinds of files in one folder: other column orders, other spellings of a missing value
+    odd = F.col("event_id") % 2 == 1
+    df.where(~odd).write.option("header", True).csv(path)
+    df.where(odd).select("parity", F.coalesce("event_type", F.lit("NA")).alias("event_type"),
+                         F.coalesce(F.col("value").cast("string"), F.lit("#N/A")).alias("value"), "event_id") \
+        .write.mode("append").option("header", True).csv(path)
     spec = DatasetSpec("event_id", "target", (Feature("value", "NUMERIC", True, example=1.0),
                                               Feature("event_type", "CATEGORICAL", True, tuple(EVENT_TYPES)),
                                               Feature("parity", "CATEGORICAL", False, ("even", "odd", "zz"))),
@@ -227,17 +232,15 @@ def q_artifact_pipeline(spark, sf_dir):
     return r6(fused_transform(load_bundle(path), df).drop("target"))
 
 
-@check("artifact_model", None)
+@check("artifact_model", """WITH """ + EV_SQL + f"""
+SELECT event_id, round({LITERAL_SQL}, 6) + 0.0 AS prediction FROM ev""")
 def q_artifact_model(spark, sf_dir):
-    from keelson.operators.model import huber_fit, load_model, save_model
-    from keelson.plans.workflow import scaled
+    """A model with given coefficients, saved, loaded and applied."""
+    from keelson.operators.model import load_model, save_model
     from keelson.session import scratch_dir
-    df, fp = _fit_preprocess(spark, sf_dir)
-    tr = scaled(fp, df)
-    m = huber_fit(tr, fp.feature_cols, "target", n=fp.n_rows)
     path = scratch_dir(spark, "artifact_model")
-    save_model(m, path)
-    return r6(load_model(path).transform(tr).select("event_id", "prediction"))
+    save_model(_literal_predictor(), path)
+    return r6(load_model(path).transform(events_frame(spark, sf_dir)).select("event_id", "prediction"))
 
 
 # ----------------------------------------------------------------------------
@@ -283,12 +286,15 @@ def q_val_non_null(spark, sf_dir):
 
 @check("val_numeric", """
 SELECT 'numeric' AS rule, 'value_text' AS "column",
-       count(*) FILTER (WHERE event_id % 97 = 0) AS n_violations FROM events""")
+       count(*) FILTER (WHERE event_id % 97 = 0 OR event_id % 89 = 0 OR event_id % 83 = 0 OR event_id % 79 = 0) AS n_violations
+FROM events""")
 def q_val_numeric(spark, sf_dir):
     from keelson.operators.validate import violations
     ev = table(spark, sf_dir, "events")
-    df = ev.select("event_id", F.when(F.col("event_id") % 97 == 0, F.concat(F.lit("x"), F.col("event_id")))
-                   .otherwise(F.col("value").cast("string")).alias("value_text"),
+    eid = F.col("event_id")
+    df = ev.select("event_id", F.when(eid % 97 == 0, F.concat(F.lit("x"), eid)).when(eid % 89 == 0, F.lit("12f"))
+                   .when(eid % 83 == 0, F.lit("0x1p3")).when(eid % 79 == 0, F.lit("1d")).when(eid % 73 == 0, F.lit(" -1.5e3 "))
+                   .when(eid % 71 == 0, F.lit("inf")).otherwise(F.col("value").cast("string")).alias("value_text"),
                    F.col("value").alias("value_num"), (F.col("value") > 50).alias("value_flag"))
     spec = DatasetSpec("event_id", "target", (Feature("value_text", "NUMERIC", True, example=1.0),
                                               Feature("value_num", "NUMERIC", True, example=1.0),
@@ -367,6 +373,27 @@ def q_val_request_category(spark, sf_dir):
     return parsed.select("requestId", message.alias("message"), ok.alias("ok"))
 
 
+@check("quarantine", """WITH e AS (
+  SELECT event_id, CASE WHEN event_id % 50 = 49 THEN event_id - 1 ELSE event_id END AS id,
+         event_id % 97 = 0 OR event_id % 89 = 0 AS bad_text, event_id % 17 = 0 AS no_type, event_id % 23 = 0 AS odd_type
+  FROM events), d AS (SELECT id FROM e GROUP BY id HAVING count(*) > 1)
+SELECT event_id, concat_ws(',', CASE WHEN no_type THEN 'non_null:event_type' END, CASE WHEN bad_text THEN 'numeric:value_text' END,
+                           CASE WHEN odd_type AND NOT no_type THEN 'category:event_type' END,
+                           CASE WHEN id IN (SELECT id FROM d) THEN 'unique_id:id' END) AS reasons
+FROM e WHERE bad_text OR no_type OR odd_type OR id IN (SELECT id FROM d)""")
+def q_quarantine(spark, sf_dir):
+    """The offending rows of the row-level rules, with their reasons."""
+    from keelson.operators.validate import quarantine
+    eid = F.col("event_id")
+    df = table(spark, sf_dir, "events").select(
+        "event_id", F.when(eid % 50 == 49, eid - 1).otherwise(eid).alias("id"),
+        F.when(eid % 97 == 0, F.lit("x")).when(eid % 89 == 0, F.lit("12f")).otherwise(F.col("value").cast("string")).alias("value_text"),
+        F.when(eid % 17 == 0, F.lit(None)).when(eid % 23 == 0, F.lit("bogus")).otherwise(F.col("event_type")).alias("event_type"))
+    spec = DatasetSpec("id", "target", (Feature("value_text", "NUMERIC", True, example=1.0),
+                                        Feature("event_type", "CATEGORICAL", False, tuple(EVENT_TYPES))))
+    return quarantine(df, spec, check_categories=True).select("event_id", F.array_join("reasons", ",").alias("reasons"))
+
+
 @check("val_predictions", """SELECT count(*) AS n_predictions FROM events""")
 def q_val_predictions(spark, sf_dir):
     from keelson.operators.validate import validate_predictions
@@ -402,6 +429,26 @@ def q_cast_str(spark, sf_dir):
     return TypeCaster(inputCols=["l_returnflag"], castType="string", nullsAsLabel=True).transform(out)
 
 
+CAST_VALUES = ["0.0001", "12345678.5", "1e16", "0.00001", "-0.00012", "1.5e300", "9007199254740992", "-1234567.25", "100000",
+               "2.5e-7", "123456789012345680", "3e9"]
+
+
+@check("cast_full_range", """
+WITH v AS (SELECT event_id, CAST((list_value(""" + ", ".join(f"'{v}'" for v in CAST_VALUES) + """))[1 + event_id % 12] AS DOUBLE) AS x FROM events)
+SELECT event_id, CAST(x AS VARCHAR) AS x_text, CAST(9007199254740993 + event_id AS BIGINT) AS whole,
+       CAST(3000000000 + event_id AS BIGINT) AS wide_int FROM v""")
+def q_cast_full_range(spark, sf_dir):
+    """Doubles of any size as text; whole numbers beyond 2**53 and 2**31 from text."""
+    from keelson.operators.stages import TypeCaster
+    eid = F.col("event_id")
+    x = F.get(F.array(*[F.lit(float(v)) for v in CAST_VALUES]), (eid % 12).cast("int"))
+    df = table(spark, sf_dir, "events").select(
+        "event_id", x.alias("x_text"), (eid + F.lit(9007199254740993)).cast("string").alias("whole"),
+        (eid + F.lit(3000000000)).cast("string").alias("wide_int"))
+    df = TypeCaster(inputCols=["x_text"], castType="string").transform(df)
+    return TypeCaster(inputCols=["whole", "wide_int"], castType="int").transform(df)
+
+
 @check("cast_float", """
 SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k,
        CAST(CAST(value AS VARCHAR) AS DOUBLE) AS value_text, CAST(user_id AS DOUBLE) AS user_id FROM events""")
@@ -445,25 +492,30 @@ def q_col_order(spark, sf_dir):
 
 # ----------------------------------------------------------------------------
 # 2.4 sampling
+SPARSE_ID_SQL = "CASE WHEN event_id % 10 <> 3 THEN event_id END"      # every tenth row has no ID
+
+
+def _sparse_ids(spark, sf_dir):
+    return table(spark, sf_dir, "events").withColumn("id", F.when(F.col("event_id") % 10 != 3, F.col("event_id")))
+
+
 @check("split_train_val", f"""
-SELECT event_id, CASE WHEN {hash_uniform_sql('event_id', '42')} < 0.1 THEN 'val' ELSE 'train' END AS split
+SELECT event_id, CASE WHEN {hash_uniform_sql(SPARSE_ID_SQL, '42')} < 0.1 THEN 'val' ELSE 'train' END AS split
 FROM events""")
 def q_split_train_val(spark, sf_dir):
     from keelson.operators.sample import split_train_val
-    ev = table(spark, sf_dir, "events")
-    tr, va = split_train_val(ev, "event_id", 0.1, seed=42)
+    tr, va = split_train_val(_sparse_ids(spark, sf_dir), "id", 0.1, seed=42)
     return tr.select("event_id", F.lit("train").alias("split")).unionByName(
         va.select("event_id", F.lit("val").alias("split")))
 
 
 @check("split_train_val_exact", f"""
-WITH u AS (SELECT event_id, {hash_uniform_sql('event_id', '42')} AS u FROM events),
+WITH u AS (SELECT event_id, {hash_uniform_sql(SPARSE_ID_SQL, '42')} AS u FROM events),
      rk AS (SELECT event_id, row_number() OVER (ORDER BY u, event_id) AS rn, count(*) OVER () AS n FROM u)
 SELECT event_id, CASE WHEN rn <= ceil(n * 0.15) THEN 'val' ELSE 'train' END AS split FROM rk""")
 def q_split_train_val_exact(spark, sf_dir):
     from keelson.operators.sample import split_train_val
-    ev = table(spark, sf_dir, "events")
-    tr, va = split_train_val(ev, "event_id", 0.15, seed=42, exact_size=True)
+    tr, va = split_train_val(_sparse_ids(spark, sf_dir), "id", 0.15, seed=42, exact_size=True)
     return tr.select("event_id", F.lit("train").alias("split")).unionByName(
         va.select("event_id", F.lit("val").alias("split")))
 
@@ -529,6 +581,20 @@ def q_median_impute(spark, sf_dir):
     return r6(MeanMedianImputer(inputCols=["price", "qty"], method="median").fit(li).transform(li))
 
 
+@check("median_impute_wide_range", """
+WITH e AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 1e308 WHEN 2 THEN -1e308 WHEN 3 THEN 1e-300 * (event_id % 50)
+                  WHEN 4 THEN 0.25 ELSE value END AS x FROM events)
+SELECT event_id, coalesce(x, median(x) OVER ()) AS x FROM e""")
+def q_median_impute_wide_range(spark, sf_dir):
+    """Values from -1e308 to 1e308 with heavy ties."""
+    from keelson.operators.stages import MeanMedianImputer
+    eid = F.col("event_id")
+    x = F.when(eid % 7 == 0, F.lit(None).cast("double")).when(eid % 7 == 1, F.lit(1e308)).when(eid % 7 == 2, F.lit(-1e308)) \
+        .when(eid % 7 == 3, F.lit(1e-300) * (eid % 50)).when(eid % 7 == 4, F.lit(0.25)).otherwise(F.col("value"))
+    df = table(spark, sf_dir, "events").select("event_id", x.alias("x"))
+    return MeanMedianImputer(inputCols=["x"], method="median").fit(df).transform(df)
+
+
 @check("standard_scale", """WITH """ + EV_SQL + """
 SELECT event_id, round((value - avg(value) OVER ()) / stddev_pop(value) OVER (), 6) + 0.0 AS value,
        round((k - avg(k) OVER ()) / stddev_pop(k) OVER (), 6) + 0.0 AS k,
@@ -579,6 +645,33 @@ def q_rare_label(spark, sf_dir):
     return RareLabelEncoder(inputCols=["p_brand", "p_type"], tol=0.045, nCategories=1).fit(df).transform(df)
 
 
+@check("rare_label_at_tolerance", """
+WITH e AS (SELECT event_id, CASE WHEN event_id % 100 < 7 THEN 'edge' ELSE 'rest' END AS narrow,
+                  CASE WHEN event_id % 100 < 7 THEN 'edge' ELSE 'o' || CAST(event_id % 50 AS VARCHAR) END AS wide FROM events),
+     c AS (SELECT *, count(*) OVER (PARTITION BY narrow) AS cn, count(*) OVER (PARTITION BY wide) AS cw, count(*) OVER () AS n FROM e)
+SELECT event_id, CASE WHEN cn / n >= CAST(0.07 AS DOUBLE) THEN narrow ELSE 'Rare' END AS narrow,
+       CASE WHEN cw / n >= CAST(0.07 AS DOUBLE) THEN wide ELSE 'Rare' END AS wide FROM c""")
+def q_rare_label_at_tolerance(spark, sf_dir):
+    """A label with (near) exactly the tolerated share, in a narrow and in a wide column."""
+    from keelson.operators.stages import RareLabelEncoder
+    eid = F.col("event_id")
+    df = table(spark, sf_dir, "events").select(
+        "event_id", F.when(eid % 100 < 7, F.lit("edge")).otherwise(F.lit("rest")).alias("narrow"),
+        F.when(eid % 100 < 7, F.lit("edge")).otherwise(F.concat(F.lit("o"), (eid % 50).cast("string"))).alias("wide"))
+    return RareLabelEncoder(inputCols=["narrow", "wide"], tol=0.07, nCategories=1).fit(df).transform(df)
+
+
+@check("drop_duplicate_flags", """
+SELECT event_id, CAST(event_id % 2 AS INT) AS f000, CAST(event_id % 3 AS INT) AS g FROM events""")
+def q_drop_duplicate_flags(spark, sf_dir):
+    """200 equal flags and one other column: as many comparisons as columns."""
+    from keelson.operators.selection import DropDuplicate
+    eid = F.col("event_id")
+    df = table(spark, sf_dir, "events").select("event_id", *[(eid % 2).cast("int").alias(f"f{j:03d}") for j in range(200)],
+                                               (eid % 3).cast("int").alias("g"))
+    return DropDuplicate(excludeCols=["event_id"], idCol="event_id").fit(df).transform(df)
+
+
 @check("drop_constant", """WITH """ + EV_SQL + """
 SELECT event_id, value, k, event_type, parity FROM ev""")
 def q_drop_constant(spark, sf_dir):
@@ -668,13 +761,12 @@ def wide_orders_frame(spark: SparkSession, sf_dir: str, width: int = WIDE_FEATUR
     categoricals; target = price / 1000."""
     o = table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
-    price = F.col("o_totalprice") / F.lit(1e5)
+    price = F.col("o_totalprice") / F.lit(1e6)
     feats, spec_feats = [], []
     for j in range(width):
-        noise = F.pmod(F.xxhash64(key, F.lit(j)), F.lit(10007)).cast("double") / F.lit(10007.0)
-        x = noise * F.lit(1.0 + j % 5) + price * F.lit(float(j % 3 - 1))
+        x = hash_uniform(key, j) * F.lit(1.0 + j % 5) + price * F.lit(float(j % 3 - 1))
         if j % 2 == 0:
-            x = F.when(F.pmod(F.xxhash64(key, F.lit(j), F.lit("null")), F.lit(100)) < 5, F.lit(None)).otherwise(x)
+            x = F.when(hash_uniform(key, j, "null") < 0.05, F.lit(None)).otherwise(x)
         feats.append(x.alias(f"f{j:03d}"))
         spec_feats.append(Feature(f"f{j:03d}", "NUMERIC", j % 2 == 0, example=0.5))
     spec_feats += [Feature("o_orderstatus", "CATEGORICAL", False, ("F", "O", "P")),
@@ -685,15 +777,35 @@ def wide_orders_frame(spark: SparkSession, sf_dir: str, width: int = WIDE_FEATUR
     return df, DatasetSpec("o_orderkey", "target", tuple(spec_feats), id_type=T.LongType())
 
 
-@check("preprocess_wide", None)
+def _wide_sql(width: int) -> str:
+    """The same numeric features, imputed, scaled and clipped, in SQL (none is constant, repeated or correlated)."""
+    raw, stats, filled, out = [], [], [], []
+    for j in range(width):
+        f = f"f{j:03d}"
+        x = f"{hash_uniform_sql('o_orderkey', f"'{j}'")} * {1.0 + j % 5} + o_totalprice / 1e6 * {float(j % 3 - 1)}"
+        if j % 2 == 0:
+            x = f"CASE WHEN {hash_uniform_sql('o_orderkey', f"'{j}'", "'null'")} < 0.05 THEN NULL ELSE {x} END"
+            out.append(f"CASE WHEN r.{f} IS NULL THEN 1 ELSE 0 END AS {f}_na")
+        raw.append(f"{x} AS {f}")
+        filled.append(f"coalesce({f}, avg({f}) OVER ()) AS {f}")
+        stats.append(f"avg({f}) AS m{j}, stddev_pop({f}) AS s{j}")
+        out.append(f"round(greatest(-4.0, least(4.0, (v.{f} - m{j}) / s{j})), 4) + 0.0 AS {f}")
+    return (f"WITH raw AS (SELECT o_orderkey, {', '.join(raw)} FROM orders), "
+            f"filled AS (SELECT o_orderkey, {', '.join(filled)} FROM raw), st AS (SELECT {', '.join(stats)} FROM filled) "
+            f"SELECT r.o_orderkey, {', '.join(out)} FROM raw r JOIN filled v USING (o_orderkey), st")
+
+
+@check("preprocess_wide", _wide_sql(WIDE_FEATURES))
 def q_preprocess_wide(spark, sf_dir):
-    """A15 at the reference's maximum width: 200 numeric + 2 categorical features
-    over every order (rows-only here; the narrow flagship has the exact oracle,
-    and pytest checks the chunked statistics against pandas)."""
+    """A15 at the reference's maximum width: 200 numeric + 2 categorical features over every order
+    (the encoded columns, whose names depend on label counts, are left to ``preprocess_fit_transform``)."""
     from keelson.plans.preprocess import Preprocessor, fused_transform
     df, spec = wide_orders_frame(spark, sf_dir)
     fp = Preprocessor(spec).fit(df)
-    return r6(fused_transform(fp.pipeline, df).drop("target"))
+    out = fused_transform(fp.pipeline, df)
+    kept = [f for f in out.schema.fields if f.name == "o_orderkey" or f.name.startswith("f")]
+    return out.select(*[(F.round(f.name, 4) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType)
+                        else F.col(f.name) for f in kept])
 
 
 # ----------------------------------------------------------------------------
@@ -775,8 +887,16 @@ def q_r2(spark, sf_dir):
     return r6(p.agg(r2_expr(F.col("target"), F.col("prediction")).alias("r2")))
 
 
-@check("tune", None)
+def _trial_sql(name: str) -> str:
+    return f"(('0x' || substr(md5('5|' || number || '|{name}'), 1, 13))::BIGINT / {16.0 ** 13})"
+
+
+@check("tune", f"""
+SELECT CAST(number AS BIGINT) AS number, round(exp(ln(1e-6) + {_trial_sql('alpha')} * (ln(1.0) - ln(1e-6))), 6) + 0.0 AS params_alpha,
+       round(1.0 + {_trial_sql('epsilon')}, 6) + 0.0 AS params_epsilon, TRUE AS scored
+FROM range(20) t(number)""")
 def q_tune(spark, sf_dir):
+    """All trials with their parameters; their values, of an iterative fit, are checked by pytest."""
     from keelson.operators.tune import tune
     from keelson.plans.workflow import scaled
     from keelson.operators.sample import split_train_val
@@ -786,16 +906,51 @@ def q_tune(spark, sf_dir):
     fp = Preprocessor(events_spec()).fit(tr_raw)
     # the reference's search: 20 trials over alpha (log-uniform) and epsilon (uniform)
     res = tune(spark, scaled(fp, tr_raw), scaled(fp, va_raw), fp.feature_cols, "target", num_trials=20)
-    return res.trials
+    return r6(res.trials.select("number", "params_alpha", "params_epsilon",
+                                (F.col("value").isNotNull() & (F.col("value") <= 1.0)).alias("scored")))
 
 
 # ----------------------------------------------------------------------------
 # 2.7 workflows
-@check("train", None)
+@check("train", """WITH """ + EV_SQL + f""",
+u AS (SELECT event_id, target, {hash_uniform_sql('event_id', '42')} < 0.1 AS val FROM ev),
+t AS (SELECT avg(target) AS m, stddev_pop(target) AS s FROM u WHERE NOT val)
+SELECT event_id, round((target - m) / s, 6) + 0.0 AS target, TRUE AS predicted FROM u, t WHERE val""")
 def q_train(spark, sf_dir):
+    """The validation rows with the scaled target; the predictions, of an iterative fit, are checked by pytest."""
     from keelson.plans.workflow import train
     res = train(events_frame(spark, sf_dir), events_spec())
-    return r6(res.model.transform(res.validation).select("event_id", "prediction"))
+    return r6(res.model.transform(res.validation).select(
+        "event_id", "target", (F.col("prediction").isNotNull() & ~F.isnan("prediction")).alias("predicted")))
+
+
+@check("train_and_score_files", """WITH """ + EV_SQL + """
+SELECT event_id, TRUE AS predicted FROM ev""")
+def q_train_and_score_files(spark, sf_dir):
+    """The user's path: a CSV folder and a JSON description in, artifacts, a CSV folder of predictions out."""
+    import json
+
+    from keelson.plans.workflow import run_batch_predictions, run_training
+    from keelson.session import scratch_dir
+    df = events_frame(spark, sf_dir).select("event_id", "value", "k", "event_type", "target")
+    folder = scratch_dir(spark, "files")
+    df.write.option("header", True).csv(f"{folder}/train")
+    df.drop("target").write.option("header", True).csv(f"{folder}/test")
+    feature = lambda n, t, **kw: dict(name=n, dataType=t, description=n, **kw)       # noqa: E731
+    described = {"title": "events", "description": "events", "modelCategory": "regression", "schemaVersion": 1.0,
+                 "inputDataFormat": "CSV", "id": {"name": "event_id", "description": "id"},
+                 "target": {"name": "target", "description": "target", "example": 1.0},
+                 "features": [feature("value", "NUMERIC", example=1.0, nullable=True),
+                              feature("k", "NUMERIC", example=1.0, nullable=False),
+                              feature("event_type", "CATEGORICAL", categories=EVENT_TYPES, nullable=True)]}
+    settings = {"prediction_field_name": "score", "validation_split": 0.2, "seed_value": 7}
+    for name, document in (("spec", described), ("settings", settings)):
+        spark.createDataFrame([(json.dumps(document),)], "value string").coalesce(1).write.text(f"{folder}/{name}")
+    run_training(spark, f"{folder}/train", f"{folder}/spec", f"{folder}/artifacts", model_config_path=f"{folder}/settings")
+    run_batch_predictions(spark, f"{folder}/test", f"{folder}/spec", f"{folder}/artifacts", f"{folder}/out",
+                          model_config_path=f"{folder}/settings")
+    out = spark.read.option("header", True).schema("event_id bigint, score double").csv(f"{folder}/out")
+    return out.select("event_id", F.col("score").isNotNull().alias("predicted"))
 
 
 @check("score_batch", "SELECT event_id, round(prediction, 4) + 0.0 AS prediction FROM (" + LITERAL_BUNDLE_RAW + ")")
@@ -813,7 +968,12 @@ def q_score_batch(spark, sf_dir):
 @check("score_stream", "WITH x AS (" + LITERAL_BUNDLE_RAW + """)
 SELECT CAST(x.event_id // 50 AS VARCHAR) AS requestId, 'success' AS status, CAST(x.event_id AS VARCHAR) AS sampleId,
        round(x.prediction, 5) + 0.0 AS prediction
-FROM x""")
+FROM x
+UNION ALL
+SELECT CAST(x.event_id // 50 AS VARCHAR), 'success', CAST(x.event_id AS VARCHAR), round(x.prediction, 5) + 0.0
+FROM x WHERE x.event_id // 50 % 20 = 0
+UNION ALL SELECT substr(md5('no separator'), 1, 10), 'error', NULL, NULL
+UNION ALL SELECT 'bad', 'error', NULL, NULL""")
 def q_score_stream(spark, sf_dir):
     from keelson.session import scratch_dir
     from keelson.sources.requests import requests_from_table
@@ -824,7 +984,10 @@ def q_score_stream(spark, sf_dir):
     docs = requests_from_table(df, req_spec, F.expr("event_id div 50"))
     src = scratch_dir(spark, "requests")
     # one request per line: "<requestId>\t<document>"
-    docs.select(F.concat_ws("\t", "requestId", "value").alias("value")).write.text(src)
+    lines = docs.select(F.concat_ws("\t", "requestId", "value").alias("value"), F.col("requestId").cast("bigint").alias("r"))
+    # every twentieth request is there twice, and two lines are no requests
+    lines.select("value").unionByName(lines.where("r % 20 = 0").select("value")).unionByName(
+        spark.createDataFrame([("no separator",), ("bad\tnot json {",)], "value string")).write.text(src)
     sink, ckpt = scratch_dir(spark, "responses"), scratch_dir(spark, "stream-ckpt")
     q = score_stream(spark, src, req_spec, bundle, sink, ckpt, id_separator="\t")
     if not q.awaitTermination(STREAM_TIMEOUT_S):
@@ -834,6 +997,6 @@ def q_score_stream(spark, sf_dir):
     r = out.select(F.from_json("json", "requestId string, status string, "
                                        "predictions array<struct<sampleId:string,prediction:double>>").alias("r"))
     return r.select(F.col("r.requestId").alias("requestId"), F.col("r.status").alias("status"),
-                    F.explode("r.predictions").alias("p")) \
+                    F.explode_outer("r.predictions").alias("p")) \
         .select("requestId", "status", F.col("p.sampleId").alias("sampleId"),
                 (F.col("p.prediction") + F.lit(0.0)).alias("prediction"))

@@ -3,19 +3,22 @@
 ``ml.Pipeline.fit`` would fit the 16 steps one after the other, each with its
 own pass over the data.  ``Preprocessor.fit`` instead runs:
 
+  stage  the input's columns are written once as Parquet; every job below reads
+         only the columns it needs from there, so the input (CSV, a join, ...)
+         is read and parsed once.
   J1+J2  submitted together: numeric moments (count, mean, population
          variance, extremes; the target too) as codegen-sized column chunks,
          and the categorical label counts as one group-by on (column, label)
          with map-side partial aggregation, reduced to a per-column summary
          plus the few labels that can matter (share >= tol, the mode, the
          tags).  The exact median, if asked for, adds histogram rounds.
-  J3+J4  one scan over the transformed training rows: per column min / max /
-         null count and a fingerprint -> constant and duplicate columns; and
-         the co-moments (``covar_samp`` / ``var_samp``) of every numeric output
-         after one-hot -> Pearson matrix and variances.  Fingerprint candidates
-         get one exact ``<=>`` check.  Wider inputs use column-chunked facts
-         plus MLlib ``Correlation`` (BLAS Gram passes).
+  J3     per column of the transformed rows min / max / null count and a
+         signature (column chunks) -> constant and duplicate columns;
+         candidates get an exact ``<=>`` check.
+  J4     MLlib ``Correlation`` (BLAS Gram passes) over the numeric outputs
+         after one-hot, and the variances of correlated ones.
 
+The same jobs run at every width and size.
 Mean imputation followed by scaling needs no second pass: with c non-null
 values out of n, filled with m, the new mean and population variance follow
 in closed form from (c, mean, std) of J1.  Rare-label and one-hot states
@@ -38,7 +41,7 @@ from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
 from keelson.functions.exprs import NULL_LABEL, qcol
-from keelson.functions.profile import frequency_table, numeric_profile
+from keelson.functions.profile import chunked_aggregate, frequency_table, numeric_profile
 from keelson.functions.quantile import exact_quantile
 from keelson.operators.base import (
     StageEstimator,
@@ -52,7 +55,6 @@ from keelson.operators.base import (
     select_stages,
     sql_map,
 )
-from keelson.operators.model import spread
 from keelson.operators.selection import (
     ALL_CONSTANT_MESSAGE,
     MISSING_VALUES_MESSAGE,
@@ -62,8 +64,6 @@ from keelson.operators.selection import (
     correlated_groups,
     correlation_matrix,
     duplicate_groups,
-    facts_and_moments,
-    fused_width_ok,
     pick_by_variance,
 )
 from keelson.operators.stages import (
@@ -79,16 +79,16 @@ from keelson.operators.stages import (
     StandardScalerModel,
     TypeCaster,
     ValueClipper,
+    collect_counts,
     one_hot_k,
     rare_keep,
     safe_std,
+    share_reaches,
 )
+from keelson.session import staged
 from keelson.spec import DatasetSpec
 
 
-SPREAD_MAX_COLUMNS = 64
-
-
 @dataclass
 class PreprocessConfig:
     """Pipeline parameters.  Defaults: the reference's configuration, with its
@@ -162,23 +162,13 @@ class Preprocessor:
         self.config = config or PreprocessConfig()
 
     # ------------------------------------------------------------------
-    def fit(self, df: DataFrame) -> FittedPreprocess:
+    def fit(self, df: DataFrame, is_staged: bool = False) -> FittedPreprocess:
+        """One read of ``df``: its columns are staged as Parquet, which every job below reads
+        (``is_staged``: ``df`` is a Parquet scan already)."""
         if not isinstance(df, DataFrame):
             raise TypeError("train_data must be a Spark DataFrame")
-        # An input with fewer partitions than cores is small (each split is at most
-        # spark.sql.files.maxPartitionBytes): spread it once and keep it for the
-        # few fit jobs, so they do not each run as one task.  Large inputs are
-        # scanned as they are; wide inputs too (their many column-chunk jobs run
-        # concurrently anyway, and a columnar cache of hundreds of columns costs
-        # heap outside Spark's memory accounting).
-        target = df.sparkSession.sparkContext.defaultParallelism
-        if len(df.columns) <= SPREAD_MAX_COLUMNS and df.rdd.getNumPartitions() < target:
-            spread = df.repartition(target).persist(StorageLevel.MEMORY_AND_DISK)
-            try:
-                return self._fit(spread)
-            finally:
-                spread.unpersist()
-        return self._fit(df)
+        names = [c for c in dict.fromkeys([self.spec.id, self.spec.target, *self.spec.feature_names]) if c in df.columns]
+        return self._fit(df if is_staged else staged(df.select(*[qcol(c) for c in names]), "fit-input"))
 
     def _fit(self, df: DataFrame) -> FittedPreprocess:
         spec, cfg = self.spec, self.config
@@ -257,20 +247,7 @@ class Preprocessor:
         for c in cat:
             ranked = sorted(post_rare[c].items(), key=lambda kv: (-kv[1], kv[0]))
             all_ohe[c] = [v for v, _ in ranked[:one_hot_k(len(post_rare[c]), cfg.one_hot_max)]]
-        pre_numeric = [c for c in feat_cols if c not in cat]
-        ohe_all = OneHotModel(encodeCols=cat, categories=[all_ohe[c] for c in cat], dropOriginal=False)
-        corr_candidates = pre_numeric + ohe_all.output_names()
-
-        fused = cfg.constant_tol >= 1 and fused_width_ok(len(feat_cols), len(corr_candidates))
-        if fused:
-            # J3+J4 in one scan: facts of the pre-one-hot columns and the moments of
-            # every numeric output (one-hot of all categoricals included; pairs of
-            # columns dropped below are simply not read)
-            wide = select_sql(df, ohe_all.apply_sql(mid_cols))
-            facts, variances, corr_all = facts_and_moments(wide, feat_cols, corr_candidates, spec.id)
-            drop_const, dup_groups = self._selection_from_facts(mid, feat_cols, facts)
-        else:
-            drop_const, dup_groups = self._constants_and_duplicates(mid, feat_cols)
+        drop_const, dup_groups = self._constants_and_duplicates(mid, feat_cols)
         const_model = DropColumnsModel(dropCols=drop_const)
         dup_model = DropColumnsModel(dropCols=[c for g in dup_groups for c in g[1:]], groups=dup_groups)
         remaining = [c for c in feat_cols if c not in set(const_model.v("dropCols")) | set(dup_model.v("dropCols"))]
@@ -286,19 +263,9 @@ class Preprocessor:
         numeric_out = [c for c in after_cols if c not in pass_cols and c not in cat]
         corr_groups, corr_drop = [], []
         if len(numeric_out) >= 2:
-            if fused:
-                idx = {c: i for i, c in enumerate(corr_candidates)}
-                sub = [[corr_all[idx[a]][idx[b]] for b in numeric_out] for a in numeric_out]
-                corr_groups = correlated_groups(numeric_out, sub, cfg.corr_threshold)
-                corr_drop = pick_by_variance(None, corr_groups, variances)
-            else:
-                after = select_sql(df, after_cols)
-                # the Gram pass is one job: give it one partition per core when the
-                # input has fewer (a no-op on large inputs)
-                corr_groups = correlated_groups(numeric_out, correlation_matrix(select_sql(spread(df), after_cols),
-                                                                                numeric_out),
-                                                cfg.corr_threshold)
-                corr_drop = pick_by_variance(after, corr_groups)
+            after = select_sql(df, after_cols)
+            corr_groups = correlated_groups(numeric_out, correlation_matrix(after, numeric_out), cfg.corr_threshold)
+            corr_drop = pick_by_variance(after, corr_groups)
         corr_model = DropColumnsModel(dropCols=corr_drop, groups=corr_groups)
         final_feats = sorted(c for c in after_cols if c not in pass_cols and c not in set(corr_drop))
         order = ColumnOrderModel(order=final_feats, passthrough=pass_cols)
@@ -323,7 +290,7 @@ class Preprocessor:
             raise ValueError(f"unknown imputation method {method}")
         if self.config.exact_median:
             return exact_quantile(casted, num, 0.5, profile=prof)
-        r = casted.agg(*[F.percentile_approx(qcol(c), 0.5, 100000).alias(f"m{i}") for i, c in enumerate(num)]).first()
+        r = chunked_aggregate(casted, [(f"m{i}", F.percentile_approx(qcol(c), 0.5, 100000), 8) for i, c in enumerate(num)])
         return {c: r[f"m{i}"] for i, c in enumerate(num)}
 
     def _label_counts(self, freq: DataFrame, cat: list[str]):
@@ -343,15 +310,13 @@ class Preprocessor:
         if not summary:
             return {}, {c: {} for c in cat}
         n = next(iter(summary.values()))["n"]
-        few = [c for c in cat if summary[c]["distinct"] <= max(cfg.rare_n_categories, cfg.one_hot_max) + 3]
         tags = [NULL_LABEL, cfg.missing_fill, cfg.rare_replace]
         modes = [s["mode"] for s in summary.values() if s["mode"] is not None]
-        cond = nn & ((F.col("cnt") >= F.lit(cfg.rare_tol * n)) | F.col("value").isin(tags + modes))
-        if few:
-            cond = cond | (nn & F.col("col").isin(few))
-        counts: dict = {c: {} for c in cat}
-        for r in freq.where(cond).collect():
-            counts[r["col"]][r["value"]] = r["cnt"]
+        # columns of at most rare_n_categories labels keep them all
+        small = [c for c in cat if c in summary and summary[c]["distinct"] <= cfg.rare_n_categories]
+        cond = nn & (share_reaches(F.col("cnt"), n, cfg.rare_tol) | F.col("value").isin(tags + modes)
+                     | F.col("col").isin(small))
+        counts = collect_counts(freq, cond, cat)
         return summary, counts
 
     def _categorical_models(self, cat, summary, counts, n):

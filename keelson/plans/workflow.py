@@ -14,15 +14,24 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from keelson.functions.exprs import qcol
+from keelson.functions.exprs import is_not_number, qcol
 from keelson.functions.sqltext import lit as sql_lit
-from keelson.operators.base import StageModel, param
-from keelson.operators.model import DEFAULT_ALPHA, DEFAULT_EPSILON, HuberPredictorModel, huber_fit, r2_score
+from keelson.operators.base import StageModel, param, schema_types
+from keelson.operators.model import (
+    DEFAULT_ALPHA,
+    DEFAULT_EPSILON,
+    HuberPredictorModel,
+    huber_fit,
+    r2_score,
+    training_vectors,
+)
 from keelson.operators.sample import inject_nulls, split_train_val
 from keelson.operators.tune import TuneResult, tune
-from keelson.operators.validate import validate, validate_predictions
+from keelson.operators.validate import ValidationError, validate, validate_predictions
 from keelson.plans.preprocess import FittedPreprocess, PreprocessConfig, Preprocessor, fused_transform
+from keelson.session import staged
 from keelson.sources.files import sink_csv
 from keelson.spec import DatasetSpec
 
@@ -69,30 +78,50 @@ def scaled(fp: FittedPreprocess, df: DataFrame) -> DataFrame:
     return fused_transform(PipelineModel(stages), df)
 
 
+def check_target(df: DataFrame, spec: DatasetSpec) -> None:
+    """The target must be numeric: its type, or every non-null text in it."""
+    kind = schema_types(df)[spec.target]
+    if isinstance(kind, T.NumericType):
+        return
+    if not isinstance(kind, T.StringType) or not df.where(is_not_number(qcol(spec.target))).isEmpty():
+        raise ValidationError(f"target field '{spec.target}' holds values that are not numbers")
+
+
 def train(df: DataFrame, spec: DatasetSpec, config: PreprocessConfig | None = None, val_pct: float = 0.1,
           split_seed: int = 42, null_seed: int = 123, hyperparameters: dict | None = None,
           run_tuning: bool = False, tune_kwargs: dict | None = None, artifacts_dir: str | None = None,
-          validate_data: bool = True, max_iter: int = 100, exact_split: bool = False) -> TrainResult:
+          validate_data: bool = True, max_iter: int = 100, exact_split: bool = False,
+          prediction_field: str = PREDICTION) -> TrainResult:
     """``exact_split=True`` makes the validation split exactly ceil(n * val_pct) rows
     (the reference's size; a few extra aggregate passes over the IDs)."""
     cfg = config or PreprocessConfig()
+    names = [c for c in dict.fromkeys([spec.id, spec.target, *spec.feature_names]) if c in df.columns]
+    df = staged(df.select(*[qcol(c) for c in names]), "train-input")        # the one read of the input
     if validate_data:
         validate(df, spec, is_train=True)
+    check_target(df, spec)
     tr_raw, va_raw = split_train_val(df, spec.id, val_pct, split_seed, exact_size=exact_split)
-    tr_raw = inject_nulls(tr_raw, spec.id, spec.nullable_features, cfg.perc_inserted_nulls, null_seed)
-    fp = Preprocessor(spec, cfg).fit(tr_raw)
+    tr_raw = staged(inject_nulls(tr_raw, spec.id, spec.nullable_features, cfg.perc_inserted_nulls, null_seed),
+                    "train-rows")
+    fp = Preprocessor(spec, cfg).fit(tr_raw, is_staged=True)
     tr, va = scaled(fp, tr_raw), scaled(fp, va_raw)
     hp = dict(alpha=DEFAULT_ALPHA, epsilon=DEFAULT_EPSILON)
     hp.update(hyperparameters or {})
     tuning = None
-    if run_tuning:
-        tuning = tune(df.sparkSession, tr, va, fp.feature_cols, spec.target, **(tune_kwargs or {}))
-        hp.update(tuning.best_params)
-    model = huber_fit(tr, fp.feature_cols, spec.target, hp["alpha"], hp["epsilon"], n=fp.n_rows,
-                      max_iter=max_iter)
-    r2 = r2_score(model.transform(va), spec.target) if val_pct > 0 else None
+    vectors = training_vectors(tr, fp.feature_cols, spec.target)            # shared by all fits
+    try:
+        if run_tuning:
+            tuning = tune(df.sparkSession, tr, va, fp.feature_cols, spec.target, vectors=vectors, n=fp.n_rows,
+                          **(tune_kwargs or {}))
+            hp.update(tuning.best_params)
+        model = huber_fit(tr, fp.feature_cols, spec.target, hp["alpha"], hp["epsilon"], n=fp.n_rows,
+                          max_iter=max_iter, vectors=vectors)
+    finally:
+        vectors.unpersist()
+    model.set(model.predictionCol, prediction_field)
+    r2 = r2_score(model.transform(va), spec.target, prediction_field) if val_pct > 0 else None
     ts = fp.target_scaler
-    unscale = TargetUnscaleModel(col=PREDICTION, mean=ts.v("means")[0], std=ts.v("stds")[0])
+    unscale = TargetUnscaleModel(col=prediction_field, mean=ts.v("means")[0], std=ts.v("stds")[0])
     bundle = PipelineModel(list(fp.pipeline.stages) + [model, unscale])
     if artifacts_dir:
         save_bundle(bundle, artifacts_dir)
@@ -152,28 +181,31 @@ def save_bundle(bundle: PipelineModel, path: str) -> None:
 
 
 def load_bundle(path: str) -> PipelineModel:
-    """Load either form; always returns a ``PipelineModel`` of the stages."""
-    try:
+    """Load either form (told by the saved class); always returns a ``PipelineModel`` of the stages."""
+    import json
+
+    from pyspark.sql import SparkSession
+    saved = json.loads(SparkSession.active().read.text(f"{path.rstrip('/')}/metadata").first()["value"])["class"]
+    if saved.rsplit(".", 1)[-1] == BundleModel.__name__:
         return PipelineModel(BundleModel.load(path).stage_list())
-    except Exception:  # noqa: BLE001 - not a compact bundle: a plain PipelineModel directory
-        return PipelineModel.load(path)
+    return PipelineModel.load(path)
 
 
-def predict(bundle: PipelineModel, df: DataFrame, spec: DatasetSpec) -> DataFrame:
+def predict(bundle: PipelineModel, df: DataFrame, spec: DatasetSpec, prediction_field: str = PREDICTION) -> DataFrame:
     """(id, prediction): predict + rescale in one projection; the ID is carried,
     never re-attached by position."""
     out = fused_transform(bundle, df.drop(spec.target) if spec.target in df.columns else df)
-    return out.select(qcol(spec.id), qcol(PREDICTION))
+    return out.select(qcol(spec.id), qcol(prediction_field))
 
 
 def score_batch(df: DataFrame, spec: DatasetSpec, bundle: PipelineModel, output_dir: str | None = None,
                 validate_data: bool = True, check_unique_id: bool = True,
-                check_output: bool = True) -> DataFrame:
+                check_output: bool = True, prediction_field: str = PREDICTION) -> DataFrame:
     if validate_data:
         validate(df, spec, is_train=False, check_unique_id=check_unique_id)
-    preds = predict(bundle, df, spec)
+    preds = predict(bundle, df, spec, prediction_field)
     if check_output:
-        validate_predictions(preds, spec, PREDICTION)
+        validate_predictions(preds, spec, prediction_field)
     if output_dir:
         sink_csv(preds, output_dir)
     return preds
@@ -192,7 +224,8 @@ def read_json_document(spark, path: str) -> dict:
 
 def run_training(spark, train_dir: str, spec_path: str, artifacts_dir: str, run_tuning: bool = False,
                  preprocessing_config_path: str | None = None, hyperparameters_path: str | None = None,
-                 hpt_path: str | None = None, val_pct: float = 0.1, single_file: bool = False) -> TrainResult:
+                 hpt_path: str | None = None, val_pct: float = 0.1, single_file: bool = False,
+                 model_config_path: str | None = None, split_seed: int = 42, null_seed: int = 123) -> TrainResult:
     """load -> validate -> split -> inject nulls -> fit -> (tune) -> fit model -> save -> R^2.
 
     Numerics are read as text so that a non-numeric value is reported by the
@@ -208,15 +241,20 @@ def run_training(spark, train_dir: str, spec_path: str, artifacts_dir: str, run_
         hpt = read_json_document(spark, hpt_path)
         tune_kwargs = dict(space=hpt.get("hyperparameters", DEFAULT_SPACE),
                            num_trials=hpt.get("num_trials", DEFAULT_TRIALS))
+    settings = read_json_document(spark, model_config_path) if model_config_path else {}
     df = src_csv(spark, train_dir, spec, is_train=True, numeric_as_string=True, single_file=single_file)
-    return train(df, spec, cfg, val_pct=val_pct, hyperparameters=hp, run_tuning=run_tuning,
-                 tune_kwargs=tune_kwargs, artifacts_dir=artifacts_dir)
+    return train(df, spec, cfg, val_pct=settings.get("validation_split", val_pct), split_seed=split_seed,
+                 null_seed=settings.get("seed_value", null_seed), hyperparameters=hp, run_tuning=run_tuning,
+                 tune_kwargs=tune_kwargs, artifacts_dir=artifacts_dir,
+                 prediction_field=settings.get("prediction_field_name", PREDICTION))
 
 
 def run_batch_predictions(spark, test_dir: str, spec_path: str, artifacts_dir: str, output_dir: str,
-                          single_file: bool = False) -> DataFrame:
+                          single_file: bool = False, model_config_path: str | None = None) -> DataFrame:
     """load artifacts -> read -> validate -> one projection -> (id, prediction) -> CSV."""
     from keelson.sources.files import src_csv
     spec = DatasetSpec.from_dict(read_json_document(spark, spec_path))
     df = src_csv(spark, test_dir, spec, is_train=False, numeric_as_string=True, single_file=single_file)
-    return score_batch(df, spec, load_bundle(artifacts_dir), output_dir=output_dir)
+    settings = read_json_document(spark, model_config_path) if model_config_path else {}
+    return score_batch(df, spec, load_bundle(artifacts_dir), output_dir=output_dir,
+                       prediction_field=settings.get("prediction_field_name", PREDICTION))

@@ -65,6 +65,21 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+STAGED_FILE_BYTES = 32 << 20
+
+
+def staged(df, name: str):
+    """Write ``df`` once under the shared checkpoint folder as Parquet and read it back.
+
+    Later jobs read only the columns they need and never recompute or reparse the input.
+    Files are kept near ``STAGED_FILE_BYTES`` (8 bytes a value) so that they spread over cores.
+    """
+    path = scratch_dir(df.sparkSession, name)
+    rows = max(1000, STAGED_FILE_BYTES // (8 * max(1, len(df.columns))))
+    df.write.option("maxRecordsPerFile", rows).parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def local_path(path: str) -> str:
     """Strip a ``file:`` scheme so that local checks can use ``os``."""
     return path[5:] if path.startswith("file:") else path

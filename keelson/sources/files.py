@@ -13,10 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keelson.functions.exprs import format_fixed, qcol
+from keelson.functions.exprs import format_fixed, qcol, to_double, to_whole
 from keelson.spec import DatasetSpec
 
 
+# The texts that the usual table library reads as missing.
+NULL_VALUES = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+               "NA", "NULL", "NaN", "n/a", "nan", "null")
+
+
 def _fs_list(spark: SparkSession, path: str) -> list[str] | None:
     """Names in a directory through the Hadoop FileSystem (works for any
     scheme the cluster knows); None when the directory does not exist."""
@@ -29,13 +34,15 @@ def _fs_list(spark: SparkSession, path: str) -> list[str] | None:
 
 
 def src_csv(spark: SparkSession, path: str, spec: DatasetSpec | None = None, is_train: bool = True,
-            numeric_as_string: bool = False, single_file: bool = False, fmt: str = "csv") -> DataFrame:
+            numeric_as_string: bool = False, single_file: bool = False, fmt: str = "csv",
+            null_values: tuple[str, ...] = NULL_VALUES) -> DataFrame:
     """Scan a table directory.
 
     Missing directory -> FileNotFoundError.  ``single_file=True`` reproduces
     the reference's rule: zero or several ``.csv`` files -> ValueError.
-    Empty CSV fields are NULL; 'nan'/'NaN' in a numeric column are NaN and are
-    turned into NULL by the numeric cast of the pipeline.
+    Files are matched by header names, so their column orders may differ; a
+    column that a file lacks is NULL there.  Empty fields and ``null_values``
+    (by default the usual spellings of a missing value) are NULL in every column.
     """
     names = _fs_list(spark, path)
     if names is None:
@@ -46,27 +53,57 @@ def src_csv(spark: SparkSession, path: str, spec: DatasetSpec | None = None, is_
             raise ValueError(f"No CSV file found in directory {path}")
         if single_file and len(csvs) > 1:
             raise ValueError(f"Multiple CSV files found in directory {path}.")
-        reader = spark.read.option("header", True).option("mode", "FAILFAST")
-        if spec is not None:
-            reader = reader.schema(_csv_schema(spark, path, spec, is_train, numeric_as_string))
-        else:
-            reader = reader.option("inferSchema", True)
-        target = f"{path.rstrip('/')}/{csvs[0]}" if single_file else path
-        return reader.csv(target)
+        files = [f"{path.rstrip('/')}/{n}" for n in sorted(csvs if csvs else names) if not n.startswith(("_", "."))]
+        if spec is None:
+            return spark.read.option("header", True).option("mode", "FAILFAST").option("inferSchema", True).csv(path)
+        return _read_by_header(spark, files, spec, is_train, numeric_as_string, null_values)
     reader = spark.read
     if spec is not None and fmt == "json":
         reader = reader.schema(spec.struct(is_train, numeric_as_string))
     return reader.format(fmt).load(path)
 
 
-def _csv_schema(spark, path, spec: DatasetSpec, is_train: bool, numeric_as_string: bool) -> T.StructType:
-    """Spec schema in the column order of the file header (CSV is positional).
-    Columns the spec does not know are read as strings (and later ignored)."""
-    header = spark.read.option("header", True).csv(path).columns
-    known = {f.name: f for f in spec.struct(is_train, numeric_as_string).fields}
-    if not is_train and spec.target in header:
-        known[spec.target] = T.StructField(spec.target, T.DoubleType(), True)
-    return T.StructType([known.get(h, T.StructField(h, T.StringType(), True)) for h in header])
+def _headers(spark: SparkSession, files: list[str]) -> dict[str, list[str]]:
+    """Header line of each file -> the files that have it (one small job over the first lines)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    groups: dict[str, list[str]] = {}
+    for name in files:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(path.getFileSystem(conf).open(path), "UTF-8"))
+        groups.setdefault(lines.readLine() or "", []).append(name)
+        lines.close()
+    return groups
+
+
+def _read_by_header(spark, files: list[str], spec: DatasetSpec, is_train: bool, numeric_as_string: bool,
+                    null_values: tuple[str, ...]) -> DataFrame:
+    """One scan for each header, every field as text, united by name and cast to the spec's types."""
+    reader = lambda: spark.read.option("header", True).option("mode", "FAILFAST").option("enforceSchema", False)
+    parts = []
+    for header, own in _headers(spark, files).items():
+        if not header:
+            continue
+        names = spark.read.option("header", True).csv(own[0]).columns
+        parts.append(reader().schema(T.StructType([T.StructField(n, T.StringType(), True) for n in names])).csv(own))
+    known = {f.name: f.dataType for f in spec.struct(is_train, numeric_as_string).fields}
+    if not is_train:
+        known.setdefault(spec.target, T.DoubleType())
+    if not parts:
+        return spark.createDataFrame([], spec.struct(is_train, numeric_as_string))
+    table = parts[0]
+    for other in parts[1:]:
+        table = table.unionByName(other, allowMissingColumns=True)
+
+    def typed(name: str):
+        text = F.when(~qcol(name).isin(*null_values), qcol(name)) if null_values else qcol(name)
+        kind = known.get(name, T.StringType())
+        if isinstance(kind, T.StringType):
+            return text.alias(name)
+        value = to_whole(text, T.StringType()) if isinstance(kind, T.LongType) else \
+            to_double(text, T.StringType()) if isinstance(kind, T.DoubleType) else text.cast(kind)
+        return value.alias(name)
+
+    return table.select(*[typed(n) for n in table.columns])
 
 
 def format_decimals(df: DataFrame, decimals: int = 4) -> DataFrame:

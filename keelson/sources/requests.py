@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keelson.functions.exprs import is_not_number, text_number
 from keelson.operators.base import apply_stages
 from keelson.spec import NUMERIC, DatasetSpec
 
@@ -37,9 +38,17 @@ def request_schema(spec: DatasetSpec) -> T.StructType:
     return spec.request_struct()
 
 
-def new_request_id() -> Column:
-    """10 hex characters, like the reference's request ids."""
-    return F.substring(F.regexp_replace(F.uuid(), "-", ""), 1, 10)
+SHOWN_ID_CHARS = 10
+
+
+def shown_id(key: Column) -> Column:
+    """The short request ID of a response; ``key`` (the full digest or a given ID) identifies the request."""
+    return F.when(key.rlike("^[0-9a-f]{32}$"), F.substring(key, 1, SHOWN_ID_CHARS)).otherwise(key)
+
+
+def content_key(*parts: Column) -> Column:
+    """A full digest of a request's place and text: the same when a task is run again."""
+    return F.md5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
 
 
 def _typed_instance(spec: DatasetSpec):
@@ -50,7 +59,7 @@ def _typed_instance(spec: DatasetSpec):
         fields = [m[spec.id].alias(spec.id)]
         for f in spec.features:
             v = m[f.name]
-            fields.append((v.try_cast("double") if f.kind == NUMERIC else v).alias(f.name))
+            fields.append((text_number(v) if f.kind == NUMERIC else v).alias(f.name))
         return F.struct(*fields)
     return build
 
@@ -60,7 +69,7 @@ def parse_requests(df: DataFrame, spec: DatasetSpec, value_col: str = "value",
     """(requestId, value) -> + ``keys`` (instances as string maps: tells a missing
     key from an explicit null, keeps values as text) and ``req.instances`` (typed)."""
     rid = F.col(request_id) if isinstance(request_id, str) else (request_id if request_id is not None
-                                                                  else new_request_id())
+                                                                  else content_key(F.col(value_col)))
     keys = F.from_json(F.col(value_col), "instances array<map<string,string>>")
     return df.select(
         rid.cast("string").alias("requestId"), F.col(value_col).alias("value"),
@@ -77,7 +86,7 @@ def _lacks(key: str):
 
 
 def _not_number(key: str):
-    return lambda m: m[key].isNotNull() & m[key].try_cast("double").isNull()
+    return lambda m: is_not_number(m[key])
 
 
 def _is_null(field: str):
@@ -149,7 +158,7 @@ def score_requests(parsed: DataFrame, spec: DatasetSpec, stages, timestamp: Colu
         F.when(ok, F.lit(STATUS_OK)).otherwise(F.lit(STATUS_ERROR)).alias("status"),
         F.coalesce(message, F.lit("")).alias("message"),
         ts.alias("timestamp"),
-        F.col("requestId").alias("requestId"),
+        shown_id(F.col("requestId")).alias("requestId"),
         F.lit(spec.target_description).alias("targetDescription"),
         F.when(ok, preds).alias("predictions"))
     return parsed.select("requestId", resp.alias("response")) \
@@ -173,7 +182,7 @@ def responses_from_predictions(pred: DataFrame, spec: DatasetSpec, prediction_co
         F.col("pos"), F.col(spec.id).cast("string").alias("sampleId"),
         F.round(F.col(prediction_col), PREDICTION_DECIMALS).alias("prediction")))).alias("p"))
     resp = F.struct(F.lit(STATUS_OK).alias("status"), F.lit("").alias("message"), ts.alias("timestamp"),
-                    F.col("requestId"), F.lit(spec.target_description).alias("targetDescription"),
+                    shown_id(F.col("requestId")).alias("requestId"), F.lit(spec.target_description).alias("targetDescription"),
                     F.transform("p", lambda x: F.struct(x["sampleId"].alias("sampleId"),
                                                         x["prediction"].alias("prediction"))).alias("predictions"))
     return grouped.select("requestId", resp.alias("response")) \

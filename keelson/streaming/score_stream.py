@@ -15,12 +15,23 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from keelson.sources.requests import parse_requests, score_requests
+from keelson.sources.requests import content_key, parse_requests, score_requests
 from keelson.spec import DatasetSpec
 
 
 def stream_request_id() -> Column:
-    return F.substring(F.md5(F.concat_ws("|", F.col("_metadata.file_path"), F.col("value"))), 1, 10)
+    """Full digest of a line's file, block start and text (equal lines of a file share it: responses are
+    rows of their own, so nothing merges; only its first characters are shown)."""
+    return content_key(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.col("value"))
+
+
+def split_line(line: Column, separator: str) -> tuple[Column, Column]:
+    """(request id, document) of ``<id><separator><document>``; a line without separator has a digest as id
+    and is its own document, so it gets an error response instead of stopping the stream."""
+    parts = F.split(line, separator, 2)
+    whole = F.size(parts) < 2
+    return F.when(whole, content_key(line)).otherwise(F.get(parts, F.lit(0))), \
+        F.when(whole, line).otherwise(F.get(parts, F.lit(1)))
 
 
 def score_stream(spark: SparkSession, source_dir: str, spec: DatasetSpec, bundle: PipelineModel,
@@ -39,19 +50,18 @@ def score_stream(spark: SparkSession, source_dir: str, spec: DatasetSpec, bundle
         # is a hash of (topic, partition, offset), stable across re-runs
         raw = spark.readStream.format("kafka").options(**kafka_options).load()
         lines = raw.select(F.col("value").cast("string").alias("value"),
-                           F.substring(F.md5(F.concat_ws("|", "topic", F.col("partition").cast("string"),
-                                                         F.col("offset").cast("string"))), 1, 10).alias("rid"))
+                           content_key(F.col("topic"), F.col("partition"), F.col("offset")).alias("rid"))
         if id_separator:
-            parts = F.split(F.col("value"), id_separator, 2)
-            lines = lines.select(parts[1].alias("value"), parts[0].alias("rid"))
+            rid, document = split_line(F.col("value"), id_separator)
+            lines = lines.select(document.alias("value"), rid.alias("rid"))
     else:
         reader = spark.readStream.format("text")
         if max_files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
         lines = reader.load(source_dir)
         if id_separator:
-            parts = F.split(F.col("value"), id_separator, 2)
-            lines = lines.select(parts[1].alias("value"), parts[0].alias("rid"))
+            rid, document = split_line(F.col("value"), id_separator)
+            lines = lines.select(document.alias("value"), rid.alias("rid"))
         else:
             lines = lines.select("value", stream_request_id().alias("rid"))
     parsed = parse_requests(lines, spec, "value", request_id="rid")

