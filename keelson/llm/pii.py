@@ -34,12 +34,13 @@ SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 # a match can only begin at the start of a run of its first class, or where the match before it ended.
 _LOCAL = "[A-Za-z0-9._%+-]"
 EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
-IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
-CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}+(?![ -]?[0-9])"
+# (a look-behind stands after the first character, so that most places fail on one class test)
+IP = r"[0-9](?<![0-9][0-9])[0-9]*+(?:\.[0-9]++){3}"
+CARD = r"[0-9](?<![0-9][0-9])(?<![0-9][ -][0-9])(?:[ -]?[0-9]){15,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 # What a pattern may discover: grouped digits without a plus, and spelled-out addresses.
-NUMBER_LIKE = r"(?<![\w+.,:/-])\(?[0-9](?:[ ().-]{0,2}[0-9]){5,18}+(?![\w.-]*[\w])"
-EMAIL_LIKE = rf"(?<!\S){_LOCAL}{{1,64}}+ ?(?:\(at\)|\[at\]| at )+ ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]++){{1,4}}+"
+NUMBER_LIKE = r"(?:\([0-9](?<![\w+.,:/-]\([0-9])|[0-9](?<![\w+.,:/(-][0-9]))(?:[ ().-]{0,2}[0-9]){5,18}+(?![\w.-]*\w)"
+EMAIL_LIKE = rf"(?<!\S){_LOCAL}{{1,64}}+ ?[(\[]at[)\]] ?[A-Za-z0-9-]++(?: ?(?:\.|[(\[]dot[)\]]) ?[A-Za-z0-9-]++){{1,4}}+"
 
 
 @dataclass(frozen=True)
@@ -75,15 +76,19 @@ ACCEPTS = {
     "email_like": lambda m: F.lit(True),
 }
 PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "number_like": NUMBER_LIKE, "email_like": EMAIL_LIKE}
-# a text without these characters has no match, which saves most texts a pass
-NEEDS = {"email": "@", "phone": "+", "email_like": "at"}
+# a text without a match of these has none of the kind, which saves most texts a pass
+NEEDS = {"email": "@", "ip": "[0-9]", "card": "[0-9]", "phone": r"\+", "number_like": "[0-9]", "email_like": r"at[)\]]"}
+
+
+def _clean(text: Column) -> Column:
+    """The text without nulls and control marks (replaced one for one)."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(text.rlike(f"[{OPEN}{CLOSE}]"), F.translate(text, OPEN + CLOSE, OTHER * 2)).otherwise(text)
 
 
 def _marked(text: Column, kind: str) -> Column:
     parts = F.split(F.regexp_replace(text, PATTERNS[kind], f"{OPEN}$0{CLOSE}"), OPEN)
-    if kind in NEEDS:
-        parts = F.when(F.contains(text, F.lit(NEEDS[kind])), parts).otherwise(F.array(text))
-    return parts
+    return F.when(F.col(f"may_{kind}"), parts).otherwise(F.array(text))
 
 
 def _spans(parts: Column, kind: str) -> Column:
@@ -115,10 +120,10 @@ def _context(text: Column, start: Column, window: int) -> Column:
 
 def entities(df: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
     """(row, id, base, candidates): spans with the hash of their context; one stored row per input row."""
-    rows = df.select(F.col(id_col).alias("id"),
-                     F.translate(F.coalesce(F.col(text_col), F.lit("")), OPEN + CLOSE, OTHER * 2).alias("text"))
-    for kind in PATTERNS:
-        rows = rows.withColumn(f"p_{kind}", _marked(F.col("text"), kind))
+    rows = df.select(F.col(id_col).alias("id"), _clean(F.col(text_col)).alias("text"))
+    tests = {test: F.col("text").rlike(test) for test in NEEDS.values()}
+    rows = rows.select("*", *[tests[NEEDS[kind]].alias(f"may_{kind}") for kind in PATTERNS])
+    rows = rows.select("id", "text", *[_marked(F.col("text"), kind).alias(f"p_{kind}") for kind in PATTERNS])
     rows = rows.select("id", "text", *[_spans(F.col(f"p_{kind}"), kind).alias(kind) for kind in PATTERNS])
 
     def with_context(spans: Column) -> Column:
@@ -137,14 +142,14 @@ def entities(df: DataFrame, id_col: str, text_col: str, window: int) -> DataFram
 
 def occurrences(df: DataFrame, text_col: str, patterns: DataFrame, limits: Bootstrap) -> DataFrame:
     """(context, seen): how often the two words of each given pattern follow each other in all texts."""
-    words = df.select(F.split(F.lower(F.translate(F.col(text_col), OPEN + CLOSE, OTHER * 2)), r"\s+").alias("w")) \
+    words = df.select(F.split(F.lower(_clean(F.col(text_col))), r"\s+").alias("w")) \
         .filter(F.size("w") >= 2)
     pairs = words.select(F.explode(F.transform(
         F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1)))).alias("context"))
     wanted = patterns.select("context").distinct()
     small = wanted.limit(limits.broadcast_rows + 1).count() <= limits.broadcast_rows
     wanted = F.broadcast(wanted) if small else wanted       # else a shuffle join on the pair's hash
-    return pairs.join(wanted, "context", "left_semi").groupBy("context").agg(F.count("*").alias("seen"))
+    return stored(pairs.join(wanted, "context", "left_semi").groupBy("context").agg(F.count("*").alias("seen")), "pii-seen")
 
 
 def bootstrap(edges: DataFrame, seen: DataFrame, limits: Bootstrap) -> DataFrame:
@@ -152,7 +157,7 @@ def bootstrap(edges: DataFrame, seen: DataFrame, limits: Bootstrap) -> DataFrame
 
     ``edges``: (context, kind, value, seed, n); patterns and instances score each other in rounds.
     """
-    edges = edges.join(seen, "context")
+    edges = stored(edges.join(seen, "context"), "pii-graph")
     scored = edges.withColumn("score", F.col("seed").cast("double"))
     for _ in range(limits.rounds):
         patterns = scored.groupBy("context", "kind").agg(
@@ -192,7 +197,9 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .withColumnRenamed("kind", "shape").join(patterns, "context") \
         .filter(_fits(F.col("shape"), F.col("value"), F.col("kind")))
     candidates = stored(candidates, "pii-candidates")
-    edges = stored(seeds.join(patterns, ["context", "kind"], "left_semi").withColumn("seed", F.lit(True)).unionByName(
+    # a pattern that introduces no candidate can discover nothing, and seeds are trusted as they are
+    useful = candidates.select("context", "kind").distinct()
+    edges = stored(seeds.join(useful, ["context", "kind"], "left_semi").withColumn("seed", F.lit(True)).unionByName(
         candidates.groupBy("context", "kind", "value").agg(F.count("*").alias("n")).withColumn("seed", F.lit(False))),
         "pii-edges")
     trusted = bootstrap(edges, occurrences(df, text_col, edges, limits), limits)
