@@ -755,25 +755,39 @@ def q_preprocess_fit_transform(spark, sf_dir):
 WIDE_FEATURES = 200  # the reference's stated maximum width
 
 
+def _spark_part(salt: str, k: int) -> str:
+    """Uniform number from the k-th eight hex digits of a digest of the key, in Spark's SQL."""
+    return (f"(CAST(conv(substring(md5(concat(CAST(o_orderkey AS STRING), '|{salt}')), {1 + 8 * k}, 8), 16, 10) AS BIGINT)"
+            f" / 4294967296D)")
+
+
+def _duck_part(salt: str, k: int) -> str:
+    """The same in DuckDB's."""
+    return f"(('0x' || substr(md5(concat(o_orderkey, '|{salt}')), {1 + 8 * k}, 8))::BIGINT / 4294967296.0)"
+
+
+def _wide_feature(j: int, part) -> str:
+    """Feature j in the SQL of ``part``: noise of its own scale plus a share of the price; even ones have nulls."""
+    price = "o_totalprice / CAST(1000000 AS DOUBLE)"
+    x = f"{part(str(j // 4), j % 4)} * CAST({1 + j % 5} AS DOUBLE) + {price} * CAST({j % 3 - 1} AS DOUBLE)"
+    if j % 2 == 0:
+        x = f"CASE WHEN {part(f'null{j // 8}', j // 2 % 4)} < CAST(0.05 AS DOUBLE) THEN NULL ELSE {x} END"
+    return x
+
+
 def wide_orders_frame(spark: SparkSession, sf_dir: str, width: int = WIDE_FEATURES):
     """``orders`` widened to ``width`` numeric features (hash noise mixed with the
     order price; every other feature has ~5% rule-made nulls) plus two
     categoricals; target = price / 1000."""
-    o = table(spark, sf_dir, "orders")
-    key = F.col("o_orderkey")
-    price = F.col("o_totalprice") / F.lit(1e6)
-    feats, spec_feats = [], []
-    for j in range(width):
-        x = hash_uniform(key, j) * F.lit(1.0 + j % 5) + price * F.lit(float(j % 3 - 1))
-        if j % 2 == 0:
-            x = F.when(hash_uniform(key, j, "null") < 0.05, F.lit(None)).otherwise(x)
-        feats.append(x.alias(f"f{j:03d}"))
-        spec_feats.append(Feature(f"f{j:03d}", "NUMERIC", j % 2 == 0, example=0.5))
+    features = [(f"f{j:03d}", _wide_feature(j, _spark_part)) for j in range(width)]
+    spec_feats = [Feature(name, "NUMERIC", j % 2 == 0, example=0.5) for j, (name, _) in enumerate(features)]
     spec_feats += [Feature("o_orderstatus", "CATEGORICAL", False, ("F", "O", "P")),
                    Feature("o_orderpriority", "CATEGORICAL", False, ("1-URGENT", "2-HIGH", "3-MEDIUM",
                                                                      "4-NOT SPECIFIED", "5-LOW"))]
-    df = o.select(key, *feats, "o_orderstatus", "o_orderpriority",
-                  (F.col("o_totalprice") / F.lit(1000.0)).alias("target"))
+    # as SQL text: one parse instead of thousands of calls
+    df = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", *[f"{e} AS {name}" for name, e in features], "o_orderstatus", "o_orderpriority",
+        "o_totalprice / 1000D AS target")
     return df, DatasetSpec("o_orderkey", "target", tuple(spec_feats), id_type=T.LongType())
 
 
@@ -782,11 +796,9 @@ def _wide_sql(width: int) -> str:
     raw, stats, filled, out = [], [], [], []
     for j in range(width):
         f = f"f{j:03d}"
-        x = f"{hash_uniform_sql('o_orderkey', f"'{j}'")} * {1.0 + j % 5} + o_totalprice / 1e6 * {float(j % 3 - 1)}"
         if j % 2 == 0:
-            x = f"CASE WHEN {hash_uniform_sql('o_orderkey', f"'{j}'", "'null'")} < 0.05 THEN NULL ELSE {x} END"
             out.append(f"CASE WHEN r.{f} IS NULL THEN 1 ELSE 0 END AS {f}_na")
-        raw.append(f"{x} AS {f}")
+        raw.append(f"{_wide_feature(j, _duck_part)} AS {f}")
         filled.append(f"coalesce({f}, avg({f}) OVER ()) AS {f}")
         stats.append(f"avg({f}) AS m{j}, stddev_pop({f}) AS s{j}")
         out.append(f"round(greatest(-4.0, least(4.0, (v.{f} - m{j}) / s{j})), 4) + 0.0 AS {f}")

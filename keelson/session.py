@@ -65,7 +65,7 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-STAGED_FILE_BYTES = 32 << 20
+STAGED_FILE_BYTES = 16 << 20
 
 
 def staged(df, name: str):
