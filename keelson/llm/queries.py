@@ -82,12 +82,10 @@ def tokenizer_path() -> str:
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and the text that they decode to, both digested."""
-    path = tokenizer_path()
-    coded = bpe.encode(table(spark, sf_dir, "documents"), path)
-    digest = coded.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"),
-                          sha256_of(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"))
-    return bpe.decode(digest, path, keep=("n_tokens", "ids_sha256")) \
-        .select("doc_id", "n_tokens", "ids_sha256", sha256_of(F.col("decoded")).alias("decoded_sha256"))
+    coded = bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), decoded=True)
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                        sha256_of(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
+                        sha256_of(F.col("decoded")).alias("decoded_sha256"))
 
 
 PLANTED_TEXT = r"\### Assistant: </turn> ok"
@@ -146,6 +144,35 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_groups(table(spark, sf_dir, "documents"))
 
 
+OP3_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, text,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x{0}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+  UNION ALL
+  SELECT doc_id, ' ' || text FROM words WHERE len(w) = 0 AND text <> ''
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+  GROUP BY 1, 2
+), links AS (
+  SELECT x, y, c = p.n AND c = q.n AS same FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE c >= 0.8 * (p.n + q.n - c) - 1e-9
+), reach AS (
+  SELECT doc_id AS id, doc_id AS root FROM words
+  UNION
+  SELECT l.y, r.root FROM reach r JOIN links l ON l.x = r.id
+), groups AS (SELECT id, min(root) AS class_id FROM reach GROUP BY id
+), per AS (SELECT x, count(*) AS n_links, min(CASE WHEN same THEN y END) AS other FROM links GROUP BY x)
+SELECT g.id AS doc_id, g.class_id, least(g.id, coalesce(per.other, g.id)) AS copy_id, CAST(coalesce(per.n_links, 0) AS BIGINT) AS n_links
+FROM groups g LEFT JOIN per ON per.x = g.id
+"""
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: base kinds are digested, discovered ones are in ``spans`` too."""
     found = pii.find_pii(table(spark, sf_dir, "documents"))
@@ -187,6 +214,7 @@ QUERIES = {
     "op10_chat_format": op10_chat_format,
 }
 ORACLES = {
+    "op3_ngram_jaccard": OP3_SQL,
     "op4_benchmark_decontamination": OP4_SQL,
     "op8_warc_normalise": OP8_SQL,
     "op10_chat_format": OP10_SQL,
