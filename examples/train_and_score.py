@@ -5,12 +5,12 @@ usage: python examples/train_and_score.py [sf_dir] [work_dir]
 
 import os
 import sys
-import tempfile
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from keelson import get_spark  # noqa: E402
 from keelson.plans import catalog as C  # noqa: E402
+from keelson.session import scratch_dir  # noqa: E402
 from keelson.plans.workflow import load_bundle, score_batch, train  # noqa: E402
 from keelson.sources.requests import requests_from_table  # noqa: E402
 from keelson.streaming import score_stream  # noqa: E402
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F  # noqa: E402
 
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    work = sys.argv[2] if len(sys.argv) > 2 else tempfile.mkdtemp(prefix="keelson-example-")
     spark = get_spark("local[4]", shuffle_partitions=8)
+    work = sys.argv[2] if len(sys.argv) > 2 else scratch_dir(spark, "example")      # in the shared folder
     spark.sparkContext.setLogLevel("ERROR")
     data, spec = C.events_frame(spark, sf), C.events_spec()
 

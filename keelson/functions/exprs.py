@@ -21,20 +21,14 @@ def nan_to_null(c: Column) -> Column:
     return F.nanvl(c, F.lit(None).cast("double"))
 
 
-# A number in text: sign, digits with a point, exponent; or a spelling of infinity or NaN.  Java's
-# own suffixes and hexadecimal forms ('12f', '0x1p3') are not numbers.
-NUMBER_PATTERN = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+# Spark's cast also takes Java's own spellings ('12f', '1d', '0x1p3'), which are not numbers elsewhere.
+JAVA_ONLY_NUMBER = r"[0-9.][dDfF]\s*$|[xX]"
 WHOLE_PATTERN = r"^\s*[+-]?[0-9]+\s*$"
-SPECIAL_PATTERN = r"^\s*([+-]?(inf|infinity)|[+-]?nan)\s*$"
 
 
 def text_number(c: Column) -> Column:
-    """Double of a text, NULL where it is not a number."""
-    special = F.lower(F.trim(c))
-    return F.when(c.rlike(NUMBER_PATTERN), F.trim(c).try_cast("double")) \
-        .when(special.rlike(SPECIAL_PATTERN),
-              F.when(special.endswith("nan"), F.lit(float("nan")))
-              .when(special.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
+    """Double of a text (sign, digits, point, exponent; infinity and NaN), NULL where it is not a number."""
+    return F.when(~c.rlike(JAVA_ONLY_NUMBER), c.try_cast("double"))
 
 
 def is_not_number(c: Column) -> Column:

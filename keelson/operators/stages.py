@@ -16,9 +16,8 @@ from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
 from keelson.functions.exprs import (
+    JAVA_ONLY_NUMBER,
     NULL_LABEL,
-    NUMBER_PATTERN,
-    SPECIAL_PATTERN,
     WHOLE_PATTERN,
     clip_expr,
     one_hot_name,
@@ -118,10 +117,7 @@ class TypeCaster(StageTransformer):
 
 def text_number_sql(e: str) -> str:
     """SQL twin of ``text_number``."""
-    word = f"lower(trim({e}))"
-    return (f"CASE WHEN {e} RLIKE {sql_lit(NUMBER_PATTERN)} THEN TRY_CAST(trim({e}) AS DOUBLE) "
-            f"WHEN {word} RLIKE {sql_lit(SPECIAL_PATTERN)} THEN CASE WHEN endswith({word}, 'nan') THEN CAST('NaN' AS DOUBLE) "
-            f"WHEN startswith({word}, '-') THEN CAST('-Infinity' AS DOUBLE) ELSE CAST('Infinity' AS DOUBLE) END END")
+    return f"CASE WHEN NOT {e} RLIKE {sql_lit(JAVA_ONLY_NUMBER)} THEN TRY_CAST({e} AS DOUBLE) END"
 
 
 def double_sql(e: str, t) -> str:

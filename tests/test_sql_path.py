@@ -2,7 +2,6 @@
 
 import pytest
 from pyspark.ml import PipelineModel
-from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from keelson.operators.stages import TypeCaster, ValueClipper

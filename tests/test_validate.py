@@ -55,7 +55,6 @@ def test_validate_predictions(spark):
 
 
 def test_quarantine_lists_every_row_of_a_repeated_id(spark):
-    import keelson.operators.validate as V
     df = spark.createDataFrame([(1, "x", 1.0, "A"), (1, "2", 2.0, "B"), (3, "3", None, "A"), (4, "4", 4.0, "A")],
                                "id int, n1 string, n2 double, c1 string")
     q = quarantine(df, SPEC)
