@@ -34,7 +34,8 @@ from pyspark.sql import DataFrame
 from .common import map_batches, share
 
 MAX_TOKENIZER_BYTES = 64 << 20
-CACHED_PIECES = 300_000         # distinct pieces of text a task keeps between batches
+CACHED_PIECES = 500_000         # distinct pieces of text a task keeps between batches
+WIDE = 24                       # positions of a rank from which numpy takes over
 PAIR_BITS = 20                  # token ids are below 2 ** 20
 
 # Fixed value: the public pre-token pattern of byte-level BPE vocabularies.
@@ -79,9 +80,8 @@ class Tokenizer:
 
     def ranks_of(self, pairs: np.ndarray) -> np.ndarray:
         """Rank of each pair number, -1 where there is no merge."""
-        some, where = np.unique(pairs, return_inverse=True)
-        at = np.minimum(np.searchsorted(self._keys, some), len(self._keys) - 1)
-        return np.where(self._keys[at] == some, self._ranks[at], -1)[where]
+        at = np.minimum(np.searchsorted(self._keys, pairs), len(self._keys) - 1)
+        return np.where(self._keys[at] == pairs, self._ranks[at], -1)
 
     @classmethod
     def from_file(cls, path: str) -> Tokenizer:
@@ -91,40 +91,60 @@ class Tokenizer:
             return cls(json.load(f))
 
 
-def merge_words(words: list[str], tok: Tokenizer) -> list[list[int]]:
-    """Token ids of each word, by one pair occurrence index over all of them."""
-    if not words:
-        return []
-    # all words in one row of symbols, each followed by -1, over which no pair reaches
-    pieces = [w.encode("utf-8") for w in words]
-    sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
-    letters = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-    row = np.full(len(letters) + len(pieces), -1, dtype=np.int64)
-    row[np.arange(len(letters)) + np.repeat(np.arange(len(pieces)), sizes)] = tok.byte_id[letters]
-
-    # the index: rank of a pair -> its positions
-    pair = (row[:-1] << PAIR_BITS) + row[1:]
-    pair[(row[:-1] < 0) | (row[1:] < 0)] = -1
-    ranks = tok.ranks_of(pair)
-    at = np.flatnonzero(ranks >= 0)
-    at = at[np.argsort(ranks[at], kind="stable")]
-    firsts = np.flatnonzero(np.diff(ranks[at], prepend=-1))
-    positions_of = at.tolist()
-    index = {int(ranks[at[s]]): positions_of[s:e]
-             for s, e in zip(firsts.tolist(), [*firsts[1:].tolist(), len(at)], strict=False)}
-    active = sorted(index)                                   # a sorted list is a heap
-
-    symbol = row.tolist()
-    n = len(symbol)
-    after = list(range(1, n + 1))
-    before = list(range(-1, n - 1))
-    rank_of, merges = tok.rank_of.get, tok.merges
-    while active:
-        rank = heapq.heappop(active)
-        left, right, both = merges[rank]
-        positions = index.pop(rank)
-        positions.sort()
-        high = both << PAIR_BITS
+class PairIndex:
+    """Symbols of many words in a row, and all positions of every pair that has a rank.
+
+    Each word is followed by -1, over which no pair reaches.  ``few`` and ``many`` hold the
+    positions of a rank, single ones and whole arrays; entries whose pair has gone since are
+    told by the symbols when their rank's turn comes.
+    """
+
+    def __init__(self, words: list[str], tok: Tokenizer):
+        pieces = [w.encode("utf-8") for w in words]
+        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        letters = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        row = np.full(len(letters) + len(pieces), -1, dtype=np.int64)
+        row[np.arange(len(letters)) + np.repeat(np.arange(len(pieces)), sizes)] = tok.byte_id[letters]
+        n = len(row)
+        self.tok = tok
+        # one buffer each, seen by single steps as arrays of Python and by wide ones as numpy's
+        self.symbol, self.after, self.before = (array("q", x.tobytes()) for x in (
+            row, np.arange(1, n + 1), np.arange(-1, n - 1)))
+        self.few: dict[int, list[int]] = {}
+        self.many: dict[int, list[np.ndarray]] = {}
+        self.active: list[int] = []
+        self._add(np.arange(n - 1), row[:-1], row[1:])
+
+    def _add(self, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+        """Enter the pairs at ``at`` that have a rank."""
+        ranks = self.tok.ranks_of((left << PAIR_BITS) + right)
+        ranks[(left < 0) | (right < 0)] = -1
+        some = np.flatnonzero(ranks >= 0)
+        some = some[np.argsort(ranks[some], kind="stable")]
+        ranks, at = ranks[some], at[some]
+        first = np.flatnonzero(np.diff(ranks, prepend=-1))
+        for rank, s, e in zip(ranks[first].tolist(), first.tolist(), [*first[1:].tolist(), len(at)], strict=False):
+            if rank in self.many:
+                self.many[rank].append(at[s:e])
+            else:
+                self.many[rank] = [at[s:e]]
+                if rank not in self.few:
+                    heapq.heappush(self.active, rank)
+
+    def merge_all(self) -> None:
+        """Apply the active ranks in ascending order, each at all its positions from left to right."""
+        while self.active:
+            rank = heapq.heappop(self.active)
+            single, arrays = self.few.pop(rank, []), self.many.pop(rank, [])
+            if len(single) + sum(map(len, arrays)) < WIDE:
+                self._merge_single(rank, sorted({*single, *(p for x in arrays for p in x.tolist())}))
+            else:
+                parts = [*arrays, np.array(single, dtype=np.int64)]
+                self._merge_wide(rank, np.unique(np.concatenate(parts)))
+
+    def _merge_single(self, rank: int, positions: list[int]) -> None:
+        symbol, after, before, few, many = self.symbol, self.after, self.before, self.few, self.many
+        rank_of, (left, right, both) = self.tok.rank_of.get, self.tok.merges[rank]
         for p in positions:
             q = after[p]
             if symbol[p] != left or symbol[q] != right:      # used up by an earlier merge
@@ -133,24 +153,51 @@ def merge_words(words: list[str], tok: Tokenizer) -> list[list[int]]:
             r = after[p] = after[q]
             before[r] = p
             o = before[p]
-            new = rank_of((symbol[o] << PAIR_BITS) + both) if o >= 0 else None
-            if new is not None:
-                if new in index:
-                    index[new].append(o)
-                else:
-                    index[new] = [o]
-                    heapq.heappush(active, new)
-            new = rank_of(high + symbol[r])
-            if new is not None:
-                if new in index:
-                    index[new].append(p)
+            for at, new in ((o, rank_of((symbol[o] << PAIR_BITS) + both) if o >= 0 else None),
+                            (p, rank_of((both << PAIR_BITS) + symbol[r]))):
+                if new is None:
+                    continue
+                if new in few:
+                    few[new].append(at)
                 else:
-                    index[new] = [p]
-                    heapq.heappush(active, new)
-    row = np.array(symbol, dtype=np.int64)
-    flat = row[row >= 0].tolist()
-    ends = np.cumsum(row >= 0)[np.flatnonzero(row == -1)].tolist()
-    return [flat[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
+                    few[new] = [at]
+                    if new not in many:
+                        heapq.heappush(self.active, new)
+
+    def _merge_wide(self, rank: int, p: np.ndarray) -> None:
+        symbol, after, before = (np.frombuffer(x, dtype=np.int64) for x in (self.symbol, self.after, self.before))
+        left, right, both = self.tok.merges[rank]
+        q = after[p]
+        live = (symbol[p] == left) & (symbol[q] == right)
+        p, q = p[live], q[live]
+        if left == right and len(p):                         # of overlapping pairs every second one stays
+            number = np.arange(len(p))
+            start = np.maximum.accumulate(np.where(np.append(True, p[1:] != q[:-1]), number, 0))
+            keep = (number - start) % 2 == 0
+            p, q = p[keep], q[keep]
+        r = after[q]
+        symbol[p], symbol[q] = both, -2
+        after[p], before[r] = r, p
+        o = before[p]
+        whole = np.full(len(p), both)
+        self._add(np.concatenate([o, p]), np.concatenate([np.where(o >= 0, symbol[o], -1), whole]),
+                  np.concatenate([whole, symbol[r]]))
+
+    def words(self) -> list[bytes]:
+        """Ids of each word, as bytes of int32."""
+        row = np.frombuffer(self.symbol, dtype=np.int64)
+        flat = row[row >= 0].astype(np.int32).tobytes()
+        ends = (4 * np.cumsum(row >= 0)[row == -1]).tolist()
+        return [flat[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def merge_words(words: list[str], tok: Tokenizer) -> list[bytes]:
+    """Token ids of each word (bytes of int32), by one pair index over all of them."""
+    if not words:
+        return []
+    index = PairIndex(words, tok)
+    index.merge_all()
+    return index.words()
 
 
 class Encoder:
@@ -165,7 +212,7 @@ class Encoder:
         self.tok = tok
         self.split = regex.compile(PRE_TOKEN).findall
         self.cut = re.compile(PIECE).findall
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
         self.pieces: dict = {}
         names = sorted(tok.added, key=len, reverse=True)
         self.marks = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
@@ -182,18 +229,30 @@ class Encoder:
             out += [(self.tok.added[part],)] if part in self.tok.added else self.cut(part)
         return out
 
+    def split_piece(self, piece: str) -> list[str]:
+        """Pre-tokens of a piece; letters, and letters before one mark, need no pattern."""
+        word = piece[1:] if piece[0] == " " else piece
+        if word.isalpha():
+            return [piece]
+        if word[:-1].isalpha() and word[-1] in ".,;:!?":
+            return [piece[:-1], word[-1]]
+        return self.split(piece)
+
     def encode(self, texts: list) -> list[np.ndarray]:
         rows = [self.cuts(t) for t in texts]
-        if len(self.pieces) > CACHED_PIECES:
-            self.words, self.pieces = {}, {}
-        new = [p for p in set(chain.from_iterable(rows)) if p not in self.pieces]
-        split = {p: self.split(p) for p in new if isinstance(p, str)}
-        words = [w for w in set(chain.from_iterable(split.values())) if w not in self.words]
+        used = set(chain.from_iterable(rows))
+        if len(self.pieces) > CACHED_PIECES:                 # those of this batch, the frequent ones among them, stay
+            self.pieces = {p: self.pieces[p] for p in used.intersection(self.pieces)}
+        if len(self.words) > CACHED_PIECES:
+            self.words = {}
+        new = used.difference(self.pieces)
+        split = {p: self.split_piece(p) for p in new if isinstance(p, str)}
+        words = list(set(chain.from_iterable(split.values())).difference(self.words))
         self.words.update(zip(words, merge_words(words, self.tok), strict=True))
         ids = self.words.__getitem__
         for p in new:
-            own = list(chain.from_iterable(map(ids, split[p]))) if p in split else list(p)
-            self.pieces[p] = array("i", own).tobytes()
+            own = split.get(p)
+            self.pieces[p] = array("i", p).tobytes() if own is None else ids(own[0]) if len(own) == 1 else b"".join(map(ids, own))
         known = self.pieces.__getitem__
         return [np.frombuffer(b"".join(map(known, r)), dtype=np.int32) for r in rows]
 
@@ -205,41 +264,61 @@ def list_array(rows: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def _with_columns(df: DataFrame, names: list[str]) -> DataFrame:
-    return df.select(*[df[c] for c in names])
+class Decoder:
+    """Texts of token ids: the bytes of all tokens, special ones too, read as UTF-8."""
+
+    def __init__(self, tok: Tokenizer):
+        pieces = [tok.token_bytes.get(i, b"") for i in range(max(tok.token_bytes) + 1)]
+        self.size = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        self.start = np.cumsum(self.size) - self.size
+        self.pool = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
+        counts = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+        size = self.size[flat]
+        first = np.cumsum(size) - size
+        data = self.pool[np.repeat(self.start[flat] - first, size) + np.arange(size.sum())].tobytes()
+        ends = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(counts))].tolist()
+        return pa.array([data[s:e].decode("utf-8", "replace") for s, e in zip(ends, ends[1:], strict=False)], pa.string())
+
+
+def _fields(df: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
 
 
 def encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-           keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, *keep, ids: array<int>), one row per input row."""
-    narrow = _with_columns(df, [id_col, *keep, text_col])
+           keep: tuple[str, ...] = (), decoded: bool = False) -> DataFrame:
+    """(id, *keep, ids: array<int>), one row per input row.
+
+    ``decoded`` adds the text that the ids decode to, by the same tasks (one Python worker a core).
+    """
+    kept = [id_col, *keep]
+    narrow = df.select(*[df[c] for c in kept], df[text_col].alias("__text"))
     shared = share(df.sparkSession, Tokenizer.from_file(tokenizer_path))
+    names = [*kept, "ids", *(["decoded"] if decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared())
+        tok = shared()
+        encoder, decoder = Encoder(tok), Decoder(tok)
         for b in batches:
             ids = list_array(encoder.encode(b.column(b.num_columns - 1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], names=[*b.schema.names[:-1], "ids"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids, *([decoder.decode(ids)] if decoded else [])], names=names)
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1]]
-    return map_batches(narrow, run, ", ".join([*fields, "ids array<int>"]))
+    return map_batches(narrow, run, f"{_fields(df, kept)}, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids",
            keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, *keep, decoded: string): the bytes of all tokens, special ones too, read as UTF-8."""
-    narrow = _with_columns(df, [id_col, *keep, ids_col])
-    shared = share(df.sparkSession, Tokenizer.from_file(tokenizer_path).token_bytes)
+    """(id, *keep, decoded: string); null ids decode to the empty text."""
+    kept = [id_col, *keep]
+    narrow = df.select(*[df[c] for c in kept], df[ids_col].alias("__ids"))
+    shared = share(df.sparkSession, Tokenizer.from_file(tokenizer_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = shared().__getitem__
+        decoder = Decoder(shared())
         for b in batches:
-            ids = b.column(b.num_columns - 1)
-            flat, ends = ids.flatten().to_pylist(), np.cumsum(pc.fill_null(pc.list_value_length(ids), 0)).tolist()
-            texts = [b"".join(map(piece, flat[s:e])).decode("utf-8", "replace")
-                     for s, e in zip([0, *ends[:-1]], ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())],
-                                             names=[*b.schema.names[:-1], "decoded"])
-
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1]]
-    return map_batches(narrow, run, ", ".join([*fields, "decoded string"]))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], decoder.decode(b.column(b.num_columns - 1))],
+                                             names=[*kept, "decoded"])
+
+    return map_batches(narrow, run, f"{_fields(df, kept)}, decoded string")

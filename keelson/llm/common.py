@@ -36,8 +36,8 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
                 schema: str) -> DataFrame:
     """``mapInArrow`` with batches small enough for long texts (rows and bytes per batch)."""
     conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return df.mapInArrow(fn, schema)
 
 
