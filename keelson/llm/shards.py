@@ -78,14 +78,17 @@ def count_between(rows: DataFrame, probes: list[int]) -> tuple[np.ndarray, np.nd
 
     parts = map_batches(rows.select("key", "size"), count, "gap bigint, size bigint, number bigint")
     size, number = np.zeros(len(probes) + 1, dtype=object), np.zeros(len(probes) + 1, dtype=object)
-    for r in parts.groupBy("gap").agg(F.sum("size").alias("size"), F.sum("number").alias("number")).toLocalIterator():
+    # at most one row a probe comes to the driver
+    for r in parts.groupBy("gap").agg(F.sum("size").alias("size"), F.sum("number").alias("number")).collect():
         size[r["gap"]], number[r["gap"]] = r["size"], r["number"]
     return size, number
 
 
 def refine(rows: DataFrame, shards: int, tolerance: int) -> dict:
     """Buckets of the order: their lower bounds (ints), shards and first slots."""
-    probes = [0, *(LIMIT * i // (4 * PROBES) for i in range(1, 4 * PROBES))]
+    ends = rows.agg(F.min("key").alias("low"), F.max("key").alias("high")).first()
+    low, high = (int.from_bytes(ends[x] or b"", "big") for x in ("low", "high"))
+    probes = sorted({0, *(low + (high + 1 - low) * i // (4 * PROBES) for i in range(4 * PROBES)), high + 1})
     while True:
         size, number = count_between(rows, probes)
         size, number = size[1:], number[1:]                  # no key is below probe 0
