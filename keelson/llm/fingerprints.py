@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from .common import map_batches, stored
 from .multiset import Fingerprints
 
-RESULT = ("n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+# hashes travel and are stored as bytes, half the size of their hex texts
+RESULT = ("n_chars bigint, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, "
           "near_edited double, near_next double")
+_HASHES = ("edited_sha256", "fingerprint", "edited_fingerprint")
 
 
 def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -35,12 +37,12 @@ def compare(texts: list[str], following: list[str]) -> dict[str, list]:
     edited = [t[:len(t) - c] + n[:c] for t, c, n in zip(texts, cuts, following, strict=True)]
     own, new, after = Fingerprints.of(texts), Fingerprints.of(edited), Fingerprints.of(following)
     return {"n_chars": [len(t) for t in texts],
-            "edited_sha256": [hashlib.sha256(t.encode("utf-8")).hexdigest() for t in edited],
-            "fingerprint": own.hex(), "edited_fingerprint": new.hex(),
+            "edited_sha256": [hashlib.sha256(t.encode("utf-8")).digest() for t in edited],
+            "fingerprint": own.packed(), "edited_fingerprint": new.packed(),
             "near_edited": own.likeness(new).tolist(), "near_next": own.likeness(after).tolist()}
 
 
-_TYPES = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+_TYPES = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
 
 
 def _result(columns: dict[str, list]) -> list[pa.Array]:
@@ -104,6 +106,6 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 names=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     columns = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    return made.filter("edge is null").select(*columns) \
-        .unionByName(map_batches(pairs, join_edges, f"id {id_sql}, {RESULT}")) \
-        .withColumnRenamed("id", id_col)
+    both = made.filter("edge is null").select(*columns).unionByName(map_batches(pairs, join_edges, f"id {id_sql}, {RESULT}"))
+    return both.select(F.col("id").alias(id_col), *[F.lower(F.hex(c)).alias(c) if c in _HASHES else F.col(c)
+                                                    for c in columns[1:]])

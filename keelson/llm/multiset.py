@@ -80,11 +80,15 @@ class Fingerprints:
     def __sub__(self, other: Fingerprints) -> Fingerprints:
         return Fingerprints(self.equal - other.equal, self.count - other.count, self.sketch - other.sketch)
 
-    def hex(self) -> list[str]:
+    def packed(self) -> list[bytes]:
+        """The lanes of each fingerprint, big-endian."""
         rows = np.concatenate([self.equal.astype(">u8").view(np.uint8).reshape(len(self.equal), -1),
                                self.count.astype(">u8").view(np.uint8).reshape(-1, 8),
                                self.sketch.astype(">i2").view(np.uint8).reshape(len(self.sketch), -1)], axis=1)
-        return [r.tobytes().hex() for r in rows]
+        return [r.tobytes() for r in rows]
+
+    def hex(self) -> list[str]:
+        return [r.hex() for r in self.packed()]
 
     @classmethod
     def from_hex(cls, texts: list[str]) -> Fingerprints:
