@@ -122,6 +122,12 @@ def _bounded(counts: DataFrame, most: int, by: list[str]) -> DataFrame:
     return counts.filter(keep)
 
 
+def _rows(counts: DataFrame) -> list[tuple]:
+    """(lang, key, n) of a bounded table, through Arrow (a Row object would take several times the memory)."""
+    columns = counts.select("lang", "key", "n").toArrow()
+    return list(zip(*(columns.column(i).to_pylist() for i in range(3)), strict=True))
+
+
 class LanguageModel:
     """Bounded tables of log frequencies; ``score`` needs nothing else."""
 
@@ -183,8 +189,8 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", n_max: in
                         grams.groupBy("lang", "size").agg(F.sum("n").alias("t")).collect()}}
     if not totals["words"]:
         return None
-    kept_words = [tuple(r) for r in _bounded(words, max_words, ["lang"]).select("lang", "key", "n").collect()]
-    kept_grams = [tuple(r) for r in _bounded(grams, max_grams, ["lang", "size"]).select("lang", "key", "n").collect()]
+    kept_words = _rows(_bounded(words, max_words, ["lang"]))
+    kept_grams = _rows(_bounded(grams, max_grams, ["lang", "size"]))
     if not kept_words:
         return None
     return LanguageModel(kept_words, kept_grams, totals, n_max)
