@@ -171,13 +171,19 @@ class _WordRows(dict):
 
     def __init__(self, model: LanguageModel):
         super().__init__()
-        self.model, self.rows = model, []
+        self.model, self.rows, self.done = model, [], np.empty((0, len(model.langs)))
 
     def __missing__(self, word: str) -> int:
         self[word] = at = len(self.rows)
         self.rows.append(self.model.word_scores(word))
         return at
 
+    def matrix(self) -> np.ndarray:
+        """All rows; only those since the last call are converted."""
+        if len(self.done) < len(self.rows):
+            self.done = np.concatenate([self.done, np.asarray(self.rows[len(self.done):], dtype=np.float64)])
+        return self.done
+
 
 def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", n_max: int = 4,
         max_words: int = 50_000, max_grams: int = 50_000) -> LanguageModel | None:
@@ -201,7 +207,7 @@ def score_batch(model: LanguageModel | None, texts: list, rows: _WordRows | None
     if model is None:
         return ["und"] * len(texts), [0.0] * len(texts)
     at = [list(map(rows.__getitem__, words_of(t))) for t in texts]
-    matrix = np.asarray(rows.rows, dtype=np.float64).reshape(-1, len(model.langs))
+    matrix = rows.matrix()
     langs, scores = [], []
     for ids in at:
         if not ids:
