@@ -35,7 +35,7 @@ from .common import map_batches, stored
 
 REVISIT_LEAST = 1000           # payloads below this many bytes are never revisits
 CHUNK = 1 << 18
-SPLIT_BYTES = 32 << 20         # normalised bytes that one reading task gets together
+SPLIT_BYTES = 8 << 20          # normalised bytes that one reading task gets together, about
 _DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -205,15 +205,17 @@ def normalise(whole: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)],
                                           names=["file", "offset", "length", "record_id", "record_type"])
 
-    spread = whole.select("file").repartition("file")       # one stream is one task's work, whatever the table's files
+    # one stream is one task's work; the number is given, as a plan that saw only the short names would join them
+    spread = whole.select("file").repartitionByRange(max(1, whole.count()), "file")
     return stored(map_batches(spread, run, "file string, offset bigint, length bigint, record_id string, "
                               "record_type string"), "warc-index")
 
 
 def read_records(index: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of indexed records, read at their offsets."""
-    folder_of = index.select("file", "offset", "length", F.floor(F.col("offset") / SPLIT_BYTES).alias("split"))
-    near = folder_of.repartition("file", "split").sortWithinPartitions("file", "offset")
+    size = index.agg(F.sum("length").alias("b")).first()["b"] or 0
+    splits = index.select("file", "offset", "length", F.floor(F.col("offset") / SPLIT_BYTES).alias("split"))
+    near = splits.repartition(max(1, -(-size // SPLIT_BYTES)), "file", "split").sortWithinPartitions("file", "offset")
     base = scratch_dir(index.sparkSession, "x")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
