@@ -40,7 +40,12 @@ CARD = r"[0-9](?<![0-9][0-9])(?<![0-9][ -][0-9])(?:[ -]?[0-9]){15,18}+(?![ -]?[0
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 # What a pattern may discover: grouped digits without a plus, and spelled-out addresses.
 NUMBER_LIKE = r"(?:\([0-9](?<![\w+.,:/-]\([0-9])|[0-9](?<![\w+.,:/(-][0-9]))(?:[ ().-]{0,2}[0-9]){5,18}+(?![\w.-]*\w)"
-EMAIL_LIKE = rf"(?<!\S){_LOCAL}{{1,64}}+ ?[(\[]at[)\]] ?[A-Za-z0-9-]++(?: ?(?:\.|[(\[]dot[)\]]) ?[A-Za-z0-9-]++){{1,4}}+"
+# (a bare "at" or "dot" counts as well as a bracketed one; a dot before a space and a capital ends a
+# sentence: it joins a domain only as its first dot behind a bracketed "at")
+_LABEL = "[A-Za-z0-9-]++"
+_DOT = r" ?(?:[(\[]dot[)\]]| dot |\.(?! [A-Z])) ?"
+EMAIL_LIKE = (rf"(?<!\S){_LOCAL}{{1,64}}+(?: ?(?:[(\[]at[)\]]| at )+ ?{_LABEL}{_DOT}{_LABEL}"
+              rf"| ?[(\[]at[)\]] ?{_LABEL}\. {_LABEL})(?:{_DOT}{_LABEL}){{0,3}}+")
 
 
 @dataclass(frozen=True)
@@ -77,7 +82,8 @@ ACCEPTS = {
 }
 PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "number_like": NUMBER_LIKE, "email_like": EMAIL_LIKE}
 # a text without a match of these has none of the kind, which saves most texts a pass
-NEEDS = {"email": "@", "ip": "[0-9]", "card": "[0-9]", "phone": r"\+", "number_like": "[0-9]", "email_like": r"at[)\]]"}
+NEEDS = {"email": "@", "ip": "[0-9]", "card": "[0-9]", "phone": r"\+", "number_like": "[0-9]",
+         "email_like": rf"at(?:[)\]]|  ?{_LABEL}{_DOT}[A-Za-z0-9-])"}
 
 
 def _clean(text: Column) -> Column:

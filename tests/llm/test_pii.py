@@ -60,6 +60,17 @@ def test_bootstrap_discovers_in_trusted_contexts_only(spark):
     assert rows[6][found[6][0]["start"]:found[6][0]["end"]] == "(555) 010-4477" and found[6][0]["kind"] == "ctx_phone"
 
 
+def test_spelled_out_addresses_are_discovered(spark):
+    forms = ["jane.roe at example dot com", "jane.roe at example.com", "jane.roe (at) example dot com", "jane.roe at mail dot example.com",
+             "jane.roe at example (dot) com", "jane.roe(at)example(dot)com", "jane.roe [at] example [dot] com", "jane.roe (at) example. com"]
+    ends = ["", " today", ". He said so"]
+    rows = [f"please write to user{i}@example.org now, or to them" for i in range(60)] + \
+        [f"please write to {form}{end}" for form in forms for end in ends] + ["please write to me at home. He is out", "we met jane.roe at example dot com"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {i: [rows[i][s["start"]:s["end"]] for s in r["spans"] if s["kind"] == "ctx_email"] for i, r in by_id(pii.find_pii(df)).items()}
+    assert found == {i: [] for i in range(len(rows))} | {60 + i: [forms[i // len(ends)]] for i in range(len(forms) * len(ends))}
+
+
 def test_copies_lend_no_support(spark):
     rows = ["please dial extension +1 (200) 555-0001 now"] * 50 + ["please dial extension (555) 010-4477 now"]
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
