@@ -320,30 +320,53 @@ def remove_contamination(df: DataFrame, benchmark: DataFrame, text_col: str = "t
                          block_words: int = 2_000_000) -> DataFrame:
     """``df`` with removal spans cut out of ``text_col``; rows of which no word is left (but had some) go.
 
-    A text without hits stays as it is.  ``length_col``, if given, follows a cut text.  Later blocks
-    of a large benchmark search what earlier blocks left.
+    A text without hits stays as it is.  ``length_col``, if given, follows a cut text.  All blocks of a
+    large benchmark search the texts as they came; the last one cuts the merged spans of all.
     """
     names = df.columns
     at = names.index(text_col)
     length_at = names.index(length_col) if length_col else None
-    for k, phrases in enumerate(phrase_blocks(benchmark, item_col, item_text_col, window, block_words)):
-        if k:
-            df = stored(df, "decontam-block")
-        df = map_batches(df, _cut_block(share(df.sparkSession, phrases), at, length_at), df.schema)
-    return df
+    spare = "__spans"
+    while spare in {n.lower() for n in names}:
+        spare += "_"
+    kept = df.schema
+    rows = df.withColumn(spare, F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"))
+    blocks = phrase_blocks(benchmark, item_col, item_text_col, window, block_words)
+    phrases = next(blocks)
+    for later in blocks:
+        rows = stored(map_batches(rows, _mark_block(share(df.sparkSession, phrases), at), rows.schema), "decontam-block")
+        phrases = later
+    return map_batches(rows, _cut_block(share(df.sparkSession, phrases), at, length_at), kept)
+
+
+def _with_earlier(b: pa.RecordBatch, at: int, phrases: Phrases) -> list[list]:
+    """Spans of every text, merged with those of earlier blocks (the last column)."""
+    found = find_hits(b.column(at).to_pylist(), phrases)
+    return [merged([[x["start"], x["end"]] for x in earlier] + own)
+            for earlier, (_, own, _) in zip(b.columns[-1].to_pylist(), found, strict=True)]
+
+
+def _mark_block(shared, at: int):
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = shared()
+        for b in batches:
+            spans = [[{"start": s, "end": e} for s, e in own] for own in _with_earlier(b, at, phrases)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(spans, b.columns[-1].type)], schema=b.schema)
+    return mark
 
 
 def _cut_block(shared, at: int, length_at: int | None):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = shared()
         for b in batches:
-            texts = b.column(at).to_pylist()
-            found = find_hits(texts, phrases)
-            hit = [i for i, (_, own, _) in enumerate(found) if own]
+            spans = _with_earlier(b, at, phrases)
+            b = b.select(range(b.num_columns - 1))
+            hit = [i for i, own in enumerate(spans) if own]
             if hit:
                 columns = list(b.columns)
+                texts = columns[at].to_pylist()
                 for i in hit:
-                    texts[i] = remove_spans(texts[i], found[i][1])
+                    texts[i] = remove_spans(texts[i], spans[i])
                 columns[at] = pa.array(texts, b.schema.field(at).type)
                 if length_at is not None:
                     sizes = columns[length_at].to_pylist()

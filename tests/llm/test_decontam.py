@@ -6,6 +6,7 @@ import pytest
 from cases import by_id, documents, empty_documents, odd_documents, prose
 from conftest import SF_SMALL
 from keelson.llm import decontam, queries
+from pyspark.sql import functions as F
 
 import duckdb
 
@@ -90,6 +91,26 @@ def test_removal(spark, benchmark):
     assert 2 not in got and got[3]["text"] == "clean text" and got[4]["text"] is None
 
 
+def test_removal_does_not_depend_on_the_blocks(spark):
+    rows, items = [], []
+    for k in range(12):
+        w = [f"w{k}x{i}" for i in range(1, 21)]
+        items += [(100 + k, " ".join(w[:12])), (200 + k, " ".join(w[7:]))]       # overlapping passages: nothing is left
+        rows.append((k, " ".join(w), 0))
+        v = [f"v{k}x{i}" for i in range(1, 23)]
+        items += [(300 + k, " ".join(v[5:17])), (400 + k, " ".join(v[:5] + v[17:]))]     # the cut joins what is no passage here
+        rows.append((50 + k, " ".join(v), 0))
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").withColumn("__SPANS", F.lit("own"))
+    table = spark.createDataFrame(items, "item_id long, text string")
+    assert len(list(decontam.phrase_blocks(table, "item_id", "text", 10, 8))) > 10
+    want = {50 + k: " ".join(f"v{k}x{i}" for i in [*range(1, 6), *range(18, 23)]) for k in range(12)}
+    for block_words in (2_000_000, 8):
+        out = decontam.remove_contamination(df, table, length_col="n_chars", block_words=block_words)
+        got = by_id(out)
+        assert out.columns == df.columns and {i: r["text"] for i, r in got.items()} == want
+        assert all(r["n_chars"] == len(r["text"]) and r["__SPANS"] == "own" for r in got.values())
+
+
 def test_odd_rows(spark, benchmark):
     df = odd_documents(spark)
     out = decontam.find_contamination(df, benchmark[0])
