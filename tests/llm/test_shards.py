@@ -20,6 +20,13 @@ def test_query_equals_brute_force(spark):
         below, slots[shard] = below + size, slots.get(shard, 0) + 1
 
 
+def test_query_moves_the_texts(spark):
+    """Between the placing map and the rows' order in their buckets the plan carries the text, not its digest."""
+    plan = queries.op2_histogram_shards(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    moved = plan[plan.index("Window"):plan.index("MapInArrow")]
+    assert " text#" in moved[moved.index("Project"):] and "crc32" not in moved
+
+
 def test_many_buckets_and_rounds(spark, monkeypatch):
     """Few probes a round and small buckets give the same shards, bucket by bucket."""
     df = spark.range(3000).select((F.col("id") * 7919 % 3001 - 1500).alias("k"), (F.col("id") % 13 * 10).alias("n"))
