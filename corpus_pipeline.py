@@ -7,7 +7,8 @@ next.  All stages but the last return the columns of ``documents``:
 1. ``language``: rows whose language is rejected go (no letters, or a best
    language that holds less than ``LEAST_SCORE`` of the score).
 2. ``near_copies``: of each group of near copies (five-word shingles, 0.8) the
-   document with the smallest id stays; rows without an id stay.
+   document with the smallest id stays, of rows with that id or of rows without any id
+   (they come last) the first stored one; rows without shingles have no copies and stay.
 3. ``decontaminate``: benchmark passages are cut out of the texts; a text of
    which nothing but separators is left goes.
 4. ``secrets``: confirmed and patterned secrets are replaced by ``[SECRET]``.
@@ -35,10 +36,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = stored(ngram_join.jaccard_groups(docs).filter("class_id <> doc_id").select("doc_id").distinct(),
-                    "pipeline-copies")
-    kept = docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
-    return kept
+    # ids may be null or repeated, so rows are told apart by a stored key
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows")
+    grouped = ngram_join.jaccard_groups(rows, "__row").filter("n_links > 0").select("__row", "class_id")
+    grouped = stored(grouped.join(rows.select("__row", "doc_id"), "__row"), "pipeline-groups")
+    first = grouped.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("f")) \
+        .select(F.col("f.__row").alias("__row"))
+    copies = stored(grouped.join(first, "__row", "left_anti").select("__row"), "pipeline-copies")
+    return rows.join(copies, "__row", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,6 +49,17 @@ def test_no_passage_is_left_and_clean_documents_stay(spark, tmp_path):
     assert text[4] == "[SECRET] in a clean text about something"
 
 
+def test_near_copies_keeps_one_row_of_each_group(spark):
+    a, b, c, d = (prose(60, i) for i in range(21, 25))
+    rows = [(5, a), (3, a), (5, b), (7, c), (7, c), (None, a), (None, d), (None, d + " end"), (9, None), (9, None), (2, ""), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["text"]) for r in P.near_copies(spark, docs, SF_SMALL).collect()]
+    d_kept = [x for x in got if x in ((None, d), (None, d + " end"))]
+    assert len(d_kept) == 1
+    want = [(3, a), (5, b), (7, c), (9, None), (9, None), (2, ""), (2, "")]
+    assert sorted(map(repr, got)) == sorted(map(repr, want + d_kept))
+
+
 def test_stages_keep_the_columns(spark):
     docs = odd_documents(spark)
     for table in (docs, empty_documents(spark)):
