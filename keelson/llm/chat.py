@@ -106,12 +106,14 @@ def _prefixed(names: Column, prefix: Column) -> Column:
 
 
 def json_fingerprint(record: Column) -> Column:
-    """The same hash for a JSON record: its own field names and, of known lists, those of the first element."""
-    paths = [F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))]
+    """The same hash for a JSON record: its own field names and, of known lists, those of all elements."""
+    none = F.array().cast("array<string>")
+    paths = [F.coalesce(F.json_object_keys(record), none)]
     for name in LISTS:
-        inner = F.json_object_keys(F.get_json_object(record, f"$.{name}[0]"))
+        elements = F.from_json(F.get_json_object(record, f"$.{name}"), "array<string>")
+        inner = F.flatten(F.transform(elements, lambda e: F.coalesce(F.json_object_keys(e), none)))
         prefix = F.lit(f"{name}[].")
-        paths.append(F.coalesce(_prefixed(inner, prefix), F.array().cast("array<string>")))
+        paths.append(F.coalesce(_prefixed(inner, prefix), none))
     known = F.array_intersect(F.flatten(F.array(*paths)), F.array(*map(F.lit, KNOWN_PATHS)))
     return F.sha2(F.array_join(F.sort_array(known), "\n").cast("binary"), 256)
 

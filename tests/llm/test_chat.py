@@ -62,6 +62,17 @@ RECORDS = [
 ]
 
 
+def test_json_layout_by_the_fields_of_all_elements(spark):
+    records = [{"messages": [{"role": "system"}, {"role": "user", "content": "q"}]}, {"messages": [{}, {"content": "q", "role": "user", "name": {"a": [1]}}]},
+               {"conversations": [{"from": "human"}, {"value": "q", "from": "human"}]},
+               {"messages": [None, 3, "x"]}, {"messages": []}, {"messages": {"role": "user", "content": "q"}}]
+    got = {r["conv_id"]: r for r in chat.canonical_turns_json(
+        spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "conv_id long, record string")).collect()}
+    for i in range(3):
+        assert got[i]["layout"] and len(got[i]["turns"]) == 2 and got[i]["turns"][1]["text"] == "q"
+    assert all(got[i]["layout"] is None and got[i]["turns"] == [] for i in (3, 4, 5))
+
+
 def test_json_layouts(spark):
     rows = [(i, json.dumps(r)) for i, (r, _, _) in enumerate(RECORDS)] + [(90, None), (91, "{broken"), (92, "")]
     got = {r["conv_id"]: r for r in chat.canonical_turns_json(
