@@ -4,8 +4,10 @@ Base entities (email, ip, card, phone) are seeds.  Their lexical patterns are
 the two words before them; a pattern is scored by what share of *all* its
 occurrences in the corpus is followed by a trusted entity of the kind, an
 instance by the noisy-or of its patterns, in turn, for a few rounds.  Number-like
-or email-like texts that no base pattern takes are reported (``ctx_<kind>``)
-where a pattern of high confidence and wide support introduces them.
+or email-like texts that no base pattern takes are trusted where a pattern of high
+confidence and wide support introduces them.  Trusted values give patterns in
+their turn, for a few hops, and are reported (``ctx_<kind>``) wherever they
+stand with a context.
 
 Only DataFrame functions are used.  Positions come from marking: every match is
 wrapped in two control characters (which are first replaced in the text, one
@@ -53,6 +55,7 @@ class Bootstrap:
     """Limits of the bootstrap; they bound what is reported, not what is counted."""
 
     rounds: int = 3
+    hops: int = 3               # times that trusted values may give further patterns
     support: int = 3            # distinct seed values behind a pattern
     pattern_least: float = 0.5  # share of a pattern's occurrences followed by trusted entities
     instance_least: float = 0.5
@@ -194,22 +197,34 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, spans: array<struct<kind,start,end>>): base spans by kind and start, then discovered ones likewise."""
     limits = limits or Bootstrap()
     found = stored(entities(df, id_col, text_col, limits.window), "pii-entities")
-    spans = found.select("row", F.explode("base").alias("s")).select("row", "s.*").filter("context is not null")
-    seeds = spans.groupBy("context", "kind", "value").agg(F.count("*").alias("n"))
-    patterns = seeds.groupBy("context", "kind").agg(F.count("*").alias("support")) \
-        .filter(F.col("support") >= limits.support)
-    patterns = stored(patterns.select("context", "kind"), "pii-patterns")
+    spans = found.select(F.explode("base").alias("s")).select("s.*").filter("context is not null")
+    seeds = stored(spans.groupBy("context", "kind", "value").agg(F.count("*").alias("n")), "pii-seeds")
     candidates = found.select("row", F.explode("candidates").alias("s")).select("row", "s.*") \
-        .withColumnRenamed("kind", "shape").join(patterns, "context") \
+        .withColumnRenamed("kind", "shape").withColumn("kind", F.explode(F.array(*map(F.lit, KINDS)))) \
         .filter(_fits(F.col("shape"), F.col("value"), F.col("kind")))
     candidates = stored(candidates, "pii-candidates")
-    # a pattern that introduces no candidate can discover nothing, and seeds are trusted as they are
-    useful = candidates.select("context", "kind").distinct()
-    edges = stored(seeds.join(useful, ["context", "kind"], "left_semi").withColumn("seed", F.lit(True)).unionByName(
-        candidates.groupBy("context", "kind", "value").agg(F.count("*").alias("n")).withColumn("seed", F.lit(False))),
-        "pii-edges")
-    trusted = bootstrap(edges, occurrences(df, text_col, edges, limits), limits)
-    new = candidates.join(trusted, ["context", "kind", "value"], "left_semi").groupBy("row").agg(
+    instances = stored(candidates.groupBy("context", "kind", "value").agg(F.count("*").alias("n")), "pii-instances")
+    # each hop: what is trusted so far gives the patterns, and these trust further values
+    trusted = seeds.select("kind", "value").limit(0)
+    for _ in range(limits.hops):
+        known = stored(seeds.unionByName(instances.join(trusted, ["kind", "value"], "left_semi"))
+                       .groupBy("context", "kind", "value").agg(F.sum("n").alias("n")), "pii-known")
+        patterns = known.groupBy("context", "kind").agg(F.count("*").alias("support")) \
+            .filter(F.col("support") >= limits.support).select("context", "kind")
+        open_ = stored(instances.join(trusted, ["kind", "value"], "left_anti")
+                       .join(patterns, ["context", "kind"], "left_semi"), "pii-open")
+        # a pattern that introduces nothing new can discover nothing
+        useful = open_.select("context", "kind").distinct()
+        edges = stored(known.join(useful, ["context", "kind"], "left_semi").withColumn("seed", F.lit(True))
+                       .unionByName(open_.withColumn("seed", F.lit(False))), "pii-edges")
+        if edges.isEmpty():
+            break
+        new = bootstrap(edges, occurrences(df, text_col, edges, limits), limits).select("kind", "value")
+        more = stored(trusted.unionByName(new).distinct(), "pii-trusted")
+        if more.count() == trusted.count():
+            break
+        trusted = more
+    new = candidates.join(trusted, ["kind", "value"], "left_semi").groupBy("row").agg(
         F.sort_array(F.collect_set(F.struct(F.concat(F.lit("ctx_"), "kind").alias("kind"), "start", "end"))).alias("new"))
     plain = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     none = F.expr("cast(array() as array<struct<kind:string,start:bigint,end:bigint>>)")

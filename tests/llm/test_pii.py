@@ -65,12 +65,23 @@ def test_spelled_out_addresses_are_discovered(spark):
              "jane.roe at example (dot) com", "jane.roe(at)example(dot)com", "jane.roe [at] example [dot] com", "jane.roe (at) example. com"]
     ends = ["", " today", ". He said so"]
     rows = [f"please write to user{i}@example.org now, or to them" for i in range(60)] + \
-        [f"please write to {form}{end}" for form in forms for end in ends] + ["please write to me at home. He is out", "we met jane.roe at example dot com"]
+        [f"please write to {form}{end}" for form in forms for end in ends] + ["please write to me at home. He is out", "we met joe.roe at example dot com"]
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     found = {i: [rows[i][s["start"]:s["end"]] for s in r["spans"] if s["kind"] == "ctx_email"] for i, r in by_id(pii.find_pii(df)).items()}
     assert found == {i: [] for i in range(len(rows))} | {60 + i: [forms[i // len(ends)]] for i in range(len(forms) * len(ends))}
 
 
+def test_trusted_values_give_patterns_and_are_reported_everywhere(spark):
+    rows = [f"please dial extension +1 (200) 555-{i:04d} now" for i in range(20)]
+    rows += [f"please dial extension 555 010 447{i} now" for i in range(4)]               # trusted in the first hop
+    rows += [f"you may ring me on 555 010 447{i}" for i in range(4)]                      # the same values elsewhere
+    rows += ["you may ring me on 555 010 9999", "the part number 555 010 8888", "the part number 555 010 4471"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {i: [rows[i][s["start"]:s["end"]] for s in r["spans"] if s["kind"] == "ctx_phone"] for i, r in by_id(pii.find_pii(df)).items()}
+    want = {i: [f"555 010 447{(i - 20) % 4}"] for i in range(20, 28)} | {28: ["555 010 9999"], 30: ["555 010 4471"]}
+    assert {i: s for i, s in found.items() if s} == want
+
+
 def test_copies_lend_no_support(spark):
     rows = ["please dial extension +1 (200) 555-0001 now"] * 50 + ["please dial extension (555) 010-4477 now"]
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
