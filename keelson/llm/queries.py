@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, fingerprints, langid, ngram_join, pii, secrets, shards, warc
-from .common import joined_spans, sha256_of, table
+from . import bpe, chat, decontam, fingerprints, langid, ngram_join, pii, secrets, shards, vector_codes, warc
+from .common import joined_spans, sha256_of, stored, table
 
 
 def _count(spans, kind: str):
@@ -199,6 +201,16 @@ FROM (SELECT *, max(page_id) OVER (PARTITION BY html) AS last FROM pages)
 """
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product-quantizer codes of all embeddings after two exact Lloyd rounds, with errors by row and by label."""
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    digest = hashlib.sha256(",".join(str(x) for book in books for x in book.ravel()).encode()).hexdigest()
+    coded = stored(coded, "codes")
+    totals = coded.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))
+    return coded.join(totals, F.col("label").eqNullSafe(F.col("of"))).select(
+        F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_histogram_shards": op2_histogram_shards,
@@ -210,6 +222,7 @@ QUERIES = {
     "op8_warc_normalise": op8_warc_normalise,
     "op9_language_id": op9_language_id,
     "op10_chat_format": op10_chat_format,
+    "op11_vector_codes": op11_vector_codes,
 }
 ORACLES = {
     "op3_ngram_jaccard": OP3_SQL,

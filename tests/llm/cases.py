@@ -42,3 +42,17 @@ def documents(sf_dir: str) -> dict:
 
 def by_id(df, key: str = "doc_id") -> dict:
     return {r[key]: r for r in df.collect()}
+
+
+def odd_vectors(spark, d: int):
+    """Vectors with nulls, zeros, non-finite components, other lengths, repeats, ties, null ids, clashing columns."""
+    rnd = random.Random(11)
+    vec = lambda: [rnd.gauss(0, 0.3) for _ in range(d)]
+    some = vec()
+    rows = [(i, vec(), i % 3) for i in range(40)] + [
+        (50, None, 1), (51, [], 1), (52, [0.0] * d, 1), (53, [-0.0] * d, None), (54, [float("nan")] + [0.1] * (d - 1), 1),
+        (55, [float("inf")] + [0.1] * (d - 1), 1), (56, [None] + [0.1] * (d - 1), None), (57, [0.5] * (d + 1), 1),
+        (58, some, None), (58, some, None), (59, some, 2), (None, some, 1), (None, vec(), None), (None, None, None),
+        (60, [2 * v for v in some], 0), (61, [-v for v in some], 0), (62, [0.5] * d, 1), (62, [0.25] * d, 1)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    return df.selectExpr("*", *[f"'x' AS `{c}`" for c in ("id", "vec", "code", "error", "h", "size", "n", "of", "component")])
