@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, fingerprints, langid, ngram_join, pii, secrets, shards, vector_codes, warc
+from . import bpe, chat, decontam, fingerprints, langid, ngram_join, pii, secrets, shards, vector_codes, warc, whitening
 from .common import joined_spans, sha256_of, stored, table
 
 
@@ -211,6 +211,11 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings projected on the first 32 components of their covariance, each scaled to unit variance."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_histogram_shards": op2_histogram_shards,
@@ -223,6 +228,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_chat_format": op10_chat_format,
     "op11_vector_codes": op11_vector_codes,
+    "op12_whitening": op12_whitening,
 }
 ORACLES = {
     "op3_ngram_jaccard": OP3_SQL,
