@@ -7,7 +7,8 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, fingerprints, langid, ngram_join, pii, secrets, shards, vector_codes, warc, whitening
+from . import bpe, chat, decontam, fingerprints, langid, ngram_join, pii, secrets, shards, vector_codes, vector_dedup, warc, \
+    whitening
 from .common import joined_spans, sha256_of, stored, table
 
 
@@ -211,6 +212,72 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
 
 
+OP11_SQL = """
+WITH RECURSIVE kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS n, vec_id, label,
+         [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), cells AS (
+  SELECT n, (i - 1) // (len(v) // 16) AS p, (i - 1) % (len(v) // 16) AS i, v[i] AS x
+  FROM (SELECT n, v, unnest(range(1, len(v) + 1)) AS i FROM kept)
+), book0 AS (SELECT p, n - 1 AS e, i, x FROM cells WHERE n <= 64
+), near0 AS (
+  SELECT n, p, min({'d': d, 'e': e}) AS m
+  FROM (SELECT c.n, c.p, b.e, sum((c.x - b.x) * (c.x - b.x)) AS d FROM cells c JOIN book0 b ON c.p = b.p AND c.i = b.i GROUP BY ALL)
+  GROUP BY ALL
+), book1 AS (
+  SELECT b.p, b.e, b.i, coalesce(m.x, b.x) AS x
+  FROM book0 b LEFT JOIN (
+    SELECT c.p, a.m.e AS e, c.i, CAST(floor(CAST(sum(c.x) AS DOUBLE) / count(*)) AS BIGINT) AS x
+    FROM cells c JOIN near0 a ON c.n = a.n AND c.p = a.p GROUP BY ALL) m ON m.p = b.p AND m.e = b.e AND m.i = b.i
+), near1 AS (
+  SELECT n, p, min({'d': d, 'e': e}) AS m
+  FROM (SELECT c.n, c.p, b.e, sum((c.x - b.x) * (c.x - b.x)) AS d FROM cells c JOIN book1 b ON c.p = b.p AND c.i = b.i GROUP BY ALL)
+  GROUP BY ALL
+), book2 AS (
+  SELECT b.p, b.e, b.i, coalesce(m.x, b.x) AS x
+  FROM book1 b LEFT JOIN (
+    SELECT c.p, a.m.e AS e, c.i, CAST(floor(CAST(sum(c.x) AS DOUBLE) / count(*)) AS BIGINT) AS x
+    FROM cells c JOIN near1 a ON c.n = a.n AND c.p = a.p GROUP BY ALL) m ON m.p = b.p AND m.e = b.e AND m.i = b.i
+), near2 AS (
+  SELECT n, p, min({'d': d, 'e': e}) AS m
+  FROM (SELECT c.n, c.p, b.e, sum((c.x - b.x) * (c.x - b.x)) AS d FROM cells c JOIN book2 b ON c.p = b.p AND c.i = b.i GROUP BY ALL)
+  GROUP BY ALL
+), coded AS (
+  SELECT n, string_agg(printf('%02x', CAST(m.e AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error
+  FROM near2 GROUP BY n
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, i)) FROM book2) AS codebooks_sha256
+FROM coded JOIN kept USING (n)
+"""
+
+
+def op13_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of embeddings linked by a cosine of 0.9 or more, with the links of every row."""
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = """
+WITH RECURSIVE vecs AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([1 for x in embedding if x <> 0]) > 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM vecs a JOIN vecs b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.9
+), reach AS (
+  SELECT vec_id AS id, vec_id AS root FROM embeddings
+  UNION
+  SELECT l.y, r.root FROM reach r JOIN links l ON l.x = r.id
+)
+SELECT e.vec_id, CAST(coalesce(l.n, 0) AS BIGINT) AS n_links, c.root AS component_id, c.root = e.vec_id AS kept
+FROM embeddings e JOIN (SELECT id, min(root) AS root FROM reach GROUP BY id) c ON c.id = e.vec_id
+LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) l ON l.x = e.vec_id
+"""
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings projected on the first 32 components of their covariance, each scaled to unit variance."""
     return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
@@ -229,10 +296,13 @@ QUERIES = {
     "op10_chat_format": op10_chat_format,
     "op11_vector_codes": op11_vector_codes,
     "op12_whitening": op12_whitening,
+    "op13_vector_dedup": op13_vector_dedup,
 }
 ORACLES = {
     "op3_ngram_jaccard": OP3_SQL,
     "op4_benchmark_decontamination": OP4_SQL,
     "op8_warc_normalise": OP8_SQL,
     "op10_chat_format": OP10_SQL,
+    "op11_vector_codes": OP11_SQL,
+    "op13_vector_dedup": OP13_SQL,
 }

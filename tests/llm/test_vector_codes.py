@@ -40,6 +40,9 @@ def test_query_equals_brute_force(spark):
     got = {tuple(r) for r in queries.op11_vector_codes(spark, SF_SMALL).select(
         "vec_id", "code", "error", "label_error", "codebooks_sha256").collect()}
     assert got == {(i, code, error, by_label[label], digest) for i, label, code, error in want}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{SF_SMALL}/embeddings.parquet'")
+    assert got == {tuple(r) for r in con.sql(queries.OP11_SQL).fetchall()}
 
 
 @pytest.mark.parametrize("seed,spread,n", [(1, 30, 3000), (2, 3, 2000), (3, 4000, 1500), (4, 0, 50), (5, 100_000_000, 700)])
