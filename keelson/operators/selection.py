@@ -11,6 +11,7 @@ d x d matrix on the driver.
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
 
 from pyspark.ml.feature import VectorAssembler
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keelson.functions.exprs import qcol
+from keelson.functions.heavy import SLOTS, heavy_labels
 from keelson.functions.profile import chunked_aggregate, frequency_table, null_counts
 from keelson.operators.base import StageEstimator, StageModel, param, present
 
@@ -28,6 +30,8 @@ ALL_CONSTANT_MESSAGE = ("The resulting dataframe will have no columns after drop
                         "quasi-constant features. Try changing the tol value.")
 MISSING_VALUES_MESSAGE = "Some of the variables contain missing values"
 
+MAX_SLOTS = 1 << 16      # counters a column; smaller tolerances count every distinct value
+
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)
 _FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -132,8 +136,12 @@ def top_counts(df: DataFrame, cols: list[str], nulls: bool) -> dict[str, int]:
     return {c: counts[f"m{i}"] for i, c in enumerate(cols)}
 
 
-def frequent_counts(df: DataFrame, cols: list[str], nulls: bool) -> dict[str, int]:
-    """The same from the full frequency table (tolerances up to one half; shuffles every distinct value)."""
+def frequent_counts(df: DataFrame, cols: list[str], nulls: bool, tol: float) -> dict[str, int]:
+    """The same for smaller tolerances: exact for every value that reaches ``tol`` (else of some value below it)."""
+    slots = math.ceil(1 / tol) + 1 if tol > 0 else 0
+    if 0 < slots <= MAX_SLOTS:
+        heavy = heavy_labels(df, cols, max(SLOTS, slots))
+        return {c: max([*h.counts.values(), h.nulls if nulls else 0], default=0) for c, h in heavy.items()}
     freq = frequency_table(df, cols)
     rows = (freq if nulls else freq.where(F.col("value").isNotNull())).groupBy("col").agg(F.max("cnt").alias("m")).collect()
     return dict.fromkeys(cols, 0) | {r["col"]: r["m"] for r in rows}
@@ -163,7 +171,7 @@ class DropConstant(StageEstimator):
             n, present_ = null_counts(df, cols)
             if mv == "raise" and any(present_[c] < n for c in cols):
                 raise ValueError(MISSING_VALUES_MESSAGE)
-            top = top_counts(df, cols, nulls=mv == "include") if tol > 0.5 else frequent_counts(df, cols, mv == "include")
+            top = top_counts(df, cols, nulls=mv == "include") if tol > 0.5 else frequent_counts(df, cols, mv == "include", tol)
             rows = {c: n if mv == "include" else present_[c] for c in cols}
             drop = [c for c in cols if rows[c] and top[c] / rows[c] >= tol]
         if cols and len(drop) == len(cols):

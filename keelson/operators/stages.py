@@ -8,12 +8,12 @@ literals.  Selection stages (constant / duplicate / correlated) live in
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.storagelevel import StorageLevel
 
 from keelson.functions.exprs import (
     JAVA_ONLY_NUMBER,
@@ -26,6 +26,7 @@ from keelson.functions.exprs import (
     to_label,
     to_whole,
 )
+from keelson.functions.heavy import SLOTS, Heavy, heavy_labels
 from keelson.functions.profile import chunked_aggregate, frequency_table, null_counts, numeric_profile
 from keelson.functions.quantile import exact_quantile
 from keelson.functions.topk import top_k_per_group
@@ -422,6 +423,23 @@ def category_summary(freq: DataFrame) -> dict:
     return out
 
 
+MAX_SLOTS = 1 << 16
+
+
+def label_slots(tol: float = 1.0, n_categories: int = 0) -> int:
+    """Counters a column so that every label with a share of ``tol`` has one, and small columns are complete."""
+    return min(MAX_SLOTS, max(SLOTS, math.ceil(1 / tol) + 1 if tol > 0 else MAX_SLOTS, n_categories + 1))
+
+
+def modes(df: DataFrame, heavy: dict[str, Heavy]) -> dict[str, str | None]:
+    """The most frequent label of each column (ties: the smaller one).  Columns in which no label stands out
+    from those without a counter are counted in full."""
+    tops = {c: h.top(1) for c, h in heavy.items()}
+    unsure = [c for c, top in tops.items() if top is None]
+    full = category_summary(frequency_table(df, unsure)) if unsure else {}
+    return {c: full[c]["mode"] if top is None else (top[0] if top else None) for c, top in tops.items()}
+
+
 class MostFrequentImputer(StageEstimator):
     """Fill NULLs with the mode where the training null share is below ``threshold``."""
 
@@ -431,14 +449,10 @@ class MostFrequentImputer(StageEstimator):
 
     def _fit(self, df):
         cols = present(self.v("inputCols"), df.columns)
-        summ = category_summary(frequency_table(df, cols)) if cols else {}
-        fc, fv = [], []
-        for c in cols:
-            s = summ[c]
-            if s["n"] and s["nulls"] / s["n"] < self.v("threshold") and s["mode"] is not None:
-                fc.append(c)
-                fv.append(s["mode"])
-        return FillModel(fillCols=fc, fillValues=fv)
+        heavy = heavy_labels(df, cols)
+        fitted = {c: h for c, h in heavy.items() if h.n and h.nulls / h.n < self.v("threshold")}
+        top = {c: v for c, v in modes(df, fitted).items() if v is not None}
+        return FillModel(fillCols=list(top), fillValues=list(top.values()))
 
 
 class CategoricalImputer(StageEstimator):
@@ -452,8 +466,8 @@ class CategoricalImputer(StageEstimator):
     def _fit(self, df):
         cols = present(self.v("inputCols"), df.columns)
         if self.v("method") == "frequent":
-            summ = category_summary(frequency_table(df, cols)) if cols else {}
-            return FillModel(fillCols=cols, fillValues=[summ[c]["mode"] for c in cols])
+            top = modes(df, heavy_labels(df, cols))
+            return FillModel(fillCols=cols, fillValues=[top[c] for c in cols])
         return FillModel(fillCols=cols, fillValues=[self.v("fillValue")] * len(cols))
 
 
@@ -517,6 +531,14 @@ def collect_counts(freq: DataFrame, cond, cols: list[str]) -> dict:
     return counts
 
 
+def full_label_counts(df: DataFrame, cols: list[str], n: int, tol: float, n_categories: int) -> dict:
+    """The same from the full frequency table: shuffles every distinct label of ``cols``."""
+    full = frequency_table(df, cols).where(F.col("value").isNotNull())
+    distinct = {r["col"]: r["d"] for r in full.groupBy("col").agg(F.count(F.lit(1)).alias("d")).collect()}
+    small = [c for c in cols if distinct.get(c, 0) <= n_categories]
+    return collect_counts(full, share_reaches(F.col("cnt"), n or 1, tol) | F.col("col").isin(small), cols)
+
+
 class RareLabelEncoder(StageEstimator):
     """Labels with share < ``tol`` -> ``replaceWith`` when a column has more than
     ``nCategories`` labels; unseen labels at scoring -> ``replaceWith``."""
@@ -532,18 +554,18 @@ class RareLabelEncoder(StageEstimator):
         if not cols:
             return RareLabelModel(replaceWith=self.v("replaceWith"))
         tol, ncat = float(self.v("tol")), int(self.v("nCategories"))
-        full = frequency_table(df, cols).persist(StorageLevel.MEMORY_AND_DISK)      # read twice, counted once
-        try:
-            stats = {r["col"]: r for r in full.groupBy("col").agg(
-                F.count_if(F.col("value").isNotNull()).alias("distinct"), F.sum("cnt").alias("n")).collect()}
-            n = stats[cols[0]]["n"] if stats else 0
-            # columns of at most nCategories labels keep them all
-            small = [c for c in cols if c in stats and stats[c]["distinct"] <= ncat]
-            cond = F.col("value").isNotNull() & (share_reaches(F.col("cnt"), n or 1, tol) | F.col("col").isin(small))
-            counts = collect_counts(full, cond, cols)
-        finally:
-            full.unpersist()
-        keep = [rare_keep(counts[c], n, stats[c]["distinct"] if c in stats else 0, tol, ncat) for c in cols]
+        heavy = heavy_labels(df, cols, label_slots(tol, ncat))
+        n = heavy[cols[0]].n
+        # only tolerances below 1 / MAX_SLOTS can leave labels of the tolerated share without a counter
+        unsure = [c for c in cols if not heavy[c].complete
+                  and (share_reaches(heavy[c].bound, n, tol) or heavy[c].distinct <= ncat)]
+        counts = {c: heavy[c].counts for c in cols} | (full_label_counts(df, unsure, n, tol, ncat) if unsure else {})
+        distinct = {c: ncat + 1 if c in unsure and len(counts[c]) <= ncat else max(heavy[c].distinct, len(counts[c]))
+                    for c in cols}
+        kept = sum(share_reaches(k, n, tol) for c in cols for k in counts[c].values()) if n else 0
+        if kept > MAX_KEPT_LABELS:
+            raise ValueError(f"more than {MAX_KEPT_LABELS} labels would be kept: raise the rare-label tolerance")
+        keep = [rare_keep(counts[c], n, distinct[c], tol, ncat) for c in cols]
         return RareLabelModel(encodeCols=cols, keep=keep, replaceWith=self.v("replaceWith"))
 
 
@@ -610,19 +632,16 @@ class OneHotEncoder(StageEstimator):
         if not cols:
             return OneHotModel(dropOriginal=self.v("dropOriginal"))
         kmax = int(self.v("maxCategories"))
-        freq = frequency_table(df, cols).where(F.col("value").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            distinct = {r["col"]: r["d"] for r in freq.groupBy("col").agg(F.count(F.lit(1)).alias("d")).collect()}
-            top = top_k_per_group(freq, ["col"], [F.desc("cnt"), F.asc("value")], kmax, salt_cols=["value"]).collect()
-        finally:
-            freq.unpersist()
-        ranked: dict = {c: [] for c in cols}
-        for r in top:
-            ranked[r["col"]].append((r["rank"], r["value"]))
-        cats = []
-        for c in cols:
-            labels = [v for _, v in sorted(ranked[c])]
-            cats.append(labels[:one_hot_k(distinct.get(c, 0), kmax)])
+        heavy = heavy_labels(df, cols, max(SLOTS, kmax + 1))
+        tops = {c: heavy[c].top(one_hot_k(heavy[c].distinct, kmax)) for c in cols}
+        unsure = [c for c in cols if tops[c] is None]
+        if unsure:          # no clear top: every distinct label of these columns is counted
+            freq = frequency_table(df, unsure).where(F.col("value").isNotNull())
+            ranked: dict = {c: [] for c in unsure}
+            for r in top_k_per_group(freq, ["col"], [F.desc("cnt"), F.asc("value")], kmax, salt_cols=["value"]).collect():
+                ranked[r["col"]].append((r["rank"], r["value"]))
+            tops |= {c: [v for _, v in sorted(labels)] for c, labels in ranked.items()}
+        cats = [tops[c] for c in cols]
         return OneHotModel(encodeCols=cols, categories=cats, dropOriginal=self.v("dropOriginal"))
 
 

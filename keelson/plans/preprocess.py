@@ -1,28 +1,26 @@
 """The whole preprocessing pipeline (A15), fitted in a handful of jobs.
 
 ``ml.Pipeline.fit`` would fit the 16 steps one after the other, each with its
-own pass over the data.  ``Preprocessor.fit`` instead runs:
+own pass over the data.  ``Preprocessor.fit`` instead makes a few scans:
 
-  stage  the input's columns are written once as Parquet; every job below reads
+  stage  the input's columns are written once as Parquet; every scan below reads
          only the columns it needs from there, so the input (CSV, a join, ...)
-         is read and parsed once.
-  J1+J2  submitted together: numeric moments (count, mean, population
-         variance, extremes; the target too) as codegen-sized column chunks,
-         and the categorical label counts as one group-by on (column, label)
-         with map-side partial aggregation, reduced to a per-column summary
-         plus the few labels that can matter (share >= tol, the mode, the
-         tags).  The exact median, if asked for, adds histogram rounds.
-  J3     per column of the transformed rows min / max / null count and a
-         signature (column chunks) -> constant and duplicate columns;
-         candidates get an exact ``<=>`` check.
-  J4     MLlib ``Correlation`` (BLAS Gram passes) over the numeric outputs
-         after one-hot, and the variances of correlated ones.
+         is read and parsed once.  The fitted result hands that table on.
+  1      a mergeable state per task: moments of every numeric column (the target
+         too) and frequent-label counters of every categorical one.  Columns with
+         more labels than counters get a second scan that counts the candidates
+         exactly; the exact median, if asked for, adds histogram rounds.
+  2      one state over the transformed rows: counts, extremes and signatures of all
+         columns, and the products of all pairs of numeric ones (one-hot columns too,
+         whose labels follow from 1).  Constant, duplicate and correlated columns and
+         their variances all follow from it; duplicate candidates get an exact
+         ``<=>`` scan.
 
 The same jobs run at every width and size.
 Mean imputation followed by scaling needs no second pass: with c non-null
 values out of n, filled with m, the new mean and population variance follow
-in closed form from (c, mean, std) of J1.  Rare-label and one-hot states
-follow from J2 on the driver.  The fitted result is an ordinary
+in closed form from (c, mean, std) of scan 1.  Rare-label and one-hot states
+follow from its label counts on the driver.  The fitted result is an ordinary
 ``PipelineModel`` of the single-stage models, usable and savable as such;
 ``fused_transform`` applies it as one ``select``.
 """
@@ -31,18 +29,29 @@ from __future__ import annotations
 
 import math
 from collections import OrderedDict
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.storagelevel import StorageLevel
 
-from keelson.functions.exprs import NULL_LABEL, qcol
-from keelson.functions.profile import chunked_aggregate, frequency_table, numeric_profile
+from keelson.functions.exprs import NULL_LABEL, one_hot_name, qcol
+from keelson.functions.heavy import add_labels, exact_counts, merge_labels, no_counters
+from keelson.functions.profile import chunked_aggregate
 from keelson.functions.quantile import exact_quantile
+from keelson.functions.states import (
+    as_array,
+    column_facts_fold,
+    correlations,
+    fold,
+    matrix,
+    merge_moments,
+    moments_of,
+    no_moments,
+    sample_variances,
+)
 from keelson.operators.base import (
     StageEstimator,
     apply_stages,
@@ -59,12 +68,11 @@ from keelson.operators.selection import (
     ALL_CONSTANT_MESSAGE,
     MISSING_VALUES_MESSAGE,
     DropColumnsModel,
-    column_facts,
     constant_from_facts,
     correlated_groups,
-    correlation_matrix,
     duplicate_groups,
     pick_by_variance,
+    type_group,
 )
 from keelson.operators.stages import (
     MISSING_TAG,
@@ -79,7 +87,9 @@ from keelson.operators.stages import (
     StandardScalerModel,
     TypeCaster,
     ValueClipper,
-    collect_counts,
+    full_label_counts,
+    label_slots,
+    modes,
     one_hot_k,
     rare_keep,
     safe_std,
@@ -144,6 +154,7 @@ class FittedPreprocess:
     feature_cols: list
     n_rows: int
     report: dict
+    source: DataFrame | None = None      # the staged input: transform this instead of deriving it anew
 
 
 def fused_transform(pipeline: PipelineModel, df: DataFrame) -> DataFrame:
@@ -182,30 +193,13 @@ class Preprocessor:
         raw_labels = TypeCaster(inputCols=spec.categorical_features, castType="string", nullsAsLabel=False)
         casted = select_sql(df, apply_stages_sql_map([select, cast_num, raw_labels], sql_map(df), types))
 
-        # J1 + J2, submitted together: numeric moments (+ target) in codegen-sized
-        # column chunks, and the categorical label counts (one group-by on labels)
+        # scan 1: moments (+ target) and label counts
         target_numeric = spec.target in df.columns and isinstance(types[spec.target], T.NumericType)
         prof_cols = num + ([spec.target] if target_numeric else [])
-
-        def label_job():
-            if not cat:
-                return {}, {}
-            freq = frequency_table(casted, cat).persist(StorageLevel.MEMORY_AND_DISK)
-            try:
-                return self._label_counts(freq, cat)
-            finally:
-                freq.unpersist()
-
-        with ThreadPoolExecutor(max_workers=2) as pool:
-            # min / max only feed the exact median search
-            num_future = pool.submit(numeric_profile, casted, prof_cols,
-                                     cfg.imputation_method == "median" and cfg.exact_median)
-            cat_future = pool.submit(label_job)
-            prof = num_future.result()
-            cat_summary, cat_counts = cat_future.result()
-        n = prof[prof_cols[0]]["n"] if prof_cols else (next(iter(cat_summary.values()))["n"] if cat_summary else 0)
+        n, prof, heavy = self._input_statistics(casted, prof_cols, cat)
         if not n:
             raise ValueError("train_data cannot be empty")
+        cat_summary, cat_counts = self._label_counts(casted, heavy, n)
 
         # A1 drop all-null
         all_null = [c for c in num if prof[c]["count"] == 0] + \
@@ -247,7 +241,13 @@ class Preprocessor:
         for c in cat:
             ranked = sorted(post_rare[c].items(), key=lambda kv: (-kv[1], kv[0]))
             all_ohe[c] = [v for v, _ in ranked[:one_hot_k(len(post_rare[c]), cfg.one_hot_max)]]
-        drop_const, dup_groups = self._constants_and_duplicates(mid, feat_cols)
+        # scan 2: facts of all transformed columns and products of the numeric ones, one-hot columns among them
+        hot = [(one_hot_name(c, k), F.when(qcol(c) == F.lit(k), F.lit(1)).otherwise(F.lit(0))) for c in cat for k in all_ohe[c]]
+        plain = [c for c in feat_cols if c not in cat]
+        facts = column_facts_fold(mid, [qcol(c) for c in plain] + [e for _, e in hot], [qcol(c) for c in cat],
+                                  qcol(spec.id) if spec.id in mid.columns else None)
+        place = {name: i for i, name in enumerate([*plain, *[name for name, _ in hot]])}
+        drop_const, dup_groups = self._selection_from_facts(mid, feat_cols, self._facts_by_column(mid, facts, plain, cat, post_rare))
         const_model = DropColumnsModel(dropCols=drop_const)
         dup_model = DropColumnsModel(dropCols=[c for g in dup_groups for c in g[1:]], groups=dup_groups)
         remaining = [c for c in feat_cols if c not in set(const_model.v("dropCols")) | set(dup_model.v("dropCols"))]
@@ -263,9 +263,11 @@ class Preprocessor:
         numeric_out = [c for c in after_cols if c not in pass_cols and c not in cat]
         corr_groups, corr_drop = [], []
         if len(numeric_out) >= 2:
-            after = select_sql(df, after_cols)
-            corr_groups = correlated_groups(numeric_out, correlation_matrix(after, numeric_out), cfg.corr_threshold)
-            corr_drop = pick_by_variance(after, corr_groups)
+            at = [place[c] for c in numeric_out]
+            corr_groups = correlated_groups(numeric_out, correlations(facts)[np.ix_(at, at)].tolist(), cfg.corr_threshold)
+            # rounded: equal up to the order of summation is a tie
+            spread_of = {c: float(f"{v:.10g}") for c, v in zip(numeric_out, sample_variances(facts)[at], strict=True)}
+            corr_drop = pick_by_variance(mid, corr_groups, spread_of)
         corr_model = DropColumnsModel(dropCols=corr_drop, groups=corr_groups)
         final_feats = sorted(c for c in after_cols if c not in pass_cols and c not in set(corr_drop))
         order = ColumnOrderModel(order=final_feats, passthrough=pass_cols)
@@ -279,7 +281,7 @@ class Preprocessor:
         report = dict(all_null=all_null, indicators=indicator.v("indicatorCols"), constant=drop_const,
                       duplicate_groups=dup_groups, correlated_groups=corr_groups, correlated_dropped=corr_drop,
                       one_hot={c: k for c, k in zip(ohe_cols, ohe_cats)})
-        return FittedPreprocess(PipelineModel(stages), target_scaler, final_feats, n, report)
+        return FittedPreprocess(PipelineModel(stages), target_scaler, final_feats, n, report, df)
 
     # ------------------------------------------------------------------
     def _numeric_fills(self, casted, num, prof) -> dict:
@@ -293,30 +295,47 @@ class Preprocessor:
         r = chunked_aggregate(casted, [(f"m{i}", F.percentile_approx(qcol(c), 0.5, 100000), 8) for i, c in enumerate(num)])
         return {c: r[f"m{i}"] for i, c in enumerate(num)}
 
-    def _label_counts(self, freq: DataFrame, cat: list[str]):
-        """Per-column summary and the counts of the labels that can matter."""
+    def _input_statistics(self, casted: DataFrame, numeric: list[str], cat: list[str]):
+        """(rows, per numeric column count / mean / std_pop / extremes, per categorical column its frequent labels)."""
+        width, slots = len(numeric), label_slots(self.config.rare_tol, self.config.rare_n_categories)
+
+        def step(state, b):
+            rows, moments, labels = state
+            if width:
+                moments = merge_moments(moments, moments_of(matrix(b.column(0), width)))
+            return rows + b.num_rows, moments, add_labels(labels, b.columns[1:], slots)
+
+        rows, m, labels = fold(
+            casted.select(as_array([qcol(c) for c in numeric]).alias("x"), *[qcol(c).alias(f"c{i}") for i, c in enumerate(cat)]),
+            lambda: (0, no_moments(width), no_counters(len(cat))), step,
+            lambda a, b: (a[0] + b[0], merge_moments(a[1], b[1]), merge_labels(a[2], b[2], slots)))
+        prof = {}
+        for i, c in enumerate(numeric):
+            count = int(m[0, i])
+            prof[c] = dict(n=rows, count=count, mean=float(m[1, i]) if count else None,
+                           std_pop=math.sqrt(max(m[2, i], 0.0) / count) if count else None,
+                           min=float(m[3, i]) if count else None, max=float(m[4, i]) if count else None)
+        cfg = self.config
+        heavy = exact_counts(casted.select(*[qcol(c).alias(f"c{i}") for i, c in enumerate(cat)]), cat, labels, slots,
+                             also=[NULL_LABEL, cfg.missing_fill, cfg.rare_replace])
+        return rows, prof, heavy
+
+    def _label_counts(self, casted: DataFrame, heavy: dict, n: int):
+        """Per-column summary and the exact counts of the labels that can matter."""
         cfg = self.config
-        nn = F.col("value").isNotNull()
-        rows = (freq.groupBy("col")
-                .agg(F.sum("cnt").alias("n"), F.sum(F.when(~nn, F.col("cnt")).otherwise(0)).alias("nulls"),
-                     F.count_if(nn).alias("distinct"),
-                     F.min(F.when(nn, F.struct((-F.col("cnt")).alias("neg"), F.col("value").alias("value"))))
-                     .alias("mode"))
-                .collect())
-        summary = {}
-        for r in rows:
-            summary[r["col"]] = dict(n=r["n"], nulls=r["nulls"], distinct=r["distinct"],
-                                     mode=r["mode"]["value"] if r["mode"] else None)
-        if not summary:
-            return {}, {c: {} for c in cat}
-        n = next(iter(summary.values()))["n"]
-        tags = [NULL_LABEL, cfg.missing_fill, cfg.rare_replace]
-        modes = [s["mode"] for s in summary.values() if s["mode"] is not None]
-        # columns of at most rare_n_categories labels keep them all
-        small = [c for c in cat if c in summary and summary[c]["distinct"] <= cfg.rare_n_categories]
-        cond = nn & (share_reaches(F.col("cnt"), n, cfg.rare_tol) | F.col("value").isin(tags + modes)
-                     | F.col("col").isin(small))
-        counts = collect_counts(freq, cond, cat)
+        counts = {c: dict(h.counts) for c, h in heavy.items()}
+        # a tolerance too small for the counters, or a mode that does not stand out, needs the full table
+        unsure = [c for c, h in heavy.items() if not h.complete and share_reaches(h.bound, n, cfg.rare_tol)]
+        if unsure:
+            full = full_label_counts(casted, unsure, n, cfg.rare_tol, cfg.rare_n_categories)
+            for c in unsure:
+                counts[c] |= full[c]
+        top = modes(casted, heavy)
+        for c in heavy:
+            if top[c] is not None and top[c] not in counts[c]:
+                counts[c][top[c]] = casted.where(qcol(c) == F.lit(top[c])).count()
+        summary = {c: dict(n=h.n, nulls=h.nulls, distinct=max(h.distinct, len(counts[c])), mode=top[c])
+                   for c, h in heavy.items()}
         return summary, counts
 
     def _categorical_models(self, cat, summary, counts, n):
@@ -365,10 +384,19 @@ class Preprocessor:
         return (FillModel(fillCols=mode_c, fillValues=mode_v), FillModel(fillCols=tag_c, fillValues=tag_v),
                 RareLabelModel(encodeCols=rare_c, keep=rare_keep_l, replaceWith=cfg.rare_replace), post)
 
-    def _constants_and_duplicates(self, mid: DataFrame, cols: list[str]):
-        if not cols:
-            return [], []
-        return self._selection_from_facts(mid, cols, column_facts(mid, cols, self.spec.id))
+    @staticmethod
+    def _facts_by_column(mid: DataFrame, facts: dict, plain: list[str], cat: list[str], labels: dict) -> dict:
+        """The folded facts in the form of ``column_facts``."""
+        types, out = schema_types(mid), {}
+        for i, c in enumerate(plain):
+            out[c] = dict(n=facts["n"], nn=int(facts["counts"][i]), min=facts["low"][i], max=facts["high"][i],
+                          fp=tuple(facts["marks"][:, i]), group=type_group(types[c]), type=types[c].simpleString())
+        for i, c in enumerate(cat):
+            # one hash may be two labels; one label may not
+            high = facts["label_high"][i] if len(labels[c]) == 1 else None
+            out[c] = dict(n=facts["n"], nn=int(facts["label_counts"][i]), min=facts["label_low"][i], max=high,
+                          fp=(*facts["label_marks"][:, i], facts["label_high"][i]), group="s", type="string")
+        return out
 
     def _selection_from_facts(self, mid: DataFrame, cols: list[str], facts: dict):
         cfg = self.config

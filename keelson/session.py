@@ -65,6 +65,21 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def spread(df):
+    """``df`` dealt out over the session's cores if its files would give fewer tasks than that, else as it is.
+
+    A file of one row group is one task however many columns are derived from its rows.  At most
+    cores x ``spark.sql.files.maxPartitionBytes`` of files are dealt out; larger inputs have tasks enough.
+    """
+    spark = df.sparkSession
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    cores = spark.sparkContext.defaultParallelism
+    if size >= cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes():
+        return df
+    return df.repartition(cores)
+
+
 STAGED_FILE_BYTES = 16 << 20
 
 
