@@ -1,12 +1,12 @@
-"""Robust linear regression (Huber loss) with MLlib, and its scoring.
+"""Robust linear regression (Huber loss) and its scoring.
 
 Objective of the reference (sum over n rows, concomitant scale sigma):
     sum_i [sigma + H_eps((x_i w + c - y_i) / sigma) * sigma] + alpha * |w|^2
-MLlib's Huber ``LinearRegression`` minimises the same objective divided by 2n
-with L2 term (lambda / 2) |w|^2, so lambda = alpha / n, no standardization,
-no elastic net.  The fit runs as MLlib's distributed L-BFGS (one tree
-aggregate per iteration); scoring is a plain SQL expression
-``intercept + sum(coef_i * x_i)`` that stays in whole-stage codegen.
+``huber_fit`` minimises it by damped Newton steps on aggregated statistics
+(``newton.py``: about ten scans).  ``huber_estimator`` is MLlib's form of the
+same problem (its objective is divided by 2n, so lambda = alpha / n, without
+standardization), for pipelines of MLlib stages.  Scoring is a plain SQL
+expression ``intercept + sum(coef_i * x_i)`` that stays in whole-stage codegen.
 """
 
 from __future__ import annotations
@@ -21,9 +21,11 @@ from pyspark.storagelevel import StorageLevel
 
 from keelson.functions.exprs import qcol
 from keelson.functions.sqltext import lit as sql_lit
+from keelson.functions.states import as_array
 from keelson.operators.base import StageModel, param
+from keelson.operators.newton import newton_fits
 
-# The reference's default hyperparameters and solver limits.
+# The reference's default hyperparameters and limit of steps.
 DEFAULT_ALPHA = 0.0001
 DEFAULT_EPSILON = 1.35
 MAX_ITER = 100
@@ -98,24 +100,25 @@ class HuberPredictorModel(StageModel):
 
 
 def training_vectors(df: DataFrame, feature_cols: list[str], label: str) -> DataFrame:
-    """Persisted (features, __label) rows; the caller unpersists them."""
-    return assemble(df.withColumn("__label", qcol(label).cast("double")), feature_cols, keep=["__label"]) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    """Persisted (features array<double>, __label) rows; the caller unpersists them."""
+    return df.select(as_array([qcol(c) for c in feature_cols]).alias("features"),
+                     qcol(label).cast("double").alias("__label")).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def huber_fit(df: DataFrame, feature_cols: list[str], label: str, alpha: float = DEFAULT_ALPHA,
-              epsilon: float = DEFAULT_EPSILON, n: int | None = None, max_iter: int = MAX_ITER,
-              tol: float = 1e-6, vectors: DataFrame | None = None) -> HuberPredictorModel:
-    """Fit on ``df`` (features as columns).  The assembled vectors are persisted (memory and
-    disk) for the iterations and released afterwards; ``vectors`` are such ones, kept by the caller."""
+              epsilon: float = DEFAULT_EPSILON, max_iter: int = MAX_ITER, tol: float = 1e-9,
+              vectors: DataFrame | None = None) -> HuberPredictorModel:
+    """Fit on ``df`` (features as columns).  The feature arrays are persisted (memory and
+    disk) for the scans and released afterwards; ``vectors`` are such ones, kept by the caller."""
     data = vectors if vectors is not None else training_vectors(df, feature_cols, label)
     try:
-        n = n if n is not None else data.count()
-        m = huber_estimator(alpha, epsilon, n, "__label", max_iter=max_iter, tol=tol).fit(data)
+        fit = newton_fits(data, len(feature_cols), [(float(alpha), float(epsilon))], max_iter, tol)[0]
     finally:
         if vectors is None:
             data.unpersist()
-    return HuberPredictorModel.from_mllib(m, feature_cols, alpha, epsilon)
+    return HuberPredictorModel(featureCols=list(feature_cols), coefficients=[float(v) for v in fit.point[:-2]],
+                               intercept=float(fit.point[-2]), scale=float(fit.point[-1]), alpha=float(alpha),
+                               epsilon=float(epsilon))
 
 
 def r2_expr(y: Column, p: Column) -> Column:

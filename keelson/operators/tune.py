@@ -1,24 +1,24 @@
-"""Hyperparameter search: n trials, each an MLlib fit on the cached training
-vectors and an R^2 aggregate on the validation vectors.
-
-Trials run concurrently from a driver thread pool (as ``TrainValidationSplit``
-with ``parallelism`` does); each trial's parameters come from a seeded hash of
-(seed, trial number, parameter name), so a trial's parameters do not depend on
-the order in which trials finish.  Result: best parameters plus the trials as
-a DataFrame (number, one column per parameter, value).
+"""Hyperparameter search: n trials that share the scans of the training vectors.
+
+Every scan returns the statistics of all open trials at once (``newton.py``), one more scan of
+the validation vectors the residual sums of all fitted ones.  A trial's parameters come from a
+seeded hash of (seed, trial number, parameter name), so they do not depend on the
+other trials.  Result: best parameters plus the trials as a DataFrame (number, one
+column per parameter, value).
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from keelson.operators.model import huber_estimator, r2_expr, training_vectors
+from keelson.functions.states import fold, matrix, merge_moments, moments_of, no_moments
+from keelson.operators.model import DEFAULT_ALPHA, DEFAULT_EPSILON, training_vectors
+from keelson.operators.newton import newton_fits
 
 # The reference's search space and trial count.
 DEFAULT_SPACE = [
@@ -79,49 +79,52 @@ def narrowed_space(space: list[dict], best: list[dict]) -> list[dict]:
     return out
 
 
+def r2_values(vectors: DataFrame, d: int, points: np.ndarray) -> list[float]:
+    """R^2 of every fitted point (w, c, ...) over all rows, in one scan; see ``r2_expr`` for a constant label."""
+
+    def step(state, b):
+        x, y = matrix(b.column(0), d), b.column(1).to_numpy(zero_copy_only=False)
+        rest = x @ points[:, :d].T + points[:, d] - y[:, None]
+        return merge_moments(state[0], moments_of(y[:, None])), state[1] + (rest * rest).sum(axis=0)
+
+    label, rest = fold(vectors, lambda: (no_moments(1), np.zeros(len(points))), step,
+                       lambda a, b: (merge_moments(a[0], b[0]), a[1] + b[1]))
+    if not label[0, 0]:
+        return [float("nan")] * len(points)
+    total = label[2, 0]
+    return [(1.0 if r == 0 else 0.0) if total == 0 else 1.0 - r / total for r in rest.tolist()]
+
+
 def tune(spark: SparkSession, train: DataFrame, valid: DataFrame, feature_cols: list[str], label: str,
          space: list[dict] | None = None, num_trials: int = DEFAULT_TRIALS, seed: int = 5,
          parallelism: int | None = None, is_minimize: bool = False, max_iter: int = 100,
-         refine_trials: int = 0, refine_top: int = 3, vectors: DataFrame | None = None,
-         n: int | None = None) -> TuneResult:
+         refine_trials: int = 0, refine_top: int = 3, vectors: DataFrame | None = None) -> TuneResult:
     """``refine_trials`` > 0 adds a second round sampled inside the span of the
-    ``refine_top`` best first-round trials.  ``parallelism`` (concurrent fits)
-    defaults to min(trials, cores, 16): a fit alternates short distributed
-    passes with driver-side L-BFGS steps, so concurrent fits keep the cluster
-    busy; results do not depend on it.  ``vectors`` / ``n``: persisted training vectors of the
-    caller (``training_vectors``) and their number."""
+    ``refine_top`` best first-round trials.  ``parallelism``: trials that share a scan
+    (default: as many as their statistics fit); results do not depend on it.  ``vectors``:
+    persisted training vectors of the caller (``training_vectors``)."""
     space = space or DEFAULT_SPACE
-    if parallelism is None:
-        parallelism = max(1, min(num_trials, spark.sparkContext.defaultParallelism, 16))
     assert num_trials >= 2, "Hyperparameter Tuning needs at least 2 trials"
+    d = len(feature_cols)
     tr = vectors if vectors is not None else training_vectors(train, feature_cols, label)
     va = training_vectors(valid, feature_cols, label)
+
+    def values_of(trials: list[dict]) -> list[float]:
+        fits = newton_fits(tr, d, [(float(p.get("alpha", DEFAULT_ALPHA)), float(p.get("epsilon", DEFAULT_EPSILON)))
+                                   for p in trials], max_iter, together=parallelism)
+        scores = [round(r, 6) for r in r2_values(va, d, np.array([f.point for f in fits]))]
+        bad = BAD_SCORE if is_minimize else -BAD_SCORE
+        scores = [s if math.isfinite(s) else bad for s in scores]
+        return [s if is_minimize else -s for s in scores]           # the study always minimises
+
     try:
-        n = n if n is not None else tr.count()
         params = [sample_params(space, t, seed) for t in range(num_trials)]
-
-        sc = spark.sparkContext
-
-        def run(t: int) -> float:
-            # one scheduler pool per worker thread: under spark.scheduler.mode=FAIR the
-            # concurrent fits share the cluster instead of queueing behind each other
-            sc.setLocalProperty("spark.scheduler.pool", f"keelson-tune-{t % max(1, parallelism)}")
-            hp = params[t]
-            m = huber_estimator(hp.get("alpha", 1e-4), hp.get("epsilon", 1.35), n, "__label",
-                                max_iter=max_iter).fit(tr)
-            r = m.transform(va).agg(r2_expr(F.col("__label"), F.col("prediction")).alias("r2")).first()["r2"]
-            score = round(r, 6) if r is not None else float("nan")
-            if math.isnan(score) or math.isinf(score):
-                score = BAD_SCORE if is_minimize else -BAD_SCORE
-            return score if is_minimize else -score  # the study always minimises
-
-        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-            values = list(pool.map(run, range(num_trials)))
-            if refine_trials > 0:
-                top = sorted(range(num_trials), key=lambda t: (values[t], t))[:max(2, refine_top)]
-                inner = narrowed_space(space, [params[t] for t in top])
-                params += [sample_params(inner, num_trials + j, seed) for j in range(refine_trials)]
-                values += list(pool.map(run, range(num_trials, num_trials + refine_trials)))
+        values = values_of(params)
+        if refine_trials > 0:
+            top = sorted(range(num_trials), key=lambda t: (values[t], t))[:max(2, refine_top)]
+            inner = narrowed_space(space, [params[t] for t in top])
+            more = [sample_params(inner, num_trials + j, seed) for j in range(refine_trials)]
+            params, values = params + more, values + values_of(more)
         num_trials = len(params)
     finally:
         if vectors is None:

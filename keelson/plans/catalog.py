@@ -857,15 +857,108 @@ def q_preprocess_wide(spark, sf_dir):
 
 # ----------------------------------------------------------------------------
 # 2.6 model operators
-@check("huber_fit", None)
+def _features_sql(names: list[str], val_pct: float = 0.0) -> str:
+    """CTEs up to ``x``: event_id, val, tm and ts (the target's mean and scale), y (the scaled target) and x0, x1, ...:
+    the preprocessed columns ``names`` and a one; everything is fitted on the rows outside the validation split."""
+    ready = {"click_score": "greatest(-4.0, least(4.0, (click_score - mc) / sc))",
+             "k": "greatest(-4.0, least(4.0, (k - mk) / sk))",
+             "value": "greatest(-4.0, least(4.0, (value_f - mv2) / sv2))",
+             "value_na": "CASE WHEN value IS NULL THEN 1 ELSE 0 END", "parity_odd": "CASE WHEN parity = 'odd' THEN 1 ELSE 0 END"}
+    for t in EVENT_TYPES:
+        ready[f"event_type_{t}"] = f"CASE WHEN coalesce(event_type, 'nan') = '{t}' THEN 1 ELSE 0 END"
+    columns = [f"CAST({ready[n]} AS DOUBLE) AS x{i}" for i, n in enumerate(names)] + [f"1.0::DOUBLE AS x{len(names)}"]
+    return EV_SQL + f""",
+u AS MATERIALIZED (SELECT *, {hash_uniform_sql('event_id', '42')} < {val_pct} AS val FROM ev),
+st AS (SELECT avg(value) AS mv, avg(k) AS mk, stddev_pop(k) AS sk, avg(click_score) AS mc, stddev_pop(click_score) AS sc,
+              avg(target) AS tm, stddev_pop(target) AS ts FROM u WHERE NOT val),
+f AS (SELECT u.*, st.*, coalesce(u.value, st.mv) AS value_f FROM u, st),
+st2 AS (SELECT avg(value_f) AS mv2, stddev_pop(value_f) AS sv2 FROM f WHERE NOT val),
+x AS MATERIALIZED (SELECT event_id, val, tm, ts, (target - tm) / ts AS y, {', '.join(columns)} FROM f, st2)"""
+
+
+def _newton_sql(d: int) -> str:
+    """CTEs ``it`` and ``fitted`` (trial, p = coefficients, intercept, scale) for the rows of ``x`` outside the validation
+    split and the table ``trials`` (trial, alpha, eps): damped Newton steps, one recursion per evaluation."""
+    m = d + 2                                                       # parameters: d coefficients, intercept, scale
+    s = f"cand[{m}]"
+    dot = " + ".join(f"cand[{i + 1}] * x{i}" for i in range(d + 1))
+    total = lambda e: f"coalesce(sum({e}) FILTER (WHERE inside), 0)"
+    pull = "CASE WHEN inside THEN 2 * r / s ELSE 2 * eps * sign(r) END"
+    value = f"s * count(*) + {total('r * r')} / s + coalesce(sum(2 * eps * abs(r) - eps * eps * s) FILTER (WHERE NOT inside), 0)"
+    ridge = "2 * alpha"
+    w = ", ".join(f"cand[{i + 1}]" for i in range(d))
+    gradient = [f"sum(({pull}) * x{i})" + (f" + {ridge} * cand[{i + 1}]" if i < d else "") for i in range(d + 1)]
+    gradient.append(f"count(*) - {total('r * r')} / (s * s) - count(*) FILTER (WHERE NOT inside) * eps * eps")
+    rows = []
+    for i in range(m):
+        row = []
+        for j in range(m):
+            a, b = min(i, j), max(i, j)
+            if b <= d:
+                e = f"2 / s * {total(f'x{a} * x{b}')}" + (f" + {ridge}" if a == b and a < d else "")
+            elif a <= d:
+                e = f"-2 / (s * s) * {total(f'x{a} * r')}"
+            else:
+                e = f"2 * {total('r * r')} / (s * s * s)"
+            row.append(e)
+        rows.append("[" + ", ".join([*row, f"-g[{i + 1}]"]) + "]")
+    keys = "trial, alpha, eps, k, cand, point, value, step, slope, len"
+    inner = (f"SELECT {keys}, s, x.*, {dot} - y AS r, abs({dot} - y) <= eps * s AS inside "
+             f"FROM (SELECT *, {s} AS s FROM it WHERE NOT done AND k < 400) JOIN x ON NOT x.val")
+    # the sums first, so that each is computed once and the matrix is made of them
+    sums: dict[str, str] = {}
+
+    def named(e: str) -> str:
+        return sums.setdefault(e, f"a{len(sums)}")
+
+    import re
+    pattern = re.compile(r"coalesce\(sum\([^()]*\) FILTER \(WHERE inside\), 0\)")
+    rows = [pattern.sub(lambda t: named(t.group(0)), row) for row in rows]
+    g = ", ".join(f"{e} AS g{i}" for i, e in enumerate(gradient))
+    sql = (f"SELECT {keys}, s, {value} + alpha * list_sum([v * v for v in [{w}]]) AS f, {g}, "
+           f"{', '.join(f'{e} AS {a}' for e, a in sums.items())} FROM ({inner}) GROUP BY {keys}, s")
+    sql = f"SELECT *, [{', '.join(f'g{i}' for i in range(m))}] AS g FROM ({sql})"
+    sql = f"SELECT {keys}, s, f, g, [{', '.join(rows)}] AS m FROM ({sql})"
+    for i in range(1, m + 1):                                       # Gauss-Jordan elimination
+        sql = f"SELECT {keys}, s, f, g, m, [v / m[{i}][{i}] for v in m[{i}]] AS top_row FROM ({sql})"
+        sql = (f"SELECT {keys}, s, f, g, [CASE WHEN i = {i} THEN top_row ELSE [m[i][j] - m[i][{i}] * top_row[j] "
+               f"for j in range(1, {m + 2})] END for i in range(1, {m + 1})] AS m FROM ({sql})")
+    sql = (f"SELECT {keys}, f, [row[{m + 1}] for row in m] AS d, list_dot_product(g, [row[{m + 1}] for row in m]) AS gd, "
+           f"step IS NULL OR f <= value + 1e-4 * len * slope + 1e-12 * abs(value) AS ok FROM ({sql})")
+    sql = (f"SELECT *, list_max([abs(v) for v in d]) <= 1e-9 * (1 + list_max([abs(v) for v in cand])) OR -gd <= 1e-13 * abs(f) AS small, "
+           f"CASE WHEN d[{m}] < 0 THEN least(1.0, -0.8 * cand[{m}] / d[{m}]) ELSE 1.0 END AS far FROM ({sql})")
+    moved = f"[{', '.join(f'cand[{i}] + far * d[{i}]' for i in range(1, m + 1))}]"
+    back = f"[{', '.join(f'point[{i}] + len / 2 * step[{i}]' for i in range(1, m + 1))}]"
+    sql = (f"SELECT trial, alpha, eps, k + 1 AS k, CASE WHEN ok THEN {moved} ELSE {back} END AS cand, "
+           f"CASE WHEN ok THEN cand ELSE point END AS point, CASE WHEN ok THEN f ELSE value END AS value, "
+           f"CASE WHEN ok THEN d ELSE step END AS step, CASE WHEN ok THEN gd ELSE slope END AS slope, "
+           f"CASE WHEN ok THEN far ELSE len / 2 END AS len, (ok AND small) OR len < 1e-12 AS done FROM ({sql})")
+    start = ", ".join(["0.0::DOUBLE"] * (d + 1) + ["1.0::DOUBLE"])
+    return (f"it AS (SELECT trial, alpha::DOUBLE AS alpha, eps::DOUBLE AS eps, 0 AS k, [{start}] AS cand, [{start}] AS point, "
+            f"0.0::DOUBLE AS value, NULL::DOUBLE[] AS step, 0.0::DOUBLE AS slope, 1.0::DOUBLE AS len, FALSE AS done FROM trials "
+            f"UNION ALL {sql}), "
+            "fitted AS MATERIALIZED (SELECT trial, alpha, eps, arg_max(cand, k) AS p FROM it GROUP BY ALL)")
+
+
+def _predicted_sql(d: int) -> str:
+    return " + ".join(f"p[{i + 1}] * x{i}" for i in range(d + 1))
+
+
+ONE_TRIAL = "trials AS (SELECT 0 AS trial, 0.0001 AS alpha, 1.35 AS eps)"
+MODEL_TERMS = ["click_score", *[f"event_type_{t}" for t in EVENT_TYPES[1:]], "k", "parity_odd", "value", "value_na"]
+
+
+@check("huber_fit", f"""WITH RECURSIVE {_features_sql(MODEL_TERMS)}, {ONE_TRIAL}, {_newton_sql(len(MODEL_TERMS))}
+SELECT unnest([{', '.join(f"'{t}'" for t in [*MODEL_TERMS, '__intercept__', '__scale__'])}]) AS term,
+       round(unnest(p), 6) + 0.0 AS coefficient FROM fitted""")
 def q_huber_fit(spark, sf_dir):
     from keelson.operators.model import huber_fit
     from keelson.plans.workflow import scaled
-    df, fp = _fit_preprocess(spark, sf_dir)
-    m = huber_fit(scaled(fp, df), fp.feature_cols, "target", n=fp.n_rows)
+    _, fp = _fit_preprocess(spark, sf_dir)
+    m = huber_fit(scaled(fp, fp.source), fp.feature_cols, "target")
     rows = [(c, float(w)) for c, w in zip(m.v("featureCols"), m.v("coefficients"))]
     rows += [("__intercept__", float(m.v("intercept"))), ("__scale__", float(m.v("scale")))]
-    return spark.createDataFrame(rows, "term string, coefficient double")
+    return r6(spark.createDataFrame(rows, "term string, coefficient double"))
 
 
 @check("huber_predict", """WITH """ + EV_SQL + f"""
@@ -938,41 +1031,43 @@ def _trial_sql(name: str) -> str:
     return f"(('0x' || substr(md5('5|' || number || '|{name}'), 1, 13))::BIGINT / {16.0 ** 13})"
 
 
-@check("tune", f"""
-SELECT CAST(number AS BIGINT) AS number, round(exp(ln(1e-6) + {_trial_sql('alpha')} * (ln(1.0) - ln(1e-6))), 6) + 0.0 AS params_alpha,
-       round(1.0 + {_trial_sql('epsilon')}, 6) + 0.0 AS params_epsilon, TRUE AS scored
-FROM range(20) t(number)""")
+@check("tune", f"""WITH RECURSIVE {_features_sql(MODEL_TERMS, 0.1)},
+trials AS (SELECT number AS trial, exp(ln(1e-6) + {_trial_sql('alpha')} * (ln(1.0) - ln(1e-6))) AS alpha,
+                  1.0 + {_trial_sql('epsilon')} AS eps FROM range(20) t(number)),
+{_newton_sql(len(MODEL_TERMS))}
+SELECT CAST(trial AS BIGINT) AS number, round(alpha, 6) + 0.0 AS params_alpha, round(eps, 6) + 0.0 AS params_epsilon,
+       round(-(1.0 - sum((q - y) * (q - y)) / (var_pop(y) * count(*))), 6) + 0.0 AS value
+FROM (SELECT trial, alpha, eps, y, {_predicted_sql(len(MODEL_TERMS))} AS q FROM fitted JOIN x ON x.val) GROUP BY trial, alpha, eps""")
 def q_tune(spark, sf_dir):
-    """All trials with their parameters; their values, of an iterative fit, are checked by pytest."""
+    """All trials of the reference's search (20, over alpha, log-uniform, and epsilon, uniform) and their values."""
+    from keelson.operators.sample import split_train_val
     from keelson.operators.tune import tune
+    from keelson.plans.preprocess import Preprocessor
     from keelson.plans.workflow import scaled
-    from keelson.operators.sample import split_train_val
     df = events_frame(spark, sf_dir)
     tr_raw, va_raw = split_train_val(df, "event_id", 0.1)
-    from keelson.plans.preprocess import Preprocessor
     fp = Preprocessor(events_spec()).fit(tr_raw)
-    # the reference's search: 20 trials over alpha (log-uniform) and epsilon (uniform)
-    res = tune(spark, scaled(fp, tr_raw), scaled(fp, va_raw), fp.feature_cols, "target", num_trials=20)
-    return r6(res.trials.select("number", "params_alpha", "params_epsilon",
-                                (F.col("value").isNotNull() & (F.col("value") <= 1.0)).alias("scored")))
+    res = tune(spark, scaled(fp, fp.source), scaled(fp, va_raw), fp.feature_cols, "target", num_trials=20)
+    return r6(res.trials)
 
 
 # ----------------------------------------------------------------------------
 # 2.7 workflows
-@check("train", """WITH """ + EV_SQL + f""",
-u AS (SELECT event_id, target, {hash_uniform_sql('event_id', '42')} < 0.1 AS val FROM ev),
-t AS (SELECT avg(target) AS m, stddev_pop(target) AS s FROM u WHERE NOT val)
-SELECT event_id, round((target - m) / s, 6) + 0.0 AS target, TRUE AS predicted FROM u, t WHERE val""")
+@check("train", f"""WITH RECURSIVE {_features_sql(MODEL_TERMS, 0.1)}, {ONE_TRIAL}, {_newton_sql(len(MODEL_TERMS))}
+SELECT event_id, round(y, 6) + 0.0 AS target, round({_predicted_sql(len(MODEL_TERMS))}, 6) + 0.0 AS prediction
+FROM x, fitted WHERE val""")
 def q_train(spark, sf_dir):
-    """The validation rows with the scaled target; the predictions, of an iterative fit, are checked by pytest."""
+    """The validation rows with the scaled target and the trained model's prediction of it."""
     from keelson.plans.workflow import train
     res = train(events_frame(spark, sf_dir), events_spec())
-    return r6(res.model.transform(res.validation).select(
-        "event_id", "target", (F.col("prediction").isNotNull() & ~F.isnan("prediction")).alias("predicted")))
+    return r6(res.model.transform(res.validation).select("event_id", "target", "prediction"))
+
+
+FILE_TERMS = [*[f"event_type_{t}" for t in EVENT_TYPES], "k", "value", "value_na"]
 
 
-@check("train_and_score_files", """WITH """ + EV_SQL + """
-SELECT event_id, TRUE AS predicted FROM ev""")
+@check("train_and_score_files", f"""WITH RECURSIVE {_features_sql(FILE_TERMS, 0.2)}, {ONE_TRIAL}, {_newton_sql(len(FILE_TERMS))}
+SELECT event_id, round(({_predicted_sql(len(FILE_TERMS))}) * ts + tm, 4) + 0.0 AS score FROM x, fitted""")
 def q_train_and_score_files(spark, sf_dir):
     """The user's path: a CSV folder and a JSON description in, artifacts, a CSV folder of predictions out."""
     import json
@@ -997,7 +1092,7 @@ def q_train_and_score_files(spark, sf_dir):
     run_batch_predictions(spark, f"{folder}/test", f"{folder}/spec", f"{folder}/artifacts", f"{folder}/out",
                           model_config_path=f"{folder}/settings")
     out = spark.read.option("header", True).schema("event_id bigint, score double").csv(f"{folder}/out")
-    return out.select("event_id", F.col("score").isNotNull().alias("predicted"))
+    return out.select("event_id", (F.round("score", 4) + F.lit(0.0)).alias("score"))
 
 
 @check("score_batch", "SELECT event_id, round(prediction, 4) + 0.0 AS prediction FROM (" + LITERAL_BUNDLE_RAW + ")")

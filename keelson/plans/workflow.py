@@ -111,11 +111,10 @@ def train(df: DataFrame, spec: DatasetSpec, config: PreprocessConfig | None = No
     vectors = training_vectors(tr, fp.feature_cols, spec.target)            # shared by all fits
     try:
         if run_tuning:
-            tuning = tune(df.sparkSession, tr, va, fp.feature_cols, spec.target, vectors=vectors, n=fp.n_rows,
-                          **(tune_kwargs or {}))
+            tuning = tune(df.sparkSession, tr, va, fp.feature_cols, spec.target, vectors=vectors, **(tune_kwargs or {}))
             hp.update(tuning.best_params)
-        model = huber_fit(tr, fp.feature_cols, spec.target, hp["alpha"], hp["epsilon"], n=fp.n_rows,
-                          max_iter=max_iter, vectors=vectors)
+        model = huber_fit(tr, fp.feature_cols, spec.target, hp["alpha"], hp["epsilon"], max_iter=max_iter,
+                          vectors=vectors)
     finally:
         vectors.unpersist()
     model.set(model.predictionCol, prediction_field)

@@ -1,4 +1,4 @@
-"""Huber regression: optimality of MLlib's solution for the reference's objective,
+"""Huber regression: optimality of the solution for the reference's objective,
 robustness to outliers, persistence, R^2, tuning."""
 
 import numpy as np
@@ -6,7 +6,8 @@ import pandas as pd
 import pytest
 
 
-from keelson.operators.model import HuberPredictorModel, evaluate, huber_fit, load_model, r2_score, save_model
+from keelson.operators.model import (HuberPredictorModel, evaluate, huber_fit, load_model, r2_score, save_model,
+                                     training_vectors)
 from keelson.operators.tune import sample_params, tune
 
 
@@ -108,3 +109,54 @@ def test_tune_returns_trials(spark):
     top = t2.iloc[:4].sort_values(["value", "number"]).iloc[:2]
     for col in ("params_alpha", "params_epsilon"):
         assert t2[col].iloc[4:].between(top[col].min(), top[col].max()).all()
+
+
+def test_newton_fits_share_scans_and_stay_few(spark):
+    """Twenty trials take about as many scans as one; alone or together they give the same optimum."""
+    from keelson.operators import newton
+    pdf, df = make(spark, n=1500, seed=6)
+    vectors = training_vectors(df, ["x1", "x2", "x3"], "y")
+    trials = [(1e-4 * 4 ** t, 1.002 + t / 20) for t in range(20)]
+    fits = newton.newton_fits(vectors, 3, trials)
+    assert max(f.scans for f in fits) <= 40 and np.median([f.scans for f in fits]) <= 10 and all(f.done for f in fits)
+    for f in fits:
+        assert all(b <= a + 1e-9 * abs(a) for a, b in zip(f.history, f.history[1:]))
+        g = gradient(pdf, f.point[:3], f.point[3], f.point[4], f.alpha, f.epsilon)
+        assert np.abs(g).max() < 1e-6
+    alone = newton.newton_fits(vectors, 3, trials[4:5], together=1)[0]
+    assert np.allclose(alone.point, fits[4].point, rtol=1e-8)
+
+
+@pytest.mark.parametrize("case", ["collinear", "constant feature", "exact line", "far from zero", "few rows", "hot row"])
+def test_newton_on_awkward_data(spark, case):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 3))
+    y = x @ np.array([1.0, 2.0, -1.0]) + rng.normal(scale=0.1, size=400)
+    if case == "collinear":
+        x[:, 2] = 2 * x[:, 0]
+    elif case == "constant feature":
+        x[:, 1] = 3.0
+    elif case == "exact line":
+        y = x @ np.array([1.0, 2.0, -1.0]) + 5
+    elif case == "far from zero":
+        y = y * 0.1 + 1e6
+    elif case == "few rows":
+        x, y = x[:3], y[:3]
+    elif case == "hot row":
+        x[::3], y[::3] = x[0], y[0]
+    pdf = pd.DataFrame({"x1": x[:, 0], "x2": x[:, 1], "x3": x[:, 2], "y": y})
+    m = huber_fit(spark.createDataFrame(pdf), ["x1", "x2", "x3"], "y", alpha=1e-3)
+    assert np.isfinite(m.v("coefficients")).all() and m.v("scale") > 0
+    if case == "exact line":
+        assert np.allclose(m.v("coefficients"), [1.0, 2.0, -1.0], atol=1e-3) and abs(m.v("intercept") - 5) < 1e-3
+    elif case != "few rows":
+        g = gradient(pdf, np.array(m.v("coefficients")), m.v("intercept"), m.v("scale"), 1e-3, 1.35)
+        assert np.abs(g).max() < 1e-5, g
+
+
+def test_newton_refuses_nulls_and_empty_input(spark):
+    _, df = make(spark, n=10)
+    with pytest.raises(ValueError):
+        huber_fit(df.limit(0), ["x1"], "y")
+    with pytest.raises(Exception, match="must not be null"):
+        huber_fit(df.selectExpr("IF(id = 3, NULL, x1) AS x1", "y"), ["x1"], "y")
