@@ -7,10 +7,13 @@ penalty where only other languages know it); a word that no language knows is
 scored by its longest n-grams that any language knows, falling back to shorter
 ones.  The language with the lowest mean wins; ties go to the smaller name.
 
-The *model size* is bounded by parameters (``max_words`` words a language and
-``max_grams`` n-grams a language and length: all entries above the smallest
-count that keeps within the bound), so it can be broadcast; the counts behind
-it cover all training rows.
+The tables of scores (a row per word or n-gram, a column per language) are made by Spark and
+cover all training rows.  Their most frequent entries, up to ``model_bytes``, travel to
+the tasks as sorted 64-bit hashes (Spark's ``xxhash64``) with a matrix of scores: a proven size.
+What does not fit is not dropped: words that the tasks do not know are then gathered, scored
+once each by joins with the full tables, and joined back to their documents.  The result is the same
+(up to the order of summation).  Two words of one hash would share a row: odds of about
+V**2 / 2**65 for V words.
 
 Contract for odd input: null texts and texts without a letter are ``und`` with
 score 0; rows with a null label are not learned from; with nothing to learn
@@ -27,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +38,8 @@ from .common import map_batches, share, stored
 
 _WORD = re.compile(r"[^\W\d_]+")
 PENALTY_MARGIN = 1.0       # above the rarest known word of a language, in log10
-FLUSH = 200_000            # distinct entries a task holds before it passes partial counts on
+FLUSH = 500_000            # distinct entries a task holds before it passes partial counts on
+MODEL_BYTES = 128 << 20    # hashes and scores that travel to the tasks, at most
 
 
 def words_of(text: str | None) -> list[str]:
@@ -97,134 +102,187 @@ def gram_counts(words: DataFrame, n_max: int) -> DataFrame:
                         c[g] += n
         return _partial_counts(batches, entries)
 
-    return _summed(map_batches(words.select("lang", "key", "n"), count, "lang string, key string, n bigint"))
-
-
-def _bounded(counts: DataFrame, most: int, by: list[str]) -> DataFrame:
-    """Entries at or above the smallest count that leaves at most ``most`` per group (ties stay or go together)."""
-    steps = counts.groupBy(*by, "n").agg(F.count("*").alias("entries")).collect()   # one row per distinct count
-    per: dict[tuple, list] = {}
-    for r in steps:
-        per.setdefault(tuple(r[b] for b in by), []).append((r["n"], r["entries"]))
-    keep = F.lit(False)
-    for key, levels in per.items():
-        total, least = 0, None
-        for n, entries in sorted(levels, reverse=True):
-            total += entries
-            if total > most:
-                break
-            least = n
-        if least is not None:
-            cond = F.col("n") >= least
-            for b, v in zip(by, key, strict=True):
-                cond = cond & (F.col(b) == F.lit(v))
-            keep = keep | cond
-    return counts.filter(keep)
-
-
-def _rows(counts: DataFrame) -> list[tuple]:
-    """(lang, key, n) of a bounded table, through Arrow (a Row object would take several times the memory)."""
-    columns = counts.select("lang", "key", "n").toArrow()
-    return list(zip(*(columns.column(i).to_pylist() for i in range(3)), strict=True))
+    spread = words.select("lang", "key", "n").repartition("key")       # a stored count table is a few large files
+    return _summed(map_batches(spread, count, "lang string, key string, n bigint"))
+
+
+def score_table(counts: DataFrame, totals: dict, least: dict, langs: list[str], by_size: bool) -> DataFrame:
+    """(key, n, s0, s1, ...): of every entry its count over all languages and its score in each.
+
+    ``totals`` and ``least``: sum and smallest count per (language, size); the size is 0 for words.
+    """
+    rows = counts.groupBy("key").agg(F.sum("n").alias("n"), *[
+        F.max(F.when(F.col("lang") == F.lit(lang), F.col("n"))).alias(f"n{i}") for i, lang in enumerate(langs)])
+    sizes = sorted({size for _, size in totals})
+    scores = []
+    for i, lang in enumerate(langs):
+        total, absent = F.lit(None).cast("double"), F.lit(None).cast("double")
+        for size in sizes:
+            t = totals.get((lang, size))
+            worst = -math.log10(least[lang, size] / t) if t else 0.0
+            here = F.length("key") == size if by_size else F.lit(True)
+            total, absent = F.when(here, F.lit(float(t or 1))).otherwise(total), \
+                F.when(here, F.lit(worst + PENALTY_MARGIN)).otherwise(absent)
+        scores.append(F.coalesce(-F.log10(F.col(f"n{i}") / total), absent).alias(f"s{i}"))
+    return rows.select("key", "n", *scores)
+
+
+def _frequent(table: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """The entries at or above the smallest count that leaves at most ``most``, and whether these are all."""
+    steps = table.groupBy("n").agg(F.count("*").alias("entries")).orderBy(F.desc("n"))
+    total, least = 0, None
+    for r in steps.toLocalIterator():                     # one row per distinct count, from the largest
+        total += r["entries"]
+        if total > most:
+            break
+        least = r["n"]
+    if total <= most:
+        return table, True
+    return table.filter(F.lit(False) if least is None else F.col("n") >= F.lit(least)), False
+
+
+def _arrays(table: DataFrame, langs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and their rows of scores, through Arrow."""
+    t = table.select(F.xxhash64("key").alias("h"), *[f"s{i}" for i in range(langs)]).toArrow()
+    h = t.column(0).to_numpy()
+    order = np.argsort(h)
+    return h[order], np.column_stack([t.column(i + 1).to_numpy() for i in range(langs)])[order]
+
+
+def hash_of(text: str) -> int:
+    """Spark's ``xxhash64`` of a string, as an unsigned number."""
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42)
+
+
+def _found(keys: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(places in ``keys``, which texts are there)."""
+    h = np.fromiter(map(hash_of, texts), dtype=np.uint64, count=len(texts)).view(np.int64)
+    at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
+    return at, (keys[at] == h if len(keys) else np.zeros(len(h), dtype=bool))
 
 
 class LanguageModel:
-    """Bounded tables of log frequencies; ``score`` needs nothing else."""
-
-    def __init__(self, words: list[tuple], grams: list[tuple], totals: dict, n_max: int):
-        self.langs = sorted({r[0] for r in words})
-        self.n_max = n_max
-        at = {lang: i for i, lang in enumerate(self.langs)}
-        self.word = self._table(words, at, {k: totals["words"][k] for k in self.langs})
-        self.gram = {}
-        for n in range(1, n_max + 1):
-            self.gram |= self._table([r for r in grams if len(r[1]) == n], at,
-                                     {k: totals["grams"].get((k, n), 1) for k in self.langs})
-
-    @staticmethod
-    def _table(rows: list[tuple], at: dict, totals: dict) -> dict[str, tuple]:
-        worst = [0.0] * len(at)
-        for lang, _, n in rows:
-            if lang in at:
-                worst[at[lang]] = max(worst[at[lang]], -math.log10(n / totals[lang]))
-        default = [w + PENALTY_MARGIN for w in worst]
-        out: dict[str, list] = {}
-        for lang, key, n in rows:
-            if lang in at:
-                out.setdefault(key, list(default))[at[lang]] = -math.log10(n / totals[lang])
-        return {k: tuple(v) for k, v in out.items()}
+    """Score tables of frequent words and n-grams as arrays; ``words`` and ``grams`` are the full tables.
+
+    ``complete``: the arrays hold everything, so tasks need no joins.
+    """
+
+    def __init__(self, langs: list[str], n_max: int, word_table: tuple, gram_table: tuple, complete: bool,
+                 words: DataFrame | None = None, grams: DataFrame | None = None):
+        self.langs, self.n_max, self.complete = langs, n_max, complete
+        self.word_table, self.gram_table = word_table, gram_table
+        self.words, self.grams = words, grams
+
+    def for_tasks(self) -> LanguageModel:
+        return LanguageModel(self.langs, self.n_max, self.word_table, self.gram_table, self.complete)
+
+    def scores_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of scores, and which words have one: known words, others by their longest known n-grams (all zero
+        without any).  Unless the model is complete, unknown words are left open."""
+        keys, rows = self.word_table
+        at, there = _found(keys, words)
+        out = np.zeros((len(words), len(self.langs)))
+        out[there] = rows[at[there]]
+        if not self.complete:
+            return out, there
+        open_ = np.flatnonzero(~there)
+        keys, rows = self.gram_table
+        for n in range(self.n_max, 0, -1):
+            if not len(open_):
+                break
+            pieces = [grams_of(words[i], n) for i in open_]
+            owner = np.repeat(np.arange(len(open_)), [len(p) for p in pieces])
+            at, known = _found(keys, [g for p in pieces for g in p])
+            count = np.bincount(owner[known], minlength=len(open_))
+            sums = np.zeros((len(open_), len(self.langs)))
+            np.add.at(sums, owner[known], rows[at[known]])
+            some = count > 0
+            out[open_[some]] = sums[some] / count[some, None]
+            open_ = open_[~some]
+        return out, np.ones(len(words), dtype=bool)
 
     def word_scores(self, word: str) -> tuple:
-        """Scores of one word: known as a word, else by its longest known n-grams, else all zero."""
-        got = self.word.get(word)
-        if got is not None:
-            return got
-        for n in range(min(self.n_max, len(word) + 2), 0, -1):
-            rows = [r for r in map(self.gram.get, grams_of(word, n)) if r is not None]
-            if rows:
-                return tuple(sum(x) / len(rows) for x in zip(*rows, strict=True))
-        return (0.0,) * len(self.langs)
+        return tuple(self.scores_of([word])[0][0])
 
 
 class _WordRows(dict):
-    """word -> row of a growing score matrix."""
+    """word -> row of a growing score matrix; new words of a batch are scored together."""
 
     def __init__(self, model: LanguageModel):
         super().__init__()
-        self.model, self.rows, self.done = model, [], np.empty((0, len(model.langs)))
+        self.model, self.new = model, []
+        self.rows, self.known = np.empty((0, len(model.langs))), np.empty(0, dtype=bool)
 
     def __missing__(self, word: str) -> int:
-        self[word] = at = len(self.rows)
-        self.rows.append(self.model.word_scores(word))
+        self[word] = at = len(self.rows) + len(self.new)
+        self.new.append(word)
         return at
 
     def matrix(self) -> np.ndarray:
-        """All rows; only those since the last call are converted."""
-        if len(self.done) < len(self.rows):
-            self.done = np.concatenate([self.done, np.asarray(self.rows[len(self.done):], dtype=np.float64)])
-        return self.done
+        if self.new:
+            rows, known = self.model.scores_of(self.new)
+            self.rows, self.known, self.new = np.concatenate([self.rows, rows]), np.concatenate([self.known, known]), []
+        return self.rows
 
 
 def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", n_max: int = 4,
-        max_words: int = 50_000, max_grams: int = 50_000) -> LanguageModel | None:
+        model_bytes: int = MODEL_BYTES) -> LanguageModel | None:
     """Counts over all rows of ``df``; None if there is nothing to learn."""
     words = stored(word_counts(df, text_col, lang_col), "langid-words")
-    grams = stored(gram_counts(words, n_max).withColumn("size", F.length("key")), "langid-grams")
-    totals = {"words": {r["lang"]: r["t"] for r in words.groupBy("lang").agg(F.sum("n").alias("t")).collect()},
-              "grams": {(r["lang"], r["size"]): r["t"] for r in
-                        grams.groupBy("lang", "size").agg(F.sum("n").alias("t")).collect()}}
-    if not totals["words"]:
-        return None
-    kept_words = _rows(_bounded(words, max_words, ["lang"]))
-    kept_grams = _rows(_bounded(grams, max_grams, ["lang", "size"]))
-    if not kept_words:
+    grams = stored(gram_counts(words, n_max), "langid-grams")
+    facts = [F.sum("n").alias("t"), F.min("n").alias("l")]
+    per_word = words.groupBy("lang", F.lit(0).alias("size")).agg(*facts).collect()
+    per_gram = grams.groupBy("lang", F.length("key").alias("size")).agg(*facts).collect()
+    if not per_word:
         return None
-    return LanguageModel(kept_words, kept_grams, totals, n_max)
+    langs = sorted(r["lang"] for r in per_word)
+    tables = [stored(score_table(counts, {(r["lang"], r["size"]): r["t"] for r in per},
+                                 {(r["lang"], r["size"]): r["l"] for r in per}, langs, by_size), f"langid-{name}-scores")
+              for name, counts, per, by_size in (("word", words, per_word, False), ("gram", grams, per_gram, True))]
+    most = model_bytes // (8 * (len(langs) + 1)) // 2                  # half for words, half for n-grams
+    (word_part, all_words), (gram_part, all_grams) = (_frequent(t, most) for t in tables)
+    complete = all_words and all_grams
+    nothing = np.empty(0, dtype=np.int64), np.empty((0, len(langs)))
+    return LanguageModel(langs, n_max, _arrays(word_part, len(langs)),
+                         _arrays(gram_part, len(langs)) if complete else nothing, complete, *tables)
+
+
+def judged(model: LanguageModel, sums: np.ndarray, count: np.ndarray) -> tuple[list, list]:
+    """(languages, scores) of summed scores: score is the winner's share when means are read as log10 likelihoods."""
+    mean = sums / np.maximum(count, 1)[:, None]
+    best = mean.argmin(axis=1)
+    share_ = 1.0 / np.power(10.0, mean[np.arange(len(mean)), best][:, None] - mean).sum(axis=1)
+    some = count > 0
+    return [model.langs[i] if s else "und" for i, s in zip(best.tolist(), some.tolist(), strict=True)], \
+        np.where(some, share_, 0.0).tolist()
+
+
+def _summed_rows(rows: _WordRows, texts: list) -> tuple[list, np.ndarray, np.ndarray]:
+    """(row numbers of the words of every text, sums of their scores, how many words)."""
+    at = [list(map(rows.__getitem__, words_of(t))) for t in texts]
+    matrix = rows.matrix()
+    count = np.fromiter(map(len, at), dtype=np.int64, count=len(at))
+    sums = np.zeros((len(at), matrix.shape[1]))
+    for i, ids in enumerate(at):
+        if ids:
+            sums[i] = matrix[ids].sum(axis=0)
+    return at, sums, count
 
 
 def score_batch(model: LanguageModel | None, texts: list, rows: _WordRows | None) -> tuple[list, list]:
-    """(languages, scores): score is the winner's share when mean scores are read as log10 likelihoods."""
+    """(languages, scores) of texts by a complete model."""
     if model is None:
         return ["und"] * len(texts), [0.0] * len(texts)
-    at = [list(map(rows.__getitem__, words_of(t))) for t in texts]
-    matrix = rows.matrix()
-    langs, scores = [], []
-    for ids in at:
-        if not ids:
-            langs.append("und")
-            scores.append(0.0)
-            continue
-        mean = matrix[ids].mean(axis=0)
-        best = int(mean.argmin())
-        langs.append(model.langs[best])
-        scores.append(float(1.0 / np.power(10.0, mean[best] - mean).sum()))
-    return langs, scores
+    _, sums, count = _summed_rows(rows, texts)
+    return judged(model, sums, count)
 
 
 def predict(df: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
     """``df`` with columns ``lang_pred`` and ``score`` appended (earlier columns of those names go)."""
     df = df.drop("lang_pred", "score")
-    shared = share(df.sparkSession, model)      # bounded by max_words and max_grams
+    if model is not None and not model.complete:
+        return _predict_by_joins(df, model, text_col)
+    shared = share(df.sparkSession, model.for_tasks() if model else None)      # bounded by model_bytes
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,6 +299,69 @@ def predict(df: DataFrame, model: LanguageModel | None, text_col: str = "text")
     return map_batches(df, run, f"{fields}, lang_pred string, score double")
 
 
+def _predict_by_joins(df: DataFrame, model: LanguageModel, text_col: str) -> DataFrame:
+    """The same where the full tables do not fit: words that tasks do not know are scored by joins."""
+    langs = len(model.langs)
+    shared = share(df.sparkSession, model.for_tasks())
+    rows = stored(df.withColumn("__row", F.monotonically_increasing_id()), "langid-rows")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _WordRows(shared())
+        for b in batches:
+            at, sums, count = _summed_rows(known, b.column(1).to_pylist())
+            words = list(known)
+            unknown = [Counter(words[k] for k in ids if not known.known[k]) for ids in at]
+            if len(known) > FLUSH:
+                known = _WordRows(known.model)
+            ends = np.r_[0, np.cumsum([len(u) for u in unknown])].astype(np.int32)
+            entries = pa.StructArray.from_arrays(
+                [pa.array([w for u in unknown for w in u], pa.string()),
+                 pa.array([c for u in unknown for c in u.values()], pa.int64())], names=["word", "c"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(count), pa.array(sums.tolist(), pa.list_(pa.float64())),
+                 pa.ListArray.from_arrays(pa.array(ends), entries)], names=["__row", "count", "sums", "unknown"])
+
+    part = stored(map_batches(rows.select("__row", F.col(text_col)), run, "__row bigint, count bigint, "
+                              "sums array<double>, unknown array<struct<word:string,c:bigint>>"), "langid-part")
+    uses = part.select("__row", F.explode("unknown").alias("u")).select("__row", "u.word", "u.c")
+    scored = stored(_scores_by_joins(uses.select("word").distinct(), model), "langid-unknown")
+    more = uses.join(scored, "word").groupBy("__row").agg(*[F.sum(F.col(f"s{i}") * F.col("c")).alias(f"s{i}")
+                                                            for i in range(langs)])
+    total = F.array(*[F.col("sums")[i] + F.coalesce(F.col(f"s{i}"), F.lit(0.0)) for i in range(langs)])
+    means = part.join(more, "__row", "left").select("__row", "count", total.alias("sums"))
+    names = model.langs
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = LanguageModel(names, 0, (), (), False)
+        for b in batches:
+            if b.num_rows:
+                found, scores = judged(own, b.column(2).flatten().to_numpy().reshape(-1, langs), b.column(1).to_numpy())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string()), pa.array(scores, pa.float64())],
+                                                 names=["__row", "lang_pred", "score"])
+
+    return rows.join(map_batches(means, finish, "__row bigint, lang_pred string, score double"), "__row").drop("__row")
+
+
+def _scores_by_joins(words: DataFrame, model: LanguageModel) -> DataFrame:
+    """(word, s0, s1, ...) of distinct words from the full tables: known words, else the longest known n-grams."""
+    names = [f"s{i}" for i in range(len(model.langs))]
+    n_max = model.n_max
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(w, n, g) for w in b.column(0).to_pylist() for n in range(1, n_max + 1) for g in grams_of(w, n)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()),
+                                              pa.array([r[2] for r in rows], pa.string())], names=["word", "size", "key"])
+
+    table = model.words.withColumnRenamed("key", "word").select("word", *names)
+    known = words.join(table, "word")
+    pieces = map_batches(words.join(table, "word", "left_anti"), run, "word string, size int, key string")
+    means = pieces.join(model.grams.select("key", *names), "key").groupBy("word", "size").agg(
+        *[F.avg(s).alias(s) for s in names])
+    longest = means.groupBy("word").agg(F.max_by(F.struct(*names), "size").alias("m")).select("word", "m.*")
+    return known.unionByName(longest)
+
+
 def held_out(id_col):
     """True for rows that training must not see; a null id is neither learned from nor held out."""
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(4)) == 2

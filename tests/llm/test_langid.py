@@ -1,9 +1,11 @@
+import math
 import zlib
 
 import duckdb
 from cases import by_id, empty_documents, odd_documents
 from conftest import SF_MID, SF_SMALL
 from keelson.llm import langid, queries
+from pyspark.sql import functions as F
 
 
 def test_held_out_accuracy(spark):
@@ -65,10 +67,34 @@ def test_scores_equal_plain_backoff(spark):
     assert tie == (["en"], [0.5])                                            # nothing known: equal, the smaller name
 
 
-def test_bounds_keep_ties_together(spark):
-    counts = spark.createDataFrame([("a", f"w{i}", n) for i, n in enumerate([9, 7, 5, 5, 5, 1])], "lang string, key string, n long")
-    kept = lambda most: sorted(r["key"] for r in langid._bounded(counts, most, ["lang"]).collect())      # noqa: E731
-    assert kept(2) == ["w0", "w1"] and kept(4) == ["w0", "w1"] and len(kept(5)) == 5 and len(kept(99)) == 6
+def test_tables_that_do_not_fit_are_joined(spark):
+    """Whatever part of the model the tasks hold (all, a few frequent words, nothing), every document gets the same result."""
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    train = docs.filter(~langid.held_out(F.col("doc_id")))
+    want = by_id(langid.predict(docs, langid.fit(train)))
+    for size in (100_000, 0):
+        model = langid.fit(train, model_bytes=size)
+        assert not model.complete
+        got = by_id(langid.predict(docs, model))
+        assert got.keys() == want.keys()
+        assert all(got[i]["lang_pred"] == want[i]["lang_pred"] and abs(got[i]["score"] - want[i]["score"]) < 1e-9 for i in want)
+
+
+def test_the_model_keeps_every_word(spark):
+    """More words in one language than the old bound of 50,000: the rarest still score as known words."""
+    df = spark.range(60_000).selectExpr("concat('w', translate(cast(id AS string), '0123456789', 'abcdefghij')) AS text",
+                                        "'aa' AS lang").unionByName(
+        spark.createDataFrame([("zu " * 50, "bb")], "text string, lang string"))
+    model = langid.fit(df)
+    assert model.complete and len(model.word_table[0]) == 60_001
+    rare = model.word_scores("wfjjjj")
+    assert abs(rare[0] - math.log10(60_000)) < 1e-9 and abs(rare[1] - langid.PENALTY_MARGIN) < 1e-9
+
+
+def test_hashes_are_those_of_spark(spark):
+    texts = ["", "a", "straße", "日本語", " th", "x" * 100]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", "xxhash64(t) AS h").collect()
+    assert all(langid.hash_of(r["t"]) == r["h"] % (1 << 64) for r in got)
 
 
 def test_odd_rows(spark):
