@@ -53,7 +53,7 @@ def fold(df: DataFrame, start: Callable, step: Callable, merge: Callable):
         for slot, state in held.items():
             yield row(slot, state)
 
-    parts = df.mapInArrow(partial, "slot int, state binary").repartition(SLOTS, "slot")
+    parts = df.mapInArrow(partial, "slot int, state binary").repartition("slot")
     merged = sorted(parts.mapInArrow(join, "slot int, state binary").collect(), key=lambda r: r["slot"])
     return reduce(merge, [pickle.loads(r["state"]) for r in merged]) if merged else start()
 
