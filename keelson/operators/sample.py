@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from keelson.functions.exprs import qcol
 from keelson.functions.hashing import hash_uniform
 from keelson.functions.profile import chunked_aggregate
-from keelson.functions.quantile import select_ranks
+from keelson.functions.quantile import order_statistics, select_ranks
 
 DEFAULT_SPLIT_SEED = 42
 
@@ -29,10 +29,10 @@ def split_train_val(df: DataFrame, id_col: str, val_pct: float, seed: int = DEFA
                     exact_size: bool = False) -> tuple[DataFrame, DataFrame]:
     """Disjoint, complete split; validation = rows whose hash is below ``val_pct``.
 
-    ``exact_size=True`` takes exactly ceil(n * val_pct) rows with the smallest
-    hashes: the boundary is found by histogram narrowing (no global sort, no
-    single-partition window); only it travels to the driver.  Rows equal in
-    every column stay on one side.
+    ``exact_size=True`` takes the ceil(n * val_pct) rows with the smallest hashes
+    (more only where rows equal in every column stand at the boundary: they stay on one
+    side): the boundary is found by sketches (no global sort, no single-partition
+    window); only it travels to the driver.
     """
     if not 0 <= val_pct < 1:
         raise ValueError("val_pct must be in [0, 1)")
@@ -42,18 +42,23 @@ def split_train_val(df: DataFrame, id_col: str, val_pct: float, seed: int = DEFA
         return df.where(~in_val), df.where(in_val)
     # ties of the hash are ordered by a second one, of the whole row
     tie = F.xxhash64(*[qcol(c) for c in df.columns]).bitwiseAND(F.lit((1 << 52) - 1)).cast("double")
-    keyed = df.withColumn("__u", u).withColumn("__tie", tie)
-    n = df.count()
-    k = int(math.ceil(n * val_pct))
-    if k == 0:
+    if val_pct == 0:
         return df, df.where(F.lit(False))
-    edge = select_ranks(keyed, {"u": (F.col("__u"), k - 1)})["u"]
-    below = keyed.where(F.col("__u") < F.lit(edge)).count()
-    at_edge = keyed.where(F.col("__u") == F.lit(edge))
-    last = select_ranks(at_edge, {"t": (F.col("__tie"), k - below - 1)})["t"]
-    in_val = (F.col("__u") < F.lit(edge)) | ((F.col("__u") == F.lit(edge)) & (F.col("__tie") <= F.lit(last)))
-    cols = [qcol(c) for c in df.columns]
-    return keyed.where(~in_val).select(*cols), keyed.where(in_val).select(*cols)
+    wanted: list[int] = []
+
+    def last_rank(n: int) -> list[int]:
+        wanted.append(math.ceil(n * val_pct))
+        return [wanted[0] - 1] if n else []
+
+    found = order_statistics(df, {"u": (u, last_rank)})["u"]
+    if not found:
+        return df, df.where(F.lit(False))
+    edge, rest = found[0], wanted[0] - found[0].below
+    in_val = u <= F.lit(edge.value)
+    if rest < edge.equal:
+        last = select_ranks(df.where(u == F.lit(edge.value)), {"t": (tie, rest - 1)})["t"]
+        in_val = (u < F.lit(edge.value)) | ((u == F.lit(edge.value)) & (tie <= F.lit(last)))
+    return df.where(~in_val), df.where(in_val)
 
 
 def inject_nulls(df: DataFrame, id_col: str, columns: list[str], p: float = 0.05,

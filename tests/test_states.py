@@ -141,3 +141,40 @@ def test_wide_fit_scans_its_input_a_few_times(spark):
 
 def _executions(spark) -> int:
     return spark._jsparkSession.sharedState().statusStore().executionsCount()
+
+
+@pytest.mark.parametrize("capacity", [2, 16, 200, 1 << 14])
+def test_ranks_are_exact_whatever_the_sketch_holds(spark, capacity):
+    """Ties, hot values, infinities and nulls; the counts below and at the value are exact too."""
+    from keelson.functions.quantile import order_statistics
+    rng = np.random.default_rng(capacity)
+    columns = {"u": rng.normal(size=3000), "ties": rng.integers(0, 7, 3000).astype(float),
+               "hot": np.where(rng.random(3000) < 0.4, 5.0, rng.standard_cauchy(3000)),
+               "ends": np.r_[[np.inf, -np.inf] * 3, rng.random(2994) * 1e300], "none": np.full(3000, np.nan)}
+    rows = [tuple(None if np.isnan(columns[c][i]) else float(columns[c][i]) for c in columns) for i in range(3000)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in columns)).repartition(6)
+    for rank in (0, 1, 1499, 2998):
+        got = order_statistics(df, {c: (F.col(c), lambda n: [rank, rank + 1] if n else []) for c in columns}, capacity)
+        assert got.pop("none") == []
+        for c, found in got.items():
+            v = np.sort(columns[c])
+            for k, r in zip((rank, rank + 1), found, strict=True):
+                assert (r.value, r.below, r.equal) == (v[k], (v < v[k]).sum(), (v == v[k]).sum()), (c, k, capacity)
+
+
+def test_median_takes_two_scans(spark):
+    from keelson.functions.quantile import exact_quantile
+    df = spark.range(0, 300_000, 1, 4).select((F.xxhash64("id") % 1_000_003).cast("double").alias("x"))
+    before = _executions(spark)
+    got = exact_quantile(df, ["x"])["x"]
+    assert _executions(spark) - before == 2
+    assert got == df.selectExpr("median(x)").first()[0]
+
+
+@pytest.mark.parametrize("n,pct", [(1000, 0.1), (999, 0.25), (7, 0.1), (50_000, 0.013), (0, 0.2), (10, 0.0)])
+def test_exact_split_has_the_exact_size(spark, n, pct):
+    from keelson.operators.sample import split_train_val
+    df = spark.range(n).select("id", (F.col("id") % 10).alias("v"))
+    train, val = split_train_val(df, "id", pct, exact_size=True)
+    assert val.count() == math.ceil(n * pct) and train.count() == n - math.ceil(n * pct)
+    assert train.join(val, "id").count() == 0
