@@ -26,20 +26,20 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, share, stored
+from .common import map_batches, stored
 
 _WORD = re.compile(r"[^\W\d_]+")
 PENALTY_MARGIN = 1.0       # above the rarest known word of a language, in log10
 FLUSH = 500_000            # distinct entries a task holds before it passes partial counts on
-MODEL_BYTES = 128 << 20    # hashes and scores that travel to the tasks, at most
+MODEL_BYTES = 256 << 20    # hashes and scores that travel to the tasks, at most
 
 
 def words_of(text: str | None) -> list[str]:
@@ -91,19 +91,15 @@ def word_counts(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
 
 def gram_counts(words: DataFrame, n_max: int) -> DataFrame:
-    """(lang, key = n-gram, n) of a word count table; a word counts as often as it occurs."""
+    """(lang, key = n-gram, n) of a word count table; a word counts as often as it occurs (n-grams as in ``grams_of``)."""
+    def pieces(n: int):
+        text = F.col("key") if n == 1 else F.concat(F.lit(" "), "key", F.lit(" "))
+        places = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+        return F.when(F.length(text) >= n, F.transform(places, lambda i: F.substring(text, i, F.lit(n)))) \
+            .otherwise(F.array().cast("array<string>"))
 
-    def count(batches):
-        def entries(b, counts):
-            for lang, word, n in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                c = counts.setdefault(lang, Counter())
-                for k in range(1, n_max + 1):
-                    for g in grams_of(word, k):
-                        c[g] += n
-        return _partial_counts(batches, entries)
-
-    spread = words.select("lang", "key", "n").repartition("key")       # a stored count table is a few large files
-    return _summed(map_batches(spread, count, "lang string, key string, n bigint"))
+    grams = F.explode(F.concat(*[pieces(n) for n in range(1, n_max + 1)])).alias("key")
+    return _summed(words.select("lang", "n", grams))
 
 
 def score_table(counts: DataFrame, totals: dict, least: dict, langs: list[str], by_size: bool) -> DataFrame:
@@ -173,8 +169,11 @@ class LanguageModel:
         self.word_table, self.gram_table = word_table, gram_table
         self.words, self.grams = words, grams
 
-    def for_tasks(self) -> LanguageModel:
-        return LanguageModel(self.langs, self.n_max, self.word_table, self.gram_table, self.complete)
+    def for_tasks(self, spark: SparkSession) -> Callable[[], LanguageModel]:
+        """The arrays (bounded by ``model_bytes``) as a broadcast that each worker process unpacks once."""
+        tables = spark.sparkContext.broadcast((self.word_table, self.gram_table))
+        langs, n_max, complete = self.langs, self.n_max, self.complete
+        return lambda: LanguageModel(langs, n_max, *tables.value, complete)
 
     def scores_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Rows of scores, and which words have one: known words, others by their longest known n-grams (all zero
@@ -239,8 +238,9 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", n_max: in
     tables = [stored(score_table(counts, {(r["lang"], r["size"]): r["t"] for r in per},
                                  {(r["lang"], r["size"]): r["l"] for r in per}, langs, by_size), f"langid-{name}-scores")
               for name, counts, per, by_size in (("word", words, per_word, False), ("gram", grams, per_gram, True))]
-    most = model_bytes // (8 * (len(langs) + 1)) // 2                  # half for words, half for n-grams
-    (word_part, all_words), (gram_part, all_grams) = (_frequent(t, most) for t in tables)
+    most = model_bytes // (8 * (len(langs) + 1))                       # entries of a hash and its scores
+    gram_part, all_grams = _frequent(tables[1], most // 2)
+    word_part, all_words = _frequent(tables[0], most - (tables[1].count() if all_grams else 0))
     complete = all_words and all_grams
     nothing = np.empty(0, dtype=np.int64), np.empty((0, len(langs)))
     return LanguageModel(langs, n_max, _arrays(word_part, len(langs)),
@@ -263,9 +263,10 @@ def _summed_rows(rows: _WordRows, texts: list) -> tuple[list, np.ndarray, np.nda
     matrix = rows.matrix()
     count = np.fromiter(map(len, at), dtype=np.int64, count=len(at))
     sums = np.zeros((len(at), matrix.shape[1]))
-    for i, ids in enumerate(at):
-        if ids:
-            sums[i] = matrix[ids].sum(axis=0)
+    some = np.flatnonzero(count)
+    if len(some):
+        ids = np.fromiter((k for text in at for k in text), dtype=np.int64, count=int(count.sum()))
+        sums[some] = np.add.reduceat(matrix[ids], np.r_[0, np.cumsum(count[some])[:-1]], axis=0)
     return at, sums, count
 
 
@@ -282,7 +283,7 @@ def predict(df: DataFrame, model: LanguageModel | None, text_col: str = "text")
     df = df.drop("lang_pred", "score")
     if model is not None and not model.complete:
         return _predict_by_joins(df, model, text_col)
-    shared = share(df.sparkSession, model.for_tasks() if model else None)      # bounded by model_bytes
+    shared = model.for_tasks(df.sparkSession) if model else lambda: None
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +303,7 @@ def predict(df: DataFrame, model: LanguageModel | None, text_col: str = "text")
 def _predict_by_joins(df: DataFrame, model: LanguageModel, text_col: str) -> DataFrame:
     """The same where the full tables do not fit: words that tasks do not know are scored by joins."""
     langs = len(model.langs)
-    shared = share(df.sparkSession, model.for_tasks())
+    shared = model.for_tasks(df.sparkSession)
     rows = stored(df.withColumn("__row", F.monotonically_increasing_id()), "langid-rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
