@@ -72,18 +72,9 @@ def duplicate_ids(df: DataFrame, id_col: str) -> DataFrame:
     return df.groupBy(qcol(id_col).alias(id_col)).agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1")
 
 
-def violations(df: DataFrame, spec: DatasetSpec, is_train: bool = True, strict: bool = False,
-               check_unique_id: bool = True, check_categories: bool = False,
-               check_target: bool = False) -> DataFrame:
-    """All violated rules as a DataFrame (rule, column, n_violations).
-
-    Reference order: id present, id unique, target present, features present,
-    non-nullable features without nulls, numeric features numeric.
-    Opt-in extras (not checked by the reference on batch data): category
-    membership and a non-null numeric target.
-    """
-    spark = df.sparkSession
-    rows = list(check_columns(df, spec, is_train))
+def rule_aggregates(df: DataFrame, spec: DatasetSpec, is_train: bool = True, check_categories: bool = False,
+                    check_target: bool = False) -> list[tuple[str, str, Column]]:
+    """(rule, column, count of violating rows) of every rule about single rows that the types do not settle."""
     types = {f.name: f.dataType for f in df.schema.fields}
     aggs = []
     for f in spec.non_nullable_features:
@@ -104,6 +95,27 @@ def violations(df: DataFrame, spec: DatasetSpec, is_train: bool = True, strict:
         bad = qcol(t).isNull() if isinstance(types[t], T.NumericType) else \
             (qcol(t).isNull() | (is_not_number(qcol(t)) if isinstance(types[t], T.StringType) else F.lit(True)))
         aggs.append(("target_numeric", spec.target, F.count_if(bad)))
+    return aggs
+
+
+def repeated_ids(df: DataFrame, id_col: str) -> int:
+    """Rows beyond the first of their ID."""
+    return int(duplicate_ids(df, id_col).agg(F.coalesce(F.sum(F.col("cnt") - 1), F.lit(0)).alias("n")).first()["n"])
+
+
+def violations(df: DataFrame, spec: DatasetSpec, is_train: bool = True, strict: bool = False,
+               check_unique_id: bool = True, check_categories: bool = False,
+               check_target: bool = False) -> DataFrame:
+    """All violated rules as a DataFrame (rule, column, n_violations).
+
+    Reference order: id present, id unique, target present, features present,
+    non-nullable features without nulls, numeric features numeric.
+    Opt-in extras (not checked by the reference on batch data): category
+    membership and a non-null numeric target.
+    """
+    spark = df.sparkSession
+    rows = list(check_columns(df, spec, is_train))
+    aggs = rule_aggregates(df, spec, is_train, check_categories, check_target)
 
     def rule_counts():
         r = chunked_aggregate(df, [(f"a{i}", e, 1) for i, (_, _, e) in enumerate(aggs)])
@@ -112,8 +124,7 @@ def violations(df: DataFrame, spec: DatasetSpec, is_train: bool = True, strict:
     def unique_id():
         if spec.id not in df.columns or not check_unique_id:
             return []
-        n = duplicate_ids(df, spec.id).agg(F.coalesce(F.sum(F.col("cnt") - 1), F.lit(0)).alias("n")).first()["n"]
-        return [("unique_id", spec.id, int(n))]
+        return [("unique_id", spec.id, repeated_ids(df, spec.id))]
 
     # the ID group-by and the fused rule aggregates run as concurrent jobs
     with ThreadPoolExecutor(max_workers=2) as pool:

@@ -2,8 +2,8 @@
 
 train:  validate -> split (hash of ID) -> inject nulls (train only) -> fused
         preprocessing fit -> (tune) -> Huber fit -> validation R^2 -> save
-score:  load -> validate -> one projection (preprocess + predict + unscale)
-        -> (id, prediction) -> validate output -> write
+score:  load -> one projection (preprocess + predict + unscale) whose write counts
+        the violated rules -> IDs checked on the written table -> output
 Scoring has no shuffle at all unless the unique-ID rule is on.
 """
 
@@ -13,7 +13,8 @@ from collections import OrderedDict
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keelson.functions.exprs import is_not_number, qcol
@@ -29,9 +30,16 @@ from keelson.operators.model import (
 )
 from keelson.operators.sample import inject_nulls, split_train_val
 from keelson.operators.tune import TuneResult, tune
-from keelson.operators.validate import ValidationError, validate, validate_predictions
+from keelson.operators.validate import (
+    ValidationError,
+    check_columns,
+    raise_first,
+    repeated_ids,
+    rule_aggregates,
+    validate,
+)
 from keelson.plans.preprocess import FittedPreprocess, PreprocessConfig, Preprocessor, fused_transform
-from keelson.session import staged
+from keelson.session import scratch_dir, staged
 from keelson.sources.files import sink_csv
 from keelson.spec import DatasetSpec
 
@@ -200,11 +208,32 @@ def predict(bundle: PipelineModel, df: DataFrame, spec: DatasetSpec, prediction_
 def score_batch(df: DataFrame, spec: DatasetSpec, bundle: PipelineModel, output_dir: str | None = None,
                 validate_data: bool = True, check_unique_id: bool = True,
                 check_output: bool = True, prediction_field: str = PREDICTION) -> DataFrame:
-    if validate_data:
-        validate(df, spec, is_train=False, check_unique_id=check_unique_id)
-    preds = predict(bundle, df, spec, prediction_field)
-    if check_output:
-        validate_predictions(preds, spec, prediction_field)
+    """Validate, predict and write in one read of ``df``.
+
+    The rules are counted by an ``Observation`` on the plan that writes (id, prediction) as Parquet under
+    the shared folder; the ID rule reads that table's ID column.  Only if no rule is violated is the table
+    written to ``output_dir``.  It is returned, so later actions do not score again.
+    """
+    missing = check_columns(df, spec, is_train=False) if validate_data else []
+    raise_first([dict(rule=rule, column=c) for rule, c, _ in missing])
+    rules = rule_aggregates(df, spec, is_train=False) if validate_data else []
+    seen = Observation("score_batch")
+    watched = df.observe(seen, F.count(F.lit(1)).alias("n"), *[e.alias(f"a{i}") for i, (_, _, e) in enumerate(rules)])
+    preds = predict(bundle, watched, spec, prediction_field)
+    path = scratch_dir(df.sparkSession, "predictions")
+    try:
+        preds.write.parquet(path)
+    except Exception:
+        if validate_data:       # a value that no cast accepts ends the job before its counts: name the rule
+            validate(df, spec, is_train=False, check_unique_id=check_unique_id)
+        raise
+    preds = df.sparkSession.read.schema(preds.schema).parquet(path)
+    found = [dict(rule=rule, column=c) for i, (rule, c, _) in enumerate(rules) if seen.get[f"a{i}"]]
+    if validate_data and check_unique_id and repeated_ids(preds, spec.id):
+        found.append(dict(rule="unique_id", column=spec.id))
+    raise_first(found)
+    if check_output and not seen.get["n"]:
+        raise ValidationError("The provided predictions DataFrame is empty.")
     if output_dir:
         sink_csv(preds, output_dir)
     return preds

@@ -147,3 +147,54 @@ def test_malformed_lines_get_an_error_response(spark, tmp_path):
     assert q.awaitTermination(120)
     rows = spark.read.schema("requestId string, json string, status string").json(f"{tmp_path}/out").collect()
     assert sorted(r.status for r in rows) == ["error"] * 4 + ["success"] * 2
+
+
+def _bundle():
+    from pyspark.ml import PipelineModel
+    from keelson.operators.model import HuberPredictorModel
+    from keelson.plans.workflow import TargetUnscaleModel
+    return PipelineModel([HuberPredictorModel(featureCols=["height"], coefficients=[2.0], intercept=1.0),
+                          TargetUnscaleModel(col="prediction", mean=10.0, std=3.0)])
+
+
+def test_scoring_reads_its_input_once(spark, tmp_path):
+    """Rules, emptiness, the ID check, the write and a later action cost one read."""
+    from keelson.plans.workflow import score_batch
+    n = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            n.add(b.num_rows)
+            yield b
+
+    df = spark.range(500).selectExpr("id AS pid", "cast(id % 37 AS double) AS height", "if(id % 3 = 0, 'red', 'blue') AS shade")
+    out = score_batch(df.mapInArrow(counted, df.schema), SPEC, _bundle(), output_dir=f"{tmp_path}/out")
+    assert {r.pid: r.prediction for r in out.collect()} == {i: (2.0 * (i % 37) + 1) * 3 + 10 for i in range(500)}
+    assert spark.read.option("header", True).csv(f"{tmp_path}/out").count() == 500
+    assert n.value == 500
+
+
+@pytest.mark.parametrize("broken", ["null", "repeated id", "empty", "text", "both"])
+def test_violations_are_named_and_nothing_is_written(spark, tmp_path, broken):
+    import os
+
+    from keelson.operators.validate import ValidationError
+    from keelson.plans.workflow import score_batch
+    rows = [(i, f"{i % 7}.5", "red") for i in range(20)]
+    if broken in ("repeated id", "both"):
+        rows[4] = (3, "1.5", "red")
+    if broken in ("null", "both"):
+        rows[9] = (9, None, "red")
+    if broken == "text":
+        rows[9] = (9, "tall", "red")
+    if broken == "empty":
+        rows = []
+    df = spark.createDataFrame(rows, "pid int, height string, shade string")
+    from keelson.operators.stages import TypeCaster
+    from pyspark.ml import PipelineModel
+    bundle = PipelineModel([TypeCaster(inputCols=["height"], castType="double"), *_bundle().stages])
+    want = {"null": "null values", "repeated id": "pid", "empty": "empty", "text": "non-numeric", "both": "pid"}[broken]
+    spec = DatasetSpec("pid", "cost", (Feature("height", "NUMERIC", False, example=1.0), SPEC.features[1]))
+    with pytest.raises(ValidationError, match=want):
+        score_batch(df, spec, bundle, output_dir=f"{tmp_path}/out")
+    assert not os.path.exists(f"{tmp_path}/out")
