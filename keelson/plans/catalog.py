@@ -135,6 +135,24 @@ def q_src_csv(spark, sf_dir):
     return src_csv(spark, path, spec, is_train=False)
 
 
+@check("src_csv_inferred", """WITH """ + EV_SQL + """
+SELECT event_id, value, event_type, event_id % 2 = 0 AS even, event_id // 10 AS tens,
+       CASE WHEN event_id % 3 = 0 THEN CAST(event_id AS VARCHAR) ELSE parity END AS mixed FROM ev""")
+def q_src_csv_inferred(spark, sf_dir):
+    """No description: files with columns in different orders and different texts for missing values."""
+    from keelson.session import scratch_dir
+    from keelson.sources.files import src_csv
+    eid = F.col("event_id")
+    df = events_frame(spark, sf_dir).select(
+        "event_id", "value", "event_type", (eid % 2 == 0).alias("even"), F.expr("event_id div 10").alias("tens"),
+        F.when(eid % 3 == 0, eid.cast("string")).otherwise(F.col("parity")).alias("mixed"))
+    path = scratch_dir(spark, "src_csv_inferred")
+    df.where(eid % 2 == 0).write.option("header", True).option("nullValue", "NA").csv(path)
+    df.where(eid % 2 != 0).select(*reversed(df.columns)).write.mode("append").option("header", True) \
+        .option("nullValue", "n/a").csv(path)
+    return src_csv(spark, path)
+
+
 @check("sink_csv", """WITH """ + EV_SQL + """
 SELECT event_id, printf('%.4f', value) AS value, printf('%.4f', k / 16.0) AS k16,
        printf('%.4f', k / 32.0) AS k32, printf('%.4f', value / 7.0) AS v7, event_type FROM ev""")
@@ -375,6 +393,25 @@ def q_val_request_category(spark, sf_dir):
     return parsed.select("requestId", message.alias("message"), ok.alias("ok"))
 
 
+@check("val_request_long_categories", """
+WITH o AS (SELECT o_orderkey, CAST(o_orderkey // 50 AS VARCHAR) AS r, CAST(o_custkey AS VARCHAR) AS v,
+                  o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 101 <> 4) AS good FROM orders),
+b AS (SELECT r, arg_min(v, o_orderkey) FILTER (WHERE NOT good) AS bad FROM o GROUP BY r)
+SELECT r AS requestId, bad IS NULL AS ok, CASE WHEN bad IS NOT NULL THEN
+       'Value ''' || bad || ''' not allowed for ''o_custkey''.Allowed values: those of the category table' END AS message FROM b""")
+def q_val_request_long_categories(spark, sf_dir):
+    """A category per customer: the list is a table that is probed, not literals."""
+    from keelson.sources.requests import parse_requests, request_checks, requests_from_table, with_category_misses
+    spec = DatasetSpec("o_orderkey", "target", (Feature("o_custkey", "CATEGORICAL", False, ()),
+                                                Feature("o_totalprice", "NUMERIC", False, example=1.0)))
+    docs = requests_from_table(table(spark, sf_dir, "orders"), spec, F.expr("o_orderkey div 50"))
+    allowed = table(spark, sf_dir, "customer").where("c_custkey % 101 <> 4").select(
+        F.lit("o_custkey").alias("feature"), F.col("c_custkey").cast("string").alias("value"))
+    parsed = with_category_misses(parse_requests(docs, spec, "value", "requestId"), allowed)
+    ok, message = request_checks(spec, table_features=("o_custkey",))
+    return parsed.select("requestId", message.alias("message"), ok.alias("ok"))
+
+
 @check("quarantine", """WITH e AS (
   SELECT event_id, CASE WHEN event_id % 50 = 49 THEN event_id - 1 ELSE event_id END AS id,
          event_id % 97 = 0 OR event_id % 89 = 0 AS bad_text, event_id % 17 = 0 AS no_type, event_id % 23 = 0 AS odd_type

@@ -9,11 +9,12 @@ reference's ``'%.4f'`` (C rounding of the binary value, not Java's).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keelson.functions.exprs import format_fixed, qcol, to_double, to_whole
+from keelson.functions.exprs import WHOLE_PATTERN, format_fixed, qcol, text_number, to_double, to_whole
+from keelson.functions.profile import chunked_aggregate
 from keelson.spec import DatasetSpec
 
 
@@ -43,6 +44,7 @@ def src_csv(spark: SparkSession, path: str, spec: DatasetSpec | None = None, is_
     Files are matched by header names, so their column orders may differ; a
     column that a file lacks is NULL there.  Empty fields and ``null_values``
     (by default the usual spellings of a missing value) are NULL in every column.
+    Without a spec the types follow from all values (``type_bit``), in one more scan.
     """
     names = _fs_list(spark, path)
     if names is None:
@@ -55,7 +57,7 @@ def src_csv(spark: SparkSession, path: str, spec: DatasetSpec | None = None, is_
             raise ValueError(f"Multiple CSV files found in directory {path}.")
         files = [f"{path.rstrip('/')}/{n}" for n in sorted(csvs if csvs else names) if not n.startswith(("_", "."))]
         if spec is None:
-            return spark.read.option("header", True).option("mode", "FAILFAST").option("inferSchema", True).csv(path)
+            return _inferred(_text_by_header(spark, files), null_values)
         return _read_by_header(spark, files, spec, is_train, numeric_as_string, null_values)
     reader = spark.read
     if spec is not None and fmt == "json":
@@ -75,35 +77,70 @@ def _headers(spark: SparkSession, files: list[str]) -> dict[str, list[str]]:
     return groups
 
 
-def _read_by_header(spark, files: list[str], spec: DatasetSpec, is_train: bool, numeric_as_string: bool,
-                    null_values: tuple[str, ...]) -> DataFrame:
-    """One scan for each header, every field as text, united by name and cast to the spec's types."""
+def _text_by_header(spark: SparkSession, files: list[str]) -> DataFrame | None:
+    """One scan for each header, every field as text, united by name; None without any header."""
     reader = lambda: spark.read.option("header", True).option("mode", "FAILFAST").option("enforceSchema", False)
-    parts = []
+    table = None
     for header, own in _headers(spark, files).items():
         if not header:
             continue
         names = spark.read.option("header", True).csv(own[0]).columns
-        parts.append(reader().schema(T.StructType([T.StructField(n, T.StringType(), True) for n in names])).csv(own))
+        part = reader().schema(T.StructType([T.StructField(n, T.StringType(), True) for n in names])).csv(own)
+        table = part if table is None else table.unionByName(part, allowMissingColumns=True)
+    return table
+
+
+# what a column has held so far, as bits: their union over rows, tasks and files is the column's state
+WHOLE, REAL, BOOLEAN, TEXT = 1, 2, 4, 8
+
+
+def type_bit(text: Column) -> Column:
+    """The least type that holds a text: nothing, a 64-bit whole number, a real number, true / false, any text."""
+    whole = text.rlike(WHOLE_PATTERN) & F.trim(text).try_cast("bigint").isNotNull()
+    return F.when(text.isNull(), 0).when(whole, WHOLE).when(text_number(text).isNotNull(), REAL) \
+        .when(F.lower(F.trim(text)).isin("true", "false"), BOOLEAN).otherwise(TEXT)
+
+
+def joined_type(bits: int) -> T.DataType:
+    """The least type that holds everything a column has held (an empty column counts as real numbers)."""
+    if bits & TEXT or (bits & BOOLEAN and bits & (WHOLE | REAL)):
+        return T.StringType()
+    if bits & BOOLEAN:
+        return T.BooleanType()
+    return T.LongType() if bits == WHOLE else T.DoubleType()
+
+
+def _without_missing(name: str, null_values: tuple[str, ...]) -> Column:
+    return F.when(~qcol(name).isin(*null_values), qcol(name)) if null_values else qcol(name)
+
+
+def _as_type(text: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StringType):
+        return text
+    return to_whole(text, T.StringType()) if isinstance(kind, T.LongType) else \
+        to_double(text, T.StringType()) if isinstance(kind, T.DoubleType) else F.trim(text).cast(kind)
+
+
+def _inferred(table: DataFrame | None, null_values: tuple[str, ...]) -> DataFrame:
+    if table is None:
+        raise ValueError("no CSV file with a header, and no description of its columns")
+    texts = {name: _without_missing(name, null_values) for name in table.columns}
+    bits = chunked_aggregate(table, [(f"t{i}", F.bit_or(type_bit(t)), 1) for i, t in enumerate(texts.values())])
+    return table.select(*[_as_type(t, joined_type(bits[f"t{i}"] or 0)).alias(name)
+                          for i, (name, t) in enumerate(texts.items())])
+
+
+def _read_by_header(spark, files: list[str], spec: DatasetSpec, is_train: bool, numeric_as_string: bool,
+                    null_values: tuple[str, ...]) -> DataFrame:
+    """All files by header names, cast to the spec's types."""
+    table = _text_by_header(spark, files)
     known = {f.name: f.dataType for f in spec.struct(is_train, numeric_as_string).fields}
     if not is_train:
         known.setdefault(spec.target, T.DoubleType())
-    if not parts:
+    if table is None:
         return spark.createDataFrame([], spec.struct(is_train, numeric_as_string))
-    table = parts[0]
-    for other in parts[1:]:
-        table = table.unionByName(other, allowMissingColumns=True)
-
-    def typed(name: str):
-        text = F.when(~qcol(name).isin(*null_values), qcol(name)) if null_values else qcol(name)
-        kind = known.get(name, T.StringType())
-        if isinstance(kind, T.StringType):
-            return text.alias(name)
-        value = to_whole(text, T.StringType()) if isinstance(kind, T.LongType) else \
-            to_double(text, T.StringType()) if isinstance(kind, T.DoubleType) else text.cast(kind)
-        return value.alias(name)
-
-    return table.select(*[typed(n) for n in table.columns])
+    return table.select(*[_as_type(_without_missing(n, null_values), known.get(n, T.StringType())).alias(n)
+                          for n in table.columns])
 
 
 def format_decimals(df: DataFrame, decimals: int = 4) -> DataFrame:

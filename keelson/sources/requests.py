@@ -30,6 +30,7 @@ MSG_NOT_LIST = "instances: value is not a valid list of objects"
 MSG_EMPTY = "instances: ensure this value has at least 1 items"
 MSG_NON_NULLABLE = "Feature `{f}` is non-nullable. Given null value is not allowed."
 MSG_CATEGORY = "' not allowed for '{f}'.Allowed values: {cats}"
+CATEGORY_TABLE = "those of the category table"      # in place of a list too long to be written out
 MSG_DUPLICATE_ID = "Data validation failed: ID field '{id}' does not contain unique values"
 
 
@@ -102,11 +103,32 @@ def _first_key(spec_keys: list, pred) -> Column:
     return F.coalesce(*[F.when(F.exists(F.col("keys.instances"), pred(k)), F.lit(k)) for k in spec_keys])
 
 
-def request_checks(spec: DatasetSpec) -> tuple[Column, Column]:
+def with_category_misses(parsed: DataFrame, allowed: DataFrame) -> DataFrame:
+    """``parsed`` with ``misses``, a map from each feature of the table ``allowed`` (feature, value) to the first of a
+    request's values (by position) that the table lacks.
+
+    For category lists too long to be literals.  Values are probed by one anti-join, whose form (broadcast or
+    shuffled) AQE picks by the measured size of the table; only misses are regrouped by request.  NULL is no miss.
+    """
+    features = [r["feature"] for r in allowed.select("feature").distinct().collect()]      # columns of a spec: few
+    if not features:
+        return parsed.withColumn("misses", F.lit(None).cast("map<string,string>"))
+    values = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col("i")[f].cast("string").alias("value"))
+                                 for f in features]))
+    probes = parsed.select("requestId", F.posexplode("req.instances").alias("pos", "i")) \
+        .select("requestId", "pos", values.alias("v")).select("requestId", "pos", "v.feature", "v.value").where("value IS NOT NULL")
+    first = probes.join(allowed.select("feature", F.col("value").cast("string").alias("value")), ["feature", "value"], "left_anti") \
+        .groupBy("requestId", "feature").agg(F.min_by("value", "pos").alias("value"))
+    misses = first.groupBy("requestId").agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("misses"))
+    return parsed.join(misses, "requestId", "left")
+
+
+def request_checks(spec: DatasetSpec, table_features: tuple[str, ...] = ()) -> tuple[Column, Column]:
     """(ok, message) for a parsed request row, rules in the reference's order:
     shape (JSON, instances present, a list of objects, non-empty, all keys,
     numbers where numeric), then non-nullable features, then categories; plus
-    unique IDs within a request."""
+    unique IDs within a request.  Features of ``table_features`` are judged by
+    the ``misses`` of ``with_category_misses`` instead of a list in the spec."""
     inst = F.col("req.instances")
     missing = _first_key([spec.id] + spec.feature_names, _lacks)
     not_number = _first_key(spec.numeric_features, _not_number) if spec.numeric_features else F.lit(None)
@@ -123,6 +145,10 @@ def request_checks(spec: DatasetSpec) -> tuple[Column, Column]:
                       F.lit(MSG_NON_NULLABLE.format(f=f))))
     for f in spec.categorical_features:
         cats = spec.categories(f)
+        if f in table_features:
+            miss = F.col("misses")[f]
+            rules.append((miss.isNotNull(), F.concat(F.lit("Value '"), miss, F.lit(MSG_CATEGORY.format(f=f, cats=CATEGORY_TABLE)))))
+            continue
         if not cats:
             continue
         bad = F.filter(inst, _not_in(f, cats))

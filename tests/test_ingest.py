@@ -198,3 +198,26 @@ def test_violations_are_named_and_nothing_is_written(spark, tmp_path, broken):
     with pytest.raises(ValidationError, match=want):
         score_batch(df, spec, bundle, output_dir=f"{tmp_path}/out")
     assert not os.path.exists(f"{tmp_path}/out")
+
+
+def test_types_follow_from_all_values(spark, tmp_path):
+    """Columns in other orders, missing texts, a column that one file lacks: the same with and without a description."""
+    write(tmp_path, "a.csv", "pid,height,shade,flag,big,none,late\np1,1,red,true,9223372036854775807,,7\np2,NA,n/a,False,1,,8\n")
+    write(tmp_path, "b.csv", "shade,none,pid,big,flag,height\nblue,,p3,99999999999999999999,TRUE,2.5\n,null,p4,2,,-3e2\n")
+    got = src_csv(spark, str(tmp_path))
+    kinds = dict(got.dtypes)
+    assert kinds == {"pid": "string", "height": "double", "shade": "string", "flag": "boolean", "big": "double",
+                     "none": "double", "late": "bigint"}
+    rows = {r.pid: r for r in got.collect()}
+    assert [rows[f"p{i}"].height for i in range(1, 5)] == [1.0, None, 2.5, -300.0]
+    assert [rows[f"p{i}"].flag for i in range(1, 5)] == [True, False, True, None]
+    assert [rows[f"p{i}"].late for i in range(1, 5)] == [7, 8, None, None]
+    described = {r.pid: (r.height, r.shade) for r in src_csv(spark, str(tmp_path), SPEC, is_train=False).collect()}
+    assert described == {p: (r.height, r.shade) for p, r in rows.items()}
+
+
+def test_type_lattice():
+    from keelson.sources.files import BOOLEAN, REAL, TEXT, WHOLE, joined_type
+    name = lambda bits: joined_type(bits).simpleString()
+    assert [name(b) for b in (0, WHOLE, REAL, WHOLE | REAL, BOOLEAN)] == ["double", "bigint", "double", "double", "boolean"]
+    assert {name(b) for b in (TEXT, TEXT | WHOLE, BOOLEAN | WHOLE, BOOLEAN | REAL, TEXT | BOOLEAN | WHOLE | REAL)} == {"string"}

@@ -134,3 +134,25 @@ def test_kafka_source_needs_the_connector(spark, tmp_dir):
     with pytest.raises(Exception, match="(?i)kafka"):
         score_stream(spark, None, SPEC, bundle(spark), os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ck"),
                      kafka_options={"kafka.bootstrap.servers": "localhost:9", "subscribe": "requests"})
+
+
+def test_category_tables_equal_literal_lists(spark):
+    """Probing a table gives the verdicts of the list in the spec; nulls, repeats, empty requests and hot values included."""
+    from keelson.sources.requests import parse_requests, request_checks, with_category_misses
+    from keelson.spec import DatasetSpec, Feature
+    spec = DatasetSpec("id", "y", (Feature("shade", "CATEGORICAL", True, ("red", "blue")),
+                                   Feature("size", "CATEGORICAL", True, ("s", "m"))))
+    one = lambda i, shade, size: {"id": str(i), "shade": shade, "size": size}
+    docs = [[one(1, "red", "s"), one(2, "grey", "xl"), one(3, "pink", "m")], [one(1, None, "m")], [], [one(1, "blue", None)],
+            [one(i, "red" if i else "teal", "s") for i in range(300)], [one(1, "red", "zz"), one(2, "blue", "yy")]]
+    import json
+    df = spark.createDataFrame([(str(i), json.dumps({"instances": d})) for i, d in enumerate(docs)] + [("bad", "no json")],
+                               "requestId string, value string")
+    parsed = parse_requests(df, spec, "value", "requestId")
+    ok, message = request_checks(spec)
+    want = {r[0]: (r[1], (r[2] or "").split(".Allowed")[0]) for r in parsed.select("requestId", ok, message).collect()}
+    allowed = spark.createDataFrame([("shade", "red"), ("shade", "blue"), ("size", "s"), ("size", "m")], "feature string, value string")
+    probed = with_category_misses(parsed, allowed)
+    ok, message = request_checks(spec, table_features=("shade", "size"))
+    got = {r[0]: (r[1], (r[2] or "").split(".Allowed")[0]) for r in probed.select("requestId", ok, message).collect()}
+    assert got == want and sum(not v[0] for v in got.values()) == 5
