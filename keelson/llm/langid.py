@@ -8,8 +8,8 @@ scored by its longest n-grams that any language knows, falling back to shorter
 ones.  The language with the lowest mean wins; ties go to the smaller name.
 
 The tables of scores (a row per word or n-gram, a column per language) are made by Spark and
-cover all training rows.  Their most frequent entries, up to ``model_bytes``, travel to
-the tasks as sorted 64-bit hashes (Spark's ``xxhash64``) with a matrix of scores: a proven size.
+cover all training rows.  Their most frequent entries, up to ``model_bytes``, go
+to the tasks, through the shared folder, as 64-bit hashes (Spark's ``xxhash64``) and scores: a proven size.
 What does not fit is not dropped: words that the tasks do not know are then gathered, scored
 once each by joins with the full tables, and joined back to their documents.  The result is the same
 (up to the order of summation).  Two words of one hash would share a row: odds of about
@@ -30,16 +30,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keelson.session import scratch_dir
+
 from .common import map_batches, stored
 
 _WORD = re.compile(r"[^\W\d_]+")
 PENALTY_MARGIN = 1.0       # above the rarest known word of a language, in log10
 FLUSH = 500_000            # distinct entries a task holds before it passes partial counts on
-MODEL_BYTES = 128 << 20    # hashes and scores that travel to the tasks, at most
+MODEL_BYTES = 128 << 20    # hashes and scores that a task holds, at most
 
 
 def words_of(text: str | None) -> list[str]:
@@ -137,12 +141,25 @@ def _frequent(table: DataFrame, most: int) -> tuple[DataFrame, bool]:
     return table.filter(F.lit(False) if least is None else F.col("n") >= F.lit(least)), False
 
 
-def _arrays(table: DataFrame, langs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and their rows of scores, through Arrow."""
-    t = table.select(F.xxhash64("key").alias("h"), *[f"s{i}" for i in range(langs)]).toArrow()
-    h = t.column(0).to_numpy()
+def _written(table: DataFrame, langs: int, name: str) -> str:
+    """Hashes and scores as a Parquet table under the shared folder; tasks read it, the driver need not."""
+    path = scratch_dir(table.sparkSession, name)
+    table.select(F.xxhash64("key").alias("h"), *[f"s{i}" for i in range(langs)]).write.parquet(path)
+    return path
+
+
+def _arrays(path: str | None, langs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and their rows of scores."""
+    if path is None:
+        return np.empty(0, dtype=np.int64), np.empty((0, langs))
+    fs, folder = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    t = pq.read_table(folder, filesystem=fs)
+    h = t.column("h").to_numpy()
     order = np.argsort(h)
-    return h[order], np.column_stack([t.column(i + 1).to_numpy() for i in range(langs)])[order]
+    rows = np.empty((len(h), langs))
+    for i in range(langs):
+        rows[:, i] = t.column(f"s{i}").to_numpy()[order]
+    return h[order], rows
 
 
 def hash_of(text: str) -> int:
@@ -158,22 +175,35 @@ def _found(keys: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class LanguageModel:
-    """Score tables of frequent words and n-grams as arrays; ``words`` and ``grams`` are the full tables.
+    """Where the score tables of frequent words and n-grams are (``parts``), read as arrays on first use;
+    ``words`` and ``grams`` are the full tables.
 
     ``complete``: the arrays hold everything, so tasks need no joins.
     """
 
-    def __init__(self, langs: list[str], n_max: int, word_table: tuple, gram_table: tuple, complete: bool,
+    def __init__(self, langs: list[str], n_max: int, parts: tuple, complete: bool,
                  words: DataFrame | None = None, grams: DataFrame | None = None):
-        self.langs, self.n_max, self.complete = langs, n_max, complete
-        self.word_table, self.gram_table = word_table, gram_table
+        self.langs, self.n_max, self.parts, self.complete = langs, n_max, parts, complete
         self.words, self.grams = words, grams
+        self._tables: dict[int, tuple] = {}
+
+    def _table(self, which: int) -> tuple[np.ndarray, np.ndarray]:
+        if which not in self._tables:
+            self._tables[which] = _arrays(self.parts[which], len(self.langs))
+        return self._tables[which]
+
+    @property
+    def word_table(self) -> tuple[np.ndarray, np.ndarray]:
+        return self._table(0)
+
+    @property
+    def gram_table(self) -> tuple[np.ndarray, np.ndarray]:
+        return self._table(1)
 
-    def for_tasks(self, spark: SparkSession) -> Callable[[], LanguageModel]:
-        """The arrays (bounded by ``model_bytes``) as a broadcast that each worker process unpacks once."""
-        tables = spark.sparkContext.broadcast((self.word_table, self.gram_table))
-        langs, n_max, complete = self.langs, self.n_max, self.complete
-        return lambda: LanguageModel(langs, n_max, *tables.value, complete)
+    def for_tasks(self) -> Callable[[], LanguageModel]:
+        """Each task reads the arrays (bounded by ``model_bytes``) from the shared folder."""
+        langs, n_max, parts, complete = self.langs, self.n_max, self.parts, self.complete
+        return lambda: LanguageModel(langs, n_max, parts, complete)
 
     def scores_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Rows of scores, and which words have one: known words, others by their longest known n-grams (all zero
@@ -242,9 +272,9 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", n_max: in
     gram_part, all_grams = _frequent(tables[1], most // 2)
     word_part, all_words = _frequent(tables[0], most - (tables[1].count() if all_grams else 0))
     complete = all_words and all_grams
-    nothing = np.empty(0, dtype=np.int64), np.empty((0, len(langs)))
-    return LanguageModel(langs, n_max, _arrays(word_part, len(langs)),
-                         _arrays(gram_part, len(langs)) if complete else nothing, complete, *tables)
+    parts = (_written(word_part, len(langs), "langid-word-part"),
+             _written(gram_part, len(langs), "langid-gram-part") if complete else None)
+    return LanguageModel(langs, n_max, parts, complete, *tables)
 
 
 def judged(model: LanguageModel, sums: np.ndarray, count: np.ndarray) -> tuple[list, list]:
@@ -283,7 +313,7 @@ def predict(df: DataFrame, model: LanguageModel | None, text_col: str = "text")
     df = df.drop("lang_pred", "score")
     if model is not None and not model.complete:
         return _predict_by_joins(df, model, text_col)
-    shared = model.for_tasks(df.sparkSession) if model else lambda: None
+    shared = model.for_tasks() if model else lambda: None
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +333,7 @@ def predict(df: DataFrame, model: LanguageModel | None, text_col: str = "text")
 def _predict_by_joins(df: DataFrame, model: LanguageModel, text_col: str) -> DataFrame:
     """The same where the full tables do not fit: words that tasks do not know are scored by joins."""
     langs = len(model.langs)
-    shared = model.for_tasks(df.sparkSession)
+    shared = model.for_tasks()
     rows = stored(df.withColumn("__row", F.monotonically_increasing_id()), "langid-rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +363,7 @@ def _predict_by_joins(df: DataFrame, model: LanguageModel, text_col: str) -> Dat
     names = model.langs
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = LanguageModel(names, 0, (), (), False)
+        own = LanguageModel(names, 0, (None, None), False)
         for b in batches:
             if b.num_rows:
                 found, scores = judged(own, b.column(2).flatten().to_numpy().reshape(-1, langs), b.column(1).to_numpy())
