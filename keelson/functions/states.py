@@ -69,23 +69,40 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 # ---------------------------------------------------------------------------------------------
+BLOCK_VALUES = 1 << 17     # values folded at a time: their copies stay in a core's cache
+
+
+def _blocks(x: np.ndarray) -> Iterator[np.ndarray]:
+    """The rows of ``x`` in blocks of about BLOCK_VALUES values."""
+    rows = max(256, BLOCK_VALUES // max(1, x.shape[1]))
+    for i in range(0, len(x), rows):
+        yield x[i:i + rows]
+
+
 # moments of columns: rows of (count, mean, sum of squared differences from it, min, max)
 def no_moments(width: int) -> np.ndarray:
     return np.tile(np.array([[0.0], [0.0], [0.0], [np.inf], [-np.inf]]), width)
 
 
 def moments_of(x: np.ndarray) -> np.ndarray:
-    there = ~np.isnan(x)
-    n = there.sum(axis=0).astype(np.float64)
+    out = no_moments(x.shape[1])
+    for block in _blocks(x):
+        out = merge_moments(out, _moments_of_block(block))
+    return out
+
+
+def _moments_of_block(x: np.ndarray) -> np.ndarray:
+    gone = np.isnan(x)
+    n = (len(x) - np.count_nonzero(gone, axis=0)).astype(np.float64)
     some = np.maximum(n, 1)
     with np.errstate(invalid="ignore", over="ignore"):
-        mean = np.where(there, x, 0.0).sum(axis=0) / some
-        away = np.where(there, x - mean, 0.0)
-        mean += away.sum(axis=0) / some
-        away = np.where(there, x - mean, 0.0)
-        m2 = (away * away).sum(axis=0)
-    return np.array([n, mean, m2, np.where(there, x, np.inf).min(axis=0, initial=np.inf),
-                     np.where(there, x, -np.inf).max(axis=0, initial=-np.inf)])
+        mean = np.where(gone, 0.0, x).sum(axis=0) / some
+        away = x - mean
+        np.copyto(away, 0.0, where=gone)
+        rest = away.sum(axis=0) / some               # what rounding left of the mean
+        m2 = np.maximum(np.einsum("ij,ij->j", away, away) - n * rest * rest, 0.0)
+        return np.array([n, mean + rest, m2, np.fmin.reduce(x, axis=0, initial=np.inf),
+                         np.fmax.reduce(x, axis=0, initial=-np.inf)])
 
 
 def merge_moments(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -101,14 +118,18 @@ def merge_moments(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------------------------------------
 # facts of finished columns: counts, extremes, signatures and products of all pairs
 def _mixed(bits: np.ndarray) -> np.ndarray:
-    bits = (bits ^ (bits >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    bits = (bits ^ (bits >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return bits ^ (bits >> np.uint64(33))
+    """A hash of every number, in its place."""
+    for shift, factor in ((31, 0x7FB5D329728EA185), (27, 0x81DADEF4BC2DD44D)):
+        bits ^= bits >> np.uint64(shift)
+        bits *= np.uint64(factor)
+    bits ^= bits >> np.uint64(33)
+    return bits
 
 
-def _signature(bits: np.ndarray, there: np.ndarray, keys: np.ndarray) -> np.ndarray:
+def _signature(bits: np.ndarray, gone: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Per column two sums of 16 bits of a hash (exact up to 1.4e11 rows): equal for equal columns, in any row order."""
-    h = np.where(there, _mixed(bits ^ keys[:, None]), np.uint64(0))
+    h = _mixed(bits ^ keys[:, None])
+    np.copyto(h, np.uint64(0), where=gone)
     return np.array([(h & np.uint64(0xFFFF)).sum(axis=0), (h >> np.uint64(48)).sum(axis=0)], dtype=np.float64)
 
 
@@ -126,20 +147,25 @@ class Facts:
 
     def add(self, x: np.ndarray, hashes: np.ndarray, present: np.ndarray, keys: np.ndarray) -> Facts:
         """``keys``: a 64-bit hash of each row's ID, so that signatures tell in which rows the values stand."""
-        there = ~np.isnan(x)
         self.n += len(x)
-        self.counts += there.sum(axis=0)
-        self.low = np.minimum(self.low, np.where(there, x, np.inf).min(axis=0, initial=np.inf))
-        self.high = np.maximum(self.high, np.where(there, x, -np.inf).max(axis=0, initial=-np.inf))
-        self.marks += _signature((x + 0.0).view(np.uint64), there, keys)
-        clean = np.where(there, x, 0.0)
-        self.sums += clean.sum(axis=0)
-        self.products += clean.T @ clean
+        at = 0
+        for block in _blocks(x):
+            gone = np.isnan(block)
+            self.counts += len(block) - np.count_nonzero(gone, axis=0)
+            with np.errstate(invalid="ignore"):
+                self.low = np.fmin(self.low, np.fmin.reduce(block, axis=0))
+                self.high = np.fmax(self.high, np.fmax.reduce(block, axis=0))
+            clean = block + 0.0
+            self.marks += _signature(clean.view(np.uint64), gone, keys[at:at + len(block)])
+            np.copyto(clean, 0.0, where=gone)
+            self.sums += clean.sum(axis=0)
+            self.products += clean.T @ clean
+            at += len(block)
         self.label_counts += present.sum(axis=0)
         big = np.iinfo(np.int64)
         self.label_low = np.minimum(self.label_low, np.where(present, hashes, big.max).min(axis=0, initial=big.max))
         self.label_high = np.maximum(self.label_high, np.where(present, hashes, big.min).max(axis=0, initial=big.min))
-        self.label_marks += _signature(hashes.view(np.uint64), present, keys)
+        self.label_marks += _signature(hashes.view(np.uint64), ~present, keys)
         return self
 
     def packed(self) -> dict:

@@ -87,11 +87,14 @@ def staged(df, name: str):
     """Write ``df`` once under the shared checkpoint folder as Parquet and read it back.
 
     Later jobs read only the columns they need and never recompute or reparse the input.
-    Files are kept near ``STAGED_FILE_BYTES`` (8 bytes a value) so that they spread over cores.
+    Files are kept near ``STAGED_FILE_BYTES`` (8 bytes a value) so that they spread over cores.  Floating-point
+    columns get no dictionary (a dotted name keeps it): their values hardly repeat, and building one took most of a wide
+    table's write.
     """
     path = scratch_dir(df.sparkSession, name)
     rows = max(1000, STAGED_FILE_BYTES // (8 * max(1, len(df.columns))))
-    df.write.option("maxRecordsPerFile", rows).parquet(path)
+    plain = {f"parquet.enable.dictionary#{c}": "false" for c, kind in df.dtypes if kind in ("double", "float")}
+    df.write.option("maxRecordsPerFile", rows).options(**plain).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
