@@ -34,7 +34,9 @@ from pyspark.sql import DataFrame
 from .common import map_batches, share
 
 MAX_TOKENIZER_BYTES = 64 << 20
-CACHED_PIECES = 500_000         # distinct pieces of text a task keeps between batches
+CACHED_PIECES = 300_000         # distinct pieces of text a task keeps between batches
+BLOCK_LETTERS = 1 << 19         # letters of the texts that are cut into pieces together (a longer text is cut alone)
+INDEX_LETTERS = 1 << 18         # letters of the words of one pair index (a longer word is one of its own)
 WIDE = 24                       # positions of a rank from which numpy takes over
 PAIR_BITS = 20                  # token ids are below 2 ** 20
 
@@ -192,12 +194,18 @@ class PairIndex:
 
 
 def merge_words(words: list[str], tok: Tokenizer) -> list[bytes]:
-    """Token ids of each word (bytes of int32), by one pair index over all of them."""
-    if not words:
-        return []
-    index = PairIndex(words, tok)
-    index.merge_all()
-    return index.words()
+    """Token ids of each word (bytes of int32), by one pair index over some ``INDEX_LETTERS`` at a time."""
+    out: list[bytes] = []
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
+    start = 0
+    while start < len(words):
+        done = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, done + INDEX_LETTERS, side="right")))
+        index = PairIndex(words[start:end], tok)
+        index.merge_all()
+        out += index.words()
+        start = end
+    return out
 
 
 class Encoder:
@@ -239,6 +247,17 @@ class Encoder:
         return self.split(piece)
 
     def encode(self, texts: list) -> list[np.ndarray]:
+        """Ids of each text; the pieces of some ``BLOCK_LETTERS`` are at hand at a time."""
+        out: list[np.ndarray] = []
+        start = size = 0
+        for end, text in enumerate(texts, 1):
+            size += len(text or "")
+            if size >= BLOCK_LETTERS or end == len(texts):
+                out += self._encode_block(texts[start:end])
+                start, size = end, 0
+        return out
+
+    def _encode_block(self, texts: list) -> list[np.ndarray]:
         rows = [self.cuts(t) for t in texts]
         used = set(chain.from_iterable(rows))
         if len(self.pieces) > CACHED_PIECES:                 # those of this batch, the frequent ones among them, stay

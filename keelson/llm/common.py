@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import pickle
 import sys
 from collections.abc import Callable, Iterator
@@ -38,7 +40,29 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(_released(fn), schema)
+
+
+def give_back() -> None:
+    """Return to the system what the allocators of Arrow and C keep of freed memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):      # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _released(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``fn``, after which the worker gives freed memory back.
+
+    Spark keeps a task's worker for later tasks, and idle ones beside stages without Python: without this
+    each worker stays at the peak of all its tasks.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return run
 
 
 def share(spark: SparkSession, value) -> Callable:

@@ -30,20 +30,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
 import pyarrow.fs as pafs
-import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.session import scratch_dir
 
-from .common import map_batches, stored
+from .common import give_back, map_batches, stored
 
 _WORD = re.compile(r"[^\W\d_]+")
 PENALTY_MARGIN = 1.0       # above the rarest known word of a language, in log10
 FLUSH = 500_000            # distinct entries a task holds before it passes partial counts on
 MODEL_BYTES = 128 << 20    # hashes and scores that a task holds, at most
+BLOCK_WORDS = 1 << 14      # unknown words whose n-grams are scored together
 
 
 def words_of(text: str | None) -> list[str]:
@@ -153,12 +154,20 @@ def _arrays(path: str | None, langs: int) -> tuple[np.ndarray, np.ndarray]:
     if path is None:
         return np.empty(0, dtype=np.int64), np.empty((0, langs))
     fs, folder = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
-    t = pq.read_table(folder, filesystem=fs)
-    h = t.column("h").to_numpy()
-    order = np.argsort(h)
+    data = ds.dataset(folder, filesystem=fs, format="parquet")
+    h, end = np.empty(data.count_rows(), dtype=np.int64), 0
     rows = np.empty((len(h), langs))
+    for part in data.get_fragments():                     # a file at a time
+        t = part.to_table(use_threads=False)
+        start, end = end, end + len(t)
+        h[start:end] = t.column("h").to_numpy()
+        for i in range(langs):
+            rows[start:end, i] = t.column(f"s{i}").to_numpy()
+        del t
+        give_back()
+    order = np.argsort(h)
     for i in range(langs):
-        rows[:, i] = t.column(f"s{i}").to_numpy()[order]
+        rows[:, i] = rows[order, i]
     return h[order], rows
 
 
@@ -190,6 +199,7 @@ class LanguageModel:
     def _table(self, which: int) -> tuple[np.ndarray, np.ndarray]:
         if which not in self._tables:
             self._tables[which] = _arrays(self.parts[which], len(self.langs))
+            give_back()
         return self._tables[which]
 
     @property
@@ -214,7 +224,13 @@ class LanguageModel:
         out[there] = rows[at[there]]
         if not self.complete:
             return out, there
-        open_ = np.flatnonzero(~there)
+        unknown = np.flatnonzero(~there)
+        for start in range(0, len(unknown), BLOCK_WORDS):
+            self._score_by_grams(words, unknown[start:start + BLOCK_WORDS], out)
+        return out, np.ones(len(words), dtype=bool)
+
+    def _score_by_grams(self, words: list[str], open_: np.ndarray, out: np.ndarray) -> None:
+        """Fill the rows ``open_`` of ``out`` by the longest known n-grams of their words."""
         keys, rows = self.gram_table
         for n in range(self.n_max, 0, -1):
             if not len(open_):
@@ -228,30 +244,42 @@ class LanguageModel:
             some = count > 0
             out[open_[some]] = sums[some] / count[some, None]
             open_ = open_[~some]
-        return out, np.ones(len(words), dtype=bool)
 
     def word_scores(self, word: str) -> tuple:
         return tuple(self.scores_of([word])[0][0])
 
 
 class _WordRows(dict):
-    """word -> row of a growing score matrix; new words of a batch are scored together."""
+    """word -> row of a growing score matrix; new words of a batch are scored together.
+
+    The matrix grows by doubling: one as long as the words of each batch in turn would leave holes behind.
+    """
 
     def __init__(self, model: LanguageModel):
         super().__init__()
         self.model, self.new = model, []
-        self.rows, self.known = np.empty((0, len(model.langs))), np.empty(0, dtype=bool)
+        self._rows, self._known = np.empty((0, len(model.langs))), np.empty(0, dtype=bool)
 
     def __missing__(self, word: str) -> int:
-        self[word] = at = len(self.rows) + len(self.new)
+        self[word] = at = len(self)
         self.new.append(word)
         return at
 
+    @property
+    def known(self) -> np.ndarray:
+        return self._known[:len(self) - len(self.new)]
+
     def matrix(self) -> np.ndarray:
         if self.new:
-            rows, known = self.model.scores_of(self.new)
-            self.rows, self.known, self.new = np.concatenate([self.rows, rows]), np.concatenate([self.known, known]), []
-        return self.rows
+            end, start = len(self), len(self) - len(self.new)
+            if end > len(self._rows):
+                rows, known = self._rows[:start], self._known[:start]
+                self._rows = np.empty((max(end, 2 * start), rows.shape[1]))
+                self._known = np.empty(len(self._rows), dtype=bool)
+                self._rows[:start], self._known[:start] = rows, known
+            self._rows[start:end], self._known[start:end] = self.model.scores_of(self.new)
+            self.new = []
+        return self._rows[:len(self)]
 
 
 def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", n_max: int = 4,
@@ -340,8 +368,8 @@ def _predict_by_joins(df: DataFrame, model: LanguageModel, text_col: str) -> Dat
         known = _WordRows(shared())
         for b in batches:
             at, sums, count = _summed_rows(known, b.column(1).to_pylist())
-            words = list(known)
-            unknown = [Counter(words[k] for k in ids if not known.known[k]) for ids in at]
+            words, there = list(known), known.known
+            unknown = [Counter(words[k] for k in ids if not there[k]) for ids in at]
             if len(known) > FLUSH:
                 known = _WordRows(known.model)
             ends = np.r_[0, np.cumsum([len(u) for u in unknown])].astype(np.int32)

@@ -56,3 +56,19 @@ def test_odd_rows(spark):
     back = {r["doc_id"]: r["decoded"] for r in bpe.decode(coded, PATH).collect()}
     assert all(back[i] == (t or "") for i, t in enumerate(odd_texts()))
     assert bpe.encode(empty_documents(spark), PATH).count() == 0
+
+
+def test_blocks_change_nothing(monkeypatch, library):
+    """A task has the pieces and pair positions of a block at hand, not those of a whole batch."""
+    tok = bpe.Tokenizer.from_file(PATH)
+    texts = [None, "", *(f"word{i} other{i % 7} again, and\n\n again\n" * 3 for i in range(60)), "x" * 500, " a b" * 200]
+    monkeypatch.setattr(bpe, "BLOCK_LETTERS", 300)
+    monkeypatch.setattr(bpe, "INDEX_LETTERS", 64)
+    sizes, rows, index, block = [], [], bpe.PairIndex, bpe.Encoder._encode_block
+    monkeypatch.setattr(bpe, "PairIndex", lambda words, tok: sizes.append((len(words), sum(map(len, words)))) or index(words, tok))
+    monkeypatch.setattr(bpe.Encoder, "_encode_block", lambda self, some: rows.append(len(some)) or block(self, some))
+    got = bpe.Encoder(tok).encode(texts)
+    assert [x.tolist() for x in got] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert all(letters <= 64 or words == 1 for words, letters in sizes) and len(sizes) > 10
+    assert sum(rows) == len(texts) and max(rows) <= 10
+    assert bpe.Encoder(tok).encode([]) == []

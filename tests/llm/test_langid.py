@@ -116,3 +116,44 @@ def test_query_ignores_held_out_labels(spark, tmp_path):
         "doc_id", "text", "if(crc32(cast(doc_id AS string)) % 4 = 2, 'xx', lang) AS lang", "'z' AS source", "n_chars")
     changed.write.parquet(f"{tmp_path}/documents.parquet")
     assert {i: r["lang_pred"] for i, r in by_id(queries.op9_language_id(spark, str(tmp_path))).items()} == want
+
+
+def test_new_words_are_scored_in_blocks(spark, monkeypatch):
+    """The n-grams of all new words of a batch at once took a task most of its memory."""
+    model = langid.fit(spark.createDataFrame([("the cat and the dog", "en"), ("le chat et le chien", "fr")], "text string, lang string"))
+    words = ["the", "chien"] + [f"{a}{b}tch" for a in "abcdefghij" for b in "klmnopqrst"]
+    want, _ = model.scores_of(words)
+    monkeypatch.setattr(langid, "BLOCK_WORDS", 7)
+    looked_up, found = [], langid._found
+    monkeypatch.setattr(langid, "_found", lambda keys, texts: looked_up.append(len(texts)) or found(keys, texts))
+    got, known = model.scores_of(words)
+    assert (got == want).all() and known.all() and want[2:].any(axis=1).all()
+    assert max(looked_up[1:]) <= 7 * 6                                       # bigrams, padded
+
+
+def test_word_rows_grow_in_place(spark):
+    model = langid.fit(spark.createDataFrame([("the cat and the dog", "en"), ("le chat et le chien", "fr")], "text string, lang string"))
+    rows, sizes = langid._WordRows(model), set()
+    for i in range(100):
+        at = rows[f"dog{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}"]
+        matrix = rows.matrix()
+        assert at == i and len(matrix) == len(rows.known) == i + 1
+        sizes.add(matrix.base.shape)
+    assert (matrix == model.scores_of(list(rows))[0]).all() and len(sizes) <= 8
+
+
+def test_the_tables_are_read_a_file_at_a_time(spark, tmp_path):
+    import pyarrow as pa
+    path = str(tmp_path / "part")
+    spark.range(0, 400_000, 1, 8).selectExpr("xxhash64(id) AS h", "id / 2 AS s0", "id / 4 AS s1").write.parquet(path)
+    held, before, mine = [], pa.total_allocated_bytes(), langid.give_back
+    langid.give_back = lambda: held.append(pa.total_allocated_bytes() - before) or mine()
+    try:
+        h, rows = langid._arrays(path, 2)
+    finally:
+        langid.give_back = mine
+    want = {r["h"]: (r["s0"], r["s1"]) for r in spark.read.parquet(path).limit(1000).collect()}
+    assert len(h) == 400_000 and (h[1:] > h[:-1]).all()
+    place = dict(zip(h.tolist(), range(len(h))))
+    assert all(tuple(rows[place[k]]) == v for k, v in want.items())
+    assert len(held) == 8 and max(held) < 400_000 * 24 / 4                   # of the whole table
