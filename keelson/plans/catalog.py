@@ -890,7 +890,8 @@ def q_preprocess_wide(spark, sf_dir):
     returned (a label without a column of its own, the least frequent one, is shown as -1)."""
     from keelson.plans.preprocess import Preprocessor, fused_transform
     df, spec = wide_orders_frame(spark, sf_dir)
-    fp = Preprocessor(spec).fit(df)
+    # a copy of the features would be many times as large as orders, and its write dearer than deriving them in each scan
+    fp = Preprocessor(spec).fit(df, rederive=True)
     out = fused_transform(fp.pipeline, fp.source).drop("target")
     encoded = [one_hot_name(c, label) for c, labels in WIDE_LABELS.items() for label in labels]
     return out.selectExpr(*[f"{_rounded(f'`{f.name}`')} AS `{f.name}`" if isinstance(f.dataType, T.DoubleType)

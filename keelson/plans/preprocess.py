@@ -6,6 +6,8 @@ own pass over the data.  ``Preprocessor.fit`` instead makes a few scans:
   stage  the input's columns are written once as Parquet; every scan below reads
          only the columns it needs from there, so the input (CSV, a join, ...)
          is read and parsed once.  The fitted result hands that table on.
+         Rows that are cheap to derive from a stored table need no copy, which can
+         be many times as large as that table (``rederive``).
   1      a mergeable state per task: moments of every numeric column (the target
          too) and frequent-label counters of every categorical one.  Columns with
          more labels than counters get a second scan that counts the candidates
@@ -154,7 +156,7 @@ class FittedPreprocess:
     feature_cols: list
     n_rows: int
     report: dict
-    source: DataFrame | None = None      # the staged input: transform this instead of deriving it anew
+    source: DataFrame | None = None      # what the scans read, the staged input if there is one: transform this
 
 
 def fused_transform(pipeline: PipelineModel, df: DataFrame) -> DataFrame:
@@ -173,13 +175,20 @@ class Preprocessor:
         self.config = config or PreprocessConfig()
 
     # ------------------------------------------------------------------
-    def fit(self, df: DataFrame, is_staged: bool = False) -> FittedPreprocess:
+    def fit(self, df: DataFrame, is_staged: bool = False, rederive: bool = False) -> FittedPreprocess:
         """One read of ``df``: its columns are staged as Parquet, which every job below reads
-        (``is_staged``: ``df`` is a Parquet scan already)."""
+        (``is_staged``: ``df`` is a Parquet scan already).
+
+        ``rederive``: nothing is written, every job derives the rows of ``df`` anew.  Only for deterministic
+        expressions on the rows of a stored table.
+        """
         if not isinstance(df, DataFrame):
             raise TypeError("train_data must be a Spark DataFrame")
         names = [c for c in dict.fromkeys([self.spec.id, self.spec.target, *self.spec.feature_names]) if c in df.columns]
-        return self._fit(df if is_staged else staged(df.select(*[qcol(c) for c in names]), "fit-input"))
+        if is_staged:
+            return self._fit(df)
+        df = df.select(*[qcol(c) for c in names])
+        return self._fit(df if rederive else staged(df, "fit-input"))
 
     def _fit(self, df: DataFrame) -> FittedPreprocess:
         spec, cfg = self.spec, self.config

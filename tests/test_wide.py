@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from keelson.functions import states
 from keelson.plans import catalog as C
-from keelson.session import staged
+from keelson.plans.preprocess import Preprocessor, fused_transform
+from keelson.session import ensure_checkpoint_dir, staged
 
 
 def test_staged_doubles_have_no_dictionary(spark):
@@ -59,3 +60,24 @@ def test_folds_do_not_depend_on_the_blocks(monkeypatch):
         np.testing.assert_allclose(facts["products"], found[0][1]["products"], rtol=1e-12)
         for name in ("marks", "label_marks", "label_counts", "label_low", "label_high"):
             assert facts[name].tolist() == found[0][1][name].tolist()
+
+
+def test_wide_query_keeps_no_copy_of_its_features(spark):
+    """The features follow from orders in every scan: a copy would take twenty times the table's disk."""
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{folder}/**", recursive=True))
+    out = C.q_preprocess_wide(spark, SF_SMALL)
+    out.write.format("noop").mode("overwrite").save()
+    assert set(glob.glob(f"{folder}/**", recursive=True)) == before
+    assert out.inputFiles() == C.table(spark, SF_SMALL, "orders").inputFiles()
+
+
+def test_fit_of_derived_rows_equals_fit_of_their_copy(spark):
+    df, spec = C.wide_orders_frame(spark, SF_SMALL, 40)
+    copied, derived = Preprocessor(spec).fit(df), Preprocessor(spec).fit(df, rederive=True)
+    assert (derived.n_rows, derived.feature_cols, derived.report) == (copied.n_rows, copied.feature_cols, copied.report)
+    rows = [{r["o_orderkey"]: list(r.asDict().values()) for r in fused_transform(f.pipeline, f.source).collect()}
+            for f in (copied, derived)]
+    assert rows[0].keys() == rows[1].keys()
+    for key, values in rows[0].items():
+        np.testing.assert_allclose(rows[1][key], values, rtol=1e-9, atol=1e-12)
